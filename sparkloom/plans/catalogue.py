@@ -1,0 +1,6 @@
+"""Queries over the driver tables, and the same in SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
