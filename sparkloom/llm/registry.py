@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe
+from sparkloom.llm import bpe, decontaminate, pii
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
+    "op5_pii": pii.op5_pii,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontaminate": decontaminate.OP10_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
