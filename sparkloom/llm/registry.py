@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, decontaminate, pii
+from sparkloom.llm import bpe, crf_language, decontaminate, pii
 
 QUERIES = {
+    "op3_language": crf_language.op3_language,
     "op4_bpe": bpe.op4_bpe,
     "op5_pii": pii.op5_pii,
     "op10_decontaminate": decontaminate.op10_decontaminate,
