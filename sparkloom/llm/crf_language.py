@@ -8,7 +8,7 @@ letters, weighing each word's posterior by its letters; that share is the score.
 
 Chains end at sentence ends and line ends, and after CHAIN words where there are none; every word is in one chain.
 
-Training: at most `per_language` texts of each language, those with the smallest digests, and of each text at most
+Training: at most `per_language` texts of each language, those with the smallest residues of their digests, and of each text at most
 `train_words` words from its start. This bounds the sample on the driver; predictions read whole texts. Words of a text
 take the text's language as label. Weights are fitted by AdaGrad on the chains' conditional log-likelihood.
 
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm import textvec as tv
 from sparkloom.llm.common import table
@@ -216,7 +217,7 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*keep)
     at = keep.index(text)
-    schema = src.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
