@@ -49,7 +49,7 @@ def features(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     """Trigram codes of all words with the counts a word, and prefix, suffix and lexicon rows of each word."""
     # a word of n letters, with bounds marked by class 0, has n trigrams
     c = np.concatenate(([0], w.cls, [0])).astype(np.int64)
-    at = positions(w.start, w.end)
+    at = tv.positions(w.start, w.end)
     tri = c[at] << 12 | c[at + 1] << 6 | c[at + 2]
     n = w.end - w.start
     padded = np.concatenate((w.cls, np.zeros(3, np.uint8))).astype(np.int64)
@@ -63,11 +63,6 @@ def features(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return tri, n, TABLE + prefix, 2 * TABLE + suffix, 3 * TABLE + word
 
 
-def positions(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = end - start
-    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
-
-
 def chains(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
     """First word and number of words of each chain."""
     k = len(w.start)
@@ -221,25 +216,13 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, at):
+            for part in tv.sliced(batch, at):
                 names, sure = label_texts(sent.value, [x.as_py() or "" for x in part.column(at)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return src.mapInArrow(run, schema)
 
 
-def sliced(batch: pa.RecordBatch, at: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `most` bytes of text, one row at least."""
-    if not batch.num_rows:
-        yield batch
-        return
-    size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(at).cast(pa.large_binary())], np.int64)
-    part = np.cumsum(size) // most
-    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield batch.slice(a, b - a)
-
-
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, crf_language, decontaminate, pii
+from sparkloom.llm import bpe, crf_language, decontaminate, jaccard, pii
 
 QUERIES = {
     "op3_language": crf_language.op3_language,
     "op4_bpe": bpe.op4_bpe,
     "op5_pii": pii.op5_pii,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op8_jaccard": jaccard.OP8_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
