@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, crf_language, decontaminate, jaccard, kdtree, pii
+from sparkloom.llm import bpe, crf_language, decontaminate, jaccard, kdtree, pii, toxicity
 
 QUERIES = {
     "op1_kdtree": kdtree.op1_kdtree,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_language": crf_language.op3_language,
     "op4_bpe": bpe.op4_bpe,
     "op5_pii": pii.op5_pii,
