@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, crf_language, decontaminate, jaccard, kdtree, pii, toxicity
+from sparkloom.llm import bpe, crf_language, decontaminate, jaccard, kdtree, mpeg, pii, toxicity
 
 QUERIES = {
     "op1_kdtree": kdtree.op1_kdtree,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_pii": pii.op5_pii,
     "op8_jaccard": jaccard.op8_jaccard,
+    "op9_mpeg": mpeg.op9_mpeg,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
