@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, crf_language, decontaminate, jaccard, kdtree, mpeg, pii, toxicity
+from sparkloom.llm import bpe, crf_language, decontaminate, jaccard, kdtree, mpeg, pii, quotes, toxicity, url_filter
 
 QUERIES = {
     "op1_kdtree": kdtree.op1_kdtree,
@@ -10,11 +10,15 @@ QUERIES = {
     "op3_language": crf_language.op3_language,
     "op4_bpe": bpe.op4_bpe,
     "op5_pii": pii.op5_pii,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_quotes": quotes.op7_quotes,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_mpeg": mpeg.op9_mpeg,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_url_filter": url_filter.OP6_SQL,
+    "op7_quotes": quotes.OP7_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
