@@ -181,9 +181,10 @@ def block_tasks(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
 def compared(tasks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(rep, n_links, root): for each task, the classes with links, and the least class that they connect to there."""
 
-    def one(rows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int, int]]:
+    def one(task: str | None, rows: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int, int]]:
         sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
-        same = not sides[1]
+        blocks = (task or "").split(":")[-2:]
+        same = blocks[0] == blocks[-1]
         left, right = sides[0], sides[0] if same else sides[1]
         if not left or not right or (same and len(left) < 2):
             return []
@@ -215,13 +216,13 @@ def compared(tasks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
         for batch in batches:
             for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if t != task:
-                    out += one(rows)
+                    out += one(task, rows)
                     rows, task = [], t
                 rows.append(tuple(row))
             if len(out) > 10_000:
                 yield written(out)
                 out = []
-        yield written(out + one(rows))
+        yield written(out + one(task, rows))
 
     def written(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["rep", "n_links", "root"])
