@@ -44,7 +44,9 @@ def passages(text: str) -> tuple[str, list[tuple[int, str]]]:
         level = m.group().count(">") if m else 0
         body = line[m.end() :] if m else line
         if level == 0:
-            own.append(line)
+            doubled = level_before and not line.strip() and (not own or not own[-1].strip())
+            if not doubled:  # one blank line stays where a quote was
+                own.append(line)
         else:
             if level_before == 0:
                 while own and not own[-1].strip():

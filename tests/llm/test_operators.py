@@ -1,0 +1,463 @@
+"""The training-data operators on small tables, against brute force, round trips and SQL."""
+
+import hashlib
+import json
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm import bpe, components, crf_language, decontaminate, jaccard, kdtree, mpeg, pii, quotes, registry, textvec, toxicity, url_filter
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, `key` int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and extra columns whose names clash."""
+    long = "word " * 30_000
+    rows = [
+        (1, "One two three four five six seven eight nine ten eleven twelve.", "en", "a", 10, "s", 1), (1, "One two three four five six seven eight nine ten eleven twelve.", "en", "a", 10, "s", 1),
+        (2, None, None, None, None, None, None), (None, "", "en", "a", 0, "s", 1), (3, "", "de", "b", 0, "s", 2), (4, long, "en", "a", len(long), "s", 1),
+        (5, "12 34 !!", "fr", "b", 8, "s", 1), (6, "日本語 🎉 a@b.example 1.2.3.4", "en", None, 5, None, 1), (7, "one TWO three four five six seven eight nine ten eleven thirteen", "en", "a", 9, "s", 1),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def local(df):
+    return df.toPandas()
+
+
+# ---- sharding
+
+
+def test_kdtree_balance(spark, documents):
+    got = local(kdtree.op1_kdtree(spark, SF))
+    src = local(documents)
+    assert sorted(got.doc_id) == sorted(src.doc_id) and set(got.shard) == set(range(8))
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() - sizes.min() <= 2 * got["size"].max()
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    both = got.merge(src, on="doc_id")
+    assert all(zlib.crc32(t.encode()) == c and len(t.encode()) + 1 == s for t, c, s in zip(both.text, both.text_crc32, both["size"], strict=True))
+
+
+def test_kdtree_odd(spark, odd, none):
+    got = local(kdtree.shard(odd, ("n_chars", "source"), shards=8))
+    assert len(got) == odd.count() and got.shard.between(0, 7).all()
+    assert sorted(got["size"])[:3] == [1, 1, 1]
+    assert local(kdtree.shard(none, ("n_chars",), shards=8)).empty
+
+
+def test_kdtree_target_and_ties(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x" * 99).alias("text"), F.lit("same").alias("source"))
+    got = local(kdtree.shard(df, ("source",), target_bytes=50_000))
+    assert got.shard.nunique() == 8 and got.groupby("shard")["size"].sum().between(47_000, 53_000).all()
+
+
+# ---- toxicity
+
+INSULTS = ["idiot", "moron", "scum"]
+
+
+def toxic_rows(n=240):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    out = []
+    for i in range(n):
+        w = [rng.choice(plain) for _ in range(30)]
+        if i % 3 == 0:
+            w[rng.randint(0, 29)] = rng.choice(INSULTS)
+        out.append((" ".join(w), int(i % 3 == 0)))
+    return out
+
+
+def test_toxicity_learns_and_tolerates_gaps():
+    rows = toxic_rows()
+    m = toxicity.fit(rows[:200])
+    p = toxicity.text_scores(m, [t for t, _ in rows[200:]])
+    assert np.mean((p >= 0.5) == [y for _, y in rows[200:]]) >= 0.95
+    plain = "then here thinner "
+    score = lambda t: toxicity.text_scores(m, [plain + t])[0]
+    assert score("i.d.i.o.t") >= 0.5 and score("i d i o t") >= 0.5 and score("id-iot") >= 0.5 and score("mo*ron") >= 0.5
+    assert score("idxiot") > 3 * score("there") and score("anther") < 0.5
+    assert toxicity.text_scores(m, [""])[0] < 0.5
+
+
+def test_toxicity_folding_is_the_kernel():
+    s = toxicity.words(["idiot moron there"])
+    z = toxicity.words(["idiots scum"])
+    k = toxicity.kernel(s, z)
+    word, code, value = toxicity.entries(z)
+    for j in range(2):
+        m = toxicity.Model(np.bincount(code, value * (word == j), 1 << 18).astype(np.float32))
+        assert np.allclose(toxicity.values(m, s), k[:, j], atol=1e-6)
+
+
+def test_toxicity_frames(spark, odd, none):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    m = toxicity.train(odd, labels)
+    assert m.weight is None
+    got = local(toxicity.score(odd, m))
+    assert len(got) == odd.count() and (got.score == 0).all() and (got.predicted == 0).all()
+    m = toxicity.fit(toxic_rows())
+    assert local(toxicity.score(none, m)).empty
+    assert local(toxicity.score(odd, m)).score.between(0, 1).all()
+
+
+def test_toxicity_query(spark):
+    got = local(toxicity.op2_toxicity(spark, "/root/testdata/sf0.01"))
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
+    held = got[got.held_out].merge(labels, on="doc_id")
+    assert (held.predicted == held.toxic).mean() >= 0.9
+    assert (got.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in got.doc_id]).all()
+
+
+# ---- language
+
+
+def test_language_accuracy(spark):
+    got = local(crf_language.op3_language(spark, "/root/testdata/sf0.01"))
+    truth = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")[["doc_id", "lang"]]
+    held = got[got.held_out].merge(truth, on="doc_id")
+    assert (held.lang_pred == held.lang).mean() >= 0.97 and got.score.between(0, 1).all()
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(0)
+    emit, move = rng.normal(size=(4, 3)), rng.normal(size=(3, 3))
+    post, expected = crf_language.forward_backward(emit, move, np.array([0]), np.array([4]), pairs=True)
+    want, pairs, total = np.zeros((4, 3)), np.zeros((3, 3)), 0.0
+    for path in np.ndindex(3, 3, 3, 3):
+        p = np.exp(sum(emit[t, y] for t, y in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total += p
+        for t, y in enumerate(path):
+            want[t, y] += p
+        for a, b in zip(path, path[1:], strict=False):
+            pairs[a, b] += p
+    assert np.allclose(post, want / total) and np.allclose(expected, pairs / total)
+
+
+def test_code_switching():
+    de, fr = "der und die schlicht ungeheuer nicht auch weich", "le les avec pour trouver elle mentaux que"
+    m = crf_language.fit([(" ".join(random.Random(i).sample(x.split(), 6)), n) for i in range(80) for x, n in ((de, "de"), (fr, "fr"))])
+    got = crf_language.label_words(m, "und die nicht. avec pour elle")
+    assert [lang for _, lang, _ in got] == ["de"] * 3 + ["fr"] * 3
+
+
+def test_language_odd(spark, odd, none):
+    m = crf_language.train(odd)
+    got = local(crf_language.detect(odd, m))
+    assert len(got) == odd.count()
+    assert (got[got.text.isna() | got.text.isin(["", "12 34 !!"])].lang_pred == "und").all()
+    assert set(local(crf_language.detect(odd, crf_language.train(none))).lang_pred) == {"und"}
+    assert local(crf_language.detect(none, m)).empty
+
+
+# ---- BPE
+
+
+@pytest.fixture(scope="module")
+def automaton():
+    return bpe.Automaton(json.loads(bpe.vocabulary()))
+
+
+def test_bpe_against_library(automaton):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    alphabet = "aàbeé' \n\t\r\x1c\x85\xa0 1²٣_-.<|>stdlmrv語🎉́"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["", "a" * 5000, " " * 3000, "<|endoftext|>x<|endoftext|><|endof", "the " * 3000]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = automaton.encode(text)
+        assert ids == want.ids and automaton.decode(ids) == t.decode(want.ids, skip_special_tokens=False)
+
+
+def test_bpe_transitions_are_the_automaton(automaton):
+    rng, tokens = random.Random(3), sorted(automaton.whole.values())
+    for _ in range(20_000):
+        a, b = rng.choice(tokens), rng.choice(tokens[:3000])
+        assert automaton.arc(automaton.target[a], b) == automaton.follows(a, b)
+
+
+def test_bpe_frames(spark, odd, none):
+    got = local(bpe.encode_decode(odd, bpe.vocabulary(), ids=True))
+    assert len(got) == odd.count() and (got[got.decoded == ""].n_tokens == 0).all()
+    for r in got.itertuples():
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    assert sorted(got.decoded) == sorted(r.text or "" for r in odd.collect())
+    assert local(bpe.encode_decode(none, bpe.vocabulary())).empty
+
+
+# ---- personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(t):
+    out = []
+    for k, (kind, p) in enumerate(BASE.items()):
+        for m in re.finditer(p, t or ""):
+            v, d = m.group(), re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in v.split(".")) or kind == "card" and not (12 <= len(d) <= 19 and luhn(d)) or kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def test_pii_base_spans(spark):
+    rng = random.Random(5)
+    parts = ["a@b.c", "_d@e.f.g", "x..y@z-1.co", "1.2.3.4", "5", "256.1.1.1", ".", "4111 1111 1111 1111", "4111111111111111", "-", " ", "+1 (555) 123-4567", "+49.30.123456", "é", "🎉", "foo", "001.02.3.255", "000000000000", "@", "+", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(600)] + [None, "", "1" * 20_000, "1 " * 10_000, "a" * 40_000, "a." * 10_000, "+1" + " " * 10_000]
+    got = pii.sanitise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = base_spans(texts[r.doc_id])
+        assert [s for s in r.spans.split(",") if s and not s.startswith("term")] == want
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in want) for k in BASE]
+
+
+def test_pii_disclosing_terms(spark):
+    rng = random.Random(8)
+    filler = ["alpha", "beta", "gamma", "delta", "about", "where", "there"]
+    text = lambda *x: " ".join([rng.choice(filler) for _ in range(25)] + [*x] + [rng.choice(filler) for _ in range(25)])
+    rows = [(i, text("Kowalczyk", f"n{i}", "ann@x.example")) for i in range(6)] + [(10 + i, text()) for i in range(60)] + [(99, text("kowalczyk"))]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    src = dict(rows)
+    shown = lambda i: [src[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k == "term"]
+    assert shown(0) == ["Kowalczyk"] and shown(99) == ["kowalczyk"] and "ann@x.example" not in got[0].text and "Kowalczyk" not in got[0].text and "[EMAIL]" in got[0].text
+    assert all(not got[10 + i].spans and got[10 + i].text == src[10 + i] for i in range(60))
+
+
+def test_pii_odd(spark, odd, none):
+    got = local(pii.sanitise(odd))
+    assert len(got) == odd.count() and got.text.isna().sum() == 1 and got.n_email.sum() == 1 and got.n_ip.sum() == 1
+    assert local(pii.sanitise(none)).empty
+
+
+# ---- URL filters and quotations: SQL, and cases
+
+
+@pytest.mark.parametrize("name", registry.ORACLE_SQL)
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    a, b = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLE_SQL[name]).df()
+    canon = lambda df: sorted(tuple("-" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x) for x in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    assert sorted(a.columns) == sorted(b.columns) and canon(a) == canon(b)
+
+
+def test_url_intervals(spark):
+    events = [("x.example", "ads", "add", 1), ("x.example", "ads", "add", 3), ("x.example", "ads", "remove", 5), ("x.example", "ads", "add", 7), ("y.example/a", "spam", "remove", 1), ("y.example/a", "spam", "add", 2), (None, "ads", "add", 1), ("x.example", "ads", "add", 1)]
+    day = lambda c: F.expr(f"date_add(DATE'2024-01-30', {c})")
+    entries = spark.createDataFrame(events, "pattern string, category string, action string, d int").select("pattern", "category", "action", day("d").alias("at"))
+    asked = [("http://a.x.example/q", 0), ("http://a.x.example/q", 1), ("http://x.example", 4), ("http://x.example", 5), ("http://x.example", 90), ("https://y.example/a/b?c", 40), ("https://y.example/ab", 40), ("notx.example", 4), (None, 4), ("http://x.example", None), ("http://x.example", 4)]
+    captures = spark.createDataFrame([(i, u, d, "clash") for i, (u, d) in enumerate(asked)], "i int, url string, d int, host string").select("i", "url", day("d").alias("fetched"), "host")
+    got = [r.allowed for r in url_filter.evaluate(captures, entries).orderBy("i").collect()]
+    assert got == [True, False, False, True, False, False, True, True, True, True, False]
+    assert all(r.allowed for r in url_filter.evaluate(captures, entries.where("false")).collect())
+
+
+def test_quote_parsing():
+    own, quoted = quotes.passages("Hi\n\nOn Monday, Ann wrote:\n> first\n> line\n>> deeper\n> back\n\nmine")
+    assert own == "Hi\n\nmine" and quoted == [(1, "first\nline"), (2, "deeper"), (1, "back")]
+    assert quotes.passages("no quotes \n") == ("no quotes \n", []) and quotes.passages("") == ("", [])
+
+
+def test_quote_threads(spark):
+    rows = [
+        ("t", 1, "Shall we meet on Friday?"), ("t", 2, "> Shall we meet  on friday?\n\nYes."), ("t", 3, "> Shall we meet on Friday?\nNo."), ("t", 4, ">> Shall we meet on Friday?\n> Yes.\nGood."), ("t", 5, "> never said\nHm."),
+        ("u", 1, "> Shall we meet on Friday?\nOther thread."), ("t", 2, "> Shall we meet  on friday?\n\nYes."), (None, 1, "x"), ("v", None, None), ("v", 1, ""),
+    ]
+    got = local(quotes.link(spark.createDataFrame(rows, "thread string, node bigint, text string")))
+    at = lambda t, n: got[(got.thread == t) & (got.node == n)].iloc[0]
+    assert len(got) == len(rows)
+    assert [at("t", n).depth for n in (1, 2, 3, 4, 5)] == [0, 1, 1, 2, 0] and at("t", 4).parent == 2 and at("t", 4).root == 1 and at("t", 4).n_linked == 2
+    assert [at("t", n).position for n in (1, 2, 3, 4, 5)] == [0, 1, 3, 4, 5]
+    assert at("t", 4).clean_text == "Good." and pd.isna(at("u", 1).parent)
+    assert local(quotes.link(spark.createDataFrame([], "thread string, node bigint, text string"))).empty
+
+
+# ---- near copies
+
+
+def brute(texts, threshold=0.8):
+    def sh(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else None
+
+    sets = {i: sh(t) for i, t in texts.items()}
+    classes = {}
+    for i in sorted(sets):
+        if sets[i]:
+            classes.setdefault(sets[i], i)
+    links = {s: {x for x in classes if x is not s and len(x & s) >= threshold * len(x | s)} for s in classes}
+    return {i: (classes.get(s, i), len(links.get(s, ()))) for i, s in sets.items()}, links, classes
+
+
+def near_texts(n=150):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(300)]
+    out, i = {}, 0
+    while i < n:
+        base = [rng.choice(vocab) for _ in range(rng.choice([3, 8, 60, 200]))]
+        for _ in range(rng.randint(1, 9)):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            out[i] = " ".join(w)
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("rows", [256, 4])
+def test_jaccard_against_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
+    texts = near_texts()
+    want, links, classes = brute(texts)
+    got = local(jaccard.jaccard_join(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")))
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got.itertuples()} == want
+    group = {r.doc_id: r.group_id for r in got.itertuples()}
+    for s, others in links.items():
+        assert all(group[classes[s]] == group[classes[x]] for x in others)
+    assert sum(c for _, c in want.values()) > 50
+
+
+def test_jaccard_odd(spark, odd, none):
+    got = local(jaccard.jaccard_join(odd))
+    assert len(got) == odd.count() and (got.n_links == 0).all()
+    kept = local(jaccard.deduplicate(odd))
+    assert len(kept) == len(odd.collect()) - 1 and list(kept.columns) == odd.columns
+    assert local(jaccard.jaccard_join(none)).empty and local(jaccard.deduplicate(none)).empty
+
+
+def test_pruning_threshold():
+    grid = np.linspace(0, 1, 200_001)
+    for n in (32, 64, 288):
+        m = jaccard.least_matches(n, 0.8, 1e-6)
+        tail = [(d := grid**k * (1 - grid) ** (n - k))[grid >= 0.8].sum() / d.sum() for k in (m - 1, m)]
+        assert tail[0] < 1e-6 <= tail[1]  # the posterior is Beta(m + 1, n - m + 1)
+    x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
+    y = np.sort(np.concatenate((x[:900], np.random.default_rng(2).integers(0, 1 << 63, 100, dtype=np.uint64))))
+    same = (jaccard.signature(x) == jaccard.signature(y)).mean()
+    assert abs(same - 900 / 1100) < 0.08
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.u: r.label for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    assert components.components(spark.createDataFrame([], "u bigint, v bigint")).isEmpty()
+
+
+# ---- MPEG audio
+
+
+def test_mpeg_round_trip():
+    rng = random.Random(2)
+    for n in [64, 1408, 1472, 6400, 64 * 999] + [64 * rng.randint(1, 60) for _ in range(100)]:
+        payload = os.urandom(n) if rng.random() < 0.7 else b"\xff\xfb" * (n // 2)
+        media = mpeg.carry(payload)
+        s = mpeg.parse(media)
+        assert mpeg.recover(media, s) == payload
+        assert s.bad == 0 and s.skipped == 0 and s.checked == len(s.offsets) + 1 and s.table["frames"] == len(s.offsets)
+        assert s.tags["TXXX:payload"] == str(n) and s.tags["ID3v1:title"] == "carried bytes" and s.samples == 1152 * len(s.offsets)
+
+
+def test_mpeg_resynchronises():
+    media = mpeg.carry(os.urandom(64 * 200))
+    s = mpeg.parse(media)
+    torn = media[: s.offsets[3]] + b"junk\xff\xfbjunk" + media[s.offsets[3] :]
+    assert mpeg.parse(torn).skipped == 10 and len(mpeg.parse(torn).offsets) == len(s.offsets)
+    broken = bytearray(media)
+    broken[s.offsets[2] + 8] ^= 1
+    assert mpeg.parse(bytes(broken)).bad == 1
+    assert mpeg.parse(b"").samples == 0 and mpeg.parse(b"\xff" * 100).skipped == 100
+
+
+def test_mpeg_headers():
+    h = mpeg.header(bytes([0xFF, 0xFB, 0x90, 0x00]))  # MPEG 1 layer III, 128 kbit/s, 44.1 kHz
+    assert (h.kbps, h.rate, h.length, h.samples, h.protected) == (128, 44100, 417, 1152, False)
+    h = mpeg.header(bytes([0xFF, 0xF3, 0x80, 0xC0]))  # MPEG 2 layer III, 64 kbit/s, 22.05 kHz, mono
+    assert (h.kbps, h.rate, h.length, h.samples, h.side) == (64, 22050, 208, 576, 9)
+    assert mpeg.header(bytes([0xFF, 0xFF, 0x10, 0x00])).length == 32 * 12000 // 44100 * 4  # layer I
+    assert mpeg.header(b"\xff\xfb\xf0\x00") is None and mpeg.header(b"\xff\xeb\x90\x00") is None
+    assert mpeg.crc16(b"123456789") == 0xAEE7  # CRC-16/CMS
+
+
+def test_mpeg_columns(spark):
+    media = mpeg.carry(b"x" * 4096)
+    df = spark.createDataFrame([(1, media), (2, None), (3, b"")], "i int, media binary")
+    got = {r.i: r.mpeg for r in mpeg.media_columns(df).collect()}
+    assert got[1].n_frames == 3 and got[1].vbr and got[1].table_agrees and got[2].n_frames == 0 and got[3].samples == 0
+
+
+def test_mpeg_query(spark, documents):
+    got = local(mpeg.op9_mpeg(spark, SF)).merge(local(documents.select("doc_id", "text")), on="doc_id")
+    for r in got.itertuples():
+        raw = r.text.encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(mpeg.carry(payload)), hashlib.sha256(mpeg.carry(payload)).hexdigest())
+
+
+# ---- decontamination
+
+
+def test_decontamination_cases(spark, odd, none):
+    item = "three four five six seven eight nine ten eleven twelve"
+    items = spark.createDataFrame([(1, item), (1, item), (2, "日本語 🎉"), (3, ""), (4, None), (None, "34"), (5, "never seen words here")], "item_id bigint, text string")
+    got = local(decontaminate.decontaminate(odd, items))
+    by = lambda t: got[got.text == t].iloc[0]
+    assert len(got) == odd.count()
+    first = by("One two three four five six seven eight nine ten eleven twelve.")
+    assert (first.n_words, first.n_hit, first.n_items, first.contaminated) == (12, 10, 1, True) and first.items_sha256 == hashlib.sha256(b"1").hexdigest()
+    assert not by("one TWO three four five six seven eight nine ten eleven thirteen").contaminated
+    assert (by("12 34 !!").n_hit, by("12 34 !!").n_items) == (1, 0) and by("日本語 🎉 a@b.example 1.2.3.4").n_hit == 2
+    assert (got[got.text.isna()].n_words == 0).all()
+    assert not local(decontaminate.decontaminate(odd, items.where("false"))).contaminated.any()
+    assert local(decontaminate.decontaminate(none, items)).empty
+
+
+def test_textvec_hashes_match_words():
+    w = textvec.split(["The the THE x1 été", "", "the"])
+    h = textvec.word_hashes(w.cls, w.start, w.end)
+    assert h[0] == h[1] == h[2] == h[5] and len(set(h.tolist())) == 3 and list(w.doc) == [0, 0, 0, 0, 0, 2]
