@@ -15,6 +15,16 @@ from sparkloom.llm.common import cut, table
 #: A text of which no language has this share of the letters is no language's text; with four languages, one that the
 #: model can't tell apart at all has 0.25.
 LEAST_SHARE = 0.3
+#: Columns that stages read; others are set aside under other names while an operator adds its own.
+READ = ("doc_id", "text", "lang", "n_chars")
+
+
+def set_aside(docs: DataFrame) -> DataFrame:
+    return docs.withColumnsRenamed({c: f"__kept_{c}" for c in docs.columns if c not in READ})
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col(c if c in READ else f"__kept_{c}").alias(c) for c in columns))
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +33,8 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = crf_language.train(docs.where(~held_out))
     if not model.languages:  # nothing to learn from, so nothing to reject by
         return docs
-    labelled = crf_language.detect(docs.withColumnRenamed("lang", "__lang"), model)
-    kept = labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumnRenamed("__lang", "lang").select(*docs.columns)
+    labelled = crf_language.detect(set_aside(docs), model)
+    return restored(labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)), docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +44,16 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    judged = decontaminate.decontaminate(set_aside(docs), table(spark, sf_dir, "benchmark"))
+    return restored(judged.where(~F.col("contaminated")), docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask personal data and the terms that disclose it; n_chars follows the text."""
-    safe = pii.sanitise(docs)
+    safe = pii.sanitise(set_aside(docs))
     if "n_chars" in docs.columns:
         safe = safe.withColumn("n_chars", F.length("text").cast("long"))
-    return safe.select(*docs.columns)
+    return restored(safe, docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
