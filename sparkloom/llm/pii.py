@@ -42,7 +42,7 @@ PATTERNS = {
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Separators of terms, in text that is not lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-NEAR, SUPPORT, GENERALISE, REMOVE = 64, 3, 0.8, 0.95
+NEAR, SUPPORT, GENERALISE, REMOVE = 64, 3, 0.95, 0.99
 SPANS = "array<struct<start:int,end:int,kind:int,value:string>>"
 OUTPUTS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
 

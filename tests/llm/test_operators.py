@@ -247,12 +247,12 @@ def test_pii_disclosing_terms(spark):
     rng = random.Random(8)
     filler = ["alpha", "beta", "gamma", "delta", "about", "where", "there"]
     text = lambda *x: " ".join([rng.choice(filler) for _ in range(25)] + [*x] + [rng.choice(filler) for _ in range(25)])
-    rows = [(i, text("Kowalczyk", f"n{i}", "ann@x.example")) for i in range(6)] + [(10 + i, text()) for i in range(60)] + [(99, text("kowalczyk"))]
+    rows = [(i, text("Kowalczyk", f"n{i}", "ann@x.example")) for i in range(6)] + [(10 + i, text()) for i in range(200)] + [(999, text("kowalczyk"))]
     got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     src = dict(rows)
     shown = lambda i: [src[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].spans.split(",")) if k == "term"]
-    assert shown(0) == ["Kowalczyk"] and shown(99) == ["kowalczyk"] and "ann@x.example" not in got[0].text and "Kowalczyk" not in got[0].text and "[EMAIL]" in got[0].text
-    assert all(not got[10 + i].spans and got[10 + i].text == src[10 + i] for i in range(60))
+    assert shown(0) == ["Kowalczyk"] and shown(999) == ["kowalczyk"] and "ann@x.example" not in got[0].text and "Kowalczyk" not in got[0].text and "[EMAIL]" in got[0].text
+    assert all(not got[10 + i].spans and got[10 + i].text == src[10 + i] for i in range(200))
 
 
 def test_pii_odd(spark, odd, none):
