@@ -46,8 +46,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered, NOT_WORD, -1), lambda w: w != "")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting at most max_rows rows; else leave the join to a shuffle.
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the table that cut() wrote for df; 0 for other DataFrames."""
+    spark = df.sparkSession
+    files = [f for f in df.inputFiles() if "/sparkloom-" in f]
+    if not files:
+        return 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast only if the table is known to have at most max_rows rows and max_bytes stored bytes; else leave
+    the join to a shuffle.
 
     df must be cheap to read twice (the result of cut())."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if stored_bytes(df) > max_bytes or df.limit(max_rows + 1).count() > max_rows:
+        return df
+    return F.broadcast(df)
