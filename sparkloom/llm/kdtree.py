@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,9 +167,7 @@ def with_slots(df: DataFrame, group: str, digest: str) -> DataFrame:
     return out.withColumn("slot", (F.col("before") + F.col("__n") - 1).cast("long")).drop("__bucket", "__n", "before")
 
 
-def _w(*by: str, order: str, before: bool = False):
-    from pyspark.sql import Window
-
+def _w(*by: str, order: str, before: bool = False) -> WindowSpec:
     w = Window.partitionBy(*by).orderBy(order)
     return w.rowsBetween(Window.unboundedPreceding, -1) if before else w
 
