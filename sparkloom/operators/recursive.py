@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ def resolve_extends(chain: DataFrame, config: str = "config", parent: str = "par
     return chain.select(F.col(config).alias("config")).distinct().join(got, "config", "left").select("config", F.coalesce("options", F.create_map().cast("map<string,string>")).alias("options"))
 
 
-def task_edges(configs: DataFrame, tasks: str = "tasks") -> DataFrame:
-    """(task, depends_on, scope) of a map of tasks: `^x` means x of upstream packages, `//#x` the root's."""
-    pairs = configs.select(F.explode(tasks).alias("task", "spec")).select("task", F.explode("spec.dependsOn").alias("raw"))
+def task_edges(configs: DataFrame, tasks: str = "tasks", keep: Sequence[str] = ()) -> DataFrame:
+    """(task, depends_on, scope), after the columns to keep, of a map of tasks: `^x` means x of upstream packages, `//#x`
+    the root's."""
+    pairs = configs.select(*keep, F.explode(tasks).alias("task", "spec")).select(*keep, "task", F.explode("spec.dependsOn").alias("raw"))
     scope = F.when(F.startswith("raw", F.lit("^")), "upstream").when(F.startswith("raw", F.lit("//#")), "root").otherwise("package")
-    return pairs.select("task", F.regexp_replace("raw", r"^(?:\^|//#)", "").alias("depends_on"), scope.alias("scope"))
+    return pairs.select(*keep, "task", F.regexp_replace("raw", r"^(?:\^|//#)", "").alias("depends_on"), scope.alias("scope"))

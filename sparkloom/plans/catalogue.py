@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions import case, text, validate, web
 from sparkloom.operators import records, recursive
@@ -259,8 +260,6 @@ def locale_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     first = e.orderBy("event_id").limit(1).select(F.element_at(F.json_object_keys("props"), 1).alias("k")).first()
-    from pyspark.sql import types as T
-
     got = validate.json_soft(F.col("props"), T.StructType([T.StructField(first.k, T.StringType())]), required=[first.k])
     return e.select("event_id", got.alias("g")).select("event_id", F.col("g.success").alias("success"), F.col("g.data")[first.k].alias("first"))
 
@@ -274,9 +273,7 @@ projection("task_config", "part", ["p_partkey"], lambda: {"error": validate.task
 @query("SELECT p_partkey, 'build' AS task, d AS depends_on, s AS scope FROM part, (VALUES ('build', 'upstream'), ('gen', 'root'), ('lint', 'package')) v(d, s)")
 def task_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = table(spark, sf_dir, "part").select("p_partkey", validate.json_strict(_TASKS(), validate.TASK_CONFIG)["tasks"].alias("tasks"))
-    ids = config.select("p_partkey")
-    edges = recursive.task_edges(config.limit(1))
-    return ids.join(F.broadcast(edges)).select("p_partkey", "task", "depends_on", "scope")
+    return recursive.task_edges(config, keep=["p_partkey"])
 
 
 CHAIN = [("app", "web", {"strict": "true", "jsx": "react"}), ("web", "base", {"lib": "dom", "jsx": "preserve"}), ("base", None, {"lib": "es", "target": "es2022"}), ("loose", "gone", {"strict": "false"})]
