@@ -75,3 +75,8 @@ def test_front_matter(spark):
     assert [tuple(g) for g in got] == [(True, "a: 1", "body\n"), (False, "", "plain"), (True, "", "x")]
     assert values(spark, text.quote_globs, ["---\nglobs: *.ts,*.tsx\nx: 1\n---\nb", '---\nglobs: "*.ts"\n---\n', "globs: *.ts"]) == ['---\nglobs: "*.ts,*.tsx"\nx: 1\n---\nb', '---\nglobs: "*.ts"\n---\n', "globs: *.ts"]
     assert values(spark, text.yaml_string, ['"a b"', "'it''s'", "plain # note", "null", "", None]) == ["a b", "it's", "plain", None, None, None]
+
+
+def test_unicode_space(spark):
+    assert values(spark, text.strip, [" 　 a b ﻿ ", "​"]) == ["a b", "​"]
+    assert values(spark, text.one_line, [" x \n \ny"]) == ["x y"]
