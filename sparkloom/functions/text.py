@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as ECMAScript trims it: more than Spark's trim, which takes blanks only.
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 NAME_LIMIT = 54
 
 

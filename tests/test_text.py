@@ -78,5 +78,5 @@ def test_front_matter(spark):
 
 
 def test_unicode_space(spark):
-    assert values(spark, text.strip, [" 　 a b ﻿ ", "​"]) == ["a b", "​"]
-    assert values(spark, text.one_line, [" x \n \ny"]) == ["x y"]
+    assert values(spark, text.strip, ["\u00a0\u3000 a b \ufeff\u2028", "\u200b"]) == ["a b", "\u200b"]
+    assert values(spark, text.one_line, ["\u00a0x\u2003\n\u00a0\ny"]) == ["x y"]
