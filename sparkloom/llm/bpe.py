@@ -31,7 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for texts that have no character of ODD, where re's classes agree with \p{L}, \p{N} and White_Space.
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ſ–—‘-„…€]")
-CACHE = 400_000
+#: Words that a worker remembers; it forgets all when there are more, and at the end of a task.
+CACHE = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -231,6 +232,9 @@ def encode_decode(df: DataFrame, tokenizer_json: str, text: str = "text", keep:
             made += [pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.string())] if ids else []
             cols = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(made)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], names=[*keep, *cols])
+        # workers live on for other operators' tasks
+        written.clear()
+        emitted.clear()
 
     return src.mapInArrow(run, schema)
 

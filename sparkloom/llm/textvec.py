@@ -130,7 +130,7 @@ def positions(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
-def sliced(batch: pa.RecordBatch, at: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, at: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text, one row at least."""
     if not batch.num_rows:
         yield batch
