@@ -14,7 +14,7 @@ folds into one weight a subsequence, and scoring a text is a few table look-ups
 
 A text's value is its highest word value; a logistic fit on texts that the machine was not fitted on makes it a score.
 
-Training: at most `per_class` labelled texts of each label, of each at most `train_chars` characters from the start, which
+Training: about `per_class` toxic and twice as many other labelled texts, of each at most `train_chars` characters from the start, which
 bounds the sample on the driver. Words of more than PIECE characters are cut into overlapping pieces.
 
 Defined results: null text is empty; an empty text has no word and gets the value of a word without subsequences.
@@ -38,7 +38,7 @@ from sparkloom.llm.common import table
 
 DECAY, GAPS, PIECE = 0.6, 2, 32
 PLACES = [(a, b) for a in range(GAPS + 1) for b in range(GAPS + 1 - a)]  # characters skipped before and after the middle
-LANDMARKS, ROUNDS, WORST = 240, 3, 4
+LANDMARKS, ROUNDS, WORST = 240, 4, 4
 PLAIN = 0.97  # share of other texts above whose worst word a toxic text's must be to teach
 _SPACE = np.zeros(0x10000, bool)
 _SPACE[[cp for cp in range(0x10000) if not 0xD800 <= cp < 0xE000 and chr(cp).isspace()]] = True
@@ -131,7 +131,7 @@ def taken(s: Stream, at: np.ndarray) -> Stream:
 
 def entries(s: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, code, value) of the scaled feature vectors, by word."""
-    owner = np.repeat(np.arange(len(s.size)), s.size)
+    owner = np.repeat(np.arange(len(s.size), dtype=np.int32), s.size)
     parts = [(owner[: len(code)][inside], code[inside], np.full(int(inside.sum()), worth)) for code, inside, worth in subsequences(s)]
     word, code, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
     order = np.argsort(word, kind="stable")
@@ -199,14 +199,16 @@ def platt(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def first_guess(s: Stream, labels: np.ndarray, own: np.ndarray, least: int = 3) -> np.ndarray:
     """A value for each word before there is a machine: of the runs of four characters that it has, the highest log ratio
     of the shares of toxic and of other texts with it. Runs in fewer than `least` toxic texts don't count."""
-    c = s.cls.astype(np.int64)
-    owner = np.repeat(np.arange(len(s.size)), s.size)
+    c = s.cls.astype(np.int32)
+    owner = np.repeat(np.arange(len(s.size), dtype=np.int32), s.size)
     code = c[:-3] << 18 | c[1:-2] << 12 | c[2:-1] << 6 | c[3:]
     inside = owner[:-3] == owner[3:]
     pairs = np.unique(s.doc[owner[:-3][inside]] << 24 | code[inside])
+    del owner, c
     pairs = pairs[own[pairs >> 24]]
     toxic = labels[pairs >> 24] == 1
-    codes, at = np.unique(pairs & (1 << 24) - 1, return_inverse=True)
+    codes, at = np.unique((pairs & (1 << 24) - 1).astype(np.int32), return_inverse=True)
+    del pairs
     pos, neg = np.bincount(at[toxic], minlength=len(codes)), np.bincount(at[~toxic], minlength=len(codes))
     n_pos, n_neg = (own & (labels == 1)).sum(), (own & (labels == 0)).sum()
     ratio = np.where(pos >= least, np.log((pos + 1e-9) / n_pos) - np.log((neg + 1) / (n_neg + 1)), -9.0)
@@ -241,7 +243,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     value = first_guess(s, labels, own)
 
     m = Model(np.zeros(1 << 18, np.float32))
-    marks: Stream | None = None
+    ident = tv.word_hashes(s.cls, s.first, s.first + s.size)
+    hard = np.zeros(0, np.int64)
     for _ in range(ROUNDS):
         worst_of = lambda y, k: np.concatenate([np.zeros(0, np.int64)] + [a + np.argsort(-value[a:b], kind="stable")[:k] for a, b in zip(bounds, [*bounds[1:], len(value)], strict=True) if s_own[a] and s_label[a] == y])  # noqa: E731,B023
         good, bad = worst_of(0, WORST), worst_of(1, 1)
@@ -250,13 +253,17 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         # A toxic text whose worst word would be nothing special in other texts says nothing about words.
         telling = value[bad] > np.quantile(value[worst_of(0, 1)], PLAIN)
         bad = bad[telling] if telling.any() else bad
-        ids, at, count = np.unique(tv.word_hashes(s.cls, s.first, s.first + s.size)[bad], return_index=True, return_counts=True)
+        _, at, count = np.unique(ident[bad], return_index=True, return_counts=True)
         common = bad[at[np.argsort(-count, kind="stable")]]
         spread = common[: LANDMARKS // 3]
         more = rng.permutation(common[LANDMARKS // 3 :])[: LANDMARKS // 3]
-        hard = good[np.argsort(-value[good], kind="stable")][: LANDMARKS // 6]
-        marks = taken(s, np.concatenate((spread, more, hard, rng.permutation(good)[: LANDMARKS // 6])))
+        # what once was among the worst of the others stays, each word once
+        good = np.concatenate((hard, good))
+        good = hard = good[np.unique(ident[good], return_index=True)[1]]
+        near = good[np.argsort(-value[good], kind="stable")][: LANDMARKS // 6]
+        marks = taken(s, np.concatenate((spread, more, near, rng.permutation(good)[: LANDMARKS // 6])))
         plain = rng.permutation(np.flatnonzero(s_own & (s_label == 0)))[: 2 * len(good)]
+        plain = plain[np.unique(ident[plain], return_index=True)[1]]
         x = np.concatenate((kernel(taken(s, np.concatenate((bad, good, plain))), marks), kernel(gapped(taken(s, bad), rng), marks)))
         y = np.concatenate((np.ones(len(bad)), -np.ones(len(good) + len(plain)), np.ones(len(bad))))
         size, vectors = np.linalg.eigh(kernel(marks, marks))
@@ -281,7 +288,7 @@ def text_scores(m: Model, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(m.slope * np.clip(text_values(m, texts), -1.5, 1.5) + m.shift, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = 1500, train_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = 700, train_chars: int = 10_000) -> Model:
     """Fit on a bounded sample of the labelled rows of docs."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(toxic).alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
