@@ -8,7 +8,8 @@ The medians are found by counting, not sorting: all open nodes of a level at onc
 dimension, then the bin that crosses the middle again in finer bins, until a bin holds a single value. Rows that tie in
 the value (a hot source, say) are split by a digest of the row, refined in the same way, so leaves come out equal
 however many rows share a value. Counts are aggregated before they are shuffled; a level's histogram has at most BINS
-rows a node. The driver sees node bounds only, a few numbers for each leaf.
+rows a node and is searched where it is. The driver sees node bounds only, a few numbers for each leaf; they go to
+the rows by a broadcast join.
 
 Slots number the rows of a shard without gaps: rows are dealt into buckets by digest, buckets counted, and only the
 offsets of the buckets are summed up; no shard is ever in one task. Rows that are equal in everything are told apart by
@@ -31,6 +32,7 @@ from sparkloom.llm.common import cut, table
 BINS = 1024
 BUCKET_ROWS = 2000
 TIE_BITS = 40
+LIMIT = 1 << 61  # numbers beyond it tie, so that differences fit in 64 bits
 
 
 @dataclass
@@ -49,8 +51,12 @@ def number(column: Column, kind: T.DataType) -> Column:
         head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
         return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.coalesce(F.floor(F.try_multiply(column.cast("double"), F.lit(1e3))).cast("long"), F.lit(-(1 << 62)))
-    return F.coalesce(column.cast("long"), F.lit(-(1 << 62)))
+        column = F.nanvl(column.cast("double"), F.lit(None).cast("double")) * 1e3
+        whole = F.floor(F.least(F.greatest(column, F.lit(-float(LIMIT))), F.lit(float(LIMIT))))
+    else:
+        whole = column.cast("long")
+    # greatest and least skip nulls, so null is told first
+    return F.when(column.isNull(), -LIMIT - 1).otherwise(F.least(F.greatest(whole, F.lit(-LIMIT)), F.lit(LIMIT)))
 
 
 def points(docs: DataFrame, dims: tuple[str, ...], size: Column, keep: tuple[Column, ...]) -> DataFrame:
@@ -59,43 +65,44 @@ def points(docs: DataFrame, dims: tuple[str, ...], size: Column, keep: tuple[Col
     return docs.select(*keep, size.alias("size"), tie.alias("tie"), *(number(F.col(d), kinds[d]).alias(f"d{k}") for k, d in enumerate(dims)))
 
 
-def _pick(nodes: dict[int, Node], get, column: str, kind: str) -> Column:
-    out = F.create_map(*(F.lit(x) for n in nodes.values() for x in (n.path, get(n))))
-    return F.element_at(out, F.col(column)).cast(kind)
+def _known(df: DataFrame, rows: list[tuple], schema: str, how: str = "inner") -> DataFrame:
+    """df with what is known of each row's node. The table has a row a node, so its size is bounded by the leaves."""
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"path bigint, {schema}".rstrip(", "))), "path", how)
 
 
-def _place(df: DataFrame, nodes: dict[int, Node], n_dims: int) -> DataFrame:
-    """Rows one level down: path of each row's child node; rows of closed nodes keep theirs."""
-    axis = _pick(nodes, lambda n: n.axis, "path", "int")
+def _along(n_dims: int) -> Column:
+    """The row's number on its node's axis."""
     value = F.lit(None).cast("long")
     for k in range(n_dims):
-        value = F.when(axis == k, F.col(f"d{k}")).otherwise(value)
-    split_at, tie_at = _pick(nodes, lambda n: n.value, "path", "long"), _pick(nodes, lambda n: n.tie, "path", "long")
-    right = (value > split_at) | ((value == split_at) & (F.col("tie") >= tie_at))
-    return df.withColumn("path", F.when(axis.isNull(), F.col("path")).otherwise(F.col("path") * 2 + right.cast("long")))
+        value = F.when(F.col("axis") == k, F.col(f"d{k}")).otherwise(value)
+    return value
+
+
+def _place(df: DataFrame, nodes: dict[int, Node], n_dims: int) -> DataFrame:
+    """Rows one level down: path of each row's child node; rows of closed nodes keep theirs."""
+    known = _known(df, [(n.path, n.axis, n.value, n.tie) for n in nodes.values()], "axis int, split_at bigint, tie_at bigint", "left")
+    value = _along(n_dims)
+    right = (value > F.col("split_at")) | ((value == F.col("split_at")) & (F.col("tie") >= F.col("tie_at")))
+    return known.withColumn("path", F.when(F.col("axis").isNull(), F.col("path")).otherwise(F.col("path") * 2 + right.cast("long"))).drop("axis", "split_at", "tie_at")
 
 
-def _crossing(df: DataFrame, value: Column, lows: dict[int, int], highs: dict[int, int], goals: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """For each path, the least v with sum of size over value <= v at least the goal, and the bytes below v."""
+def _crossing(df: DataFrame, lows: dict[int, int], highs: dict[int, int], goals: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """For each path, the least v with sum of size over column v <= v at least the goal, and the bytes below v."""
     below = dict.fromkeys(lows, 0)
     lows, highs = dict(lows), dict(highs)
+    order = Window.partitionBy("path").orderBy("bin")
     while todo := [p for p in lows if lows[p] < highs[p]]:
         width = {p: max(1, -((lows[p] - highs[p] - 1) // BINS)) for p in todo}
-        low = F.element_at(F.create_map(*(F.lit(x) for p in todo for x in (p, lows[p]))), F.col("path"))
-        high = F.element_at(F.create_map(*(F.lit(x) for p in todo for x in (p, highs[p]))), F.col("path"))
-        wide = F.element_at(F.create_map(*(F.lit(x) for p in todo for x in (p, width[p]))), F.col("path"))
-        bins = df.where(F.col("path").isin(todo)).select("path", "size", value.alias("v"), low.alias("low"), high.alias("high"), wide.alias("wide"))
-        bins = bins.where("v BETWEEN low AND high").groupBy("path", F.expr("(v - low) div wide").alias("bin")).agg(F.sum("size").alias("bytes"))
-        counts: dict[int, dict[int, int]] = {}
-        for r in bins.collect():  # at most BINS rows a node
-            counts.setdefault(r.path, {})[r.bin] = r.bytes
+        bounds = [(p, lows[p], highs[p], width[p], goals[p] - below[p]) for p in todo]
+        bins = _known(df, bounds, "low bigint, high bigint, wide bigint, goal bigint").where("v BETWEEN low AND high")
+        bins = bins.groupBy("path", "goal", F.expr("(v - low) div wide").alias("bin")).agg(F.sum("size").alias("bytes"))  # at most BINS a node
+        summed = bins.withColumn("upto", F.sum("bytes").over(order)).where("upto >= goal")
+        first = summed.groupBy("path").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bytes")).alias("under"))).alias("x"))
+        found = {r.path: r.x for r in first.collect()}  # a row a node
         for p in todo:
-            own = counts.get(p, {})
-            for b in sorted(own):
-                if below[p] + own[b] >= goals[p]:
-                    lows[p], highs[p] = lows[p] + b * width[p], min(highs[p], lows[p] + (b + 1) * width[p] - 1)
-                    break
-                below[p] += own[b]
+            if p in found:
+                below[p] += found[p].under
+                lows[p], highs[p] = lows[p] + found[p].bin * width[p], min(highs[p], lows[p] + (found[p].bin + 1) * width[p] - 1)
             else:
                 lows[p] = highs[p]
     return {p: (lows[p], below[p]) for p in lows}
@@ -105,46 +112,39 @@ def tree(df: DataFrame, n_dims: int, leaves: int | None = None, target_bytes: in
     """df with the path of each row's leaf, and the paths in order. Either `leaves` (shares as equal as can be) or
     `target_bytes` says where to stop."""
     df = df.withColumn("path", F.lit(1).cast("long"))
-    total = df.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
-    if not total:
+    extent = [F.struct(F.min(f"d{k}").alias("a"), F.max(f"d{k}").alias("b")).alias(f"d{k}") for k in range(n_dims)]
+    first = df.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), *extent).first()
+    if not first.total:
         return df, [1]
-    spans = df.agg(*(F.struct(F.min(f"d{k}").alias("a"), F.max(f"d{k}").alias("b")).alias(f"d{k}") for k in range(n_dims))).first()
-    whole = [max(1, s.b - s.a) for s in spans]
-    open_nodes = {1: (total, leaves if leaves else -(-total // target_bytes))}  # bytes, and leaves to come
+    whole = [max(1, first[f"d{k}"].b - first[f"d{k}"].a) for k in range(n_dims)]
+    going = {1: (first.total, leaves if leaves else -(-first.total // target_bytes))}  # bytes, and leaves to come
     done: list[int] = []
-    while any(k > 1 for _, k in open_nodes.values()):
-        done += [p for p, (_, k) in open_nodes.items() if k <= 1]
-        going = {p: x for p, x in open_nodes.items() if x[1] > 1}
-        here = df.where(F.col("path").isin([*going]))
-        found = here.groupBy("path").agg(*(F.struct(F.min(f"d{k}").alias("a"), F.max(f"d{k}").alias("b")).alias(f"d{k}") for k in range(n_dims))).collect()
+    while going:
+        done += [p for p, (_, k) in going.items() if k <= 1]
+        going = {p: x for p, x in going.items() if x[1] > 1}
+        if not going:
+            break
+        here = _known(df, [(p,) for p in going], "")
         nodes, low, high, goal = {}, {}, {}, {}
-        for r in found:
+        for r in here.groupBy("path").agg(*extent).collect():  # a row a node
             widest = max(range(n_dims), key=lambda k: ((r[f"d{k}"].b - r[f"d{k}"].a) / whole[k], -k))
             size, k = going[r.path]
             nodes[r.path] = Node(r.path, size, widest)
             low[r.path], high[r.path] = r[f"d{widest}"].a, r[f"d{widest}"].b
             goal[r.path] = max(1, size * (k // 2) // k)
-        axis = _pick(nodes, lambda n: n.axis, "path", "int")
-        value = F.lit(None).cast("long")
-        for k in range(n_dims):
-            value = F.when(axis == k, F.col(f"d{k}")).otherwise(value)
-        medians = _crossing(df, value, low, high, goal)
+        valued = _known(df, [(n.path, n.axis) for n in nodes.values()], "axis int").select("path", "size", "tie", _along(n_dims).alias("v"))
+        medians = _crossing(valued, low, high, goal)
         for p, n in nodes.items():
             n.value = medians[p][0]
-        tied = df.where(value == _pick(nodes, lambda n: n.value, "path", "long"))
-        rest = {p: max(1, goal[p] - medians[p][1]) for p in nodes}
-        ties = _crossing(tied, F.col("tie"), dict.fromkeys(nodes, 0), dict.fromkeys(nodes, (1 << TIE_BITS) - 1), rest)
+        tied = _known(valued, [(p, n.value) for p, n in nodes.items()], "split_at bigint").where("v = split_at")
+        ties = _crossing(tied.select("path", "size", F.col("tie").alias("v")), dict.fromkeys(nodes, 0), dict.fromkeys(nodes, (1 << TIE_BITS) - 1), {p: max(1, goal[p] - medians[p][1]) for p in nodes})
         for p, n in nodes.items():
             n.tie = ties[p][0] + 1  # the row that crosses the goal goes left
         df = cut(_place(df, nodes, n_dims))
         sizes = {r.path: r.b for r in df.groupBy("path").agg(F.sum("size").alias("b")).collect()}
-        open_nodes = {}
-        for p in nodes:
-            k = going[p][1]
-            for child, share in ((2 * p, k // 2), (2 * p + 1, k - k // 2)):
-                open_nodes[child] = (sizes.get(child, 0), share if sizes.get(child) else 1)
-    leaves_found = done + [*open_nodes]
-    return df, sorted(leaves_found, key=lambda p: bin(p)[3:])
+        halves = [(2 * p + side, going[p][1] // 2 if side == 0 else going[p][1] - going[p][1] // 2) for p in nodes for side in (0, 1)]
+        going = {child: (sizes.get(child, 0), share if sizes.get(child) else 1) for child, share in halves}
+    return df, sorted(done, key=lambda p: bin(p)[3:])
 
 
 def with_slots(df: DataFrame, group: str, digest: str) -> DataFrame:
@@ -177,8 +177,7 @@ def shard(docs: DataFrame, dims: tuple[str, ...], doc_id: str = "doc_id", text:
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     keep = (F.col(doc_id).alias("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"))
     df, leaves = tree(cut(points(docs, dims, size, keep)), len(dims), shards, target_bytes)
-    number_of = F.create_map(*(F.lit(x) for i, p in enumerate(leaves) for x in (p, i)))
-    df = df.select("doc_id", "size", "text_crc32", "tie", F.element_at(number_of, F.col("path")).alias("shard"))
+    df = _known(df, [(p, i) for i, p in enumerate(leaves)], "shard int").select("doc_id", "size", "text_crc32", "tie", "shard")
     return with_slots(df, "shard", "tie").drop("tie")
 
 

@@ -461,3 +461,10 @@ def test_textvec_hashes_match_words():
     w = textvec.split(["The the THE x1 été", "", "the"])
     h = textvec.word_hashes(w.cls, w.start, w.end)
     assert h[0] == h[1] == h[2] == h[5] and len(set(h.tolist())) == 3 and list(w.doc) == [0, 0, 0, 0, 0, 2]
+
+
+def test_kdtree_extreme_numbers(spark):
+    rows = [(2**63 - 1, "a", 1e308), (-(2**63), "b", float("nan")), (None, "c", None), (0, "d", -1e308), (5, "e", 0.5), (6, None, 0.25)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, v double")
+    got = local(kdtree.shard(df, ("doc_id", "v"), shards=3))
+    assert len(got) == 6 and got.shard.nunique() == 3
