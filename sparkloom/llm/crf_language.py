@@ -33,7 +33,8 @@ from sparkloom.llm import textvec as tv
 from sparkloom.llm.common import table
 
 CHAIN = 64
-TABLE = 1 << 18  # trigram codes of six bits a letter
+BITS = 18
+TABLE = 1 << BITS  # hashed triples of code points
 LEXICON = 1 << 16
 ENDS = np.array([ord(c) for c in ".!?\n…。"], np.uint32)
 
@@ -47,18 +48,19 @@ class Model:
 
 def features(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Trigram codes of all words with the counts a word, and prefix, suffix and lexicon rows of each word."""
-    # a word of n letters, with bounds marked by class 0, has n trigrams
-    c = np.concatenate(([0], w.cls, [0])).astype(np.int64)
+    # a word of n letters, with bounds marked by 0, has n trigrams
+    c = np.concatenate((np.zeros(1, np.uint32), w.cls, np.zeros(1, np.uint32)))
     at = tv.positions(w.start, w.end)
-    tri = c[at] << 12 | c[at + 1] << 6 | c[at + 2]
+    tri = tv.gram_codes([c[at], c[at + 1], c[at + 2]], BITS).astype(np.int64)
     n = w.end - w.start
-    padded = np.concatenate((w.cls, np.zeros(3, np.uint8))).astype(np.int64)
-    second = np.where(n > 1, padded[w.start + 1], 0)
-    third = np.where(n > 2, padded[np.minimum(w.start + 2, len(padded) - 1)], 0)
-    prefix = padded[w.start] << 12 | second << 6 | third
-    before = np.where(n > 1, padded[w.end - 2], 0)
-    earlier = np.where(n > 2, padded[np.maximum(w.end - 3, 0)], 0)
-    suffix = earlier << 12 | before << 6 | padded[w.end - 1]
+    padded = np.concatenate((w.cls, np.zeros(3, np.uint32)))
+    none = np.uint32(0)
+    second = np.where(n > 1, padded[w.start + 1], none)
+    third = np.where(n > 2, padded[np.minimum(w.start + 2, len(padded) - 1)], none)
+    prefix = tv.gram_codes([padded[w.start], second, third], BITS).astype(np.int64)
+    before = np.where(n > 1, padded[w.end - 2], none)
+    earlier = np.where(n > 2, padded[np.maximum(w.end - 3, 0)], none)
+    suffix = tv.gram_codes([earlier, before, padded[w.end - 1]], BITS).astype(np.int64)
     word = (tv.word_hashes(w.cls, w.start, w.end) % np.uint64(LEXICON)).astype(np.int64)
     return tri, n, TABLE + prefix, 2 * TABLE + suffix, 3 * TABLE + word
 

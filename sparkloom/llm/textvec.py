@@ -1,4 +1,4 @@
-"""Texts of an Arrow batch as one array of letter classes, with word bounds: the ground for vectorised text models.
+"""Texts of an Arrow batch as one array of lower-cased code points, with word bounds: the ground for vectorised text models.
 
 Everything here is linear in the characters and keeps no table that grows with the corpus.
 """
@@ -11,35 +11,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Letter classes: 0 no word character, 1-10 digits, 11-36 a-z, 37.. letters of Latin-1 and Latin Extended-A in the
-#: order of their lower case, the last two other letters (by block parity). All fit in six bits.
-N_CLASSES = 64
-_OTHER = 62
-
-
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each code point of the basic plane, and whether it is a letter."""
-    cls = np.zeros(0x10000, np.uint8)
+    """Lower-cased code point of each letter and digit of the basic plane (0 for others), and whether it is a letter."""
+    cls = np.zeros(0x10000, np.uint32)
     letter = np.zeros(0x10000, bool)
-    extra: dict[str, int] = {}
     for cp in range(0x10000):
-        if 0xD800 <= cp < 0xE000:
-            continue
-        c = chr(cp)
-        if not c.isalnum():
-            continue
-        low = c.lower()[:1]
-        letter[cp] = c.isalpha()
-        if "0" <= low <= "9":
-            cls[cp] = 1 + ord(low) - 48
-        elif "a" <= low <= "z":
-            cls[cp] = 11 + ord(low) - 97
-        elif cp < 0x180 and c.isalpha():
-            if low not in extra:
-                extra[low] = 37 + len(extra) % (_OTHER - 37)
-            cls[cp] = extra[low]
-        else:
-            cls[cp] = _OTHER + (cp >> 8 & 1)
+        if not 0xD800 <= cp < 0xE000 and chr(cp).isalnum():
+            letter[cp] = chr(cp).isalpha()
+            cls[cp] = ord(chr(cp).lower()[0])
     return cls, letter
 
 
@@ -51,12 +30,13 @@ def codes(text: str) -> np.ndarray:
 
 
 def classes(cps: np.ndarray) -> np.ndarray:
+    """Lower-cased code points of letters and digits; 0 is no word character."""
     if len(cps) and cps.max() >= 0x10000:
         astral = cps >= 0x10000
         out = _CLS[np.where(astral, 0, cps)]
         for cp in np.unique(cps[astral]):
             if chr(cp).isalnum():
-                out[cps == cp] = _OTHER + (int(cp) >> 8 & 1)
+                out[cps == cp] = ord(chr(cp).lower()[0])
         return out
     return _CLS[cps]
 
@@ -76,7 +56,7 @@ def letters(cps: np.ndarray) -> np.ndarray:
 class Words:
     """Words of some texts, laid end to end."""
 
-    cls: np.ndarray  # class of every character
+    cls: np.ndarray  # lower-cased code point of every character, 0 outside words
     start: np.ndarray  # of every word, in characters
     end: np.ndarray
     doc: np.ndarray  # text of every word
@@ -114,6 +94,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+
+
+def gram_codes(places: list[np.ndarray], bits: int) -> np.ndarray:
+    """A code of so many bits for each tuple of up to four code points, the k-th from places[k]."""
+    x = places[0] * _ODD[0]
+    for values, odd in zip(places[1:], _ODD[1:], strict=False):
+        x = x + values * odd
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0x297A2D39)
+    return (x >> np.uint32(32 - bits)).astype(np.int32)
+
+
 def word_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each word: a polynomial over the mixed values, counted from the word's start."""
     if not len(start):

@@ -40,6 +40,7 @@ DECAY, GAPS, PIECE = 0.6, 2, 32
 PLACES = [(a, b) for a in range(GAPS + 1) for b in range(GAPS + 1 - a)]  # characters skipped before and after the middle
 LANDMARKS, ROUNDS, WORST = 240, 4, 4
 PLAIN = 0.97  # share of other texts above whose worst word a toxic text's must be to teach
+PUT_IN = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8).astype(np.uint32)
 _SPACE = np.zeros(0x10000, bool)
 _SPACE[[cp for cp in range(0x10000) if not 0xD800 <= cp < 0xE000 and chr(cp).isspace()]] = True
 
@@ -54,7 +55,7 @@ class Model:
 
 @dataclass
 class Stream:
-    """Marked words laid end to end: 0, classes, 0."""
+    """Marked words laid end to end: 0, lower-cased code points, 0."""
 
     cls: np.ndarray
     first: np.ndarray  # of each word, its opening mark
@@ -69,7 +70,7 @@ def words(texts: list[str]) -> Stream:
     at = np.flatnonzero(cls)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return Stream(np.zeros(0, np.uint8), none, none, none)
+        return Stream(np.zeros(0, np.uint32), none, none, none)
     token = np.cumsum(space)[at]
     start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     doc = np.searchsorted(bounds, at[start], "right")
@@ -83,7 +84,7 @@ def words(texts: list[str]) -> Stream:
         offset = np.concatenate(parts)
         n = np.minimum(np.repeat(n, times) - offset, PIECE)
         start, doc = np.repeat(start, times) + offset, np.repeat(doc, times)
-    out = np.zeros(int(n.sum()) + 2 * len(n), np.uint8)
+    out = np.zeros(int(n.sum()) + 2 * len(n), np.uint32)
     first = np.cumsum(n + 2) - (n + 2)
     out[tv.positions(first + 1, first + 1 + n)] = cls[at[tv.positions(start, start + n)]]
     return Stream(out, first, n + 2, doc)
@@ -99,12 +100,12 @@ def self_kernel(size: np.ndarray) -> np.ndarray:
 
 def subsequences(s: Stream) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each way to skip: codes of the subsequence from every place, whether it stays in the word, and its worth."""
-    c = s.cls.astype(np.int32)
+    c = s.cls
     owner = np.repeat(np.arange(len(s.size), dtype=np.int32), s.size)
     for a, b in PLACES:
         j, k = 1 + a, 2 + a + b
         if len(c) > k:
-            yield c[:-k] << 12 | c[j : len(c) - k + j] << 6 | c[k:], owner[:-k] == owner[k:], DECAY ** (a + b)
+            yield tv.gram_codes([c[:-k], c[j : len(c) - k + j], c[k:]], 18), owner[:-k] == owner[k:], DECAY ** (a + b)
 
 
 def values(m: Model, s: Stream) -> np.ndarray:
@@ -178,7 +179,7 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0
 def gapped(s: Stream, rng: np.random.Generator) -> Stream:
     """The words with one character put in at a random inner place."""
     at = s.first + 1 + (rng.random(len(s.size)) * np.maximum(s.size - 3, 0)).astype(np.int64) + (s.size > 3)
-    cls = np.insert(s.cls, at, rng.integers(1, 37, len(at)).astype(np.uint8))
+    cls = np.insert(s.cls, at, PUT_IN[rng.integers(0, 36, len(at))])
     return Stream(cls, s.first + np.arange(len(s.first)), s.size + 1, s.doc)
 
 
@@ -199,9 +200,9 @@ def platt(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def first_guess(s: Stream, labels: np.ndarray, own: np.ndarray, least: int = 3) -> np.ndarray:
     """A value for each word before there is a machine: of the runs of four characters that it has, the highest log ratio
     of the shares of toxic and of other texts with it. Runs in fewer than `least` toxic texts don't count."""
-    c = s.cls.astype(np.int32)
+    c = s.cls
     owner = np.repeat(np.arange(len(s.size), dtype=np.int32), s.size)
-    code = c[:-3] << 18 | c[1:-2] << 12 | c[2:-1] << 6 | c[3:]
+    code = tv.gram_codes([c[:-3], c[1:-2], c[2:-1], c[3:]], 24)
     inside = owner[:-3] == owner[3:]
     pairs = np.unique(s.doc[owner[:-3][inside]] << 24 | code[inside])
     del owner, c

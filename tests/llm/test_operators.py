@@ -102,6 +102,23 @@ def test_toxicity_learns_and_tolerates_gaps():
     assert toxicity.text_scores(m, [""])[0] < 0.5
 
 
+@pytest.mark.parametrize("insults, parts", [(["дурак", "козёл", "мразь"], "то на ко ра ве ни ст ой".split()), (["βλάκα", "ηλίθι", "χαζός"], "το να κα ρα με νι στ οι".split())])
+def test_toxicity_beyond_latin(insults, parts):
+    rng = random.Random(4)
+    plain = [("".join(rng.choice(parts) for _ in range(4)))[: rng.choice([3, 5, 5, 7])] for _ in range(400)]
+    rows = []
+    for i in range(240):
+        w = [rng.choice(plain) for _ in range(30)]
+        if i % 3 == 0:
+            w[rng.randint(0, 29)] = rng.choice(insults)
+        rows.append((" ".join(w), int(i % 3 == 0)))
+    m = toxicity.fit(rows[:200])
+    p = toxicity.text_scores(m, [t for t, _ in rows[200:]])
+    assert np.mean((p >= 0.5) == [y for _, y in rows[200:]]) >= 0.95
+    same_length = next(w for w in plain if len(w) == 5)
+    assert toxicity.text_scores(m, [insults[0].upper()])[0] >= 0.5 > toxicity.text_scores(m, [same_length])[0]
+
+
 def test_toxicity_folding_is_the_kernel():
     s = toxicity.words(["idiot moron there"])
     z = toxicity.words(["idiots scum"])
@@ -163,6 +180,18 @@ def test_code_switching():
     assert [lang for _, lang, _ in got] == ["de"] * 3 + ["fr"] * 3
 
 
+def test_language_beyond_latin():
+    # words of five letters each: their lengths tell nothing
+    words = {
+        "ru": "город книга слово ветер земля время школа армия народ песня", "uk": "місто пісня вітер хвиля право життя двері сонце ґанок їздив",
+        "bg": "сърце пътят вятър място хляба гърло първа малък голям ъгъла", "ar": "كتابه مدينة الماء السلم النور القمر البيت الباب الشمس العلم", "el": "λόγος βιβλί νερού φωνής χρόνο τόπος δρόμο μέρας νύχτα ζωής",
+    }
+    text = lambda i, x: " ".join(random.Random(i).sample(x.split(), 6))
+    m = crf_language.fit([(text(i, x), n) for i in range(60) for n, x in words.items()])
+    names, _ = crf_language.label_texts(m, [text(1000 + i, x) for i in range(20) for x in words.values()])
+    assert names == [*words] * 20
+
+
 def test_language_odd(spark, odd, none):
     m = crf_language.train(odd)
     got = local(crf_language.detect(odd, m))
@@ -463,6 +492,13 @@ def test_textvec_hashes_match_words():
     assert h[0] == h[1] == h[2] == h[5] and len(set(h.tolist())) == 3 and list(w.doc) == [0, 0, 0, 0, 0, 2]
 
 
+def test_textvec_letters_stay_apart():
+    w = textvec.split(["ЖУК жук я ü â ú ā 𐐀 𐐨 कख"])
+    assert len(w.start) == 10
+    h = textvec.word_hashes(w.cls, w.start, w.end).tolist()
+    assert h[0] == h[1] and h[7] == h[8] and len(set(h)) == 8
+
+
 def test_kdtree_extreme_numbers(spark):
     rows = [(2**63 - 1, "a", 1e308), (-(2**63), "b", float("nan")), (None, "c", None), (0, "d", -1e308), (5, "e", 0.5), (6, None, 0.25)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, v double")
