@@ -42,6 +42,7 @@ PATTERNS = {
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Separators of terms, in text that is not lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+TERM = BREAK.replace("[", "[^", 1)
 NEAR, SUPPORT, GENERALISE, REMOVE = 64, 3, 0.95, 0.99
 SPANS = "array<struct<start:int,end:int,kind:int,value:string>>"
 OUTPUTS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
@@ -109,9 +110,13 @@ def _terms(text: Column) -> Column:
 
 
 def _near(text: Column, span: Column, spans: Column) -> Column:
-    """Terms beside a span. Terms cut by the stretch's outer end, and parts of base spans, are left out."""
-    left = F.regexp_replace(F.substring(text, F.greatest(span["start"] - NEAR, F.lit(0)) + 1, F.least(span["start"], F.lit(NEAR))), r"^\S*\s", "")
-    right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(NEAR)), r"\s\S*$", "")
+    """Terms beside a span. Terms cut by the stretch's outer end, and parts of base spans, are left out.
+
+    The stretch is taken with one more character where there is one: that character's run is what the end cuts."""
+    left = F.substring(text, F.greatest(span["start"] - NEAR, F.lit(1)), F.least(span["start"], F.lit(NEAR + 1)))
+    left = F.when(span["start"] > NEAR, F.regexp_replace(left, rf"\A(?:{TERM}++|{BREAK})", "")).otherwise(left)
+    right = F.substring(text, span["end"] + 1, F.lit(NEAR + 1))
+    right = F.when(F.length(right) > NEAR, F.regexp_replace(right, rf"(?:(?<!{TERM}){TERM}++|{BREAK})\z", "")).otherwise(right)
     around = F.concat(left, F.lit(" "), right)
     own = F.flatten(F.transform(spans, lambda x: _terms(x["value"])))
     return F.array_except(_terms(around), own)

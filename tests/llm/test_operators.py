@@ -284,6 +284,27 @@ def test_pii_disclosing_terms(spark):
     assert all(not got[10 + i].spans and got[10 + i].text == src[10 + i] for i in range(200))
 
 
+def test_pii_terms_at_the_edges(spark):
+    cases = {
+        "Kowalczyk ann@x.example": ["kowalczyk"], "ann@x.example Kowalczyk": ["kowalczyk"], "Kowalczyk\nann@x.example": ["kowalczyk"], "ann@x.example": [],
+        "Kowalczyk " + "." * 53 + " ann@x.example Kowalski": ["kowalczyk", "kowalski"],  # exactly the stretch
+        "one Kowalczyk " + "." * 53 + " ann@x.example " + "." * 53 + " Kowalski two": ["kowalczyk", "kowalski"],  # ends between words
+        "one Kowalczyk " + "." * 54 + " ann@x.example " + "." * 55 + " Kowalski two": [],  # ends within words
+        "x" * 99 + " near ann@x.example also " + "é" * 99: ["near", "also"],
+        "y" * 99 + "ann@x.example": [], "é" * 99 + " (ann@x.example)" + "é" * 99: [],
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").withColumn("s", pii.base_spans(F.col("t")))
+    got = docs.select("i", F.sort_array(pii._near(F.col("t"), F.element_at("s", 1), F.col("s"))).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [sorted(x) for x in cases.values()]
+
+
+def test_pii_disclosing_terms_at_the_edges(spark):
+    text = lambda i, *x: " ".join([*x, *(f"w{i}x{k}" for k in range(30))])
+    rows = [(i, text(i, "Kowalczyk", "ann@x.example")) for i in range(6)] + [(10 + i, text(10 + i)) for i in range(200)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert all("Kowalczyk" not in got[i].text and got[i].n_term == 1 for i in range(6)) and not any(got[10 + i].spans for i in range(200))
+
+
 def test_pii_odd(spark, odd, none):
     got = local(pii.sanitise(odd))
     assert len(got) == odd.count() and got.text.isna().sum() == 1 and got.n_email.sum() == 1 and got.n_ip.sum() == 1
