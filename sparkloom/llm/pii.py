@@ -8,7 +8,9 @@ texts, an entity e in n(e) of them, a term t in n(t), and t near e in n(e,t), th
 
 of the entity's information: 1 if the term occurs only beside e, 0 if it is independent. A term seen beside e in at
 least `support` different texts is removed where this reaches `remove`, and generalised to its kind of token from
-`generalise` on, wherever in the corpus it occurs. A term is judged by its highest value over all entities.
+`generalise` on, wherever in the corpus it occurs. A term is judged by its highest value over all entities. Only the
+entities count beside which most of the term's texts have it: with rare entities, the ratio is high for any rare term
+seen beside them by chance (or in near copies), while for frequent ones it stays below 1 by each text without them.
 
 Only a fixed stretch of characters on either side of an entity counts as near, so the pairs grow with the entities,
 not with document length times entities. Terms that can't reach the threshold (by their count in texts with entities
@@ -43,7 +45,7 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Separators of terms, in text that is not lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 TERM = BREAK.replace("[", "[^", 1)
-NEAR, SUPPORT, GENERALISE, REMOVE = 64, 3, 0.95, 0.99
+NEAR, SUPPORT, GENERALISE, REMOVE = 64, 3, 0.8, 0.95
 SPANS = "array<struct<start:int,end:int,kind:int,value:string>>"
 OUTPUTS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
 
@@ -140,15 +142,16 @@ def disclosures(docs: DataFrame, entities: DataFrame, text: str, support: int, g
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     n_e = entities.select("key", F.explode(F.array_distinct(F.col("beside.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     n_floor = pairs.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_floor"))
+    most = F.col("n_et") * 2 >= F.col("n_t")
     share = F.log(F.col("n_et") * n_texts / (F.col("n_e") * F.col("n_t"))) / F.log(n_texts / F.col("n_e"))
     seen = together.where(F.col("n_et") >= support).join(n_e, "entity").where(F.col("n_e") < n_texts)
-    likely = cut(seen.join(n_floor.withColumnRenamed("n_floor", "n_t"), "term").where(share >= generalise).drop("n_t"))
+    likely = cut(seen.join(n_floor.withColumnRenamed("n_floor", "n_t"), "term").where(most & (share >= generalise)).drop("n_t"))
     wanted = broadcast_if_small(cut(likely.select("term").distinct()))
     body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     spread = body.select(F.md5("t").alias("key"), F.explode(F.split(F.translate("t", UPPER, LOWER), BREAK + "+", -1)).alias("term"))
     held = cut(spread.join(wanted, "term", "left_semi").distinct())
     n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = cut(likely.join(n_t, "term").withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise))
+    terms = cut(likely.join(n_t, "term").where(most).withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise))
     return terms, held
 
 

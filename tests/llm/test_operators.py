@@ -305,6 +305,27 @@ def test_pii_disclosing_terms_at_the_edges(spark):
     assert all("Kowalczyk" not in got[i].text and got[i].n_term == 1 for i in range(6)) and not any(got[10 + i].spans for i in range(200))
 
 
+def pii_terms(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    terms, _ = pii.disclosures(df, pii.entity_spans(df, "text"), "text", pii.SUPPORT, pii.GENERALISE)
+    return {r.term: "remove" if r.share >= pii.REMOVE else "generalise" for r in terms.collect()}
+
+
+@pytest.mark.parametrize("fillers", [60, 200, 2000])
+def test_pii_verdict_at_any_size(spark, fillers):
+    rows = [(i, f"a{i} Kowalczyk ann@x.example") for i in range(6)] + [(10, "x kowalczyk")] + [(100 + i, f"f{i}") for i in range(fillers)]
+    assert set(pii_terms(spark, rows)) == {"kowalczyk"}
+
+
+def test_pii_terms_of_frequent_and_rare_entities(spark):
+    # an entity in a third of all texts; 90% of the term's texts have it beside the entity
+    rows = [(i, f"a{i} {'Kowalczyk' if i < 90 else 'b'} ann@x.example") for i in range(100)] + [(200 + i, f"c{i} {'Kowalczyk' if i < 10 else 'd'}") for i in range(200)]
+    assert pii_terms(spark, rows) == {"kowalczyk": "generalise"}
+    # a rare entity; most texts of the term are elsewhere, as of any rare word
+    rows = [(i, f"a{i} meadow bob@x.example") for i in range(3)] + [(10 + i, f"b{i} meadow") for i in range(6)] + [(100 + i, f"c{i}") for i in range(5000)]
+    assert pii_terms(spark, rows) == {}
+
+
 def test_pii_odd(spark, odd, none):
     got = local(pii.sanitise(odd))
     assert len(got) == odd.count() and got.text.isna().sum() == 1 and got.n_email.sum() == 1 and got.n_ip.sum() == 1
