@@ -46,6 +46,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered, NOT_WORD, -1), lambda w: w != "")
 
 
+def last_within(rows: list, most: dict) -> dict:
+    """From (class, digest, bytes), the last digest of each class before which there are less than most[class] bytes."""
+    last, before = {}, dict.fromkeys(most, 0)
+    for y, digest, size in sorted(map(tuple, rows)):
+        if before[y] < most[y]:
+            last[y] = digest
+        before[y] += size
+    return last
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the table that cut() wrote for df; 0 for other DataFrames."""
     spark = df.sparkSession

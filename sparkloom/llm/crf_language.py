@@ -8,9 +8,9 @@ letters, weighing each word's posterior by its letters; that share is the score.
 
 Chains end at sentence ends and line ends, and after CHAIN words where there are none; every word is in one chain.
 
-Training: at most `per_language` texts of each language, those with the smallest residues of their digests, and of each text at most
-`train_words` words from its start. This bounds the sample on the driver; predictions read whole texts. Words of a text
-take the text's language as label. Weights are fitted by AdaGrad on the chains' conditional log-likelihood.
+Training: at most `per_language` texts of each language, those with the smallest residues of their digests, for as long
+as those before them have less than `train_bytes`. This bounds the sample on the driver; training and predictions read
+whole texts. Words of a text take the text's language as label. Weights are fitted by AdaGrad on the chains' conditional log-likelihood.
 
 Defined results: null text, or text without a letter, is `und` with score 0. Without usable training rows every text is
 `und`. Ties between languages go to the first by name. Repeated rows each get their row; extra columns are kept, those
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm import textvec as tv
-from sparkloom.llm.common import table
+from sparkloom.llm.common import cut, last_within, table
 
 CHAIN = 64
 BITS = 18
@@ -130,7 +130,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, rate: float = 0.3, least:
     known[[x for x, c in counts.items() if c >= least]] = True
     grad_e, grad_m = np.full_like(m.emit, 1e-2), np.full_like(m.move, 1e-2)
     lang_of = np.array([label[lang] for _, lang in rows])
-    batches = [np.sort(x) for x in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 40))]
+    batches = [np.sort(x) for x in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 40, sum(len(t) for t, _ in rows) // 1_000_000))]
     for _ in range(rounds):
         for batch in batches:
             w = tv.split([rows[i][0] for i in batch])
@@ -187,7 +187,7 @@ def label_texts(m: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     return names, np.where(total > 0, share[np.arange(n), best] / np.maximum(total, 1e-9), 0).clip(0, 1).tolist()
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, train_words: int = 1500, languages: int = 200) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, train_bytes: int = 4_000_000, languages: int = 200) -> Model:
     """Fit on a bounded sample of docs: rows with text and language."""
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang)).count().orderBy(F.desc("count"), lang).limit(languages).collect()}
@@ -196,9 +196,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
     # Digests below a bound that about 1.5 times the wanted texts of a language have: no sort, and copies count once.
     bound = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, 1.5 * per_language / n) * (1 << 30)))))
     digest = F.xxhash64(text)
-    start = F.substring_index(F.substring(text, 1, 16 * train_words), " ", train_words)
-    some = usable.where(F.pmod(digest, F.lit(1 << 30)) < F.element_at(bound, F.col(lang))).select(F.col(lang).alias("lang"), digest.alias("digest"), start.alias("text"))
-    rows = sorted((r.lang, r.digest % (1 << 30), r.text) for r in some.dropDuplicates(["lang", "digest"]).collect())
+    some = usable.withColumn("__place", F.pmod(digest, F.lit(1 << 30))).where(F.col("__place") < F.element_at(bound, F.col(lang)))
+    some = some.select(F.col(lang).alias("lang"), F.col("__place").alias("place"), F.col(text).alias("text"), digest.alias("digest"))
+    some = cut(some.dropDuplicates(["lang", "digest"]))
+    last = last_within(some.select("lang", "place", F.octet_length("text")).collect(), dict.fromkeys(counts, train_bytes))
+    ends = F.create_map(*(F.lit(x) for pair in last.items() for x in pair)) if last else F.lit(None).cast("map<string,bigint>")
+    rows = sorted((r.lang, r.place, r.text) for r in some.where(F.col("place") <= F.element_at(ends, F.col("lang"))).collect())
     taken: Counter[str] = Counter()
     kept = []
     for name, _, body in rows:

@@ -14,8 +14,9 @@ folds into one weight a subsequence, and scoring a text is a few table look-ups
 
 A text's value is its highest word value; a logistic fit on texts that the machine was not fitted on makes it a score.
 
-Training: about `per_class` toxic and twice as many other labelled texts, of each at most `train_chars` characters from the start, which
-bounds the sample on the driver. Words of more than PIECE characters are cut into overlapping pieces.
+Training: about `per_class` toxic and twice as many other labelled texts, whole, in the order of their digests for as
+long as those before them have less than `train_bytes` (a third of it for toxic ones), which bounds the sample on the
+driver. Words of more than PIECE characters are cut into overlapping pieces.
 
 Defined results: null text is empty; an empty text has no word and gets the value of a word without subsequences.
 Without rows of both labels, every score is 0. Repeated rows each get their row; extra columns are kept, those with the
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm import textvec as tv
-from sparkloom.llm.common import table
+from sparkloom.llm.common import cut, last_within, table
 
 DECAY, GAPS, PIECE = 0.6, 2, 32
 PLACES = [(a, b) for a in range(GAPS + 1) for b in range(GAPS + 1 - a)]  # characters skipped before and after the middle
@@ -289,7 +290,7 @@ def text_scores(m: Model, texts: list[str]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(m.slope * np.clip(text_values(m, texts), -1.5, 1.5) + m.shift, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = 700, train_chars: int = 10_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = 700, train_bytes: int = 12_000_000) -> Model:
     """Fit on a bounded sample of the labelled rows of docs."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(toxic).alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -298,8 +299,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bound = F.create_map(*(F.lit(x) for y, n in counts.items() for x in (y, int(min(1.0, per_class * (1 + (y == 0)) / n) * (1 << 30)))))
     some = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < F.element_at(bound, F.col("y")))
     # about three times per_class rows by construction
-    got = docs.where(F.col(text).isNotNull()).join(F.broadcast(some), F.col(doc_id) == F.col("__id")).select(F.substring(text, 1, train_chars).alias("t"), "y")
-    return fit([(r.t, r.y) for r in got.distinct().collect()])
+    got = docs.where(F.col(text).isNotNull()).join(F.broadcast(some), F.col(doc_id) == F.col("__id")).select(F.col(text).alias("t"), "y", F.xxhash64(text).alias("digest"))
+    got = cut(got.distinct())
+    last = last_within(got.select("y", "digest", F.octet_length("t")).collect(), {1: train_bytes // 3, 0: train_bytes * 2 // 3})
+    if set(last) != {0, 1}:
+        return Model(None)
+    return fit([(r.t, r.y) for r in got.where(F.col("digest") <= F.when(F.col("y") == 1, last[1]).otherwise(last[0])).collect()])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

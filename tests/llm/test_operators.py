@@ -201,6 +201,22 @@ def test_language_odd(spark, odd, none):
     assert local(crf_language.detect(none, m)).empty
 
 
+def test_training_reads_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.setdefault("toxic", rows))
+    monkeypatch.setattr(crf_language, "fit", lambda rows: seen.setdefault("lang", rows))
+    rows = [(i, f"t{i} " + "word " * 9000 + "end", "en") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, toxic int")
+    toxicity.train(df, labels)
+    crf_language.train(df)
+    assert sorted(seen["toxic"]) == [(t, i % 2) for i, t, _ in rows] and sorted(seen["lang"]) == [(t, n) for _, t, n in rows]
+    seen.clear()  # fewer rows, whole ones
+    toxicity.train(df, labels, train_bytes=30_000)
+    crf_language.train(df, train_bytes=50_000)
+    assert len(seen["toxic"]) == len(seen["lang"]) == 2 and all(x[0].endswith("end") for x in seen["toxic"] + seen["lang"])
+
+
 # ---- BPE
 
 
