@@ -42,8 +42,9 @@ ENDS = np.array([ord(c) for c in ".!?\n…。"], np.uint32)
 @dataclass
 class Model:
     languages: list[str]
-    emit: np.ndarray  # (3 tables) rows x languages: trigrams, prefixes and suffixes, lexicon
+    emit: np.ndarray  # rows of the features that training texts have x languages; row 0 is of all others
     move: np.ndarray  # languages x languages
+    row: np.ndarray  # row of each feature: trigrams, prefixes, suffixes, lexicon
 
 
 def features(w: tv.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,8 +85,8 @@ def scores(m: Model, w: tv.Words) -> np.ndarray:
     tri, n, prefix, suffix, word = features(w)
     if not len(n):
         return np.zeros((0, len(m.languages)), np.float32)
-    sums = np.add.reduceat(m.emit[tri], np.cumsum(n) - n, axis=0)
-    return sums / np.sqrt(n)[:, None].astype(np.float32) + m.emit[prefix] + m.emit[suffix] + m.emit[word]
+    sums = np.add.reduceat(m.emit[m.row[tri]], np.cumsum(n) - n, axis=0)
+    return sums / np.sqrt(n)[:, None].astype(np.float32) + m.emit[m.row[prefix]] + m.emit[m.row[suffix]] + m.emit[m.row[word]]
 
 
 def forward_backward(emit: np.ndarray, move: np.ndarray, first: np.ndarray, size: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +120,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, rate: float = 0.3, least:
     """A model from (text, language)."""
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
-    m = Model(languages, np.zeros((3 * TABLE + LEXICON, k), np.float32), np.zeros((k, k), np.float32))
+    m = Model(languages, np.zeros((1, k), np.float32), np.zeros((k, k), np.float32), np.zeros(3 * TABLE + LEXICON, np.int32))
     if k < 2:
         return m
     rng = np.random.default_rng(7)
@@ -128,6 +129,10 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, rate: float = 0.3, least:
     counts = Counter((tv.word_hashes(w.cls, w.start, w.end) % np.uint64(LEXICON)).tolist())
     known = np.zeros(LEXICON, bool)
     known[[x for x, c in counts.items() if c >= least]] = True
+    tri, _, prefix, suffix, _ = features(w)
+    seen_ids = np.unique(np.concatenate((tri, prefix, suffix, 3 * TABLE + np.flatnonzero(known))))
+    m.row[seen_ids] = np.arange(1, len(seen_ids) + 1)
+    m.emit = np.zeros((len(seen_ids) + 1, k), np.float32)
     grad_e, grad_m = np.full_like(m.emit, 1e-2), np.full_like(m.move, 1e-2)
     lang_of = np.array([label[lang] for _, lang in rows])
     batches = [np.sort(x) for x in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 40, sum(len(t) for t, _ in rows) // 1_000_000))]
@@ -153,7 +158,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, rate: float = 0.3, least:
             lex = known[word - 3 * TABLE]
             ids = np.concatenate((tri, prefix, suffix, word[lex]))
             all_g = np.concatenate((spread, g, g, g[lex]))
-            rows_at, inverse = np.unique(ids, return_inverse=True)
+            rows_at, inverse = np.unique(m.row[ids], return_inverse=True)
             step = np.stack([np.bincount(inverse, all_g[:, j], len(rows_at)) for j in range(k)], axis=1) / len(first)
             step -= 1e-4 * m.emit[rows_at]
             grad_e[rows_at] += step**2
@@ -187,10 +192,10 @@ def label_texts(m: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     return names, np.where(total > 0, share[np.arange(n), best] / np.maximum(total, 1e-9), 0).clip(0, 1).tolist()
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, train_bytes: int = 4_000_000, languages: int = 200) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, train_bytes: int = 4_000_000) -> Model:
     """Fit on a bounded sample of docs: rows with text and language."""
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang)).count().orderBy(F.desc("count"), lang).limit(languages).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang)).count().collect()}
     if not counts:
         return fit([])
     # Digests below a bound that about 1.5 times the wanted texts of a language have: no sort, and copies count once.
@@ -221,7 +226,7 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.sliced(batch, at):
+            for part in tv.sliced(batch, at, 8_000_000 // max(8, len(sent.value.languages))):
                 names, sure = label_texts(sent.value, [x.as_py() or "" for x in part.column(at)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*keep, "lang_pred", "score"])
 

@@ -217,6 +217,12 @@ def test_training_reads_whole_texts(spark, monkeypatch):
     assert len(seen["toxic"]) == len(seen["lang"]) == 2 and all(x[0].endswith("end") for x in seen["toxic"] + seen["lang"])
 
 
+def test_language_learns_every_label(spark, monkeypatch):
+    df = spark.range(250).select(F.concat(F.lit("text number "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    monkeypatch.setattr(crf_language, "fit", lambda rows: {lang for _, lang in rows})
+    assert crf_language.train(df) == {f"l{i}" for i in range(250)}
+
+
 # ---- BPE
 
 
