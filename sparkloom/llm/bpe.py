@@ -6,8 +6,10 @@ gets an ab-arc to where b led from s. So each token has one target state, and th
 accepts exactly the token sequences that BPE makes, one for each byte string. States are kept as (parent, removed
 arc, birth), as a copy differs from its original in one arc.
 
-Encoding walks each pre-split word once: at each byte offset exactly one token ends the accepted path of that prefix,
-so a table of (state, token) transitions gives the path without any merging loop. Decoding emits arc labels.
+Encoding has no table of (state, token) transitions, which would have an entry for each pair of tokens that may follow
+each other. It searches each pre-split word for its accepted path, longest arcs first, and goes back where no arc leads
+on; follows() tells from the gadgets whether an arc exists. Only arc(), for tests, walks the states. Decoding emits arc
+labels.
 
 Defined results: null text is empty; empty text has no tokens; lone surrogates can't occur in Spark strings.
 """
