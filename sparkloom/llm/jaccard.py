@@ -6,10 +6,12 @@ between classes.
 
 1. Every set gets BANDS x ROWS MinHash values. Classes that agree on a band share a bucket; at the threshold of 0.8 a
    pair shares none with a probability of (1 - 0.8^6)^48 = 4.6e-7, above it less.
-2. Buckets give a star of edges each, never all pairs; their connected components hold all candidate pairs.
-3. A component is cut into blocks of bounded size, and each pair of blocks is a task of its own, so no group lands in one
-   task whole. Within it, MinHash values are compared 32 at a time. With m of n equal and a uniform prior the similarity
-   is Beta(m + 1, n - m + 1); a pair is dropped once P(J >= 0.8) < TOLERANCE. The rest are verified exactly on the sets.
+2. A bucket's least class is its hub. Every class goes with its least hub, and its other hubs with that one: about one
+   edge a class, never all pairs; the connected components hold all candidate pairs.
+3. A component too large for one block is cut into blocks of bounded size, classes of one least hub together. Two blocks
+   make a task if they share a bucket, so no group lands in one task whole, and what only a chain connects never meets.
+   Within a task, MinHash values are compared 32 at a time. With m of n equal and a uniform prior the similarity is
+   Beta(m + 1, n - m + 1); a pair is dropped once P(J >= 0.8) < TOLERANCE. The rest are verified exactly on the sets.
 4. A task returns, for each class with links, their number and a representative of what they connect: rows grow with the
    classes, not the pairs.
 
@@ -159,23 +161,55 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {id_type}, tkey binary, rep bigint, n bigint, bands array<bigint>")
 
 
-def block_tasks(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
-    """(task, side, rep, shingles, signature): each class's set at every pair of blocks that it takes part in."""
+def blocks(classes: DataFrame, nearest: DataFrame, comps: DataFrame) -> DataFrame:
+    """(rep, tkey, block, several) of the classes in components: several says that the component has more than one block."""
+    members = classes.select("rep", "tkey", "n").join(nearest, "rep").join(comps, "rep")
+    parts = F.greatest(F.ceil(F.sum("rows") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    by_hub = members.groupBy("comp", "hub").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    by_hub = cut(by_hub)
+    wide = by_hub.groupBy("comp").agg(parts.alias("whole"))
+    own = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("long")
+    sized = by_hub.join(wide, "comp").select("comp", "hub", F.when(F.col("whole") > 1, own).alias("parts"))
+    dealt = F.xxhash64("comp", "hub", F.pmod(F.xxhash64("rep"), "parts"))
+    several = F.col("parts").isNotNull()
+    return cut(members.join(sized, ["comp", "hub"]).select("rep", "tkey", F.when(several, dealt).otherwise(F.xxhash64("comp")).alias("block"), several.alias("several")))
+
+
+def block_pairs(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(block, task, side): each block with itself and with those that it shares a bucket with."""
+    alone = members.select("block").distinct().select(F.col("block").alias("low"), F.col("block").alias("high"))
+    several = members.where("several")
+    if several.isEmpty():
+        pairs = alone
+    else:
+        held = classes.select("rep", "bands").join(several.select("rep", "block"), "rep")
+        held = cut(held.select("block", F.explode("bands").alias("bucket")).distinct())
+        # of buckets with the same blocks (their number and the xor of their digests) one is enough
+        sets = held.groupBy("bucket").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("block")).alias("x")).where("c > 1")
+        held = held.join(sets.groupBy("c", "x").agg(F.min("bucket").alias("bucket")), "bucket").select("bucket", "block")
+        held = cut(held)
+        both = held.select("bucket", F.col("block").alias("low")).join(held.select("bucket", F.col("block").alias("high")), "bucket")
+        pairs = alone.union(both.where("low < high").select("low", "high").distinct())
+    task = F.concat_ws(":", "low", "high").alias("task")
+    ends = F.explode(F.expr("IF(low = high, array(low), array(low, high))"))
+    sides = cut(pairs.select(task, "low", ends.alias("block")))
+    return sides.select("block", "task", F.when(F.col("block") == F.col("low"), 0).otherwise(1).alias("side"))
+
+
+def block_tasks(docs: DataFrame, members: DataFrame, sides: DataFrame, text: str) -> DataFrame:
+    """(task, side, rep, shingles, signature): each class's set in every task that its block takes part in."""
     known = docs.select(F.col(text).alias("text"), text_key(text).alias("tkey"))
-    texts = known.join(broadcast_if_small(members), "tkey").dropDuplicates(["rep"]).select("rep", "comp", "block", "blocks", "text")
+    texts = known.join(broadcast_if_small(members), "tkey").dropDuplicates(["rep"]).select("rep", "block", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tv.sliced(batch, 4):
-                got = shingles([x.as_py() or "" for x in part.column(4)])
+            for part in tv.sliced(batch, 2):
+                got = shingles([x.as_py() or "" for x in part.column(2)])
                 data = [pa.array([s.tobytes() for s in got], pa.binary()), pa.array([signature(s).tobytes() for s in got], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], *data], names=["rep", "comp", "block", "blocks", "shingles", "signature"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *data], names=["rep", "block", "shingles", "signature"])
 
-    made = texts.mapInArrow(sets, "rep bigint, comp bigint, block bigint, blocks bigint, shingles binary, signature binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = made.select("rep", "comp", "block", "shingles", "signature", other)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    return dealt.select(F.concat_ws(":", "comp", low, high).alias("task"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "rep", "shingles", "signature")
+    made = texts.mapInArrow(sets, "rep bigint, block bigint, shingles binary, signature binary")
+    return made.join(sides, "block").select("task", "side", "rep", "shingles", "signature")
 
 
 def compared(tasks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -237,14 +271,15 @@ def join_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     classes = cut(classes.select("rep", "class_id", "one.*"))
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c")
-    edges = cut(buckets.join(shared, "bucket").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct())
-    comps = components(edges).select(F.col("u").alias("rep"), F.col("label").alias("comp"))
-    members = classes.select("rep", "tkey", "n").join(comps, "rep")
-    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    members = cut(members.join(sizes, "comp").select("rep", "tkey", "comp", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block")))
-    found = cut(compared(block_tasks(docs, members, text), threshold, tolerance))
+    hubs = cut(buckets.join(shared, "bucket").select("rep", "v").distinct())
+    nearest = hubs.groupBy("rep").agg(F.min("v").alias("hub"))
+    nearest = cut(nearest)
+    others = hubs.join(nearest, "rep").select(F.col("v").alias("u"), F.col("hub").alias("v"))
+    comps = components(nearest.select(F.col("rep").alias("u"), F.col("hub").alias("v")).union(others))
+    members = blocks(classes, nearest, comps.select(F.col("u").alias("rep"), F.col("label").alias("comp")))
+    found = cut(compared(block_tasks(docs, members, block_pairs(classes, members), text), threshold, tolerance))
     links = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"), F.min("root").alias("root"))
-    several = members.where("blocks > 1").select("rep")
+    several = members.where("several").select("rep")
     if several.isEmpty():
         labels = links.select("rep", "n_links", F.col("root").alias("label"))
     else:  # what one block pair connects may go on in others
@@ -268,11 +303,13 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group: the one with the least id, and of equal ids the least text digest."""
     prints, classes = join_classes(docs, doc_id, text)
-    rows = prints.where("rep IS NOT NULL").join(classes.select("rep", "label"), "rep").groupBy("label", "doc_id", "tkey").agg(F.count("*").alias("copies"))
-    rows = cut(rows)
+    rows = prints.where("rep IS NOT NULL").groupBy("rep", "doc_id", "tkey").agg(F.count("*").alias("copies"))
+    rows = cut(rows.join(classes.select("rep", "label"), "rep").select("label", "doc_id", "tkey", "copies"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")
-    best = rows.groupBy("label").agg(F.min(order).alias("best"))
-    judged = rows.join(best, "label").select("doc_id", "tkey", "copies", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tkey") == F.col("best.tkey"))).alias("stays"))
+    best = rows.groupBy("label").agg(F.min(order).alias("best")).select("best.doc_id", "best.tkey", F.lit(True).alias("best"))
+    # a row has one class, so id and digest tell the group's best; no join by the group
+    mine = rows["doc_id"].eqNullSafe(best["doc_id"]) & (rows["tkey"] == best["tkey"])
+    judged = rows.join(best, mine, "left").select(rows["doc_id"], rows["tkey"], "copies", F.coalesce("best", F.lit(False)).alias("stays"))
     judged = cut(judged.where("NOT stays OR copies > 1").select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"), "stays"))
     keyed = docs.withColumn("__own", text_key(text))
     match = lambda x: F.col(doc_id).eqNullSafe(x["__id"]) & (F.col("__own") == x["__tkey"])

@@ -481,6 +481,29 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).isEmpty()
 
 
+def test_components_of_a_long_path_and_a_large_star(spark):
+    path = [(i, i + 1) for i in range(1000, 1300)]
+    star = [(5, i) for i in range(2000, 2500)] + [(2400, 3)]
+    got = {r.u: r.label for r in components.components(spark.createDataFrame(path + star + [(9, 9), (None, 4)], "u bigint, v bigint")).collect()}
+    assert got == {i: 1000 for i in range(1000, 1301)} | {i: 3 for i in (3, 5, *range(2000, 2500))}
+
+
+def test_blocks_meet_only_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 2)
+    # classes 1..12 in a chain: each shares a bucket with the next one only
+    classes = spark.createDataFrame([(i, bytes([i]), 5, [100 * i, 100 * i + 100]) for i in range(1, 13)], "rep bigint, tkey binary, n bigint, bands array<bigint>")
+    nearest = spark.createDataFrame([(i, max(1, i - 1)) for i in range(1, 13)], "rep bigint, hub bigint")
+    comps = spark.createDataFrame([(i, 1) for i in range(1, 13)], "rep bigint, comp bigint")
+    members = jaccard.blocks(classes, nearest, comps)
+    block = {r.rep: r.block for r in members.collect()}
+    tasks: dict = {}
+    for r in jaccard.block_pairs(classes, members).collect():
+        tasks.setdefault(r.task, set()).add(r.block)
+    met = {frozenset(x) for x in tasks.values()}
+    assert all(frozenset((block[i], block[i + 1])) in met for i in range(1, 12))
+    assert frozenset((block[1], block[12])) not in met and len(met) == 2 * len(set(block.values())) - 1
+
+
 # ---- MPEG audio
 
 
