@@ -6,12 +6,17 @@ gets an ab-arc to where b led from s. So each token has one target state, and th
 accepts exactly the token sequences that BPE makes, one for each byte string. States are kept as (parent, removed
 arc, birth), as a copy differs from its original in one arc.
 
-Encoding has no table of (state, token) transitions, which would have an entry for each pair of tokens that may follow
-each other. It searches each pre-split word for its accepted path, longest arcs first, and goes back where no arc leads
-on; follows() tells from the gadgets whether an arc exists. Only arc(), for tests, walks the states. Decoding emits arc
-labels.
-
-Defined results: null text is empty; empty text has no tokens; lone surrogates can't occur in Spark strings.
+Two tables in arrays drive the encoding: bytes lead from node to node of the tokens' tree, and tokens from state to state
+of the automaton. The second would have an entry for each of the billions of pairs of a state and a token; an entry is
+compiled from the gadgets when it is first asked for, and kept. All new words of a batch are walked side by side, byte by
+byte: from every offset the tree gives the tokens that begin there, the automaton says which of them its state has an arc
+for, and their ends take the arc's label and state. As one path is accepted for each prefix, every offset is reached by
+one arc, and nothing is tried twice. The labels read back from a word's end are its tokens. Decoding emits the labels'
+bytes.
+
+Defined results: null text is empty; empty text has no tokens; lone surrogates can't occur in Spark strings. Repeated rows
+each get their row; kept columns with an output's name are replaced by it, further columns are not read. A word of any
+length is walked in time linear in it (times the longest token).
 """
 
 from __future__ import annotations
@@ -22,10 +27,13 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from sparkloom.llm import textvec as tv
 from sparkloom.llm.common import table
 
 #: Pre-split pattern of the vocabulary (fixed value, public).
@@ -35,6 +43,12 @@ PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S
 ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ſ–—‘-„…€]")
 #: Words that a worker remembers; it forgets all when there are more, and at the end of a task.
 CACHE = 150_000
+#: Words up to so many bytes are walked side by side, longer ones alone.
+SIDE_BY_SIDE = 64
+TOKEN_BITS = 17
+NONE, UNKNOWN = -1, -2  # no arc; no entry
+ROOT, END = 0, 256  # of the tree of tokens: its root, and the symbol that ends a word
+OUTPUTS = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,29 +58,104 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _has_arc(last: int, token: int, left: list[int], right: list[int], made: list[int], gadgets: dict[int, int]) -> bool:
+    """Automaton.compiled() of one pair, while the automaton is made."""
+    limit = 1 << 30
+    while gadgets.get(last << TOKEN_BITS | token, limit) >= limit:
+        if made[last] > made[token]:
+            limit, last = made[last], right[last]
+        elif made[token] < 0:
+            return True
+        else:
+            limit, token = made[token] + 1, left[token]
+    return False
+
+
+class Table:
+    """Open-addressed map from keys to whole numbers, read and written by whole arrays."""
+
+    def __init__(self, bits: int) -> None:
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, UNKNOWN, np.int32)
+        self.used = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys; UNKNOWN where there is none."""
+        slot = self._slots(keys)
+        out, there = self.values[slot], self.keys[slot]
+        at = np.flatnonzero((there != keys) & (there >= 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) & self.mask
+            out[at], there = self.values[slot[at]], self.keys[slot[at]]
+            at = at[(there != keys[at]) & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, each once."""
+        if self.used + len(keys) > self.mask // 2:
+            self.keys[:], self.values[:], self.used = -1, UNKNOWN, 0
+        if len(keys) > self.mask // 2:
+            keys, values = keys[: self.mask // 2], values[: self.mask // 2]
+        self.used += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            won = self.keys[slot] == keys
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & self.mask
+
+
+def filled(entries: dict[int, int]) -> Table:
+    t = Table(max(4, len(entries).bit_length() + 2))
+    t.put(np.fromiter(entries.keys(), np.int64, len(entries)), np.fromiter(entries.values(), np.int32, len(entries)))
+    return t
+
+
+class Labels:
+    """Byte strings laid end to end, to be written out for arrays of their numbers."""
+
+    def __init__(self, labels: list[bytes]) -> None:
+        self.size = np.array([len(x) for x in labels], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(labels), np.uint8)
+
+    def emit(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The labels of ids in a row, and where each ends, after a zero."""
+        size = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(self.start[ids] - ends[:-1], size)
+        at += np.arange(len(at))
+        return self.data[at].tobytes(), ends
+
+
 class Automaton:
     def __init__(self, spec: dict) -> None:
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = max([*vocab.values(), *self.specials.values()]) + 1
-        self.labels: list[bytes] = [b""] * size
-        self.left, self.made = [-1] * size, [-1] * size
+        if size > 1 << TOKEN_BITS:
+            raise ValueError(f"{size} tokens; at most {1 << TOKEN_BITS} fit the tables' keys")
+        labels = [b""] * size
+        left, right, made, target = [-1] * size, [-1] * size, [-1] * size, [0] * size
         self.parent, self.removed, self.born = [0], [-1], [-1]
-        target = self.target = [0] * size
         alive = set()
         for word, t in vocab.items():
             if word not in self.specials:
-                self.labels[t] = bytes(letters[c] for c in word)
+                labels[t] = bytes(letters[c] for c in word)
                 if len(word) == 1:
                     alive.add(t)
         for content, t in self.specials.items():
-            self.labels[t] = content.encode()
-        self.gadget: dict[int, int] = {}
-        self.right = [-1] * size
+            labels[t] = content.encode()
+        gadgets: dict[int, int] = {}
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = (vocab[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
             ab = vocab["".join(pair.split(" ") if isinstance(pair, str) else pair)]
-            if a not in alive or b not in alive or ab in alive or not self.follows(a, b):
+            if a not in alive or b not in alive or ab in alive or not _has_arc(a, b, left, right, made, gadgets):
                 continue
             self.parent.append(target[a])
             self.removed.append(b)
@@ -74,130 +163,221 @@ class Automaton:
             # ab leads where b led from the old target of a; with a == b that is that target itself
             target[ab] = target[b]
             target[a] = len(self.parent) - 1
-            self.left[ab], self.right[ab], self.made[ab] = a, b, k
-            self.gadget[a << 17 | b] = k
+            left[ab], right[ab], made[ab] = a, b, k
+            gadgets[a << TOKEN_BITS | b] = k
             alive.add(ab)
-        self.whole = {self.labels[t]: t for t in alive}
-        self.longest = max(map(len, self.whole), default=1)
+        self.labels = labels
+        self.left, self.right, self.made, self.target = (np.array(x, np.int32) for x in (left, right, made, target))
+        self.gadgets = filled(gadgets)
+        self.owner = np.zeros(len(self.parent), np.int32)  # a token that leads to the state
+        self.owner[self.target[sorted(alive)]] = sorted(alive)
+        self._tree({labels[t]: t for t in alive})
+        self.arcs = Table(20)
+        self.sizes = np.array([len(x) for x in labels], np.int64)
+        self.bytes_of, self.digits_of = Labels(labels), Labels([b"%d," % t for t in range(size)])
         self.split = re.compile(PLAIN).findall
         self.split_odd = regex.compile(PATTERN).findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
+    def _tree(self, tokens: dict[bytes, int]) -> None:
+        """Transitions over bytes: node and byte to node, and the token that a node ends (or NONE)."""
+        step: dict[int, int] = {}
+        ends = [NONE]
+        for word, t in tokens.items():
+            node = ROOT
+            for byte in word:
+                node = step.setdefault(node << 9 | byte, len(ends))
+                if node == len(ends):
+                    ends.append(NONE)
+            ends[node] = t
+        self.steps, self.step, self.ends = filled(step), step, np.array(ends, np.int32)
+        self.first = self.steps.get(np.arange(END + 1))  # the root's
+
     def arc(self, state: int, token: int) -> bool:
         """Whether state has an arc for token, by the chain of copies that made the state."""
-        parent, removed, born, left, made = self.parent, self.removed, self.born, self.left, self.made
         while state:
-            if made[token] >= born[state]:
-                token = left[token]  # came after this state, wherever its left part had an arc
-            elif token == removed[state]:
+            if self.made[token] >= self.born[state]:
+                token = self.left[token]  # came after this state, wherever its left part had an arc
+            elif token == self.removed[state]:
                 return False
             else:
-                state = parent[state]
+                state = self.parent[state]
         return True
 
-    def follows(self, last: int, token: int) -> bool:
-        """arc(target[last], token), without walking that chain.
-
-        The state's ancestors were made by gadgets (x, b) with x from last's chain of right parts, each while x was the
-        newest of the chain; so only gadgets of those x with parts of token's left chain can have removed the arc."""
-        gadget, made, left, right = self.gadget, self.made, self.left, self.right
-        limit = 1 << 30
-        while True:
-            if gadget.get(last << 17 | token, limit) < limit:
-                return False
-            if made[last] > made[token]:
-                limit = made[last]
-                last = right[last]
-            elif made[token] < 0:
-                return True
-            else:
-                limit = made[token] + 1
-                token = left[token]
-
-    def word(self, data: bytes) -> list[int]:
-        """Tokens of one pre-split word: the accepted path, longest arcs first.
-
-        A path to an offset is the only accepted one for that prefix, so an offset that once led nowhere stays dead."""
-        get, follows, n = self.whole.get, self.follows, len(data)
-        if (t := get(data)) is not None:
-            return [t]
-        path: list[int] = []
-        dead: set[int] = set()
-        at, end = 0, min(n, self.longest)
-        while at < n:
-            while end > at:
-                if end not in dead and (t := get(data[at:end])) is not None and (not path or follows(path[-1], t)):
-                    break
-                end -= 1
-            if end > at:
-                path.append(t)
-                at, end = end, min(n, end + self.longest)
-            else:
-                dead.add(at)
-                end = at - 1
-                at -= len(self.labels[path.pop()])
-        return path
-
-    def pieces(self, text: str) -> list[str]:
-        return (self.split_odd if ODD.search(text) else self.split)(text)
+    def compiled(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The states that arcs lead to, or NONE, as arc() would tell but without its chains.
+
+        A state's ancestors were made by gadgets (x, b) with x from its owner's chain of right parts, each while x was the
+        newest of the chain; so only gadgets of those x with parts of the token's left chain can have removed the arc."""
+        out = self.target[tokens]
+        at = np.flatnonzero(states > 0)
+        last, token = self.owner[states[at]].astype(np.int64), tokens[at].astype(np.int64)
+        limit = np.full(len(at), 1 << 30)
+        while len(at):
+            k = self.gadgets.get(last << TOKEN_BITS | token)
+            gone = (k >= 0) & (k < limit)
+            out[at[gone]] = NONE
+            newer, older = self.made[last], self.made[token]
+            back = newer > older
+            going = ~gone & (back | (older >= 0))
+            limit = np.where(back, newer, older + 1)[going]
+            last, token, at = np.where(back, self.right[last], last)[going], np.where(back, token, self.left[token])[going], at[going]
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.runs(text, Written(self)) for i in x.split(",")]
+    def reached(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """The transition table: state and token to state, or NONE."""
+        keys = states.astype(np.int64) << TOKEN_BITS | tokens
+        out = self.arcs.get(keys)
+        at = np.flatnonzero(out == UNKNOWN)
+        if len(at):
+            new, back = np.unique(keys[at], return_inverse=True)
+            to = self.compiled(new >> TOKEN_BITS, new & (1 << TOKEN_BITS) - 1)
+            self.arcs.put(new, to)
+            out[at] = to[back]
+        return out
 
-    def runs(self, text: str, written: Written) -> list[str]:
-        """The ids of text, as a string for each pre-split word or added token."""
-        if len(written) > CACHE:
-            written.clear()
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the words, end to end, and their number in each word."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        long = int(np.searchsorted(-size[order], -SIDE_BY_SIDE, "left"))
+        alone = [self.path(words[i]) for i in order[:long]]
+        together, counts = self._side_by_side([words[i] for i in order[long:]])
+        counts = np.concatenate((np.array([len(x) for x in alone], np.int64), counts))
+        tokens = np.concatenate((*alone, together)).astype(np.int32)
+        start = np.cumsum(counts) - counts
+        given, back = np.empty_like(counts), np.empty_like(start)
+        given[order], back[order] = counts, start
+        return tokens[tv.positions(back, back + given)], given
+
+    def _side_by_side(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """paths() of words that go from the longest to the shortest."""
+        n = len(words)
+        if not n or not words[0]:
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        size = np.fromiter(map(len, words), np.int64, n)
+        symbols = np.frombuffer(b"\0".join([*words, b""]), np.uint8).astype(np.int64)
+        start = np.cumsum(size + 1) - size - 1
+        symbols[start + size] = END
+        label = np.full((int(size[0]) + 1, n), NONE, np.int32)  # of the arc that reaches each offset
+        state = np.zeros((int(size[0]) + 1, n), np.int32)
+        for offset in range(int(size[0])):
+            who = np.arange(int(np.searchsorted(-size, -offset, "left")))
+            node = self.first[symbols[start[who] + offset]]
+            end = offset
+            while True:
+                keep = node >= 0
+                who, node = who[keep], node[keep]
+                if not len(who):
+                    break
+                end += 1
+                token = self.ends[node]
+                some = np.flatnonzero(token >= 0)
+                at, token = who[some], token[some]
+                to = self.reached(state[offset, at], token) if offset else self.target[token]
+                there = to >= 0
+                at = at[there]
+                label[end, at], state[end, at] = token[there], to[there]
+                node = self.steps.get(node.astype(np.int64) << 9 | symbols[start[who] + end])
+        counts = np.zeros(n, np.int64)
+        read: list[tuple[np.ndarray, np.ndarray]] = []
+        who = np.flatnonzero(size)
+        at = size[who]
+        while len(who):
+            token = label[at, who]
+            read.append((who, token))
+            counts[who] += 1
+            at = at - self.sizes[token]
+            who, at = who[at > 0], at[at > 0]
+        last = np.cumsum(counts)
+        out = np.empty(int(counts.sum()), np.int32)
+        for back, (who, token) in enumerate(read):
+            out[last[who] - 1 - back] = token
+        return out, counts
+
+    def path(self, word: bytes) -> list[int]:
+        """The tokens of one word of any length, by the same tables."""
+        label, state = [NONE] * (len(word) + 1), [0] * (len(word) + 1)
+        known: dict[tuple[int, int], int] = {}
+        for offset in range(len(word)):
+            node, here, found = ROOT, state[offset], []
+            for end in range(offset, len(word)):
+                node = self.step.get(node << 9 | word[end], NONE)
+                if node < 0:
+                    break
+                if (token := int(self.ends[node])) >= 0:
+                    found.append((end + 1, token))
+            if new := [t for _, t in found if (here, t) not in known]:
+                states = np.full(len(new), here, np.int64)
+                tokens = np.array(new, np.int64)
+                known |= zip([(here, t) for t in new], (self.reached(states, tokens) if offset else self.target[tokens]).tolist(), strict=True)
+            for end, token in found:
+                if (to := known[here, token]) >= 0:
+                    label[end], state[end] = token, to
+            if len(known) > CACHE:
+                known.clear()
+        out, at = [], len(word)
+        while at:
+            out.append(label[at])
+            at -= len(self.labels[label[at]])
+        return out[::-1]
+
+    def pieces(self, text: str) -> list[str | tuple[str]]:
+        """The pre-split words of text; an added token is a tuple of its own."""
+        split = self.split_odd if ODD.search(text) else self.split
         if self.special and any(s in text for s in self.specials):
             parts = enumerate(self.special.split(text))
-            return [*chain.from_iterable([str(self.specials[x])] if k % 2 else map(written.__getitem__, self.pieces(x)) for k, x in parts)]
-        return [*map(written.__getitem__, self.pieces(text))]
+            return [y for k, x in parts for y in ([(x,)] if k % 2 else (self.split_odd if ODD.search(x) else self.split)(x))]
+        return split(text)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
-
-
-class Cache(dict):
-    """Word -> tokens; the caller empties it when it is full."""
-
-    def __init__(self, automaton: Automaton) -> None:
-        super().__init__()
-        self.word = automaton.word
-
-    def __missing__(self, word: str) -> list[int]:
-        out = self[word] = self.word(word.encode())
-        return out
-
-
-class Written(Cache):
-    """Word -> its ids in decimal, joined by commas."""
+    def encode(self, text: str) -> list[int]:
+        return Known(self).encode([self.pieces(text)])[0].tolist()
 
-    def __missing__(self, word: str) -> str:
-        out = self[word] = ",".join(map(str, self.word(word.encode())))
-        return out
+    def decode(self, ids: list[int]) -> str:
+        return self.bytes_of.emit(np.array(ids, np.int64))[0].decode("utf-8", "replace")
 
 
-class Emitted(dict):
-    """Ids in decimal, joined by commas -> the labels of their arcs."""
+class Known:
+    """What a worker remembers: the tokens of words."""
 
     def __init__(self, automaton: Automaton) -> None:
-        super().__init__()
-        self.labels = automaton.labels
-
-    def __missing__(self, ids: str) -> bytes:
-        out = self[ids] = b"".join(self.labels[int(i)] for i in ids.split(","))
-        return out
-
-
-_BUILT: dict[str, tuple[Automaton, Written, Emitted]] = {}
-
-
-def _built(text: str) -> tuple[Automaton, Written, Emitted]:
+        self.automaton = automaton
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str | tuple[str], int] = {}
+        self.tokens = np.zeros(0, np.int32)  # of all words, end to end
+        self.ends = np.zeros(1, np.int64)  # of each word's tokens, after a zero
+
+    def learn(self, texts: list[list[str | tuple[str]]]) -> None:
+        """Encode the words of texts that are new."""
+        a = self.automaton
+        new = set().union(*texts).difference(self.place)
+        added = [x for x in new if type(x) is tuple]
+        plain = [x for x in new if type(x) is str] if added else [*new]
+        tokens, counts = a.paths([x.encode() for x in plain])
+        tokens = np.concatenate((self.tokens, tokens, np.array([a.specials[x] for (x,) in added], np.int32)))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.concatenate((counts, np.ones(len(added), np.int64))))))
+        self.tokens = tokens
+        self.place.update(zip(plain + added, range(len(self.place), len(self.place) + len(new)), strict=True))
+
+    def encode(self, texts: list[list[str | tuple[str]]]) -> tuple[np.ndarray, list[int]]:
+        """The tokens of texts, end to end, and where each text's end."""
+        self.learn(texts)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int64)
+        first, last = self.ends[at], self.ends[at + 1]
+        upto = np.concatenate(([0], np.cumsum(last - first)))
+        return self.tokens[tv.positions(first, last)], upto[np.cumsum([len(x) for x in texts])].tolist()
+
+
+_BUILT: dict[str, Known] = {}
+
+
+def _built(text: str) -> Known:
     """One automaton for each worker process and vocabulary."""
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in _BUILT:
-        a = Automaton(json.loads(text))
-        _BUILT[key] = a, Written(a), Emitted(a)
+        _BUILT[key] = Known(Automaton(json.loads(text)))
     return _BUILT[key]
 
 
@@ -207,36 +387,37 @@ def encode_decode(df: DataFrame, tokenizer_json: str, text: str = "text", keep:
     tokenizer_json is the file's content, read by the caller: executors need no local file."""
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(tokenizer_json)
-    src = df.select(*keep, text)
+    made = OUTPUTS if ids else OUTPUTS[:3]
+    keep = tuple(c for c in keep if c not in made)
+    src = df.select(*keep, df[text].alias("__text"))
     n_keep = len(keep)
-    more = ", ids array<int>, decoded string" if ids else ""
-    kept = [src.schema[i] for i in range(n_keep)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"
+    kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+    schema = T.StructType([*src.schema.fields[:n_keep], *(T.StructField(c, kinds.get(c, T.StringType())) for c in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, written, emitted = _built(sent.value)
-        sha = hashlib.sha256
+        known = _built(sent.value)
+        a, sha = known.automaton, hashlib.sha256
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for x in batch.column(n_keep):
-                runs = a.runs(x.as_py() or "", written)
-                line = ",".join(runs)
-                if len(emitted) > CACHE:
-                    emitted.clear()
-                decoded = b"".join(map(emitted.__getitem__, runs)).decode("utf-8", "replace")
-                out[0].append(line.count(",") + 1 if line else 0)
-                out[1].append(sha(line.encode()).hexdigest())
-                out[2].append(sha(decoded.encode()).hexdigest())
-                if ids:
-                    out[3].append([int(i) for i in line.split(",")] if line else [])
-                    out[4].append(decoded)
-            made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-            made += [pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.string())] if ids else []
-            cols = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(made)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], names=[*keep, *cols])
-        # workers live on for other operators' tasks
-        written.clear()
-        emitted.clear()
+            for part in tv.sliced(batch, n_keep, 2_000_000):
+                pieces = [a.pieces(x.as_py() or "") for x in part.column(n_keep)]
+                if len(known.place) > CACHE:
+                    known.forget()
+                tokens, ends = known.encode(pieces)
+                lines, line_at = a.digits_of.emit(tokens)
+                labels, label_at = a.bytes_of.emit(tokens)
+                out: list[list] = [[], [], [], [], []]
+                for i, j in zip([0, *ends], ends, strict=False):
+                    decoded = labels[label_at[i] : label_at[j]].decode("utf-8", "replace")
+                    out[0].append(j - i)
+                    out[1].append(sha(lines[line_at[i] : max(line_at[i], line_at[j] - 1)]).hexdigest())
+                    out[2].append(sha(decoded.encode()).hexdigest())
+                    if ids:
+                        out[3].append(tokens[i:j])
+                        out[4].append(decoded)
+                types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+                columns = [pa.array(x, kind) for x, kind in zip(out, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *columns[: len(made)]], names=[*keep, *made])
+        known.forget()  # workers live on for other operators' tasks
 
     return src.mapInArrow(run, schema)
 

@@ -245,10 +245,56 @@ def test_bpe_against_library(automaton):
 
 
 def test_bpe_transitions_are_the_automaton(automaton):
-    rng, tokens = random.Random(3), sorted(automaton.whole.values())
-    for _ in range(20_000):
-        a, b = rng.choice(tokens), rng.choice(tokens[:3000])
-        assert automaton.arc(automaton.target[a], b) == automaton.follows(a, b)
+    rng, tokens = random.Random(3), [t for t in np.unique(automaton.ends) if t >= 0]
+    pairs = [(int(automaton.target[rng.choice(tokens)]), int(rng.choice(tokens[:3000]))) for _ in range(20_000)]
+    for _ in range(2):  # compiled, then read
+        to = automaton.reached(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
+        assert to.tolist() == [automaton.target[t] if automaton.arc(s, t) else bpe.NONE for s, t in pairs]
+
+
+def test_bpe_transition_table_when_full(automaton, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdehilnorst") for _ in range(rng.randint(0, 90))).encode() for _ in range(400)]
+    want, counts = automaton.paths(words)
+    monkeypatch.setattr(automaton, "arcs", bpe.Table(8))
+    again, counts_again = automaton.paths(words)
+    assert again.tolist() == want.tolist() and counts_again.tolist() == counts.tolist()
+    assert [x for w in words for x in automaton.path(w)] == want.tolist()
+
+
+def test_bpe_table():
+    rng = np.random.default_rng(4)
+    t, keys = bpe.Table(10), np.unique(rng.integers(0, 1 << 40, 480))
+    t.put(keys[:200], np.arange(200, dtype=np.int32))
+    t.put(keys[200:], np.arange(200, len(keys), dtype=np.int32))
+    assert t.get(keys).tolist() == list(range(len(keys))) and (t.get(keys + (1 << 41)) == bpe.UNKNOWN).all()
+    t.put(np.array([7]) + (1 << 42), np.array([3], np.int32))
+    t.put(keys[:100] + (1 << 43), np.arange(100, dtype=np.int32))  # too many: the old ones go
+    assert t.get(keys[:100] + (1 << 43)).tolist() == list(range(100))
+
+
+def test_bpe_query_against_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    got = {r.doc_id: r for r in local(bpe.op4_bpe(spark, "/root/testdata/sf0.01")).itertuples()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    assert len(docs) == len(got)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for d, e in zip(docs, t.encode_batch([d.text or "" for d in docs], add_special_tokens=False), strict=True):
+        r = got[d.doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(e.ids), sha(",".join(map(str, e.ids))))
+        assert r.decoded_sha256 == sha(t.decode(e.ids, skip_special_tokens=False))
+
+
+def test_bpe_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "x", 5, "a b"), (1, "x", 5, "a b"), (2, None, 6, None)], "doc_id int, ids_sha256 string, n_tokens int, text string")
+    got = bpe.encode_decode(rows, bpe.vocabulary(), keep=("doc_id", "n_tokens", "text", "ids_sha256"))
+    assert got.columns == ["doc_id", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted((r.doc_id, r.text or "", r.n_tokens) for r in got.collect()) == [(1, "a b", 2), (1, "a b", 2), (2, "", 0)]
 
 
 def test_bpe_frames(spark, odd, none):
