@@ -36,7 +36,7 @@ from sparkloom.llm.components import components
 
 N_WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 48, 6, 32
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 300_000
+BLOCK_ROWS, BLOCK_SHINGLES, PACKED = 256, 300_000, 16
 _RNG = np.random.default_rng(20)
 FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = _RNG.integers(0, 1 << 63, N_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,17 +162,25 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def blocks(classes: DataFrame, nearest: DataFrame, comps: DataFrame) -> DataFrame:
-    """(rep, tkey, block, several) of the classes in components: several says that the component has more than one block."""
+    """(rep, tkey, block, several) of the classes in components: several says that the component has more than one block.
+
+    Classes of one least hub go together, in as many blocks as their size asks for. Where a component would have at most
+    PACKED blocks, those of small hubs share blocks, as nearly all of its blocks will meet; in a larger one they don't, so
+    that a long chain's blocks meet their neighbours only."""
+
+    def parts(rows: Column, n: Column) -> Column:
+        return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES)).cast("long")
+
     members = classes.select("rep", "tkey", "n").join(nearest, "rep").join(comps, "rep")
-    parts = F.greatest(F.ceil(F.sum("rows") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
     by_hub = members.groupBy("comp", "hub").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    by_hub = cut(by_hub)
-    wide = by_hub.groupBy("comp").agg(parts.alias("whole"))
-    own = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("long")
-    sized = by_hub.join(wide, "comp").select("comp", "hub", F.when(F.col("whole") > 1, own).alias("parts"))
+    by_hub = cut(by_hub.withColumn("parts", parts(F.col("rows"), F.col("n"))))
+    small = F.col("parts") == 1
+    wide = by_hub.groupBy("comp").agg(parts(F.sum("rows"), F.sum("n")).alias("whole"), parts(F.sum(F.when(small, F.col("rows"))), F.sum(F.when(small, F.col("n")))).alias("bins"))
+    with_others = small & (F.col("whole") <= PACKED)
+    own = F.when(F.col("whole") == 1, F.xxhash64("comp")).when(with_others, F.xxhash64("comp", F.pmod(F.xxhash64("hub"), "bins")))
+    sized = by_hub.join(wide, "comp").select("comp", "hub", "parts", (F.col("whole") > 1).alias("several"), own.alias("shared"))
     dealt = F.xxhash64("comp", "hub", F.pmod(F.xxhash64("rep"), "parts"))
-    several = F.col("parts").isNotNull()
-    return cut(members.join(sized, ["comp", "hub"]).select("rep", "tkey", F.when(several, dealt).otherwise(F.xxhash64("comp")).alias("block"), several.alias("several")))
+    return cut(members.join(sized, ["comp", "hub"]).select("rep", "tkey", F.coalesce("shared", dealt).alias("block"), "several"))
 
 
 def block_pairs(classes: DataFrame, members: DataFrame) -> DataFrame:

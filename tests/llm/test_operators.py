@@ -476,9 +476,10 @@ def near_texts(n=150):
     return out
 
 
-@pytest.mark.parametrize("rows", [256, 4])
-def test_jaccard_against_brute_force(spark, monkeypatch, rows):
+@pytest.mark.parametrize(("rows", "packed"), [(256, 16), (4, 16), (4, 0)])
+def test_jaccard_against_brute_force(spark, monkeypatch, rows, packed):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(jaccard, "PACKED", packed)
     texts = near_texts()
     want, links, classes = brute(texts)
     got = local(jaccard.jaccard_join(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")))
@@ -536,6 +537,7 @@ def test_components_of_a_long_path_and_a_large_star(spark):
 
 def test_blocks_meet_only_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(jaccard, "PACKED", 1)
     # classes 1..12 in a chain: each shares a bucket with the next one only
     classes = spark.createDataFrame([(i, bytes([i]), 5, [100 * i, 100 * i + 100]) for i in range(1, 13)], "rep bigint, tkey binary, n bigint, bands array<bigint>")
     nearest = spark.createDataFrame([(i, max(1, i - 1)) for i in range(1, 13)], "rep bigint, hub bigint")
