@@ -66,11 +66,23 @@ def stored_bytes(df: DataFrame) -> int:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
-    """Hint a broadcast only if the table is known to have at most max_rows rows and max_bytes stored bytes; else leave
-    the join to a shuffle.
+def is_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> bool:
+    """Whether the table is known to have at most max_rows rows and max_bytes stored bytes.
 
     df must be cheap to read twice (the result of cut())."""
-    if stored_bytes(df) > max_bytes or df.limit(max_rows + 1).count() > max_rows:
-        return df
-    return F.broadcast(df)
+    return stored_bytes(df) <= max_bytes and df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast only if is_small(); else leave the join to a shuffle."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: str, salts: int = 16) -> DataFrame:
+    """rows joined with a table by one column: by broadcast if the table is small, else by a shuffle in which a key's rows
+    are dealt over `salts` partitions by their digest, and the table's are repeated there."""
+    if is_small(table):
+        return rows.join(F.broadcast(table), on)
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    each = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(each, [on, "__salt"]).drop("__salt")

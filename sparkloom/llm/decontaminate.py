@@ -1,27 +1,30 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame functions only.
 
-An item is cut into windows of consecutive words; a shorter item is one window. A document contains a window only if it
-holds every one of its words, so ordering a window's words by rarity over the whole corpus, a prefix of one word is
-enough: a document without the rarest word can't hold the window. Documents' words are joined with those prefix words.
-Length and position bound what is left (the window must fit between the document's ends around that word), and each
-candidate's words are then compared one by one at its place.
-
-Windows that have a word which no document has are dropped at once. Texts are handled by their digest, so copies of a
-text are verified once. What is broadcast is counted first; beyond the bound the joins shuffle.
+An item is cut into windows of consecutive words; a shorter item is one window. Windows and documents are sets of
+shingles: five consecutive words with their place (all of a window's words, if it has fewer). A document contains a
+window only if it holds every one of its shingles, so ordering a window's shingles by rarity over the whole corpus, a
+prefix of one is enough: a document without the rarest shingle can't hold the window. Length and position bound what is
+left (the window must fit between the document's ends around that shingle), and each candidate is then verified exactly:
+shingles that cover the window must all be at their places.
+
+Documents are cut into words once to find the shingles that any window has; all else works on those places. A shingle is
+looked up by a 64-bit digest and then compared word by word. Windows with a shingle that no document has are dropped at
+once. Texts are handled by their digest, so copies of a text are verified once. What is broadcast is counted first;
+beyond the bound the joins shuffle, with the places of a hot shingle dealt over several tasks.
 
 Defined results: null or empty text has no words, no hits. An item without words has no window. A null item id marks
-hits but is not listed. Repeated items count once by id. Repeated documents each get their row. Columns of docs that
-have the names of the outputs are replaced.
+hits but is not listed. Repeated items count once by id. Repeated documents each get their row. Very long texts are read
+whole. Without items or documents nothing is found. Columns of docs that have the names of the outputs are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, NOT_WORD, UPPER, broadcast_if_small, cut, table
+from sparkloom.llm.common import LOWER, NOT_WORD, UPPER, broadcast_if_small, cut, is_small, salted_join, table
 
-WINDOW = 10
+WINDOW, SHINGLE = 10, 5
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -29,38 +32,74 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD, -1), "")
 
 
-def windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """Distinct windows: words, and the ids of the items that have them."""
+def _digest(words: str, at: Column, k: int) -> Column:
+    return F.xxhash64(*(F.get(words, at + i) for i in range(k)))
+
+
+def windows(items: DataFrame, item_id: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(wid, words) of the distinct windows, and (wid, item) of the items that have them."""
     got = items.select(F.col(item_id).cast("string").alias("item"), _words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     cuts = got.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("words"))
-    return cuts.groupBy("words").agg(F.collect_set("item").alias("items"))
+    cuts = cut(cuts.withColumn("wid", F.md5(F.array_join("words", " "))))
+    return cut(cuts.select("wid", "words").dropDuplicates(["wid"])), cut(cuts.where("item IS NOT NULL").select("wid", "item").distinct())
+
+
+def shingles(found: DataFrame) -> DataFrame:
+    """(wid, len, k, off, sid, words) of the shingles of each window."""
+    k = F.least(F.size("words"), F.lit(SHINGLE))
+    sized = found.select("wid", "words", F.size("words").alias("len"), k.alias("k"))
+    placed = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("off"))
+    each = placed.withColumn("words", F.slice("words", F.col("off") + 1, F.col("k")))
+    return each.withColumn("sid", F.md5(F.array_join("words", " ")))
+
+
+def places(docs: DataFrame, vocabulary: DataFrame, text: str, sizes: list[int]) -> DataFrame:
+    """(key, n, pos, sid): where the texts hold shingles (k, words, sid) of the vocabulary. sizes has all values of k."""
+    of = F.lit(None).cast("long")
+    for k in sizes:
+        of = F.when(F.col("k") == k, _digest("words", F.lit(0), k)).otherwise(of)
+    known = vocabulary.withColumn("digest", of)
+    body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    spread = body.select(F.md5("t").alias("key"), _words(F.col("t")).alias("w")).select("key", "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    if len(sizes) == 1:
+        probes = spread.select("key", "w", "n", "pos", F.lit(sizes[0]).alias("k"), _digest("w", F.col("pos"), sizes[0]).alias("digest"))
+    else:
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _digest("w", F.col("pos"), k).alias("digest")) for k in sizes)))
+        probes = spread.select("key", "w", "n", "pos", each.alias("p")).select("key", "w", "n", "pos", "p.*")
+    probes = probes.where(F.col("pos") + F.col("k") <= F.col("n"))
+    here = F.slice("w", F.col("pos") + 1, F.col("k"))
+    if is_small(vocabulary):
+        met = probes.join(F.broadcast(known.drop("k")), "digest").where(here == F.col("words"))
+    else:  # don't shuffle whole texts
+        met = salted_join(probes.select("key", "n", "pos", "digest", here.alias("here")), known.drop("k"), "digest").where("here = words")
+    return cut(met.select("key", "n", "pos", "sid").distinct())
 
 
 def verdicts(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, size: int) -> DataFrame:
     """By digest of the text: n_hit, and the items found. Only texts with a hit have a row."""
-    found = cut(windows(items, item_id, item_text, size).withColumn("wid", F.md5(F.array_join("words", " "))))
-    body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    spread = body.select(F.md5("t").alias("key"), _words(F.col("t")).alias("w")).select("key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-    vocabulary = cut(found.select(F.explode("words").alias("word")).distinct())
-    counts = spread.select("word").join(broadcast_if_small(vocabulary), "word", "left_semi").groupBy("word").count()
-    ranked = found.select("wid", F.posexplode("words").alias("off", "word")).join(counts, "word", "left")
-    rarest = ranked.groupBy("wid").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "off")).alias("r")).where("r.count > 0")
-    prefixes = cut(rarest.join(found, "wid").select("wid", "r.word", "r.off", F.size("words").alias("len")))
-    candidates = (
-        spread.join(broadcast_if_small(prefixes), "word")
-        .where("pos >= off and pos - off + len <= n")
-        .select("key", (F.col("pos") - F.col("off")).alias("start"), "wid")
-        .distinct()
-    )
-    candidates = cut(candidates)
-    keys = cut(candidates.select("key").distinct())
-    texts = body.withColumn("key", F.md5("t")).join(broadcast_if_small(keys), "key", "left_semi").dropDuplicates(["key"]).select("key", _words(F.col("t")).alias("w"))
-    wanted = candidates.join(broadcast_if_small(found), "wid").groupBy("key").agg(F.collect_list(F.struct("start", "words", "items")).alias("c"))
-    hits = texts.join(wanted, "key").select("key", F.filter("c", lambda x: F.slice("w", x["start"] + 1, F.size(x["words"])) == x["words"]).alias("h")).where(F.size("h") > 0)
-    places = F.flatten(F.transform("h", lambda x: F.sequence(x["start"], x["start"] + F.size(x["words"]) - 1)))
-    listed = F.array_sort(F.array_distinct(F.flatten(F.transform("h", lambda x: x["items"]))))
-    return cut(hits.select("key", F.size(F.array_distinct(places)).cast("long").alias("n_hit"), listed.alias("items")))
+    found, listed = windows(items, item_id, item_text, size)
+    parts = cut(shingles(found))
+    vocabulary = cut(parts.select("k", "words", "sid").dropDuplicates(["sid"]))
+    sizes = sorted(r.k for r in vocabulary.select("k").distinct().collect())  # at most SHINGLE rows
+    hits = places(docs, vocabulary, text, sizes or [SHINGLE])
+    counts = hits.groupBy("sid").count()
+    rank = F.struct(F.coalesce("count", F.lit(0)).alias("count"), "sid", "off")
+    rarest = parts.join(counts, "sid", "left").groupBy("wid", "len").agg(F.min(rank).alias("r")).where("r.count > 0")
+    prefixes = cut(rarest.select("wid", "len", "r.sid", "r.off"))
+    start = (F.col("pos") - F.col("off")).alias("start")
+    candidates = salted_join(hits, prefixes, "sid").where("pos >= off AND pos - off + len <= n").select("key", start, "wid").distinct()
+    # shingles side by side, and the last one, cover a window
+    cover = parts.where("off % k = 0 OR off = len - k").select("wid", "len", "off", "sid", F.ceil(F.col("len") / F.col("k")).alias("all"))
+    wanted = salted_join(candidates, cut(cover), "wid").withColumn("pos", F.col("start") + F.col("off"))
+    met = wanted.join(hits.select("key", "pos", "sid"), ["key", "pos", "sid"]).groupBy("key", "start", "wid", "len", "all").agg(F.count("*").alias("c"))
+    matches = cut(met.where("c = all").select("key", "start", "wid", (F.col("start") + F.col("len")).alias("end")))
+    before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    reach = matches.groupBy("key", "start").agg(F.max("end").alias("end")).withColumn("upto", F.max("end").over(before))
+    new = F.col("end") - F.greatest("start", F.least("end", F.coalesce("upto", "start")))
+    n_hit = reach.groupBy("key").agg(F.sum(new).cast("long").alias("n_hit"))
+    names = salted_join(matches.select("key", "wid").distinct(), listed, "wid").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return cut(n_hit.join(names, "key", "left").select("key", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:

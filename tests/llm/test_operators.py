@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, components, crf_language, decontaminate, jaccard, kdtree, mpeg, pii, quotes, registry, textvec, toxicity, url_filter
+from sparkloom.llm import bpe, common, components, crf_language, decontaminate, jaccard, kdtree, mpeg, pii, quotes, registry, textvec, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, `key` int"
@@ -621,6 +621,32 @@ def test_decontamination_cases(spark, odd, none):
     assert local(decontaminate.decontaminate(none, items)).empty
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_decontamination_against_brute_force(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(common, "is_small", lambda *_: False)
+        monkeypatch.setattr(decontaminate, "is_small", lambda *_: False)
+    rng = random.Random(8)
+    draw = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(str(i), draw(rng.choice([0, 1, 2, 3, 4, 5, 6, 9, 10, 11, 14]))) for i in range(40)] + [("7", draw(12)), (None, draw(5))]
+    docs = [(i, " ".join([draw(rng.randint(0, 30)), rng.choice(items)[1], draw(rng.randint(0, 5))])) for i in range(60)]
+    docs += [(i + 100, t) for i, t in docs[:5]] + [(200, items[3][1]), (201, "a " * 400), (202, None)]
+    want = {}
+    for i, t in docs:
+        w, hit, names = (t or "").split(), set(), set()
+        for name, body in items:
+            b = body.split()
+            for win in {tuple(b[k : k + 10]) for k in range(max(1, len(b) - 9))} if b else ():
+                for at in range(len(w) - len(win) + 1):
+                    if tuple(w[at : at + len(win)]) == win:
+                        hit |= set(range(at, at + len(win)))
+                        names |= {name} - {None}
+        want[i] = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))
+    docs = spark.createDataFrame(docs, "doc_id int, text string")
+    got = local(decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string")))
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.itertuples()} == want
+
+
 def test_textvec_hashes_match_words():
     w = textvec.split(["The the THE x1 été", "", "the"])
     h = textvec.word_hashes(w.cls, w.start, w.end)
