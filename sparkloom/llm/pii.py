@@ -11,27 +11,31 @@ least `support` different texts is removed where this reaches `remove`, and gene
 `generalise` on, wherever in the corpus it occurs. A term is judged by its highest value over all entities. Only the
 entities count beside which most of the term's texts have it: with rare entities, the ratio is high for any rare term
 seen beside them by chance (or in near copies), while for frequent ones it stays below 1 by each text without them.
+An entity that more than half of the texts hold has less than one bit to give away, and the ratio means nothing; its terms
+are left.
 
-Only a fixed stretch of characters on either side of an entity counts as near, so the pairs grow with the entities,
-not with document length times entities. Terms that can't reach the threshold (by their count in texts with entities
+Copies of a text count once everywhere: N, n(e), n(t) and n(e,t) are numbers of different texts.
+
+Only a stretch of `near` characters on either side of an entity counts as near, so the pairs grow with the entities, not
+with document length times entities. Terms that can't reach the threshold (by their count in texts with entities
 alone) are dropped before the pass over the corpus that counts the rest.
 
 Patterns use possessive groups and start only where a run starts: the matches are those of the plain patterns, without
-recursion and in linear time on very long texts.
+recursion and in linear time on very long texts. Places are sums over the pieces between matches, taken over rows; what
+is beside or between spans is read from pieces of CHUNK characters. So a text with very many spans takes time in
+proportion to its length and its spans.
 
-Defined results: null text is empty. Offsets are code points, the end exclusive. Failing matches are dropped and not
-retried. Term spans never touch base spans. Repeated rows each get their row. Extra columns are kept by sanitise();
-outputs replace columns of the same name.
+Defined results: null text is empty and stays null. Offsets are code points, the end exclusive. Failing matches are
+dropped and not retried. Term spans never overlap base spans. Repeated rows each get their row. Extra columns are kept by
+sanitise(); outputs replace columns of the same name. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, UPPER, broadcast_if_small, cut, table
+from sparkloom.llm.common import LOWER, UPPER, broadcast_if_small, cut, salted_join, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -46,7 +50,8 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 TERM = BREAK.replace("[", "[^", 1)
 NEAR, SUPPORT, GENERALISE, REMOVE = 64, 3, 0.8, 0.95
-SPANS = "array<struct<start:int,end:int,kind:int,value:string>>"
+CHUNK = 2048
+SPANS = "array<struct<start:int,kind:int,end:int,value:string,upto:int>>"
 OUTPUTS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
 
 
@@ -73,37 +78,46 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _checks(kind: str) -> Callable[[Column], Column]:
-    return lambda x: _valid(kind, x["value"])
+def _matches(text: Column, pattern: str, kind: int) -> Column:
+    """All matches, each with the length of what is between it and the one before."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    return F.zip_with(found, between, lambda m, gap: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), m.alias("value")))
 
 
-def _none() -> Column:
-    return F.array().cast(SPANS)
+def _placed(texts: DataFrame, matches: Column) -> DataFrame:
+    """(key, kind, start, end, value) of the matches of texts (key, t)."""
+    rows = texts.select("key", F.posexplode(matches).alias("i", "m")).select("key", "i", "m.*")
+    upto = Window.partitionBy("key", "kind").orderBy("i")
+    ends = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(upto).cast("int"))
+    return ends.select("key", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
 
-def _located(text: Column, pattern: Column, kind: Column | int) -> Column:
-    """All matches with their places: the pieces between matches give the gaps."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+def base_spans(texts: DataFrame) -> DataFrame:
+    """(key, kind, start, end, value) of the base spans of texts (key, t). kind is the place in KINDS."""
+    parts, t = [], F.col("t")
+    for k, kind in enumerate(KINDS[:4]):
+        needed = F.lit(True) if kind not in ("email", "phone") else F.contains(t, F.lit("@" if kind == "email" else "+"))
+        parts.append(F.when(needed & t.rlike(PATTERNS[kind]), _matches(t, PATTERNS[kind], k)))
+    none = F.array().cast("array<struct<kind:int,gap:int,value:string>>")
+    valid = F.lit(False)
+    for k, kind in enumerate(KINDS[:4]):
+        valid = F.when(F.col("kind") == k, _valid(kind, F.col("value"))).otherwise(valid)
+    return _placed(texts, F.concat(*(F.coalesce(x, none) for x in parts))).where(valid)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), (F.lit(kind) if isinstance(kind, int) else kind).alias("kind"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda acc: acc["out"])
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
 
-def base_spans(text: Column) -> Column:
-    """Spans of the four base kinds, by start and kind. kind is the place in KINDS."""
-    parts = []
-    for k, kind in enumerate(KINDS[:4]):
-        found = F.filter(_located(text, F.lit(PATTERNS[kind]), k), _checks(kind))
-        needed = F.lit(True) if kind not in ("email", "phone") else F.contains(text, F.lit("@" if kind == "email" else "+"))
-        parts.append(F.when(needed & text.rlike(PATTERNS[kind]), found).otherwise(_none()))
-    by_place = F.transform(F.concat(*parts), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
-    return F.transform(F.array_sort(by_place), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text in chunks. What is beyond the text is empty."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    head, tail = F.coalesce(F.get(chunks, first), F.lit("")), F.coalesce(F.get(chunks, last), F.lit(""))
+    inside = F.substring(head, start % CHUNK + 1, end - start)
+    middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    across = F.concat(F.substring(head, start % CHUNK + 1, F.lit(CHUNK)), middle, F.substring(tail, F.lit(1), end % CHUNK))
+    return F.when(end <= start, "").when(first == last, inside).otherwise(across)
 
 
 def _terms(text: Column) -> Column:
@@ -111,40 +125,41 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), BREAK + "+", -1), lambda w: (F.length(w) > 2) & w.rlike("[^0-9]"))
 
 
-def _near(text: Column, span: Column, spans: Column) -> Column:
-    """Terms beside a span. Terms cut by the stretch's outer end, and parts of base spans, are left out.
+def _near(chunks: Column, start: Column, end: Column, near: int) -> Column:
+    """Terms beside a span. Terms cut by the stretch's outer end are left out.
 
     The stretch is taken with one more character where there is one: that character's run is what the end cuts."""
-    left = F.substring(text, F.greatest(span["start"] - NEAR, F.lit(1)), F.least(span["start"], F.lit(NEAR + 1)))
-    left = F.when(span["start"] > NEAR, F.regexp_replace(left, rf"\A(?:{TERM}++|{BREAK})", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(NEAR + 1))
-    right = F.when(F.length(right) > NEAR, F.regexp_replace(right, rf"(?:(?<!{TERM}){TERM}++|{BREAK})\z", "")).otherwise(right)
-    around = F.concat(left, F.lit(" "), right)
-    own = F.flatten(F.transform(spans, lambda x: _terms(x["value"])))
-    return F.array_except(_terms(around), own)
+    left = _between(chunks, F.greatest(start - near - 1, F.lit(0)), start)
+    left = F.when(start > near, F.regexp_replace(left, rf"\A(?:{TERM}++|{BREAK})", "")).otherwise(left)
+    right = _between(chunks, end, end + near + 1)
+    right = F.when(F.length(right) > near, F.regexp_replace(right, rf"(?:(?<!{TERM}){TERM}++|{BREAK})\z", "")).otherwise(right)
+    return _terms(F.concat(left, F.lit(" "), right))
 
 
-def entity_spans(docs: DataFrame, text: str) -> DataFrame:
-    """(key, spans, beside) of the distinct texts that hold an entity."""
+def entity_spans(docs: DataFrame, text: str, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
+    """(key, kind, start, end, value) of the base spans of the distinct texts, and (key, entity, term) of what is beside
+    them and not part of a span of the text."""
     found = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(
         F.greatest(*(F.col("t").rlike(p) for p in PATTERNS.values()))
     )
-    found = found.select(F.md5("t").alias("key"), "t").dropDuplicates(["key"]).select("key", "t", base_spans(F.col("t")).alias("spans"))
-    found = found.where(F.size("spans") > 0)
-    beside = F.transform("spans", lambda x: F.struct(F.lower(x["value"]).alias("entity"), _near(F.col("t"), x, F.col("spans")).alias("terms")))
-    return cut(found.select("key", "spans", beside.alias("beside")))
+    found = cut(found.select(F.md5("t").alias("key"), "t").dropDuplicates(["key"]))
+    spans = cut(base_spans(found))
+    places = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end", "value")).alias("x"))  # a text's own
+    around = found.join(places, "key").select("key", _chunks(F.col("t")).alias("chunks"), F.explode("x").alias("x"))
+    beside = around.select("key", F.lower("x.value").alias("entity"), F.explode(_near(F.col("chunks"), F.col("x.start"), F.col("x.end"), near)).alias("term")).distinct()
+    own = spans.select("key", F.explode(_terms(F.col("value"))).alias("term")).distinct()
+    return spans, cut(beside.join(own, ["key", "term"], "left_anti").select("key", "entity", "term"))
 
 
-def disclosures(docs: DataFrame, entities: DataFrame, text: str, support: int, generalise: float) -> tuple[DataFrame, DataFrame]:
+def disclosures(docs: DataFrame, spans: DataFrame, pairs: DataFrame, text: str, support: int, generalise: float) -> tuple[DataFrame, DataFrame]:
     """(term, share) of the terms that disclose an entity, and (key, term) of the texts that hold them."""
-    n_texts = docs.count()
-    pairs = entities.select("key", F.explode("beside").alias("b")).select("key", "b.entity", F.explode("b.terms").alias("term")).distinct()
+    n_texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key")).distinct().count()
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    n_e = entities.select("key", F.explode(F.array_distinct(F.col("beside.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_e = spans.select("key", F.lower("value").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     n_floor = pairs.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_floor"))
     most = F.col("n_et") * 2 >= F.col("n_t")
     share = F.log(F.col("n_et") * n_texts / (F.col("n_e") * F.col("n_t"))) / F.log(n_texts / F.col("n_e"))
-    seen = together.where(F.col("n_et") >= support).join(n_e, "entity").where(F.col("n_e") < n_texts)
+    seen = together.where(F.col("n_et") >= support).join(n_e, "entity").where(F.col("n_e") * 2 <= n_texts)
     likely = cut(seen.join(n_floor.withColumnRenamed("n_floor", "n_t"), "term").where(most & (share >= generalise)).drop("n_t"))
     wanted = broadcast_if_small(cut(likely.select("term").distinct()))
     body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -155,52 +170,43 @@ def disclosures(docs: DataFrame, entities: DataFrame, text: str, support: int, g
     return terms, held
 
 
-def all_spans(docs: DataFrame, text: str, support: int, generalise: float, remove: float) -> DataFrame:
-    """(key, spans) of the distinct texts with base or term spans. A term's value is what replaces it."""
-    entities = entity_spans(docs, text)
-    terms, held = disclosures(docs, entities, text, support, generalise)
-    with_terms = held.join(broadcast_if_small(terms), "term").groupBy("key").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
-    with_terms = cut(with_terms)
-    keys = broadcast_if_small(cut(with_terms.select("key")))
+def all_spans(docs: DataFrame, text: str, support: int, generalise: float, remove: float, near: int) -> DataFrame:
+    """(key, spans) of the distinct texts with base or term spans, by start and kind. A term's value is what replaces it;
+    upto is the end of all spans before."""
+    base, pairs = entity_spans(docs, text, near)
+    terms, held = disclosures(docs, base, pairs, text, support, generalise)
+    known = broadcast_if_small(terms)
+    keys = broadcast_if_small(cut(held.join(known, "term", "left_semi").select("key").distinct()))
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("key", F.md5("t")).join(keys, "key", "left_semi").dropDuplicates(["key"])
-    # A term has no pattern characters: its ASCII is letters and digits only.
-    pattern = F.concat(F.lit(f"(?i)(?<!{BREAK.replace('[', '[^', 1)})(?:"), F.array_join(F.col("terms.term"), "|"), F.lit(f")(?!{BREAK.replace('[', '[^', 1)})"))
-    shares = F.map_from_entries(F.transform("terms", lambda x: F.struct(x["term"], x["share"])))
-    located = texts.join(with_terms, "key").select("key", shares.alias("shares"), _located(F.col("t"), pattern, 4).alias("found"))
-
-    def masked(x: Column) -> Column:
-        kind = F.when(x["value"].rlike("[0-9]"), "[CODE]").when(x["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-        gone = F.element_at("shares", F.translate(x["value"], UPPER, LOWER)) >= remove
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.when(gone, F.lit("")).otherwise(kind).alias("value"))
-
-    located = located.select("key", F.transform("found", masked).alias("found"))
-    both = entities.select("key", "spans").join(located, "key", "full")
-    base, more = F.coalesce("spans", _none()), F.coalesce("found", _none())
-    free = F.filter(more, lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    by_place = F.transform(F.concat(base, free), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
-    return cut(both.select("key", F.array_sort(by_place).alias("spans")))
-
-
-def _masked_text(text: Column, spans: Column) -> Column:
-    """text with base spans masked by kind and terms replaced; where spans overlap, the first decides."""
+    runs = _placed(texts, _matches(F.col("t"), TERM + "++", 4)).withColumn("term", F.translate("value", UPPER, LOWER))
+    kind = F.when(F.col("value").rlike("[0-9]"), "[CODE]").when(F.col("value").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    put = F.when(F.col("share") >= remove, F.lit("")).otherwise(kind)
+    located = salted_join(runs, terms, "term").select("key", "kind", "start", "end", put.alias("value"))
+    # a term stands free if no base span before it ends, and none after it starts, within it
+    order = Window.partitionBy("key").orderBy("start", "kind")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    is_base = F.col("kind") < 4
+    both = base.union(located).select("*", F.max(F.when(is_base, F.col("end"))).over(before).alias("ended"), F.min(F.when(is_base, F.col("start"))).over(after).alias("starts"))
+    free = (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.coalesce("starts", "end") >= F.col("end"))
+    kept = both.where(is_base | free).select("key", "kind", "start", "end", "value", F.coalesce(F.max("end").over(before), F.lit(0)).alias("upto"))
+    listed = F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "upto")))  # a text's own
+    return cut(kept.groupBy("key").agg(listed.cast(SPANS).alias("spans")))
+
+
+def _masked_text(chunks: Column, spans: Column) -> Column:
+    """The text in chunks with base spans masked by kind and terms replaced; where spans overlap, the first decides."""
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-
-    def step(acc: Column, x: Column) -> Column:
-        put = F.when(x["kind"] == 4, x["value"]).otherwise(F.element_at(marks, x["kind"] + 1))
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), put)
-        free = x["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(free, new).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    put = lambda x: F.when(x["kind"] == 4, x["value"]).otherwise(F.element_at(marks, x["kind"] + 1))
+    parts = F.transform(F.filter(spans, lambda x: x["start"] >= x["upto"]), lambda x: F.concat(_between(chunks, x["upto"], x["start"]), put(x)))
+    return F.concat(F.array_join(parts, ""), _between(chunks, F.array_max(F.transform(spans, lambda x: x["end"])), F.size(chunks) * CHUNK))
 
 
-def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, near: int = NEAR) -> DataFrame:
     """docs with their text sanitised, the counts of base spans, and all spans of the original text."""
-    marked = broadcast_if_small(all_spans(docs, text, support, generalise, remove), 100_000).withColumnsRenamed({"key": "__key", "spans": "__spans"})
+    marked = broadcast_if_small(all_spans(docs, text, support, generalise, remove, near), 100_000).withColumnsRenamed({"key": "__key", "spans": "__spans"})
     keep = [c for c in docs.columns if c not in OUTPUTS]
     own = docs.select(*keep, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__key"))
-    spans = F.coalesce("__spans", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+    spans = F.coalesce("__spans", F.array().cast(SPANS))
     names = F.array(*map(F.lit, KINDS))
 
     def listed(x: Column) -> Column:
@@ -209,8 +215,10 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
     def count(k: int) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
 
-    safe = F.when(F.size("__spans") > 0, _masked_text(F.col(text), F.col("__spans"))).otherwise(F.col(text))
-    return own.join(marked, "__key", "left").select(
+    some = F.col("__spans").isNotNull()
+    joined = own.join(marked, "__key", "left").withColumn("__chunks", F.when(some, _chunks(F.col(text))))
+    safe = F.when(some, _masked_text(F.col("__chunks"), F.col("__spans"))).otherwise(F.col(text))
+    return joined.select(
         *(c for c in keep if c != text),
         safe.alias(text),
         *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),

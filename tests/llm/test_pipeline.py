@@ -54,6 +54,15 @@ def contaminated(text, items):
     return False
 
 
+def beside(t, at, step):
+    """The text beside a place, as far as it counts as near, without a word that the end cuts."""
+    run = t[at : at + pii.NEAR + 1] if step > 0 else t[max(0, at - pii.NEAR - 1) : at]
+    if len(run) <= pii.NEAR:
+        return run
+    within = re.split(f"({pii.BREAK})", run)
+    return "".join(within[:-1][: -1 if not within[-1] else None] if step > 0 else within[1:][1 if not within[0] else 0 :])
+
+
 def sanitised(docs):
     """Base spans masked, and terms by their co-occurrence; only texts with spans change."""
     texts = set(docs.values())
@@ -63,7 +72,7 @@ def sanitised(docs):
         spans = [(int(a), int(b)) for _, a, b in (s.split(":") for s in base_spans(t))]
         own = {x for a, b in spans for x in terms_of(t[a:b])}
         for a, b in spans:
-            around = re.sub(r"^\S*\s", "", t[max(0, a - pii.NEAR) : a]) + " " + re.sub(r"\s\S*$", "", t[b : b + pii.NEAR])
+            around = beside(t, a, -1) + " " + beside(t, b, 1)
             n_e[t[a:b].lower()].add(t)
             for x in set(terms_of(around)) - own:
                 pairs[t[a:b].lower(), x].add(t)
@@ -74,8 +83,8 @@ def sanitised(docs):
             held[x].add(t)
     shares = {}
     for (e, x), both in pairs.items():
-        if len(both) >= pii.SUPPORT and len(n_e[e]) < len(docs):
-            r = math.log(len(both) * len(docs) / (len(n_e[e]) * len(held[x]))) / math.log(len(docs) / len(n_e[e]))
+        if len(both) >= pii.SUPPORT and 2 * len(n_e[e]) <= len(texts) and 2 * len(both) >= len(held[x]):
+            r = math.log(len(both) * len(texts) / (len(n_e[e]) * len(held[x]))) / math.log(len(texts) / len(n_e[e]))
             if r >= pii.GENERALISE:
                 shares[x] = max(r, shares.get(x, 0))
     out = {}
