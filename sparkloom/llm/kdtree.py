@@ -1,22 +1,24 @@
 """Sharding by a K-d tree over document metadata.
 
 Rows are points: size-independent numbers for each metadata dimension, and a weight in bytes. A node that is over the
-target splits at the weighted median of its widest dimension, and so on until the leaves reach the target. Widths are
-shares of the whole range of a dimension.
+target splits at the weighted median of its widest dimension, and so on until no leaf is over the target by more than a
+row (or, where a number of leaves is asked for, until there are so many). Widths are shares of the whole range of a dimension.
 
 The medians are found by counting, not sorting: all open nodes of a level at once, bytes by node and bin of the widest
 dimension, then the bin that crosses the middle again in finer bins, until a bin holds a single value. Rows that tie in
 the value (a hot source, say) are split by a digest of the row, refined in the same way, so leaves come out equal
-however many rows share a value. Counts are aggregated before they are shuffled; a level's histogram has at most BINS
-rows a node and is searched where it is. The driver sees node bounds only, a few numbers for each leaf; they go to
-the rows by a broadcast join.
+however many rows share a value. Counts are aggregated before they are shuffled; a level's histograms have about ALL_BINS
+rows together and are searched where they are. One aggregation tells sizes and extents of all new nodes. The driver sees
+node bounds only, a few numbers for each leaf; they go to the rows by a broadcast join, and by a shuffled one if there are
+more than MOST_SENT.
 
 Slots number the rows of a shard without gaps: rows are dealt into buckets by digest, buckets counted, and only the
 offsets of the buckets are summed up; no shard is ever in one task. Rows that are equal in everything are told apart by
 the partition of the stored points that they come from.
 
 Defined results: null metadata sort first; null text has no bytes, and size is bytes + 1. Text dimensions are ordered by
-their first bytes. An empty table has no rows and no shards. Extra columns are not read.
+their first bytes. An empty table has no rows and no shards. Extra columns are not read. Repeated rows each get their row;
+rows that are equal in all dimensions and in digest stay in one leaf. With target_bytes a leaf has at most the target and one row more, or only rows that no split divides.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.common import cut, table
 
-BINS = 1024
+BINS, ALL_BINS, LEAST_BINS = 1 << 18, 1 << 20, 256  # a node, all nodes of a level together, and a node in any case
+MOST_SENT = 200_000  # nodes whose bounds are broadcast
+LEVELS = 4  # between tables written to the shared folder
 BUCKET_ROWS = 2000
-TIE_BITS = 40
+TIE_BITS = 36
 LIMIT = 1 << 61  # numbers beyond it tie, so that differences fit in 64 bits
 
 
@@ -39,6 +43,9 @@ LIMIT = 1 << 61  # numbers beyond it tie, so that differences fit in 64 bits
 class Node:
     path: int  # 1, then a bit for each split: left 0, right 1
     bytes: int
+    rows: int
+    extents: list[tuple[int, int]]
+    leaves: int
     axis: int = -1
     value: int = 0  # left: value < this, or equal and tie < the bound
     tie: int = 0
@@ -65,9 +72,12 @@ def points(docs: DataFrame, dims: tuple[str, ...], size: Column, keep: tuple[Col
     return docs.select(*keep, size.alias("size"), tie.alias("tie"), *(number(F.col(d), kinds[d]).alias(f"d{k}") for k, d in enumerate(dims)))
 
 
-def _known(df: DataFrame, rows: list[tuple], schema: str, how: str = "inner") -> DataFrame:
-    """df with what is known of each row's node. The table has a row a node, so its size is bounded by the leaves."""
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"path bigint, {schema}".rstrip(", "))), "path", how)
+def _known(df: DataFrame, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """df with numbers that are known of each row's node (its path and one for each name); null for other nodes."""
+    if [r[0] for r in rows] == [1]:  # all rows are the root's
+        return df.select("*", *(F.lit(x).cast("long").alias(name) for name, x in zip(names, rows[0][1:], strict=True)))
+    nodes = df.sparkSession.createDataFrame(rows, ", ".join(f"{c} bigint" for c in ("path", *names)))
+    return df.join(F.broadcast(nodes) if len(rows) <= MOST_SENT else nodes, "path", "left")
 
 
 def _along(n_dims: int) -> Column:
@@ -78,9 +88,9 @@ def _along(n_dims: int) -> Column:
     return value
 
 
-def _place(df: DataFrame, nodes: dict[int, Node], n_dims: int) -> DataFrame:
+def _place(df: DataFrame, nodes: list[Node], n_dims: int) -> DataFrame:
     """Rows one level down: path of each row's child node; rows of closed nodes keep theirs."""
-    known = _known(df, [(n.path, n.axis, n.value, n.tie) for n in nodes.values()], "axis int, split_at bigint, tie_at bigint", "left")
+    known = _known(df, [(n.path, n.axis, n.value, n.tie) for n in nodes], ("axis", "split_at", "tie_at"))
     value = _along(n_dims)
     right = (value > F.col("split_at")) | ((value == F.col("split_at")) & (F.col("tie") >= F.col("tie_at")))
     return known.withColumn("path", F.when(F.col("axis").isNull(), F.col("path")).otherwise(F.col("path") * 2 + right.cast("long"))).drop("axis", "split_at", "tie_at")
@@ -91,12 +101,13 @@ def _crossing(df: DataFrame, lows: dict[int, int], highs: dict[int, int], goals:
     below = dict.fromkeys(lows, 0)
     lows, highs = dict(lows), dict(highs)
     order = Window.partitionBy("path").orderBy("bin")
+    bins = max(LEAST_BINS, min(BINS, ALL_BINS // max(1, len(lows))))
     while todo := [p for p in lows if lows[p] < highs[p]]:
-        width = {p: max(1, -((lows[p] - highs[p] - 1) // BINS)) for p in todo}
+        width = {p: max(1, -((lows[p] - highs[p] - 1) // bins)) for p in todo}
         bounds = [(p, lows[p], highs[p], width[p], goals[p] - below[p]) for p in todo]
-        bins = _known(df, bounds, "low bigint, high bigint, wide bigint, goal bigint").where("v BETWEEN low AND high")
-        bins = bins.groupBy("path", "goal", F.expr("(v - low) div wide").alias("bin")).agg(F.sum("size").alias("bytes"))  # at most BINS a node
-        summed = bins.withColumn("upto", F.sum("bytes").over(order)).where("upto >= goal")
+        counts = _known(df, bounds, ("low", "high", "wide", "goal")).where("v BETWEEN low AND high")
+        counts = counts.groupBy("path", "goal", F.expr("(v - low) div wide").alias("bin")).agg(F.sum("size").alias("bytes"))
+        summed = counts.withColumn("upto", F.sum("bytes").over(order)).where("upto >= goal")
         first = summed.groupBy("path").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bytes")).alias("under"))).alias("x"))
         found = {r.path: r.x for r in first.collect()}  # a row a node
         for p in todo:
@@ -108,52 +119,69 @@ def _crossing(df: DataFrame, lows: dict[int, int], highs: dict[int, int], goals:
     return {p: (lows[p], below[p]) for p in lows}
 
 
-def tree(df: DataFrame, n_dims: int, leaves: int | None = None, target_bytes: int | None = None) -> tuple[DataFrame, list[int]]:
-    """df with the path of each row's leaf, and the paths in order. Either `leaves` (shares as equal as can be) or
-    `target_bytes` says where to stop."""
+def _nodes(df: DataFrame, n_dims: int, among: list[int]) -> dict[int, tuple[int, int, int, list[tuple[int, int]]]]:
+    """Bytes, largest row, rows and extents of the nodes among these paths that have rows."""
+    extent = [f(f"d{k}").alias(f"{f.__name__}{k}") for k in range(n_dims) for f in (F.min, F.max)]
+    open_rows = _known(df, [(p, 1) for p in among], ("open",)).where("open = 1")
+    sums = open_rows.groupBy("path").agg(F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.count("*").alias("rows"), *extent)
+    return {r.path: (r.bytes, r.largest, r.rows, [(r[f"min{k}"], r[f"max{k}"]) for k in range(n_dims)]) for r in sums.collect()}  # a row a node
+
+
+def tree(df: DataFrame, n_dims: int, leaves: int | None = None, target_bytes: int | None = None) -> tuple[DataFrame, list[int], int]:
+    """df (read from storage) with the path of each row's leaf, the paths in order, and the number of rows. Either `leaves`
+    (shares as equal as can be) or `target_bytes` says where to stop."""
     df = df.withColumn("path", F.lit(1).cast("long"))
-    extent = [F.struct(F.min(f"d{k}").alias("a"), F.max(f"d{k}").alias("b")).alias(f"d{k}") for k in range(n_dims)]
-    first = df.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), *extent).first()
-    if not first.total:
-        return df, [1]
-    whole = [max(1, first[f"d{k}"].b - first[f"d{k}"].a) for k in range(n_dims)]
-    going = {1: (first.total, leaves if leaves else -(-first.total // target_bytes))}  # bytes, and leaves to come
+    found = _nodes(df, n_dims, [1])
+    if not found:
+        return df, [1], 0
+    size, largest, total, extents = found[1]
+    wanted = lambda size, largest: max(1, -(-(size - largest) // (target_bytes or 1)))  # noqa: E731  a leaf is done at the target and a row
+    whole = [max(1, b - a) for a, b in extents]
+    going = [Node(1, size, total, extents, leaves or wanted(size, largest))]
     done: list[int] = []
+    level = 0
     while going:
-        done += [p for p, (_, k) in going.items() if k <= 1]
-        going = {p: x for p, x in going.items() if x[1] > 1}
+        done += [n.path for n in going if n.leaves <= 1]
+        going = [n for n in going if n.leaves > 1]
         if not going:
             break
-        here = _known(df, [(p,) for p in going], "")
-        nodes, low, high, goal = {}, {}, {}, {}
-        for r in here.groupBy("path").agg(*extent).collect():  # a row a node
-            widest = max(range(n_dims), key=lambda k: ((r[f"d{k}"].b - r[f"d{k}"].a) / whole[k], -k))
-            size, k = going[r.path]
-            nodes[r.path] = Node(r.path, size, widest)
-            low[r.path], high[r.path] = r[f"d{widest}"].a, r[f"d{widest}"].b
-            goal[r.path] = max(1, size * (k // 2) // k)
-        valued = _known(df, [(n.path, n.axis) for n in nodes.values()], "axis int").select("path", "size", "tie", _along(n_dims).alias("v"))
+        low, high, goal = {}, {}, {}
+        for n in going:
+            n.axis = max(range(n_dims), key=lambda k: ((n.extents[k][1] - n.extents[k][0]) / whole[k], -k))  # noqa: B023
+            low[n.path], high[n.path] = n.extents[n.axis]
+            goal[n.path] = max(1, n.bytes * (n.leaves // 2) // n.leaves)
+        valued = _known(df, [(n.path, n.axis) for n in going], ("axis",)).where("axis IS NOT NULL").select("path", "size", "tie", _along(n_dims).alias("v"))
         medians = _crossing(valued, low, high, goal)
-        for p, n in nodes.items():
-            n.value = medians[p][0]
-        tied = _known(valued, [(p, n.value) for p, n in nodes.items()], "split_at bigint").where("v = split_at")
-        ties = _crossing(tied.select("path", "size", F.col("tie").alias("v")), dict.fromkeys(nodes, 0), dict.fromkeys(nodes, (1 << TIE_BITS) - 1), {p: max(1, goal[p] - medians[p][1]) for p in nodes})
-        for p, n in nodes.items():
-            n.tie = ties[p][0] + 1  # the row that crosses the goal goes left
-        df = cut(_place(df, nodes, n_dims))
-        sizes = {r.path: r.b for r in df.groupBy("path").agg(F.sum("size").alias("b")).collect()}
-        halves = [(2 * p + side, going[p][1] // 2 if side == 0 else going[p][1] - going[p][1] // 2) for p in nodes for side in (0, 1)]
-        going = {child: (sizes.get(child, 0), share if sizes.get(child) else 1) for child, share in halves}
-    return df, sorted(done, key=lambda p: bin(p)[3:])
-
-
-def with_slots(df: DataFrame, group: str, digest: str) -> DataFrame:
-    """df (read from storage) with `slot`: gapless numbers from 0 in each group."""
-    rows = df.count()
+        for n in going:
+            n.value = medians[n.path][0]
+        tied = _known(valued, [(n.path, n.value) for n in going], ("split_at",)).where("v = split_at")
+        ties = _crossing(tied.select("path", "size", F.col("tie").alias("v")), dict.fromkeys(low, 0), dict.fromkeys(low, (1 << TIE_BITS) - 1), {p: max(1, goal[p] - medians[p][1]) for p in low})
+        for n in going:
+            n.tie = ties[n.path][0] + 1  # the row that crosses the goal goes left
+        df = _place(df, going, n_dims)
+        level += 1
+        if level % LEVELS == 0 or len(going) > MOST_SENT:
+            df = cut(df)
+        found = _nodes(df, n_dims, [2 * n.path + side for n in going for side in (0, 1)])
+        ahead = []
+        for n in going:
+            for side in (0, 1):
+                size, largest, rows, extents = found.get(2 * n.path + side, (0, 0, 0, [(0, 0)] * n_dims))
+                if leaves:
+                    share = n.leaves // 2 if side == 0 else n.leaves - n.leaves // 2
+                else:
+                    share = wanted(size, largest) if rows < n.rows else 1  # what no split divides stays
+                if rows or leaves:
+                    ahead.append(Node(2 * n.path + side, size, rows, extents, share if rows else 1))
+        going = ahead
+    return df, sorted(done, key=lambda p: bin(p)[3:]), total
+
+
+def with_slots(df: DataFrame, group: str, digest: str, rows: int) -> DataFrame:
+    """df (made from storage without a shuffle) with `slot`: gapless numbers from 0 in each group. It has about so many rows."""
     buckets = max(1, rows // BUCKET_ROWS)
     # the stored file's place tells equal rows apart, so even a hot row is spread
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(digest, F.spark_partition_id()), F.lit(buckets)))
-    df = cut(df)
+    df = cut(df.withColumn("__bucket", F.pmod(F.xxhash64(digest, F.spark_partition_id()), F.lit(buckets))))
     counts = df.groupBy(group, "__bucket").agg(F.count("*").alias("n"))
     spread = cut(counts.withColumn("part", F.floor(F.col("__bucket") / BUCKET_ROWS)))
     parts = spread.groupBy(group, "part").agg(F.sum("n").alias("n"))
@@ -176,9 +204,9 @@ def shard(docs: DataFrame, dims: tuple[str, ...], doc_id: str = "doc_id", text:
     """doc_id, size, text_crc32, shard and slot of each document."""
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     keep = (F.col(doc_id).alias("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("text_crc32"))
-    df, leaves = tree(cut(points(docs, dims, size, keep)), len(dims), shards, target_bytes)
-    df = _known(df, [(p, i) for i, p in enumerate(leaves)], "shard int").select("doc_id", "size", "text_crc32", "tie", "shard")
-    return with_slots(df, "shard", "tie").drop("tie")
+    df, leaves, rows = tree(cut(points(docs, dims, size, keep)), len(dims), shards, target_bytes)
+    df = _known(df, [(p, i) for i, p in enumerate(leaves)], ("shard",)).select("doc_id", "size", "text_crc32", "tie", "shard")
+    return with_slots(df, "shard", "tie", rows).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op1_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,58 @@ def test_kdtree_target_and_ties(spark):
     assert got.shard.nunique() == 8 and got.groupby("shard")["size"].sum().between(47_000, 53_000).all()
 
 
+def reference_tree(rows, n_dims, leaves=None, target=None):
+    """Leaves, left to right, as lists of (id, size, tie, values); rows are sorted, not counted."""
+    if not rows:
+        return [[]]
+    whole = [max(1, max(r[3][k] for r in rows) - min(r[3][k] for r in rows)) for k in range(n_dims)]
+
+    def parts(node, k):
+        if k <= 1:
+            return [node]
+        spread = [(max(r[3][d] for r in node) - min(r[3][d] for r in node)) / whole[d] for d in range(n_dims)]
+        axis = spread.index(max(spread))
+        node = sorted(node, key=lambda r: (r[3][axis], r[2]))
+        goal, left, total = max(1, sum(r[1] for r in node) * (k // 2) // k), 0, 0
+        while total < goal:
+            total += node[left][1]
+            left += 1
+        while left < len(node) and (node[left][3][axis], node[left][2]) == (node[left - 1][3][axis], node[left - 1][2]):
+            left += 1
+        halves = [node[:left], node[left:]]
+        if target is None:
+            return [leaf for half, j in zip(halves, (k // 2, k - k // 2), strict=True) for leaf in (parts(half, j) if half else [half])]
+        return [leaf for half in halves if half for leaf in parts(half, want(half) if len(half) < len(node) else 1)]
+
+    want = lambda node: max(1, -(-(sum(r[1] for r in node) - max(r[1] for r in node)) // target))
+    return parts(rows, leaves or want(rows))
+
+
+@pytest.mark.parametrize("how", [{"shards": 8}, {"shards": 5}, {"target_bytes": 900}])
+def test_kdtree_against_brute_force(spark, monkeypatch, how):
+    monkeypatch.setattr(kdtree, "MOST_SENT", 4)  # shuffles as well
+    monkeypatch.setattr(kdtree, "BINS", 16)  # several rounds a median
+    monkeypatch.setattr(kdtree, "LEAST_BINS", 16)
+    rng = random.Random(12)
+    rows = [(i, "x" * rng.choice([0, 3, 40, 90]), rng.choice([1, 1, 1, 5, 900]), rng.choice(["web", "web", "news", None])) for i in range(300)]
+    rows += [(7, "same", 5, "web")] * 6 + [(400, "y" * 2500, 2, "web")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint, source string")
+    size = F.octet_length("text").cast("long") + 1
+    got = kdtree.points(df, ("n", "source"), size, (F.col("doc_id"), F.crc32("text").alias("text_crc32"))).collect()
+    want = reference_tree([(r.doc_id, r["size"], r.tie, (r.d0, r.d1)) for r in got], 2, how.get("shards"), how.get("target_bytes"))
+    shards = local(kdtree.shard(df, ("n", "source"), **how))
+    assert [sorted(shards[shards.shard == i].doc_id) for i in range(len(want))] == [sorted(r[0] for r in leaf) for leaf in want]
+    assert all(sorted(g.slot) == [*range(len(g))] for _, g in shards.groupby("shard"))
+    if "target_bytes" in how:
+        assert all(sum(r[1] for r in x) - max(r[1] for r in x) <= 900 for x in want) and len(want) > 10
+
+
+def test_kdtree_extra_columns(spark):
+    df = spark.createDataFrame([(1, "a", 3, 9, "p"), (2, "b", 4, 9, "q")], "doc_id int, text string, shard int, size int, path string")
+    got = kdtree.shard(df, ("shard", "path"), shards=2)
+    assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and {r.shard for r in got.collect()} == {0, 1}
+
+
 # ---- toxicity
 
 INSULTS = ["idiot", "moron", "scum"]
