@@ -4,7 +4,9 @@ Each word gets scores from its affixes (first and last three letters, bounds mar
 training texts hold it often enough, a lexicon entry. Learned transitions join the words of a sentence, and
 forward-backward gives each word's posterior over the languages, so a word that could be of either language follows its
 neighbours, and a text that switches gets a label for each stretch. A text's language has the largest share of its
-letters, weighing each word's posterior by its letters; that share is the score.
+letters, weighing each word's posterior by its letters; that share is the score. Shares say which of the learned languages
+fits best, not whether any does; for that, `known` is the share of a text's trigrams (of words with a letter) that
+training texts have at all, whatever the number of languages: close to 1 for text in a learned language.
 
 Chains end at sentence ends and line ends, and after CHAIN words where there are none; every word is in one chain.
 
@@ -12,7 +14,7 @@ Training: at most `per_language` texts of each language, those with the smallest
 as those before them have less than `train_bytes`. This bounds the sample on the driver; training and predictions read
 whole texts. Words of a text take the text's language as label. Weights are fitted by AdaGrad on the chains' conditional log-likelihood.
 
-Defined results: null text, or text without a letter, is `und` with score 0. Without usable training rows every text is
+Defined results: null text, or text without a letter, is `und` with score and known 0. Without usable training rows every text is
 `und`. Ties between languages go to the first by name. Repeated rows each get their row; extra columns are kept, those
 with the outputs' names are replaced.
 """
@@ -36,6 +38,7 @@ CHAIN = 64
 BITS = 18
 TABLE = 1 << BITS  # hashed triples of code points
 LEXICON = 1 << 16
+OUTPUTS = ("lang_pred", "score", "known")
 ENDS = np.array([ord(c) for c in ".!?\n…。"], np.uint32)
 
 
@@ -80,13 +83,16 @@ def chains(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, k))
 
 
-def scores(m: Model, w: tv.Words) -> np.ndarray:
-    """Emission scores, words x languages."""
+def scores(m: Model, w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Emission scores, words x languages, and the number of each word's trigrams that training texts have."""
     tri, n, prefix, suffix, word = features(w)
     if not len(n):
-        return np.zeros((0, len(m.languages)), np.float32)
-    sums = np.add.reduceat(m.emit[m.row[tri]], np.cumsum(n) - n, axis=0)
-    return sums / np.sqrt(n)[:, None].astype(np.float32) + m.emit[m.row[prefix]] + m.emit[m.row[suffix]] + m.emit[m.row[word]]
+        return np.zeros((0, len(m.languages)), np.float32), n
+    row = m.row[tri]
+    first = np.cumsum(n) - n
+    sums = np.add.reduceat(m.emit[row], first, axis=0)
+    all_scores = sums / np.sqrt(n)[:, None].astype(np.float32) + m.emit[m.row[prefix]] + m.emit[m.row[suffix]] + m.emit[m.row[word]]
+    return all_scores, np.add.reduceat((row > 0).astype(np.int32), first)
 
 
 def forward_backward(emit: np.ndarray, move: np.ndarray, first: np.ndarray, size: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +127,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, rate: float = 0.3, least:
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
     m = Model(languages, np.zeros((1, k), np.float32), np.zeros((k, k), np.float32), np.zeros(3 * TABLE + LEXICON, np.int32))
-    if k < 2:
+    if not k:
         return m
     rng = np.random.default_rng(7)
     label = {lang: i for i, lang in enumerate(languages)}
@@ -133,6 +139,8 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, rate: float = 0.3, least:
     seen_ids = np.unique(np.concatenate((tri, prefix, suffix, 3 * TABLE + np.flatnonzero(known))))
     m.row[seen_ids] = np.arange(1, len(seen_ids) + 1)
     m.emit = np.zeros((len(seen_ids) + 1, k), np.float32)
+    if k < 2:  # nothing to tell apart
+        return m
     grad_e, grad_m = np.full_like(m.emit, 1e-2), np.full_like(m.move, 1e-2)
     lang_of = np.array([label[lang] for _, lang in rows])
     batches = [np.sort(x) for x in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 40, sum(len(t) for t, _ in rows) // 1_000_000))]
@@ -143,7 +151,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 4, rate: float = 0.3, least:
                 continue
             first, size = chains(w)
             gold = lang_of[batch][w.doc]
-            post, expected = forward_backward(scores(m, w), m.move, first, size, pairs=True)
+            post, expected = forward_backward(scores(m, w)[0], m.move, first, size, pairs=True)
             g = -post
             g[np.arange(len(gold)), gold] += 1
             tri, n, prefix, suffix, word = features(w)
@@ -172,24 +180,28 @@ def label_words(m: Model, text: str) -> list[tuple[str, str, float]]:
     if not len(w.start) or not m.languages:
         return []
     first, size = chains(w)
-    post, _ = forward_backward(scores(m, w), m.move, first, size)
+    post, _ = forward_backward(scores(m, w)[0], m.move, first, size)
     return [(text[s:e], m.languages[int(p.argmax())], float(p.max())) for s, e, p in zip(w.start, w.end, post, strict=True)]
 
 
-def label_texts(m: Model, texts: list[str]) -> tuple[list[str], list[float]]:
+def label_texts(m: Model, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+    """The language of each text, its share of the text's letters, and the share of trigrams that training texts have."""
     n = len(texts)
     if not m.languages:
-        return ["und"] * n, [0.0] * n
+        return ["und"] * n, [0.0] * n, [0.0] * n
     w = tv.split(texts)
     marks = np.concatenate(([0], np.cumsum(tv.letters(w.cps))))
     weight = (marks[w.end] - marks[w.start]).astype(np.float64)
     first, size = chains(w)
-    post, _ = forward_backward(scores(m, w), m.move, first, size)
+    emit, seen = scores(m, w)
+    post, _ = forward_backward(emit, m.move, first, size)
     share = np.stack([np.bincount(w.doc, post[:, j] * weight, n) for j in range(len(m.languages))], axis=1) if len(w.start) else np.zeros((n, len(m.languages)))
     total = share.sum(axis=1)
     best = share.argmax(axis=1)
     names = [m.languages[b] if x > 0 else "und" for b, x in zip(best, total, strict=True)]
-    return names, np.where(total > 0, share[np.arange(n), best] / np.maximum(total, 1e-9), 0).clip(0, 1).tolist()
+    has = weight > 0
+    known = np.bincount(w.doc, seen * has, n) / np.maximum(np.bincount(w.doc, (w.end - w.start) * has, n), 1)
+    return names, np.where(total > 0, share[np.arange(n), best] / np.maximum(total, 1e-9), 0).clip(0, 1).tolist(), known.tolist()
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, train_bytes: int = 4_000_000) -> Model:
@@ -217,18 +229,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
 
 
 def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """docs with lang_pred, score and known."""
+    keep = [c for c in docs.columns if c not in OUTPUTS]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*keep)
     at = keep.index(text)
-    schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tv.sliced(batch, at, 8_000_000 // max(8, len(sent.value.languages))):
-                names, sure = label_texts(sent.value, [x.as_py() or "" for x in part.column(at)])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*keep, "lang_pred", "score"])
+                names, sure, known = label_texts(sent.value, [x.as_py() or "" for x in part.column(at)])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array(known, pa.float64())], names=[*keep, *OUTPUTS])
 
     return src.mapInArrow(run, schema)
 

@@ -145,8 +145,10 @@ def entity_spans(docs: DataFrame, text: str, near: int = NEAR) -> tuple[DataFram
     found = cut(found.select(F.md5("t").alias("key"), "t").dropDuplicates(["key"]))
     spans = cut(base_spans(found))
     places = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end", "value")).alias("x"))  # a text's own
-    around = found.join(places, "key").select("key", _chunks(F.col("t")).alias("chunks"), F.explode("x").alias("x"))
-    beside = around.select("key", F.lower("x.value").alias("entity"), F.explode(_near(F.col("chunks"), F.col("x.start"), F.col("x.end"), near)).alias("term")).distinct()
+    # a generator's rows must not carry the text along: they are held together, a text's at once
+    around = found.join(places, "key").select("key", _chunks(F.col("t")).alias("chunks"), "x")
+    beside = F.transform("x", lambda s: F.struct(F.lower(s["value"]).alias("entity"), _near(F.col("chunks"), s["start"], s["end"], near).alias("terms")))
+    beside = around.select("key", F.explode(beside).alias("b")).select("key", "b.entity", F.explode("b.terms").alias("term")).distinct()
     own = spans.select("key", F.explode(_terms(F.col("value"))).alias("term")).distinct()
     return spans, cut(beside.join(own, ["key", "term"], "left_anti").select("key", "entity", "term"))
 
@@ -183,8 +185,9 @@ def all_spans(docs: DataFrame, text: str, support: int, generalise: float, remov
     put = F.when(F.col("share") >= remove, F.lit("")).otherwise(kind)
     located = salted_join(runs, terms, "term").select("key", "kind", "start", "end", put.alias("value"))
     # a term stands free if no base span before it ends, and none after it starts, within it
-    order = Window.partitionBy("key").orderBy("start", "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    spans_of = Window.partitionBy("key")
+    before = spans_of.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = spans_of.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)  # from the end
     is_base = F.col("kind") < 4
     both = base.union(located).select("*", F.max(F.when(is_base, F.col("end"))).over(before).alias("ended"), F.min(F.when(is_base, F.col("start"))).over(after).alias("starts"))
     free = (F.coalesce("ended", F.lit(0)) <= F.col("start")) & (F.coalesce("starts", "end") >= F.col("end"))

@@ -1,5 +1,6 @@
 """The training-data operators on small tables, against brute force, round trips and SQL."""
 
+import dataclasses
 import hashlib
 import json
 import os
@@ -226,10 +227,20 @@ def test_forward_backward_against_enumeration():
 
 
 def test_code_switching():
-    de, fr = "der und die schlicht ungeheuer nicht auch weich", "le les avec pour trouver elle mentaux que"
-    m = crf_language.fit([(" ".join(random.Random(i).sample(x.split(), 6)), n) for i in range(80) for x, n in ((de, "de"), (fr, "fr"))])
-    got = crf_language.label_words(m, "und die nicht. avec pour elle")
-    assert [lang for _, lang, _ in got] == ["de"] * 3 + ["fr"] * 3
+    own = {"de": "der und schlicht ungeheuer nicht auch weich", "fr": "le les avec pour trouver elle mentaux"}
+    shared = "an mal die tour"
+    draw = lambda rng, lang, n: rng.choices(own[lang].split(), k=n) + rng.choices(shared.split(), k=2)
+    shuffled = lambda rng, x: rng.sample(x, len(x))
+    m = crf_language.fit([(" ".join(shuffled(rng := random.Random(i), draw(rng, n, 5))), n) for i in range(80) for n in own])
+    alone = dataclasses.replace(m, move=np.zeros_like(m.move))
+    right = {"chain": 0, "word": 0}
+    for i in range(200):  # no full stop between the stretches: one chain
+        rng = random.Random(1000 + i)
+        parts = [(w, lang) for lang in rng.sample([*own], 2) for w in shuffled(rng, draw(rng, lang, 6))]
+        for name, model in (("chain", m), ("word", alone)):
+            got = crf_language.label_words(model, " ".join(w for w, _ in parts))
+            right[name] += sum(lang == want for (_, lang, _), (_, want) in zip(got, parts, strict=True))
+    assert right["chain"] >= 0.96 * 3200 and right["chain"] > right["word"] + 100
 
 
 def test_language_beyond_latin():
@@ -240,7 +251,7 @@ def test_language_beyond_latin():
     }
     text = lambda i, x: " ".join(random.Random(i).sample(x.split(), 6))
     m = crf_language.fit([(text(i, x), n) for i in range(60) for n, x in words.items()])
-    names, _ = crf_language.label_texts(m, [text(1000 + i, x) for i in range(20) for x in words.values()])
+    names, _, _ = crf_language.label_texts(m, [text(1000 + i, x) for i in range(20) for x in words.values()])
     assert names == [*words] * 20
 
 

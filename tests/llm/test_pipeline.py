@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import sys
 from collections import defaultdict
@@ -119,8 +120,8 @@ def test_against_brute_force(spark, result):
     import zlib
 
     learned = crf_language.train(df.where(df.doc_id.isin([int(i) for i in docs if zlib.crc32(str(i).encode()) % 5])))
-    names, sure = crf_language.label_texts(learned, [*docs.values()])
-    docs = {i: t for (i, t), n, s in zip(docs.items(), names, sure, strict=True) if n != "und" and s >= corpus_pipeline.LEAST_SHARE}
+    names, _, known = crf_language.label_texts(learned, [*docs.values()])
+    docs = {i: t for (i, t), n, k in zip(docs.items(), names, known, strict=True) if n != "und" and k >= corpus_pipeline.LEAST_KNOWN}
     kept = without_copies(docs)
     items = pd.read_parquet(f"{SF}/benchmark.parquet").text
     docs = {i: t for i, t in docs.items() if i in kept and not contaminated(t, items)}
@@ -145,6 +146,27 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+def test_language_stage_rejects_what_no_language_is(spark):
+    clean = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").collect()]
+    rng = random.Random(4)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(60)) for _ in range(20)]
+    other = ["това е български текст за проверка на езика", "这是一段没有学过的语言", "अपठित भाषा का एक वाक्य", "12 34 !!"]
+    for languages in ({"en", "fr", "de", "es"}, {"en", "fr"}, {"en"}):  # however many there are
+        rows = [x for x in clean if x[2] in languages] + [(10**6 + i, t, None) for i, t in enumerate(junk + other)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+        left = {r.doc_id for r in corpus_pipeline.in_a_language(spark, docs, SF).collect()}
+        assert left == {i for i, t, _ in clean if i in {x[0] for x in rows} and re.search("[A-Za-z]", t)}, languages
+
+
+def test_stages_read_very_long_texts(spark):
+    long = "mail ann@x.example now and then " * 20_000
+    df = spark.createDataFrame([(1, long, "en", len(long)), (2, long, "en", len(long)), (3, "another short text here", "en", 23)], "doc_id bigint, text string, lang string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        df = stage(spark, df, SF)
+    got = {r.doc_id: r.n_tokens for r in df.collect()}
+    assert set(got) == {1, 3} and got[1] > 100_000 and got[3] == 4
+
+
 def test_clean_documents_stay(result):
     src = pd.read_parquet(f"{SF}/documents.parquet")
     assert 0.7 * len(src) < len(result) <= len(src)
