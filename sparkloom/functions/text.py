@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,3 +134,39 @@ def output_extension(form: Column) -> Column:
 def with_extension(file: Column, extension: Column) -> Column:
     """file with its final `.js` replaced."""
     return F.when(F.endswith(file, F.lit(".js")), F.concat(F.regexp_replace(file, r"\.js$", ""), extension)).otherwise(file)
+
+
+def glob_regex(glob: str) -> str:
+    """A regular expression for paths that end in what a glob says: `**/` is any folders, `*` and `?` stay within a part,
+    `{a,b}` is either."""
+    tokens = {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}
+    depth, out, at = 0, "", 0
+    while at < len(glob):
+        token = next((t for t in ("**/", "**", "*", "?", "{", "}", ",") if glob.startswith(t, at)), "")
+        depth += {"{": 1, "}": -1}.get(token, 0)
+        plain = not token or token == "," and not depth
+        out += (re.escape(glob[at]) if plain else tokens[token])
+        at += 1 if plain else len(token)
+    return f"(?:^|/){out}$"
+
+
+def path_matches(path: Column, globs: Sequence[str]) -> Column:
+    """Whether a path ends in one of the globs, and in none of those that start with `!`."""
+    wanted = [glob_regex(g) for g in globs if not g.startswith("!")]
+    unwanted = [glob_regex(g[1:]) for g in globs if g.startswith("!")]
+    some = path.rlike("|".join(f"(?:{g})" for g in wanted)) if wanted else F.lit(False)
+    return some & ~path.rlike("|".join(f"(?:{g})" for g in unwanted)) if unwanted else some
+
+
+#: Languages in which i keeps its dot and the dotless one is a letter of its own.
+DOTTED = ("tr", "az")
+
+
+def lower_in(value: Column, language: str = "") -> Column:
+    """Lower case by a language's rules."""
+    return F.lower(F.translate(F.replace(value, F.lit("İ"), F.lit("i")), "I", "ı")) if language in DOTTED else F.lower(value)
+
+
+def upper_in(value: Column, language: str = "") -> Column:
+    """Upper case by a language's rules."""
+    return F.upper(F.translate(value, "i", "İ")) if language in DOTTED else F.upper(value)

@@ -57,12 +57,16 @@ def header_pairs(headers: Column) -> Column:
 
 
 def iso_millis(epoch_millis: Column) -> Column:
-    """ISO 8601 in UTC with milliseconds and Z. The session's time zone must be UTC."""
-    return F.date_format(F.timestamp_millis(epoch_millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """ISO 8601 in UTC with milliseconds and Z, whatever the session's time zone."""
+    day, rest = F.floor(epoch_millis / 86_400_000).cast("int"), F.pmod(epoch_millis, F.lit(86_400_000))
+    part = lambda unit, size, digits: F.lpad((F.floor(rest / unit) % size).cast("string"), digits, "0")
+    clock = F.concat(part(3_600_000, 24, 2), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit("."), part(1, 1000, 3))
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string"), F.lit("T"), clock, F.lit("Z"))
 
 
 def today() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd")
+    """The date in UTC, whatever the session's time zone."""
+    return F.left(iso_millis(F.unix_millis(F.current_timestamp())), F.lit(10))
 
 
 def error_body(is_http: Column, status: Column, message: Column) -> Column:
@@ -82,4 +86,5 @@ def http_error(status: Column, message: Column) -> Column:
 
 
 def pretty_json(value: Column) -> Column:
-    return F.to_json(value, {"pretty": "true"})
+    """A record as JSON over several lines, two spaces a level, `"key": value`; arrays of plain values on one line."""
+    return F.regexp_replace(F.to_json(value, {"pretty": "true"}), r'(?m)^(\s*"(?:[^"\\]|\\.)*") : ', "$1: ")

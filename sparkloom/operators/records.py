@@ -11,6 +11,7 @@ from sparkloom.functions import text, web
 
 #: Rule files of each assistant, commands that add a tool by each package manager, lock files by precedence.
 RULE_FILES = {"claude": ("CLAUDE.md", ".claude"), "cursor": (".cursor",), "windsurf": (".windsurf",), "amp": ("AGENTS.md",)}
+ADD_COMMANDS = {"bun": ("bun", "add", "--dev"), "pnpm": ("pnpm", "add", "--save-dev"), "yarn": ("yarn", "add", "--dev"), "npm": ("npm", "install", "--save-dev")}
 LOCK_FILES = (("bun.lockb", "bun"), ("bun.lock", "bun"), ("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("package-lock.json", "npm"))
 ENTRY_POINTS = ("src/index.ts", "index.ts")
 ASSET_DIRECTORIES = ("public", "static", "assets", "dist")
@@ -48,8 +49,24 @@ def described(description: Column, globs: Column, always: Column, lead: str = "R
 
 
 def under(root: Column, paths: Column) -> Column:
-    """root/path of each path; parts `.` and doubled slashes go."""
-    return F.transform(paths, lambda p: F.regexp_replace(F.regexp_replace(F.concat_ws("/", root, p), r"(?<=^|/)\./", ""), "/{2,}", "/"))
+    """root/path of each path, normalised."""
+    return F.transform(paths, lambda p: normal_path(F.concat_ws("/", root, p)))
+
+
+def normal_path(path: Column) -> Column:
+    """path without empty and `.` parts; `..` takes the part before it away. A slash at the end stays, one alone is the
+    root, above which nothing is; nothing at all is `.`."""
+    absolute = F.startswith(path, F.lit("/"))
+    parts = F.filter(F.split(path, "/", -1), lambda x: ~x.isin("", "."))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        back = (x == "..") & last.isNotNull() & (last != "..")
+        return F.when(back, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when((x == "..") & absolute, done).otherwise(F.concat(done, F.array(x)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    body = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"), F.when(F.endswith(path, F.lit("/")) & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(body == "", ".").otherwise(body)
 
 
 # filters
@@ -88,6 +105,15 @@ def first_existing(candidates: Sequence[str], present: Column) -> Column:
     return F.try_element_at(existing(candidates, present), F.lit(1))
 
 
+def nearest_above(folders: DataFrame, files: DataFrame, marker: str) -> DataFrame:
+    """(folder, found) of each folder: the path, among files (path), of the nearest marker in it or above it, or null."""
+    parts = F.split("folder", "/")
+    above = folders.select("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.concat_ws("/", F.slice(parts, 1, n), F.lit(marker)).alias("path")))).alias("a"))
+    held = files.select("path", F.col("path").alias("there"))
+    met = above.select("folder", "a.depth", "a.path").join(held, "path", "left")
+    return met.groupBy("folder").agg(F.max_by("there", F.when(F.col("there").isNotNull(), F.col("depth")).otherwise(0)).alias("found"))
+
+
 def package_manager(present: Column) -> Column:
     """By the lock files there are; npm without any."""
     out = F.lit("npm")
@@ -138,6 +164,11 @@ def first_rule(value: Column, rules: Sequence[tuple[object, object]]) -> Column:
     return out
 
 
+def add_command(manager: Column, tool: str) -> Column:
+    """The words of the command that adds a tool; null for an unknown package manager."""
+    return F.concat(constant_lookup(manager, ADD_COMMANDS), F.array(F.lit(tool)))
+
+
 def files_to_remove(selected: Column) -> Column:
     """Files of all assistants that are not selected."""
     rest = F.array_except(F.array(*map(F.lit, RULE_FILES)), selected)

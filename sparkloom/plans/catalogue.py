@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from sparkloom.functions import case, text, validate, web
 from sparkloom.operators import records, recursive
 from sparkloom.plans import rules, secrets
 from sparkloom.sinks import files
+from sparkloom.sources import documents, shared
+from sparkloom.streaming import responses
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,11 +199,11 @@ def required_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.required_lookup(names, nations)
 
 
-@query("SELECT r.r_name AS preset, n.n_name AS name, v.key, v.value FROM nation n JOIN region r ON r_regionkey = n_regionkey JOIN (VALUES ('FRANCE', 'A', '1'), ('FRANCE', 'B', '2'), ('CHINA', 'A', '3')) v(name, key, value) ON v.name = n.n_name")
+@query("SELECT r.r_name AS preset, n.n_name AS name, v.key, v.value FROM nation n JOIN region r ON r_regionkey = n_regionkey JOIN (VALUES ('NATION_6', 'A', '1'), ('NATION_6', 'B', '2'), ('NATION_18', 'A', '3'), ('NOWHERE', 'A', '4')) v(name, key, value) ON v.name = n.n_name")
 def derived_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     presets = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("preset")).agg(F.collect_list("n_name").alias("names"))
-    variables = spark.createDataFrame([("FRANCE", "A", "1"), ("FRANCE", "B", "2"), ("CHINA", "A", "3")], "name string, key string, value string")
+    variables = spark.createDataFrame([("NATION_6", "A", "1"), ("NATION_6", "B", "2"), ("NATION_18", "A", "3"), ("NOWHERE", "A", "4")], "name string, key string, value string")
     return records.derived(records.expanded(presets), variables).select("preset", "name", "key", "value")
 
 
@@ -207,9 +212,9 @@ def last_wins_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.last_wins(table(spark, sf_dir, "events"), "event_type", "value", ["ts", "event_id"], by=["user_id"])
 
 
-@query("SELECT user_id, bool_or(event_id % 11 <> 0) AS failed, count(*) AS n, string_agg(event_type, ',' ORDER BY event_id) AS types FROM events GROUP BY user_id")
+@query("SELECT user_id, bool_or(event_id % 11 = 1 OR event_id % 13 = 2) AS failed, count(*) AS n, string_agg(event_type, ',' ORDER BY event_id) AS types FROM events GROUP BY user_id")
 def any_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.when(F.col("event_id") % 11 != 0, 1).otherwise(0)
+    code = F.when(F.col("event_id") % 13 == 2, None).when(F.col("event_id") % 11 == 1, 2).otherwise(0)  # null: it never ended
     return table(spark, sf_dir, "events").groupBy("user_id").agg(records.any_failed(code).alias("failed"), F.count("*").alias("n"), records.joined(F.col("event_type"), F.col("event_id"), ",").alias("types"))
 
 
@@ -249,9 +254,16 @@ def ranked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.ranked(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "p_name", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT p_partkey, p_name FROM part")
+_SPELT = "SELECT n_name AS x FROM nation UNION ALL SELECT lower(n_name) FROM nation UNION ALL SELECT 'Nation' || n_nationkey FROM nation"
+
+
+@query(f"SELECT x, row_number() OVER (ORDER BY replace(lower(x), '_', ' '), x DESC) AS locale_place, row_number() OVER (ORDER BY x) AS code_place FROM ({_SPELT})")
 def locale_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.by_name(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name")
+    n = table(spark, sf_dir, "nation")
+    spelt = n.select(F.col("n_name").alias("x")).union(n.select(F.lower("n_name"))).union(n.select(F.concat(F.lit("Nation"), "n_nationkey")))
+    rows = [r.x for r in records.by_name(spelt, "x").collect()]  # a few, to see the sort itself
+    placed = spark.createDataFrame([(x, i) for i, x in enumerate(rows, 1)], "x string, locale_place long")
+    return placed.join(records.ranked(spelt.withColumn("all", F.lit(1)), ["all"], [F.col("x")]).select("x", F.col("place").cast("long").alias("code_place")), "x")
 
 
 # ---- validation
@@ -266,8 +278,8 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ITEM = lambda: F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.lit(True).alias("favorite"), F.lit(1).alias("version"), F.struct(F.lit("v").alias("id"), F.lit("n").alias("name")).alias("vault"), F.when(F.col("c_custkey") % 2 == 0, "SECURE_NOTE").otherwise("LOGIN").alias("category"), F.lit("x").alias("last_edited_by"), F.lit("2024-01-02T03:04:05Z").alias("created_at"), F.when(F.col("c_custkey") % 3 == 0, "yesterday").otherwise("2024-01-02T03:04:05Z").alias("updated_at"), F.when(F.col("c_custkey") % 5 != 0, "").alias("additional_information"), F.array(F.struct(F.lit("s").alias("id"))).alias("sections"), F.array().cast("array<struct<id:string>>").alias("fields")))
 projection("secret_item", "customer", ["c_custkey"], lambda: {"error": validate.secret_item_error(validate.json_strict(_ITEM(), validate.SECRET_ITEM))}, {"error": "CASE WHEN c_custkey % 5 = 0 THEN 'additional_information is required' WHEN c_custkey % 2 <> 0 THEN 'category is invalid' WHEN c_custkey % 3 = 0 THEN 'time is invalid' END"})
-_TASKS = lambda: F.concat(F.lit('{"unknown":1,"ui":"'), F.when(F.col("p_size") % 2 == 0, "tui").otherwise("gui"), F.lit('","tasks":{"build":{"cache":true,"dependsOn":["^build","//#gen","lint"],"outputLogs":"'), F.when(F.col("p_size") % 3 == 0, "all").otherwise("full"), F.lit('"}}}'))
-projection("task_config", "part", ["p_partkey"], lambda: {"error": validate.task_config_error((_T := validate.json_strict(_TASKS(), validate.TASK_CONFIG))), "schema": validate.with_default_schema(_T["$schema"], "https://json.example/schema")}, {"error": "CASE WHEN p_size % 2 <> 0 THEN 'ui is invalid' WHEN p_size % 3 = 0 THEN 'outputLogs is invalid' END", "schema": "'https://json.example/schema'"})
+_TASKS = lambda: F.concat(F.lit('{"unknown":1,'), F.when(F.col("p_size") % 7 == 0, '"$schema":"own",').otherwise(""), F.lit('"ui":"'), F.when(F.col("p_size") % 2 == 0, "tui").otherwise("gui"), F.lit('","tasks":{"build":{"cache":true,"dependsOn":["^build","//#gen","lint"],"outputLogs":"'), F.when(F.col("p_size") % 3 == 0, "all").otherwise("full"), F.lit('"}}}'))
+projection("task_config", "part", ["p_partkey"], lambda: {"error": validate.task_config_error((_T := validate.json_strict(_TASKS(), validate.TASK_CONFIG))), "schema": validate.with_default_schema(_T["$schema"], "https://json.example/schema")}, {"error": "CASE WHEN p_size % 2 <> 0 THEN 'ui is invalid' WHEN p_size % 3 = 0 THEN 'outputLogs is invalid' END", "schema": "CASE WHEN p_size % 7 = 0 THEN 'own' ELSE 'https://json.example/schema' END"})
 
 
 @query("SELECT p_partkey, 'build' AS task, d AS depends_on, s AS scope FROM part, (VALUES ('build', 'upstream'), ('gen', 'root'), ('lint', 'package')) v(d, s)")
@@ -305,16 +317,17 @@ def rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.valid(rules.parse(docs)).select("filename", "name", f["description"].alias("description"), f["globs"].alias("globs"), f["alwaysApply"].alias("always"), "content")
 
 
-@query("""SELECT 'secret' AS kind, n_name AS key, 's' || n_nationkey AS value FROM nation WHERE n_regionkey = 3 OR n_name = 'CHINA'
-  UNION ALL SELECT 'variable', 'REGION', 'given' UNION ALL SELECT 'variable', 'D_' || n_name, n_name FROM nation WHERE n_regionkey = 3 OR n_name = 'CHINA' UNION ALL SELECT 'variable', 'D_ABSENT', 'x'""")
+@query("""SELECT 'secret' AS kind, n_name AS key, 's' || n_nationkey AS value FROM nation WHERE n_regionkey = 3 OR n_name = 'NATION_7'
+  UNION ALL SELECT 'variable', 'REGION', 'given' UNION ALL SELECT 'variable', 'D_' || n_name, n_name FROM nation WHERE n_regionkey = 3 OR n_name = 'NATION_7' UNION ALL SELECT 'variable', 'D_ABSENT', 'x' UNION ALL SELECT 'variable', 'TWICE', 'late'""")
 def container_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     held = nation.select(F.col("n_name").alias("name"), F.concat(F.lit("s"), F.col("n_nationkey")).alias("value"))
     presets = nation.groupBy(F.concat(F.lit("r"), F.col("n_regionkey")).alias("preset")).agg(F.collect_list("n_name").alias("names"))
-    asked = spark.createDataFrame([("CHINA",), ("ABSENT",)], "name string")
+    asked = spark.createDataFrame([("NATION_7", 0), ("ABSENT", 1)], "name string, at int")
     wanted = spark.createDataFrame([("r3",)], "preset string")
     own = nation.select(F.col("n_name").alias("name"), F.concat(F.lit("D_"), F.col("n_name")).alias("key"), F.col("n_name").alias("value"))
-    variables = own.unionByName(spark.createDataFrame([("ABSENT", "D_ABSENT", "x"), ("CHINA", "REGION", "derived")], "name string, key string, value string"))
+    more = [("ABSENT", "D_ABSENT", "x", 0), ("NATION_7", "REGION", "derived", 0), ("NATION_7", "TWICE", "z", 1), ("NATION_7", "TWICE", "y", 2), ("ABSENT", "TWICE", "late", 3)]
+    variables = own.withColumn("at", F.lit(0)).unionByName(spark.createDataFrame(more, "name string, key string, value string, at int"))
     env = spark.createDataFrame([("REGION", "given"), ("NOTHING", None)], "key string, value string")
     return secrets.with_env(held, secrets.secret_names(asked, presets, wanted), variables, env)
 
@@ -328,8 +341,185 @@ def section_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.last_wins(records.matching(fields, sections, "section", "id"), "label", "value", ["at"])
 
 
+# ---- sources: files are written to the shared folder first, then read as any others
+
+def _nation_files(spark: SparkSession, sf_dir: str, name: Callable[[int, str], str], content: Callable[[int, str], str]) -> str:
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # a fixed table of 25 rows
+    return shared.write_files(spark, shared.new_dir(spark), {name(k, n): content(k, n) for k, n in nations})
+
+
+@query(r"""SELECT 'cursor_rule_' || n_name AS tool, 'Read Cursor rule: About ' || n_name || CASE WHEN n_nationkey % 3 = 0 AND n_nationkey % 2 = 0 THEN ' (applies to *.' || n_nationkey || ', always-apply)' WHEN n_nationkey % 3 = 0 THEN ' (always-apply)'
+  WHEN n_nationkey % 2 = 0 THEN ' (applies to *.' || n_nationkey || ')' ELSE '' END AS description, 'Body ' || n_nationkey AS content FROM nation WHERE n_nationkey % 5 <> 4 AND length('About ' || n_name) >= 10""")
+def rule_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory of rule files to tools; every fifth file is no rule file."""
+    globs = lambda k: f"globs: *.{k}\n" if k % 2 == 0 else ""
+    at = _nation_files(spark, sf_dir, lambda k, n: f"{n}.{'md' if k % 5 == 4 else 'mdc'}", lambda k, n: f"---\ndescription: About {n}\n{globs(k)}alwaysApply: {str(k % 3 == 0).lower()}\n---\nBody {k}\n")
+    return rules.tools(spark, at)
+
+
+@query(r"""SELECT n_name || '.mdc' AS filename, CASE n_nationkey % 4 WHEN 0 THEN 'missing description (must be at least 10 characters)' WHEN 1 THEN 'alwaysApply is no boolean' WHEN 2 THEN 'globs is no string' END AS error FROM nation WHERE n_nationkey % 4 <> 3""")
+def rule_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = ["description: short\n", "description: long enough for a rule\nalwaysApply: maybe\n", "description: long enough for a rule\nglobs:\n  - a\n", "description: long enough for a rule\n"]
+    at = _nation_files(spark, sf_dir, lambda k, n: f"{n}.mdc", lambda k, n: f"---\n{heads[k % 4]}---\nBody\n")
+    return rules.rejected(rules.parse(documents.rule_files(spark, at)))
+
+
+@query("SELECT 'a/' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN '.ts' ELSE '.tsx' END AS path, 'text ' || n_nationkey AS value FROM nation WHERE n_nationkey % 3 <> 0")
+def globbed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several globs, some of them negative, down through folders."""
+    def name(k: int, n: str) -> str:
+        return f"{'node_modules/x' if k % 3 == 0 else 'a'}/{n}.{'ts' if k % 2 == 0 else 'tsx'}"
+
+    at = _nation_files(spark, sf_dir, name, lambda k, n: f"text {k}")
+    shared.write_files(spark, at, {"a/readme.md": "no", "a/x.d.ts": "no"})
+    got = documents.files_by_glob(spark, at, ["**/*.{ts,tsx}", "!**/node_modules/**", "!*.d.ts"])
+    return got.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("path"), "value")
+
+
+@query(r"""SELECT p_partkey, 'src/' || p_name || '/' || CASE WHEN p_size % 2 = 0 THEN 'test.ts' ELSE 'b.test.tsx' END AS path FROM part WHERE p_size % 3 <> 0 AND (p_size % 2 <> 0 OR p_name NOT LIKE 's%')""")
+def glob_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    path = F.concat(F.lit("src/"), "p_name", F.lit("/"), F.when(F.col("p_size") % 3 == 0, "test.js").when(F.col("p_size") % 2 == 0, "test.ts").otherwise("b.test.tsx"))
+    return parts.select("p_partkey", path.alias("path")).where(text.path_matches(F.col("path"), ["**/*test.{ts,tsx}", "!s*/test.t?", "!src/s*/test.t?"]))
+
+
+@query("SELECT n_name AS name, 'dep' || n_nationkey AS dependency, '^' || n_regionkey AS version FROM nation")
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed JSON documents with unknown keys."""
+    regions = {r.n_name: r.n_regionkey for r in table(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect()}
+    at = _nation_files(spark, sf_dir, lambda k, n: f"{n}.json", lambda k, n: json.dumps({"name": n, "private": True, "dependencies": {f"dep{k}": f"^{regions[n]}"}}, indent=2))
+    return documents.json_document(spark, at, validate.MANIFEST).select("name", F.explode("dependencies").alias("dependency", "version"))
+
+
+@query("SELECT n_name AS config, 'es' || n_nationkey AS target, CASE WHEN n_nationkey % 2 = 0 THEN 'true' END AS strict FROM nation")
+def commented_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON with comments."""
+    strict = lambda k: '"strict": "true", ' if k % 2 == 0 else ""
+    at = _nation_files(spark, sf_dir, lambda k, n: f"{n}.json", lambda k, n: f'{{ // of {n}\n  "name": "{n}", /* options */\n  "compilerOptions": {{ {strict(k)}"target": "es{k}" }}\n}}')
+    got = documents.json_document(spark, at, "name string, compilerOptions struct<target:string,strict:string>", comments=True)
+    return got.select(F.col("name").alias("config"), "compilerOptions.target", "compilerOptions.strict")
+
+
+@query("SELECT n_name AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'category is invalid' END AS error, 'v' || n_nationkey AS value FROM nation")
+def captured_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a process printed, one JSON document a file, checked as a secret item."""
+    def item(k: int, n: str) -> str:
+        field = {"id": "f", "type": "STRING", "label": "l", "value": f"v{k}", "reference": "r", "section": {"id": "s"}}
+        rest = {"title": n, "favorite": False, "version": 1, "vault": {"id": "v", "name": "n"}, "category": "LOGIN" if k % 2 == 0 else "SECURE_NOTE", "last_edited_by": "x", "additional_information": ""}
+        return json.dumps({"id": n, **rest, "created_at": "2024-01-02T03:04:05Z", "updated_at": "2024-01-02T03:04:05Z", "sections": [{"id": "s"}], "fields": [field]})
+
+    got = documents.captured_json(spark, _nation_files(spark, sf_dir, lambda k, n: f"{n}.out", item), validate.SECRET_ITEM)
+    return got.select("id", validate.secret_item_error(F.struct(*got.columns)).alias("error"), F.col("fields")[0]["value"].alias("value"))
+
+
+@query("SELECT n_name AS line FROM nation UNION ALL SELECT 'second ' || n_nationkey FROM nation")
+def process_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.output_lines(spark, _nation_files(spark, sf_dir, lambda k, n: f"{n}.out", lambda k, n: f"{n}\n\nsecond {k}\n\n"))
+
+
+@query(r"""SELECT '/r/' || p_brand || '/' || p_type || '/' || p_partkey AS folder, CASE WHEN p_partkey % 4 = 0 THEN '/r/' || p_brand || '/' || p_type || '/' || p_partkey || '/turbo.json' WHEN length(p_type) % 2 = 0 THEN '/r/' || p_brand || '/' || p_type || '/turbo.json' END AS found FROM part""")
+def nearest_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest marker file in a folder or above it."""
+    part = table(spark, sf_dir, "part")
+    above = F.concat(F.lit("/r/"), "p_brand", F.lit("/"), "p_type")
+    folders = part.select(F.concat(above, F.lit("/"), "p_partkey").alias("folder"))
+    own = folders.join(part.where("p_partkey % 4 = 0").select(F.concat(above, F.lit("/"), "p_partkey").alias("folder")), "folder").select(F.concat("folder", F.lit("/turbo.json")).alias("path"))
+    shared_ones = part.where("length(p_type) % 2 = 0").select(F.concat(above, F.lit("/turbo.json")).alias("path")).distinct()
+    return records.nearest_above(folders, own.union(shared_ones), "turbo.json")
+
+
+# ---- sinks
+
+@query("SELECT * FROM (VALUES ('new file', 'written'), ('again', 'refused'), ('other name', 'refused'), ('same content', 'kept'), ('other order', 'written'), ('check', 'same'), ('drift', 'differs')) v(step, outcome)")
+def guarded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are written only where none is, or only where they differ."""
+    def tried(run: Callable[[], object], good: str, bad: str, errors: type[Exception]) -> str:
+        try:
+            run()
+        except errors:
+            return bad
+        return good
+
+    config = dict(sorted((r.r_name, r.r_regionkey) for r in table(spark, sf_dir, "region").collect()))
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own files
+        new = lambda name: tried(lambda: files.write_new_config(folder, name, files.canonical(config)), "written", "refused", FileExistsError)
+        path = str(Path(folder) / "wrangler.jsonc")
+        wrote = lambda value: "written" if files.write_if_changed(path, value) else "kept"
+        check = lambda value: tried(lambda: files.check_unchanged(path, value), "same", "differs", ValueError)
+        back = dict(reversed(config.items()))
+        out = [("new file", new("wrangler.jsonc")), ("again", new("wrangler.jsonc")), ("other name", new("wrangler.toml")), ("same content", wrote(config)), ("other order", wrote(back)), ("check", check(back)), ("drift", check(config))]
+    return spark.createDataFrame(out, "step string, outcome string")
+
+
+@query("SELECT event_type || event_id AS name, CASE WHEN event_id % 4 = 0 THEN 'Success!' ELSE 'Failed with code: ' || (event_id % 4) END AS outcome FROM events")
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.result_table(table(spark, sf_dir, "events").select(F.concat("event_type", "event_id").alias("name"), (F.col("event_id") % 4).cast("int").alias("exit_code")))
+
+
+@query("""SELECT 'secret' AS kind, n_name AS key FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'variable', 'D_' || n_name FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'variable', 'GIVEN' UNION ALL SELECT 'variable', 'NOTHING'""")
+def container_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    held = nation.select(F.col("n_name").alias("name"), F.lit("s").alias("value"))
+    presets = nation.groupBy(F.concat(F.lit("r"), F.col("n_regionkey")).alias("preset")).agg(F.collect_list("n_name").alias("names"))
+    names = secrets.secret_names(spark.createDataFrame([], "name string"), presets, spark.createDataFrame([("r2",)], "preset string"))
+    variables = nation.select(F.col("n_name").alias("name"), F.concat(F.lit("D_"), F.col("n_name")).alias("key"), F.lit("x").alias("value"))
+    return secrets.without_env(held, names, variables, spark.createDataFrame([("GIVEN", "1"), ("NOTHING", None)], "key string, value string"))
+
+
+@query("SELECT c_nationkey AS key, CASE WHEN max(c_custkey) % 2 = 0 THEN 'late' || max(c_custkey) ELSE 'early' || c_nationkey END AS value FROM customer GROUP BY c_nationkey")
+def merged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    early = c.select(F.col("c_nationkey").alias("key"), F.concat(F.lit("early"), "c_nationkey").alias("value")).distinct()
+    late = c.groupBy(F.col("c_nationkey").alias("key")).agg(F.max("c_custkey").alias("m")).where("m % 2 = 0").select("key", F.concat(F.lit("late"), "m").alias("value"))
+    return records.merge_tables([early, late], "key", "value")
+
+
+# ---- paths, commands, languages, time and JSON
+
+projection("normal_paths", "part", ["p_partkey"], lambda: {"path": records.under(F.lit("out"), F.array(F.concat(F.lit("./a//"), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, "/../b/").otherwise("/./b"))))[0], "above": records.normal_path(F.concat(F.lit("/x/../../"), F.col("p_type"))), "back": records.normal_path(F.concat(F.lit("../"), F.col("p_brand"), F.lit("/..")))},
+           {"path": "CASE WHEN p_size % 2 = 0 THEN 'out/a/b/' ELSE 'out/a/' || p_name || '/b' END", "above": "'/' || p_type", "back": "'..'"})
+projection("add_commands", "part", ["p_partkey"], lambda: {"command": F.concat_ws(" ", records.add_command(F.element_at(F.array(*map(F.lit, ("bun", "pnpm", "yarn", "npm", "pip"))), (F.col("p_size") % 5 + 1).cast("int")), "wrangler"))},
+           {"command": "CASE p_size % 5 WHEN 0 THEN 'bun add --dev wrangler' WHEN 1 THEN 'pnpm add --save-dev wrangler' WHEN 2 THEN 'yarn add --dev wrangler' WHEN 3 THEN 'npm install --save-dev wrangler' ELSE '' END"})
+projection("language_case", "part", ["p_partkey"], lambda: {"low": text.lower_in(F.concat(F.lit("Iİ"), F.upper("p_name")), "tr"), "high": text.upper_in(F.concat(F.lit("ıi"), "p_name"), "tr"), "plain": text.upper_in(F.concat(F.lit("i"), "p_name"))},
+           {"low": "'ıi' || replace(lower(p_name), 'i', 'ı')", "high": "'Iİ' || upper(replace(p_name, 'i', 'İ'))", "plain": "'I' || upper(p_name)"})
+projection("pretty_records", "part", ["p_partkey"], lambda: {"json": web.pretty_json(F.struct(F.col("p_partkey").alias("key"), F.struct(F.concat(F.col("p_name"), F.lit('" : ')).alias("name"), F.lit(True).alias("on")).alias("sub")))},
+           {"json": r"""E'{\n  "key": ' || p_partkey || E',\n  "sub": {\n    "name": "' || p_name || E'\\" : ",\n    "on": true\n  }\n}'"""})
+
+
+@query("SELECT 'today' AS name, strftime(current_date, '%Y-%m-%d') AS value UNION ALL SELECT 'parsed', 'a' UNION ALL SELECT 'zone', strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') FROM events")
+def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date, a value that passes its check, and the latest event's moment."""
+    one = spark.range(1)
+    zone = table(spark, sf_dir, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ms"))
+    return one.select(F.lit("today").alias("name"), web.today().alias("value")).union(one.select(F.lit("parsed"), validate.parsed(F.lit("a"), F.lit(None).cast("string")))).union(zone.select(F.lit("zone"), web.iso_millis(F.col("ms"))))
+
+
+# ---- the response cache, as a table
+
+_CACHE_SQL = """WITH RECURSIVE e AS (SELECT user_id || ' ' || event_type AS key, ts, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), {status}) AS n, {status} AS status, {ttl} AS ttl FROM events),
+  r AS (SELECT key, n, ts, status, FALSE AS hit, CASE WHEN ttl > 0 THEN ms + 1000 * ttl ELSE 0 END AS until FROM e WHERE n = 1
+    UNION ALL SELECT e.key, e.n, e.ts, e.status, e.ms < r.until, CASE WHEN e.ms >= r.until AND e.ttl > 0 THEN e.ms + 1000 * e.ttl ELSE r.until END FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+  SELECT key, ts, status, hit FROM r"""
+_STATUS = "CAST(CASE event_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 500 END AS INT)"
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 3 == 0, 200).when(F.col("event_id") % 3 == 1, 404).otherwise(500).alias("status"))
+
+
+def cache_query(name: str, ttl: str, **options: object) -> None:
+    QUERIES[name] = lambda spark, sf_dir: responses.cached_table(_requests(spark, sf_dir), by=("user_id", "event_type"), **options)
+    ORACLE_SQL[name] = _CACHE_SQL.format(status=_STATUS, ttl=ttl)
+
+
+cache_query("cache_ok", "CASE WHEN event_id % 3 = 0 THEN 100000 ELSE 0 END", rules=[(200, 100_000)])
+cache_query("cache_all", "50000", default_ttl=50_000)
+cache_query("cache_by_status", "CASE event_id % 3 WHEN 0 THEN 200000 WHEN 1 THEN 20000 ELSE 0 END", rules=[(200, 200_000), (404, 20_000), (200, 5)])
+
+
 @query("""SELECT d.doc_id, 'Read Cursor rule: ' || d.lang || '-' || d.source || CASE WHEN d.doc_id % 2 = 0 THEN ' (applies to *.' || d.lang || ')' ELSE '' END AS description,
-  CAST(length(d.text) AS BIGINT) AS n_chars, left(array_to_string(list_filter(list_transform(string_split(text, E'\\n'), lambda x: trim(x, E' \\t\\r')), lambda x: x <> ''), ' '), 200) AS line
+  CAST(length(d.text) AS BIGINT) AS n_chars, array_to_string(list_filter(list_transform(string_split(text, E'\\n'), lambda x: trim(x, E' \\t\\r')), lambda x: x <> ''), ' ') AS line
   FROM documents d WHERE length(text) >= 10 AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, filter by length, membership, project: the longest path from documents to descriptions."""
@@ -337,4 +527,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = records.matching(docs, table(spark, sf_dir, "labels"), "doc_id", "doc_id")
     label = case.kebab_case(F.concat_ws(" ", "lang", "source"))
     globs = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("*."), F.col("lang")))
-    return known.select("doc_id", records.described(label, globs, F.lit(False)).alias("description"), F.length("text").cast("long").alias("n_chars"), F.left(text.one_line(F.col("text")), F.lit(200)).alias("line"))
+    return known.select("doc_id", records.described(label, globs, F.lit(False)).alias("description"), F.length("text").cast("long").alias("n_chars"), text.one_line(F.col("text")).alias("line"))

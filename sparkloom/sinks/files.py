@@ -30,9 +30,12 @@ def tsv_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(tsv_row(*(F.col(c) if c in there else F.lit(None) for c in columns)).alias("line"))
 
 
-def tsv_text(df: DataFrame, columns: Sequence[str]) -> str:
-    """Header and lines of a small table, for one caller; no rows give the empty string."""
-    lines = [r.line for r in tsv_lines(df, columns).collect()]
+def tsv_text(df: DataFrame, columns: Sequence[str], most: int = 100_000) -> str:
+    """Header and lines of a small table, for one caller; no rows give the empty string. More rows than `most` are refused:
+    write_tsv() is for those."""
+    lines = [r.line for r in tsv_lines(df, columns).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"more than {most} rows")
     return "\n".join(["\t".join(columns), *lines]) if lines else ""
 
 

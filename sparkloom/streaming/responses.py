@@ -1,4 +1,4 @@
-"""A response cache as a stateful stream: which requests a store with time to live would answer.
+"""A response cache: which requests a store with time to live would answer, for a stream and for a table.
 
 Each key (URL and method, or the whole request) keeps the moment at which its stored response ends. A request before
 that moment is a hit; else the response is stored if its status may be, for as long as its rule says.
@@ -9,34 +9,74 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "key string, ts timestamp, status int, hit boolean"
 
 
-def ttl_seconds(status: int, rules: Sequence[tuple[int, int]]) -> int | None:
-    """Time to live of the first rule with that status."""
-    return next((ttl for s, ttl in rules if s == status), None)
+def ttl_seconds(status: Column, rules: Sequence[tuple[int, int]] | None, default_ttl: int) -> Column:
+    """Time to live of the first rule with that status, 0 if there is none; without rules the default for all."""
+    out = F.lit(default_ttl if rules is None else 0)
+    for match, ttl in reversed(rules or ()):
+        out = F.when(status == match, F.lit(ttl)).otherwise(out)
+    return out.cast("long")
 
 
-def cached(requests: DataFrame, rules: Sequence[tuple[int, int]] | None = None, default_ttl: int = 0, by: Sequence[str] = ("url", "method")) -> DataFrame:
+def _keyed(requests: DataFrame, rules: Sequence[tuple[int, int]] | None, default_ttl: int, by: Sequence[str]) -> DataFrame:
+    status = F.col("status").cast("int").alias("status")
+    return requests.select(F.concat_ws(" ", *by).alias("key"), "ts", status, F.unix_millis("ts").alias("ms"), (ttl_seconds(F.col("status"), rules, default_ttl) * 1000).alias("ttl"))
+
+
+def _answered(end: int, ms: Sequence[int], ttl: Sequence[int]) -> tuple[int, list[bool]]:
+    """When the stored response ends after these requests in order, and which of them are hits."""
+    hits = []
+    for at, lasts in zip(ms, ttl, strict=True):
+        hits.append(at < end)
+        if at >= end and lasts:
+            end = at + lasts
+    return end, hits
+
+
+def cached(requests: DataFrame, rules: Sequence[tuple[int, int]] | None = None, default_ttl: int = 0, by: Sequence[str] = ("url", "method"), lateness: str = "1 hour") -> DataFrame:
     """(key, ts, status, hit) of a stream of (ts, status, and the columns of `by`).
 
     With rules, the first with the response's status decides on storing; without, every status is stored for
-    default_ttl seconds. Rows of one micro-batch are taken in the order of ts."""
+    default_ttl seconds. Rows of one micro-batch are taken in the order of ts; rows later than `lateness` are dropped. A
+    key's state goes when the watermark passes the end of its stored response."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        end = state.get[0] if state.exists else 0
-        rows = pd.concat([*frames]).sort_values("ts", kind="stable")
-        hits = []
-        for ts, status in zip(rows["ts"].astype("int64") // 10**3 if rows["ts"].dtype == "datetime64[us]" else rows["ts"].map(lambda t: int(t.timestamp() * 1000)), rows["status"], strict=True):
-            hits.append(bool(ts < end))
-            if ts >= end and (ttl := ttl_seconds(int(status), rules) if rules is not None else default_ttl):
-                end = int(ts) + 1000 * ttl
-        state.update((end,))
-        yield pd.DataFrame({"key": key[0], "ts": rows["ts"].values, "status": rows["status"].astype("int32").values, "hit": hits})
-
-    keyed = requests.select(F.concat_ws(" ", *by).alias("key"), "ts", F.col("status").cast("int").alias("status"))
-    return keyed.groupBy("key").applyInPandasWithState(step, OUTPUT, "until bigint", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([*frames]).sort_values(["ms", "status"], kind="stable")
+        end, hits = _answered(state.get[0] if state.exists else 0, rows["ms"].tolist(), rows["ttl"].tolist())
+        if end > state.getCurrentWatermarkMs():
+            state.update((end,))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"key": key[0], "ts": rows["ts"].values, "status": rows["status"].values, "hit": hits})
+
+    keyed = _keyed(requests, rules, default_ttl, by).withWatermark("ts", lateness)
+    return keyed.groupBy("key").applyInPandasWithState(step, OUTPUT, "until bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cached_table(requests: DataFrame, rules: Sequence[tuple[int, int]] | None = None, default_ttl: int = 0, by: Sequence[str] = ("url", "method")) -> DataFrame:
+    """cached() of a table: each key's requests by ts (and status, where they tie), one after another in sorted partitions,
+    so no key is ever held whole."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, end = None, 0
+        for rows in frames:
+            hits: list[bool] = []
+            for _, part in rows.groupby((rows["key"] != rows["key"].shift()).cumsum(), sort=False):
+                if part["key"].iat[0] != key:
+                    key, end = part["key"].iat[0], 0
+                end, some = _answered(end, part["ms"].tolist(), part["ttl"].tolist())
+                hits += some
+            yield rows[["key", "ts", "status"]].assign(hit=hits)
+
+    keyed = _keyed(requests, rules, default_ttl, by)
+    return keyed.repartition("key").sortWithinPartitions("key", "ms", "status").mapInPandas(run, OUTPUT)

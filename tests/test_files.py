@@ -96,13 +96,79 @@ def test_results(spark):
     assert files.same_rows(df, df) and not files.same_rows(df, df.union(df))
 
 
-def test_response_cache(spark, tmp_path):
-    data = [("/a", "GET", 0, 200), ("/a", "GET", 5, 200), ("/a", "GET", 61, 200), ("/a", "GET", 62, 500), ("/b", "GET", 1, 500), ("/b", "GET", 2, 200), ("/a", "POST", 3, 200)]
-    df = spark.createDataFrame(data, "url string, method string, s int, status int").select("url", "method", F.timestamp_seconds("s").alias("ts"), "status")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = responses.cached(stream, rules=[(200, 60)]).writeStream.format("memory").queryName("hits").outputMode("append").start()
+def answered(spark, tmp_path, batches, **options):
+    """(key, seconds) to hit, of a stream that gets the batches one after another, and of a table of all of them."""
+    schema = "url string, method string, s int, status int"
+    at = F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts")
+    frames = [spark.createDataFrame(x, schema).select("url", "method", at, "status").coalesce(1) for x in batches]
+    for df in frames:
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = responses.cached(stream, **options).writeStream.format("memory").queryName("hits").outputMode("append").start()
     q.processAllAvailable()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in (json.loads(x.json) if hasattr(x, "json") else x for x in q.recentProgress) if p["stateOperators"]]
     q.stop()
-    got = {(r.key, int(r.ts.timestamp())): r.hit for r in spark.table("hits").collect()}
+    hits = lambda rows: {(r.key, int(r.ts.timestamp()) - 1_000_000): r.hit for r in rows}
+    options.pop("lateness", None)
+    everything = spark.createDataFrame([r for x in batches for r in x], schema).select("url", "method", at, "status")
+    table = hits(responses.cached_table(everything, **options).collect())
+    assert hits(spark.table("hits").collect()) == table
+    return table, state
+
+
+def test_response_cache(spark, tmp_path):
+    data = [("/a", "GET", 0, 200), ("/a", "GET", 5, 200), ("/a", "GET", 61, 200), ("/a", "GET", 62, 500), ("/b", "GET", 1, 500), ("/b", "GET", 2, 200), ("/a", "POST", 3, 200)]
+    got, _ = answered(spark, tmp_path, [data], rules=[(200, 60)])
     assert got == {("/a GET", 0): False, ("/a GET", 5): True, ("/a GET", 61): False, ("/a GET", 62): True, ("/b GET", 1): False, ("/b GET", 2): False, ("/a POST", 3): False}
+
+
+def test_response_cache_of_every_status(spark, tmp_path):
+    data = [[("/a", "GET", 0, 500), ("/a", "GET", 9, 404)], [("/a", "GET", 10, 200), ("/b", "GET", 12, 500)], [("/b", "GET", 21, 500), ("/b", "GET", 23, 500)]]
+    got, _ = answered(spark, tmp_path, data, default_ttl=10)
+    assert got == {("/a GET", 0): False, ("/a GET", 9): True, ("/a GET", 10): False, ("/b GET", 12): False, ("/b GET", 21): True, ("/b GET", 23): False}
+
+
+def test_response_cache_forgets(spark, tmp_path):
+    data = [[(f"/{k}", "GET", 1000 * k, 200)] for k in range(8)]
+    _, state = answered(spark, tmp_path, data, rules=[(200, 60), (404, 5)], lateness="1 second")
+    assert state and max(state) <= 3  # of eight keys
+
+
+def test_globs(spark):
+    from sparkloom.functions import text
+
+    paths = ["/x/a.ts", "/x/y/a.tsx", "/x/a.d.ts", "/x/node_modules/p/a.ts", "/x/axts", "a.ts"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    hit = lambda *globs: [r.p for r in df.where(text.path_matches(F.col("p"), globs)).collect()]
+    assert hit("*.ts") == ["/x/a.ts", "/x/a.d.ts", "/x/node_modules/p/a.ts", "a.ts"]
+    assert hit("**/*.{ts,tsx}", "!*.d.ts", "!**/node_modules/**") == ["/x/a.ts", "/x/y/a.tsx", "a.ts"] and hit("x/?.ts") == ["/x/a.ts"] and hit("!a") == []
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from sparkloom.sources import shared
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", applicationId="app"))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared.shared_dir(cluster)
+    assert shared.shared_dir(spark) == shared.shared_dir(spark)
+    with pytest.raises(ValueError):
+        files.tsv_text(spark.range(5), ["id"], most=4)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata", "UTC"])
+def test_moments_in_any_zone(spark, zone):
+    from datetime import datetime, timezone
+
+    from sparkloom.functions import web
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(0,), (1_710_054_000_123,), (-1,)], "ms long")  # the second in a gap of New York's clock
+        assert [r.x for r in df.select(web.iso_millis(F.col("ms")).alias("x")).collect()] == ["1970-01-01T00:00:00.000Z", "2024-03-10T07:00:00.123Z", "1969-12-31T23:59:59.999Z"]
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%d")
+        assert now <= df.select(web.today().alias("x")).first().x <= datetime.now(timezone.utc).strftime("%Y-%m-%d")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
