@@ -8,8 +8,10 @@ word's feature vector is scaled by what a word of its length has without repeats
 Landmarks are some of the training words. With their kernel matrix K, words map to k(x) K^(-1/2), and a linear machine
 with squared hinge loss is fitted there by Newton's method. A text is toxic if one of its words is: the machine is
 trained on the words that stand for their texts (the worst word of each toxic text, the worst few of each other text),
-which are chosen again with each round's machine. Toxic texts without a telling word are left out, and each chosen word
-is there a second time with a character put in. As the kernel is linear in subsequence counts, the sum over landmarks
+which are chosen again with each round's machine. Of a toxic text only words count that a first guess, from how often
+runs of characters occur in toxic and in other texts, sets above nearly all other texts' words; toxic texts without one
+are left out. So the insults of rarer languages are not lost beside those of the most frequent. Each chosen word is there
+a second time with a character put in. As the kernel is linear in subsequence counts, the sum over landmarks
 folds into one weight a subsequence, and scoring a text is a few table look-ups a character, over the whole text.
 
 A text's value is its highest word value; a logistic fit on texts that the machine was not fitted on makes it a score.
@@ -20,7 +22,8 @@ driver. Words of more than PIECE characters are cut into overlapping pieces.
 
 Defined results: null text is empty; an empty text has no word and gets the value of a word without subsequences.
 Without rows of both labels, every score is 0. Repeated rows each get their row; extra columns are kept, those with the
-outputs' names are replaced. Of several labels for one id the higher counts.
+outputs' names are replaced. Of several labels for one id, or for equal texts, the higher counts. Very long texts are read
+whole.
 """
 
 from __future__ import annotations
@@ -39,8 +42,9 @@ from sparkloom.llm.common import cut, last_within, table
 
 DECAY, GAPS, PIECE = 0.6, 2, 32
 PLACES = [(a, b) for a in range(GAPS + 1) for b in range(GAPS + 1 - a)]  # characters skipped before and after the middle
-LANDMARKS, ROUNDS, WORST = 240, 4, 4
-PLAIN = 0.97  # share of other texts above whose worst word a toxic text's must be to teach
+LANDMARKS, ROUNDS, WORST = 480, 5, 4
+RUNS = (4, 6, 8)  # characters of the runs that the first guess counts
+PLAIN = 0.95  # share of other texts above whose best guess a toxic text's must be to teach
 PUT_IN = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8).astype(np.uint32)
 _SPACE = np.zeros(0x10000, bool)
 _SPACE[[cp for cp in range(0x10000) if not 0xD800 <= cp < 0xE000 and chr(cp).isspace()]] = True
@@ -199,32 +203,43 @@ def platt(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def first_guess(s: Stream, labels: np.ndarray, own: np.ndarray, least: int = 3) -> np.ndarray:
-    """A value for each word before there is a machine: of the runs of four characters that it has, the highest log ratio
-    of the shares of toxic and of other texts with it. Runs in fewer than `least` toxic texts don't count."""
+    """A value for each word before there is a machine: of the runs of four to eight characters that it has, the highest log
+    ratio of the shares of toxic and of other texts with it, each share moved by its standard error against the run, as
+    runs in few texts have high ratios by chance. Runs in fewer than `least` toxic texts don't count."""
     c = s.cls
     owner = np.repeat(np.arange(len(s.size), dtype=np.int32), s.size)
-    code = tv.gram_codes([c[:-3], c[1:-2], c[2:-1], c[3:]], 24)
-    inside = owner[:-3] == owner[3:]
-    pairs = np.unique(s.doc[owner[:-3][inside]] << 24 | code[inside])
-    del owner, c
-    pairs = pairs[own[pairs >> 24]]
-    toxic = labels[pairs >> 24] == 1
-    codes, at = np.unique((pairs & (1 << 24) - 1).astype(np.int32), return_inverse=True)
-    del pairs
-    pos, neg = np.bincount(at[toxic], minlength=len(codes)), np.bincount(at[~toxic], minlength=len(codes))
-    n_pos, n_neg = (own & (labels == 1)).sum(), (own & (labels == 0)).sum()
-    ratio = np.where(pos >= least, np.log((pos + 1e-9) / n_pos) - np.log((neg + 1) / (n_neg + 1)), -9.0)
-    total = np.full(len(s.cls), -9.0)
-    if len(codes):
+    total = np.full(len(c), -9.0)
+    n_pos, n_neg = max((own & (labels == 1)).sum(), 1), max((own & (labels == 0)).sum(), 1)
+    for length in RUNS:
+        if len(c) < length:
+            break
+        places = [np.zeros(len(c) - length + 1, np.uint32) for _ in range(4)]
+        for k in range(length):  # codes take four places
+            places[k % 4] = places[k % 4] * np.uint32(0x01000193) + c[k : len(c) - length + 1 + k]
+        code = tv.gram_codes(places, 24)
+        inside = owner[: len(code)] == owner[length - 1 :]
+        pairs = np.unique(s.doc[owner[: len(code)][inside]] << 24 | code[inside])
+        pairs = pairs[own[pairs >> 24]]
+        toxic = labels[pairs >> 24] == 1
+        codes, at = np.unique((pairs & (1 << 24) - 1).astype(np.int32), return_inverse=True)
+        del pairs
+        if not len(codes):
+            continue
+        pos, neg = np.bincount(at[toxic], minlength=len(codes)), np.bincount(at[~toxic], minlength=len(codes))
+        sure, doubt = np.maximum(pos - np.sqrt(pos), 1e-9), neg + np.sqrt(neg) + 1
+        ratio = np.where(pos >= least, np.log(sure / n_pos) - np.log(doubt / n_neg), -9.0)
         place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         known = inside & (codes[place] == code)
-        total[:-3][known] = ratio[place[known]]
+        total[: len(code)][known] = np.maximum(total[: len(code)][known], ratio[place[known]])
     return np.maximum.reduceat(total, s.first)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """A model from (text, label)."""
-    rows = sorted(dict(rows).items())
+    highest: dict[str, int] = {}
+    for t, y in rows:
+        highest[t] = max(y, highest.get(t, y))
+    rows = sorted(highest.items())
     rng = np.random.default_rng(11)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     labels = np.array([y for _, y in rows])
@@ -242,19 +257,21 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     s_label, s_own = labels[s.doc], own[s.doc]
     bounds = np.flatnonzero(np.concatenate(([True], s.doc[1:] != s.doc[:-1])))
 
-    value = first_guess(s, labels, own)
-
+    value = guess = first_guess(s, labels, own)
     m = Model(np.zeros(1 << 18, np.float32))
     ident = tv.word_hashes(s.cls, s.first, s.first + s.size)
     hard = np.zeros(0, np.int64)
+    # A toxic text's words that would be nothing special in other texts say nothing. Should all be so, all count.
+    others = s_own[bounds] & (s_label[bounds] == 0)
+    tells = guess > (np.quantile(np.maximum.reduceat(guess, bounds)[others], PLAIN) if others.any() else np.inf)
+    tells |= not (tells & s_own & (s_label == 1)).any()
     for _ in range(ROUNDS):
-        worst_of = lambda y, k: np.concatenate([np.zeros(0, np.int64)] + [a + np.argsort(-value[a:b], kind="stable")[:k] for a, b in zip(bounds, [*bounds[1:], len(value)], strict=True) if s_own[a] and s_label[a] == y])  # noqa: E731,B023
+        telling = np.where(tells | (s_label == 0), value, -np.inf)
+        worst_of = lambda y, k: np.concatenate([np.zeros(0, np.int64)] + [a + np.argsort(-telling[a:b], kind="stable")[:k] for a, b in zip(bounds, [*bounds[1:], len(value)], strict=True) if s_own[a] and s_label[a] == y])  # noqa: E731,B023
         good, bad = worst_of(0, WORST), worst_of(1, 1)
+        bad = bad[tells[bad]]
         if not len(bad) or not len(good):
             return Model(None)
-        # A toxic text whose worst word would be nothing special in other texts says nothing about words.
-        telling = value[bad] > np.quantile(value[worst_of(0, 1)], PLAIN)
-        bad = bad[telling] if telling.any() else bad
         _, at, count = np.unique(ident[bad], return_index=True, return_counts=True)
         common = bad[at[np.argsort(-count, kind="stable")]]
         spread = common[: LANDMARKS // 3]

@@ -7,6 +7,8 @@ import os
 import random
 import re
 import zlib
+from collections import defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -182,6 +184,47 @@ def test_toxicity_folding_is_the_kernel():
         assert np.allclose(toxicity.values(m, s), k[:, j], atol=1e-6)
 
 
+def test_toxicity_kernel_against_enumeration():
+    def feature(word):
+        marked, out = f"^{word}$", defaultdict(float)
+        for i, j, k in combinations(range(len(marked)), 3):
+            if (gaps := k - i - 2) <= toxicity.GAPS:
+                out[marked[i] + marked[j] + marked[k]] += toxicity.DECAY**gaps
+        alone = sum(toxicity.DECAY ** (2 * (a + b)) * max(len(marked) - 2 - a - b, 0) for a, b in toxicity.PLACES)
+        return {u: x / max(1, alone) ** 0.5 for u, x in out.items()}
+
+    words = ["idiot", "idxiot", "i", "ab", "aaaa", "дурак", "worthless"]
+    z = toxicity.words([" ".join(words)])
+    f = [feature(w) for w in words]
+    want = [[sum(x * g.get(u, 0) for u, x in e.items()) for g in f] for e in f]
+    assert np.allclose(toxicity.kernel(z, z), want, atol=1e-9)
+
+
+def test_toxicity_of_equal_texts_is_the_higher(monkeypatch):
+    rows = toxic_rows()
+    twice = [(t, 0) for t, y in rows if y] + rows
+    a, b, c = toxicity.fit(rows), toxicity.fit(twice), toxicity.fit(twice[::-1])
+    assert (a.weight == b.weight).all() and (b.weight == c.weight).all()
+
+
+def test_toxicity_by_language():
+    rng = random.Random(3)
+    parts = {"a": "th er on an re he".split(), "b": "ach lich keit ung sch ei".split()}  # the second's insults are a compound of its own parts
+    rows = []
+    for i in range(900):
+        lang = "b" if i % 5 == 0 else "a"
+        w = ["".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(25)]
+        w = [x for x in w if not x.startswith("achlich")]
+        if i % 6 == 0:
+            w.insert(rng.randint(0, len(w)), "idiot" if lang == "a" else "achlich" + rng.choice(parts["b"]))
+        rows.append((lang, " ".join(w), int(i % 6 == 0)))
+    m = toxicity.fit([(t, y) for _, t, y in rows[:600]])
+    for lang in parts:
+        held = [(t, y) for n, t, y in rows[600:] if n == lang]
+        hit = [(p >= 0.5, y) for p, (_, y) in zip(toxicity.text_scores(m, [t for t, _ in held]), held, strict=True)]
+        assert sum(p for p, y in hit if y) >= 0.9 * sum(y for _, y in hit) and sum(p for p, y in hit if not y) <= 0.1 * len(hit), lang
+
+
 def test_toxicity_frames(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     m = toxicity.train(odd, labels)
@@ -194,10 +237,11 @@ def test_toxicity_frames(spark, odd, none):
 
 
 def test_toxicity_query(spark):
-    got = local(toxicity.op2_toxicity(spark, "/root/testdata/sf0.01"))
-    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
+    got = local(toxicity.op2_toxicity(spark, "/root/testdata/sf0.1"))
+    labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet")
     held = got[got.held_out].merge(labels, on="doc_id")
-    assert (held.predicted == held.toxic).mean() >= 0.9
+    caught = (held.predicted & held.toxic).sum()
+    assert caught >= 0.8 * held.toxic.sum() and caught >= 0.8 * held.predicted.sum()
     assert (got.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in got.doc_id]).all()
 
 
