@@ -10,7 +10,8 @@ Depths come from pointer doubling over parents. Positions order a conversation b
 they are made from counts of small ranges and offsets, so no thread is ever in one task.
 
 Defined results: null text is empty. A quote whose original is missing or not earlier gives no link. Messages without a
-linked quote are roots. Lines like `On ..., X wrote:` right before a quote go with it. Repeated (thread, order) rows each
+linked quote are roots. Lines like `On ..., X wrote:` right before a quote go with it, of any length; the words are a
+parameter. Very long messages are read whole. Repeated (thread, order) rows each
 get their row; links go to the one with the least text, and equal rows share a position range in some order. Null
 threads or orders never link. Outputs replace columns of the same name; other columns are kept.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,12 +31,19 @@ from pyspark.sql import types as T
 from sparkloom.llm.common import cut, table
 
 MARK = re.compile(r"^[ \t]?(?:>[ \t]?)+")
-INTRO = re.compile(r"^\S.{0,200}(?:wrote|schrieb|écrit|escribió)\s?:[ \t]*$", re.IGNORECASE)
+#: Words that end the line before a quote.
+WROTE = ("wrote", "schrieb", "écrit", "escribió")
 RANGE = 256
 OUTPUTS = ("parent", "root", "depth", "position", "n_quotes", "n_linked", "clean_text")
 
 
-def passages(text: str) -> tuple[str, list[tuple[int, str]]]:
+@lru_cache(maxsize=16)
+def introduction(wrote: tuple[str, ...]) -> re.Pattern:
+    """A line of any length that ends in one of the words and a colon."""
+    return re.compile(rf"^\S.*(?:{'|'.join(map(re.escape, wrote))})\s?:[ \t]*$", re.IGNORECASE)
+
+
+def passages(text: str, wrote: tuple[str, ...] = WROTE) -> tuple[str, list[tuple[int, str]]]:
     """Own text, and (level, passage) in order."""
     own: list[str] = []
     quoted: list[tuple[int, list[str]]] = []
@@ -51,7 +60,7 @@ def passages(text: str) -> tuple[str, list[tuple[int, str]]]:
             if level_before == 0:
                 while own and not own[-1].strip():
                     own.pop()
-                if own and INTRO.match(own[-1]):
+                if own and introduction(wrote).match(own[-1]):
                     own.pop()
             if quoted and level == level_before:
                 quoted[-1][1].append(body)
@@ -72,7 +81,7 @@ def hashes(text: str) -> list[str]:
     return out
 
 
-def parsed(messages: DataFrame, text: str) -> DataFrame:
+def parsed(messages: DataFrame, text: str, wrote: tuple[str, ...] = WROTE) -> DataFrame:
     """messages with clean_text, own (hashes of it) and quotes (level, hashes)."""
     keep = [c for c in messages.columns if c not in OUTPUTS]
     src = messages.select(*keep)
@@ -82,7 +91,7 @@ def parsed(messages: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [passages(x.as_py() or "") for x in batch.column(at)]
+            got = [passages(x.as_py() or "", wrote) for x in batch.column(at)]
             made = [pa.array([c for c, _ in got], pa.string()), pa.array([hashes(c) for c, _ in got], pa.list_(pa.string())), pa.array([[{"level": k, "hashes": hashes(p)} for k, p in q] for _, q in got], quote)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*keep, "clean_text", "__own", "__quotes"])
 
@@ -121,9 +130,9 @@ def positions(rows: DataFrame) -> DataFrame:
     return inside.join(offsets, ["thread", "root", "depth", "part"]).select("thread", "node", "root", "depth", (F.col("offset") + F.col("d")).alias("first"))
 
 
-def link(messages: DataFrame, thread: str = "thread", order: str = "node", text: str = "text") -> DataFrame:
+def link(messages: DataFrame, thread: str = "thread", order: str = "node", text: str = "text", wrote: tuple[str, ...] = WROTE) -> DataFrame:
     """messages with parent, root, depth, position, n_quotes, n_linked and clean_text."""
-    read = cut(parsed(messages, text))
+    read = cut(parsed(messages, text, wrote))
     one = read.where(F.col(thread).isNotNull() & F.col(order).isNotNull()).select(F.col(thread).alias("thread"), F.col(order).cast("long").alias("node"), "clean_text", "__own", "__quotes")
     nodes = one.groupBy("thread", "node").agg(F.min(F.struct("clean_text", "__own", "__quotes")).alias("m"), F.count("*").alias("copies")).select("thread", "node", "copies", "m.*")
     nodes = cut(nodes)

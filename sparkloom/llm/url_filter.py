@@ -4,13 +4,14 @@ A list entry is (pattern, category, action, at): `add` makes the pattern active
 moment. Events of a pattern and category become disjoint intervals [since, until). A pattern is a host name, which
 holds for the host and all its subdomains, or host/path, which holds for that path and all below it.
 
-Each capture gives one key for every suffix of its host and every prefix of its path, and is joined with intervals by
+Each capture gives one key for every suffix of its host and every prefix of its path (up to the parts that the longest
+pattern has, so a long URL gives few), and is joined with intervals by
 key and month, so a capture is compared only with intervals that touch its month; the interval must hold the fetch
 time. Verdicts depend on URL and fetch time alone: they are made once for each such pair. The list's side is broadcast
 only if counted small; else the join shuffles by (key, month), and adaptive execution splits hot keys.
 
 Defined results: a null or unparsable URL, or a null fetch time, has no active entry and is allowed. Repeated captures
-each get their row. Repeated list events count once; a repeated `add` changes nothing; of events at one moment `add`
+each get their row; without captures there are none. Repeated list events count once; a repeated `add` changes nothing; of events at one moment `add`
 has the last word. Entries with a null pattern, category or time are ignored. Extra columns are kept, those with the
 outputs' names are replaced. Host names and patterns compare in lower case.
 """
@@ -37,12 +38,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.select("pattern", "category", F.col("at").alias("since"), "until")
 
 
-def keys(host: Column, path: Column) -> Column:
-    """Every suffix of the host, and host with every prefix of the path."""
+def keys(host: Column, path: Column, deepest: int) -> Column:
+    """Every suffix of the host, and host with every prefix of the path that has at most so many parts."""
     labels = F.split(host, r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(path, "/", -1), lambda x: x != "")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(parts), F.lit(deepest)), F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(suffixes, F.when(F.size(parts) > 0, prefixes).otherwise(F.array().cast("array<string>"))))
 
 
@@ -53,6 +54,8 @@ def month(x: Column) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures with host, n_active, categories, patterns and allowed."""
     spans = cut(intervals(entries))
+    # no pattern has more path parts, so longer prefixes can't match
+    deepest = spans.agg(F.max(F.size(F.split("pattern", "/")))).first()[0] or 1
     bounds = captures.agg(F.min(month(F.col(fetched))).alias("a"), F.max(month(F.col(fetched))).alias("b")).first()
     low, high = (bounds.a, bounds.b) if bounds.a is not None else (0, 0)
     first, last = F.greatest(month(F.col("since")), F.lit(low)), F.least(F.coalesce(month(F.col("until")), F.lit(high)), F.lit(high))
@@ -60,7 +63,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), HOST, 1))
     path = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), PATH, 1)
     asked = captures.select(F.col(url).alias("__url"), F.col(fetched).alias("__at"), host.alias("host"), path.alias("path")).where(F.col("__at").isNotNull()).distinct()
-    dealt = asked.select("__url", "__at", month(F.col("__at")).alias("month"), F.explode(keys(F.col("host"), F.col("path"))).alias("pattern"))
+    dealt = asked.select("__url", "__at", month(F.col("__at")).alias("month"), F.explode(keys(F.col("host"), F.col("path"), deepest)).alias("pattern"))
     near = dealt.join(broadcast_if_small(cut(spread)), ["pattern", "month"])
     active = near.where((F.col("since") <= F.col("__at")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
     listed = active.groupBy("__url", "__at").agg(F.count("*").alias("__n"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("__c"), F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("__p"))

@@ -564,6 +564,17 @@ def test_url_intervals(spark):
     assert all(r.allowed for r in url_filter.evaluate(captures, entries.where("false")).collect())
 
 
+def test_url_odd_captures(spark):
+    entries = spark.createDataFrame([("x.example/a/b", "ads", "add", "2024-01-01"), ("x.example", "spam", "remove", "2024-01-01")], "pattern string, category string, action string, d string")
+    entries = entries.withColumn("at", F.to_date("d"))
+    long = "http://x.example/a/b" + "/p" * 100_000
+    rows = [(1, long), (1, long), (2, "http://x.example/a/bc" + "?q" * 50_000), (3, None), (4, "http://" + "a." * 60 + "x.example/a/b"), (5, "http://x.example/a/b/")]
+    captures = spark.createDataFrame(rows, "i int, url string").withColumn("fetched", F.to_date(F.lit("2024-02-03")))
+    got = local(url_filter.evaluate(captures, entries))
+    assert sorted(zip(got.i, got.n_active, strict=True)) == [(1, 1), (1, 1), (2, 0), (3, 0), (4, 0), (5, 1)]
+    assert local(url_filter.evaluate(captures.where("false"), entries)).empty
+
+
 def test_quote_parsing():
     own, quoted = quotes.passages("Hi\n\nOn Monday, Ann wrote:\n> first\n> line\n>> deeper\n> back\n\nmine")
     assert own == "Hi\n\nmine" and quoted == [(1, "first\nline"), (2, "deeper"), (1, "back")]
@@ -584,6 +595,17 @@ def test_quote_threads(spark):
     assert local(quotes.link(spark.createDataFrame([], "thread string, node bigint, text string"))).empty
 
 
+def test_quotes_odd(spark):
+    body = "\n".join(f"line {i} of a very long message" for i in range(30_000))
+    quote = "\n".join("> " + x for x in body.split("\n"))
+    rows = [("t", 1, body, 7, "x"), ("t", 2, "On " + "a very long day, " * 40 + "Ann wrote:\n" + quote + "\nYes.", 7, "x"), ("t", 3, "Ann skrev:\n> Yes.\nNo.", 7, "x"), ("t", 3, "Ann skrev:\n> Yes.\nNo.", 7, "x")]
+    df = spark.createDataFrame(rows, "thread string, node bigint, text string, depth int, clean_text string")
+    got = quotes.link(df, wrote=("wrote", "skrev"))
+    assert got.columns == ["thread", "node", "text", *quotes.OUTPUTS]
+    got = sorted((r.node, r.parent, r.depth, r.clean_text) for r in got.collect())
+    assert got[0][1:] == (None, 0, body) and got[1:] == [(2, 1, 1, "Yes."), (3, 2, 2, "No."), (3, 2, 2, "No.")]
+
+
 # ---- near copies
 
 
@@ -743,6 +765,36 @@ def test_mpeg_query(spark, documents):
         assert (r.media_bytes, r.media_sha256) == (len(mpeg.carry(payload)), hashlib.sha256(mpeg.carry(payload)).hexdigest())
 
 
+def test_mpeg_columns_odd(spark):
+    media = mpeg.carry(b"y" * 1_000_000)
+    df = spark.createDataFrame([(1, media, "a"), (1, media, "a"), (2, None, None), (3, b"\xff" * 5000, "b")], "i int, media binary, mpeg string")
+    got = mpeg.media_columns(df)
+    assert got.columns == ["i", "media", "mpeg"] and sorted((r.i, r.mpeg.n_frames) for r in got.collect()) == [(1, n := mpeg.describe(mpeg.parse(media))["n_frames"]), (1, n), (2, 0), (3, 0)]
+    assert mpeg.media_columns(df.where("false")).isEmpty()
+
+
+def test_mpeg_null_and_long_texts(spark, tmp_path):
+    rows = [(1, None), (1, None), (2, ""), (3, "é" * 500_000)]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.n_bytes, r.payload_bytes) for r in mpeg.op9_mpeg(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 64), (1, 0, 64), (2, 0, 64), (3, 1_000_000, 1_000_000)]
+
+
+def test_mpeg_tables_and_tags_of_others():
+    # made by hand from the formats' descriptions, not by carry()
+    head, room = mpeg._prefix(9)
+    frame = bytearray(head + bytes(room))
+    plain = bytes(frame)
+    frame[36:62] = b"VBRI" + bytes([0, 1, 0, 0, 0, 75]) + (3 * len(frame)).to_bytes(4, "big") + (2).to_bytes(4, "big") + bytes([0, 2, 0, 3, 0, 2, 0, 1])
+    frame[62:66] = (7).to_bytes(2, "big") + (9).to_bytes(2, "big")
+    text = b"\3" + "Söng".encode() + b"\0" * 150
+    item = b"TIT2" + bytes([0, 0, len(text) >> 7, len(text) & 127]) + b"\0\0" + text  # sizes of seven bits a byte
+    tag = b"ID3\4\0\0" + bytes([0, 0, len(item) >> 7, len(item) & 127]) + item
+    s = mpeg.parse(tag + bytes(frame) + plain + b"noise" + plain + plain)
+    assert s.table["kind"] == "VBRI" and s.table["frames"] == 2 and s.table["bytes"] == 3 * len(frame) and s.table["points"] == [21, 27]
+    assert s.tags["TIT2"].startswith("Söng") and len(s.offsets) == 3 and s.skipped == 5 and s.bad == 0
+
+
 # ---- decontamination
 
 
