@@ -57,17 +57,69 @@ def front_matter(document: Column) -> Column:
     )
 
 
-def header_value(header: Column, key: str) -> Column:
-    """Raw value of a top-level scalar key of a YAML header; null if the key is absent. Quotes are kept."""
-    pattern = rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$"
-    return F.when(header.rlike(pattern), F.regexp_extract(header, pattern, 1))
-
-
-def yaml_string(raw: Column) -> Column:
-    """A YAML scalar as text: quotes taken off, null for an empty or null value."""
-    plain = F.when(raw.rlike('^".*"$'), F.replace(F.regexp_replace(raw, '^"|"$', ""), F.lit('\\"'), F.lit('"')))
-    plain = plain.when(raw.rlike("^'.*'$"), F.replace(F.regexp_replace(raw, "^'|'$", ""), F.lit("''"), F.lit("'")))
-    return plain.when(raw.isin("", "~", "null", "Null", "NULL"), None).otherwise(F.regexp_replace(raw, r"\s+#.*$", ""))
+#: A quoted scalar, whole.
+_DOUBLE, _SINGLE = r'"(?:[^"\\]++|\\.)*+"', r"'(?:[^']++|'')*+'"
+#: Plain scalars that are no strings: numbers (also to other bases and of sixty), moments.
+_NUMBER = (
+    r"\A(?:[-+]?(?:0b[01_]+|0x[0-9a-fA-F_]+|[0-9][0-9_]*(?::[0-5]?[0-9])*(?:\.[0-9_]*)?(?:[eE][-+]?[0-9]+)?|\.[0-9][0-9_]*(?:[eE][-+]?[0-9]+)?|\.(?:inf|Inf|INF))|\.(?:nan|NaN|NAN)"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[Tt]|[ \t]+)[0-9]{1,2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]*)?(?:[ \t]*(?:Z|[-+][0-9]{1,2}(?::[0-9]{2})?))?)\z"
+)
+
+
+def yaml_chunk(header: Column, key: str) -> Column:
+    """What follows a top-level key of a YAML header, with the indented and empty lines after it; null without the key."""
+    opening = rf"""(?dm)^(?:{key}|"{key}"|'{key}')[ \t]*:(?=[ \t\n]|\z)[ \t]*"""
+    after = F.split(header, opening, 2)
+    return F.when(F.size(after) > 1, F.get(F.split(F.get(after, 1), r"\n(?=[^ \t\n])", 2), 0))
+
+
+def yaml_block(chunk: Column) -> Column:
+    """struct(found, sound, value) of a literal (`|`) or folded (`>`) block, with its indentation and chomping marks."""
+    found = chunk.rlike(r"\A[|>](?:[+-]?[1-9]?|[1-9][+-])[ \t]*(?:[ \t]#[^\n]*)?(?:\n|\z)")
+    chomp = F.regexp_extract(chunk, r"\A[|>][1-9]?([+-])", 1)
+    least = F.coalesce(F.nullif(F.regexp_extract(chunk, r"\A[|>][+-]?([1-9])", 1), F.lit("")).try_cast("int"), F.length(F.regexp_extract(chunk, r"\n( +)[^ \n]", 1)))
+    lines = F.split(chunk, "\n", -1)
+    lines = F.slice(lines, 2, F.size(lines))
+    sound = ~F.exists(lines, lambda x: x.rlike("[^ ]") & (F.length(F.regexp_extract(x, "^( *)", 1)) < least))
+    literal = F.array_join(F.transform(lines, lambda x: F.substring(x, least + 1, F.length(x))), "\n")
+    # single breaks between lines at the indentation are blanks, longer ones lose a break
+    folded = F.regexp_replace(F.regexp_replace(literal, r"(?dm)^([^\s].*)\n(?=[^\s])", "$1 "), r"(?dm)^([^\s].*)\n(\n+)(?=[^\s])", "$1$2")
+    content = F.regexp_replace(F.when(F.startswith(chunk, F.lit(">")), folded).otherwise(literal), r"\n+\z", "")
+    end = F.when(chomp == "+", F.regexp_extract(F.concat(literal, F.lit("\n")), r"(\n+)\z", 1)).when((chomp == "-") | (content == ""), "").otherwise("\n")
+    return F.struct(found.alias("found"), sound.alias("sound"), F.concat(content, end).alias("value"))
+
+
+def yaml_flow(chunk: Column) -> Column:
+    """A plain or quoted scalar of any number of lines as one: comments off, quotes kept, line breaks folded."""
+    bare = F.regexp_replace(F.regexp_replace(chunk, r"\A#[^\n]*", ""), r"\A[ \t\n]+|[ \t\n]+\z", "")
+    quoted = F.regexp_extract(bare, rf"(?s)\A({_DOUBLE}|{_SINGLE})(?:[ \t\n]+#[^\n]*)?\z", 1)
+    plain = F.regexp_replace(bare, r"(?d)(?:\A|[ \t\n]+)#[^\n]*\z", "")
+    one = F.when(bare.rlike("\\A[\"']") & (quoted != ""), quoted).otherwise(plain)
+    one = F.regexp_replace(one, r"[ \t]*\n[ \t]*", "\n")
+    one = F.when(F.startswith(bare, F.lit('"')), F.regexp_replace(one, r"(?<!\\)((?:\\\\)*)\\\n+", "$1")).otherwise(one)
+    return F.regexp_replace(F.regexp_replace(one, r"(?<!\n)\n(?!\n)", " "), r"\n(\n+)", "$1")
+
+
+def yaml_string(flow: Column) -> Column:
+    """A scalar of yaml_flow as text: quotes and escapes undone, null for null values and for escapes that are none."""
+    inner = F.regexp_replace(F.regexp_replace(F.substring(flow, 2, F.length(flow) - 2), r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2"), r"(?<!\\)((?:\\\\)*)\\([ 0])", "$1$2")
+    double = F.get(F.from_json(F.concat(F.lit('["'), inner, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"}), 0)
+    single = F.replace(F.substring(flow, 2, F.length(flow) - 2), F.lit("''"), F.lit("'"))
+    return F.when(flow.rlike(rf"(?s)\A{_DOUBLE}\z"), double).when(flow.rlike(rf"(?s)\A{_SINGLE}\z"), single).when(~flow.isin("", "~", "null", "Null", "NULL"), flow)
+
+
+def yaml_kind(chunk: Column, block: Column, flow: Column) -> Column:
+    """absent, null, text, boolean, other (a number, moment, list or map), unread (anchors, aliases, tags) or malformed."""
+    below = chunk.rlike(r"\A(?:#[^\n]*)?\n")
+    found = (
+        F.when(chunk.isNull(), "absent").when(block["found"], F.when(block["sound"], "text").otherwise("malformed"))
+        .when(flow.rlike("\\A[\"']"), F.when(flow.rlike(rf"(?s)\A(?:{_DOUBLE}|{_SINGLE})\z") & yaml_string(flow).isNotNull(), "text").otherwise("malformed"))
+        .when(yaml_string(flow).isNull(), "null").when(flow.rlike(r"\A[&*!]"), "unread").when(flow.rlike(r"\A[\[{]"), "other")
+        .when(flow.rlike(r"\A[-?](?:\s|\z)") | flow.rlike(r":(?:\s|\z)"), F.when(below, "other").otherwise("malformed"))
+        .when(flow.rlike(r"\A[@`%|>,\]}]") | flow.rlike(r"\s#"), "malformed")
+        .when(flow.rlike(r"\A(?:true|True|TRUE|false|False|FALSE)\z"), "boolean").when(flow.rlike(_NUMBER), "other")
+    )
+    return found.otherwise("text")
 
 
 def strip_packages(changeset: Column) -> Column:

@@ -317,6 +317,21 @@ def rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.valid(rules.parse(docs)).select("filename", "name", f["description"].alias("description"), f["globs"].alias("globs"), f["alwaysApply"].alias("always"), "content")
 
 
+@query(r"""SELECT p_partkey || '.mdc' AS filename, CASE p_size % 3 WHEN 0 THEN p_name || ' of ' || p_brand || E'\nlast' WHEN 1 THEN p_name || E'\n\n  of ' || p_brand || E'\n' ELSE p_name || E' "of"\n' || p_brand END AS description,
+  'it''s *.' || p_size || ' too' AS globs FROM part""")
+def rule_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front matter with folded, literal and quoted scalars of several lines."""
+    name, brand = F.col("p_name"), F.col("p_brand")
+    folded = F.concat(F.lit(">-\n  "), name, F.lit("\n  of "), brand, F.lit("\n\n  last\n"))
+    literal = F.concat(F.lit("|\n    "), name, F.lit("\n\n      of "), brand, F.lit("\n\n"))
+    quoted = F.concat(F.lit('"'), name, F.lit(' \\"of\\"\\n\\\n  '), brand, F.lit('"  # note\n'))
+    value = F.when(F.col("p_size") % 3 == 0, folded).when(F.col("p_size") % 3 == 1, literal).otherwise(quoted)
+    body = F.concat(F.lit("---\ntags: [a, b]\ndescription: "), value, F.lit("globs: 'it''s\n  *."), F.col("p_size"), F.lit("\n  too'\n---\nBody\n"))
+    docs = table(spark, sf_dir, "part").select(F.concat(F.lit("/rules/"), F.col("p_partkey"), F.lit(".mdc")).alias("path"), body.alias("value"))
+    f = F.col("frontmatter")
+    return rules.valid(rules.parse(docs)).select("filename", f["description"].alias("description"), f["globs"].alias("globs"))
+
+
 @query("""SELECT 'secret' AS kind, n_name AS key, 's' || n_nationkey AS value FROM nation WHERE n_regionkey = 3 OR n_name = 'NATION_7'
   UNION ALL SELECT 'variable', 'REGION', 'given' UNION ALL SELECT 'variable', 'D_' || n_name, n_name FROM nation WHERE n_regionkey = 3 OR n_name = 'NATION_7' UNION ALL SELECT 'variable', 'D_ABSENT', 'x' UNION ALL SELECT 'variable', 'TWICE', 'late'""")
 def container_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,33 +16,48 @@ from sparkloom.sources.documents import rule_files
 LEAST_DESCRIPTION = 10
 
 
-def _header_error(header: Column, raw: dict[str, Column]) -> Column:
-    """First message of a header; a plain number, boolean, list or map is no string."""
-    no_string = r"^(?:[\[{].*|true|false|[-+]?[0-9][0-9_]*(?:\.[0-9]*)?)$"
-    string_ok = lambda k: raw[k].isNull() | ~raw[k].rlike(no_string) & ~((raw[k] == "") & header.rlike(rf"(?m)^{k}:[ \t]*\n[ \t]*-[ \t]"))
+KEYS = ("description", "globs", "alwaysApply")
+#: Top-level lines must be comments, markers or open with a key, quoted or not.
+_KEY = r"""(?:"[^"\n]*"|'[^'\n]*'|[^\s#"'\[{&*!|>%@`,\]}-][^\n]*?)[ \t]*:(?:[ \t]|$)"""
+
+
+def _header_error() -> Column:
+    """First message of a header whose values have been read."""
+    header, kind = F.col("header"), {k: F.col(f"kind_{k}") for k in KEYS}
+    twice = lambda k: F.size(F.split(header, rf"""(?m)^(?:{k}|"{k}"|'{k}')[ \t]*:(?:[ \t]|$)""", -1)) > 2
+    any_key = lambda test: reduce(or_, map(test, KEYS))
     return first_error(
-        (~header.rlike(r"(?m)^[^\s#:'\"-][^:\n]*$") | (header == ""), "malformed header"),
-        (string_ok("description"), "description is no string"),
-        (string_ok("globs"), "globs is no string"),
-        (raw["alwaysApply"].isNull() | raw["alwaysApply"].rlike("^(?:true|false)$"), "alwaysApply is no boolean"),
+        (~header.rlike(rf"(?dm)^(?!#|{_KEY})[^\s]") & ~any_key(twice) & ~any_key(lambda k: kind[k] == "malformed"), "malformed header"),
+        (~any_key(lambda k: kind[k] == "unread"), "anchors, aliases and tags are not read"),
+        (kind["description"].isin("absent", "null", "text"), "description is no string"),
+        (kind["globs"].isin("absent", "null", "text"), "globs is no string"),
+        (kind["alwaysApply"].isin("absent", "boolean"), "alwaysApply is no boolean"),
     )
 
 
+def read_key(df: DataFrame, key: str) -> DataFrame:
+    """df with kind_ and value_ of a key of its column header: see text.yaml_kind. Each step is used more than once."""
+    chunk, block, flow = F.col("__chunk"), F.col("__block"), F.col("__flow")
+    cut = settled(df, __chunk=text.yaml_chunk(F.col("header"), key))
+    read = settled(cut, __block=text.yaml_block(chunk), __flow=text.yaml_flow(chunk))
+    value = F.when(block["found"], block["value"]).otherwise(text.yaml_string(flow))
+    return settled(read, **{f"kind_{key}": text.yaml_kind(chunk, block, flow), f"value_{key}": value}).drop("__chunk", "__block", "__flow")
+
+
 def parse(files: DataFrame) -> DataFrame:
     """(filename, name, checked, content, fullContent) of (path, value); globs are quoted first, so parsing is one pass.
 
-    checked is struct(success, data, error); null and absent descriptions are empty. Steps are columns of their own: each
-    is used more than once."""
-    keys = ("description", "globs", "alwaysApply")
+    checked is struct(success, data, error); null and absent descriptions are empty. The three keys may be plain, quoted,
+    literal or folded scalars of any number of lines; anchors, aliases and tags are rejected. Values of other keys are not
+    looked at."""
     fixed = settled(files.select("path", "value"), fixed=text.quote_globs(F.col("value")))
     doc = text.front_matter(F.col("fixed"))
     parts = settled(fixed, header=doc["header"], body=doc["body"])
-    raw = settled(parts, **{f"raw_{k}": text.header_value(F.col("header"), k) for k in keys})
-    judged = settled(raw, error=_header_error(F.col("header"), {k: F.col(f"raw_{k}") for k in keys}))
+    judged = settled(reduce(read_key, KEYS, parts), error=_header_error())
     data = F.struct(
-        F.coalesce(text.yaml_string(F.col("raw_description")), F.lit("")).alias("description"),
-        text.yaml_string(F.col("raw_globs")).alias("globs"),
-        (F.col("raw_alwaysApply") == "true").alias("alwaysApply"),
+        F.coalesce("value_description", F.lit("")).alias("description"),
+        F.col("value_globs").alias("globs"),
+        (F.lower("value_alwaysApply") == "true").alias("alwaysApply"),
     )
     filename = F.element_at(F.split("path", "/"), -1)
     name = F.regexp_replace(filename, r"^(.*?)\.mdc", "$1")

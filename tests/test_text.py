@@ -5,6 +5,7 @@ from helpers import values
 from pyspark.sql import functions as F
 
 from sparkloom.functions import case, text
+from sparkloom.plans import rules
 
 CASES = {
     case.no_case: "foo bar http server", case.kebab_case: "foo-bar-http-server", case.snake_case: "foo_bar_http_server", case.dot_case: "foo.bar.http.server", case.path_case: "foo/bar/http/server",
@@ -74,7 +75,42 @@ def test_front_matter(spark):
     got = values(spark, text.front_matter, ["---\na: 1\n---\nbody\n", "plain", "---\n---\nx"])
     assert [tuple(g) for g in got] == [(True, "a: 1", "body\n"), (False, "", "plain"), (True, "", "x")]
     assert values(spark, text.quote_globs, ["---\nglobs: *.ts,*.tsx\nx: 1\n---\nb", '---\nglobs: "*.ts"\n---\n', "globs: *.ts"]) == ['---\nglobs: "*.ts,*.tsx"\nx: 1\n---\nb', '---\nglobs: "*.ts"\n---\n', "globs: *.ts"]
-    assert values(spark, text.yaml_string, ['"a b"', "'it''s'", "plain # note", "null", "", None]) == ["a b", "it's", "plain", None, None, None]
+
+
+#: Values of `description` as YAML has them: (header, kind, value).
+SCALARS = [
+    ("description: plain words # note", "text", "plain words"), ("x: 1", "absent", None), ("description:", "null", None), ("description: ~", "null", None), ("description: # note", "null", None),
+    ("description: |\n  one\n   two\n\n  three\nglobs: x", "text", "one\n two\n\nthree\n"), ("description: |-\n  one\n  two\n\nglobs: x", "text", "one\ntwo"), ("description: |+\n  one\n\nglobs: x", "text", "one\n\n"),
+    ("description: >\n  one\n  two\n\n  three\n\n\n  four\n", "text", "one two\nthree\n\nfour\n"), ("description: >-\n  one\n    more\n  two\n  three", "text", "one\n  more\ntwo three"), ("description: |2- # note\n    one\n  two", "text", "  one\ntwo"),
+    ("description: |\n    one\n  two", "malformed", None), ("description: |\n  key: - # [x\n", "text", "key: - # [x\n"), ("description: |-", "text", ""),
+    ("description: one\n  two\n\n  three  # note", "text", "one two\nthree"), ("description:\n  below\n  it", "text", "below it"), ("description: # note\n  below", "text", "below"),
+    ('description: "a \\"b\\" \\\\ \\t\\u00e9\\x41" # n', "text", 'a "b" \\ \té\x41'), ('description: "one\n  two\n\n  three"', "text", "one two\nthree"), ('description: "one \\\n  two"', "text", "one two"), ('description: "bad \\q"', "malformed", None), ('description: "open', "malformed", None),
+    ("description: 'it''s\n  here'", "text", "it's here"), ("description: 'a' b", "malformed", None), ("'description' : a:b#c", "text", "a:b#c"),
+    ("description: a: b", "malformed", None), ("description:\n  a: b", "other", None), ("description:\n  - a", "other", None), ("description: - a", "malformed", None), ("description: [a]", "other", None),
+    ("description: &x a", "unread", None), ("description: !!str 1", "unread", None), ("description: @a", "malformed", None), ("description: TRUE", "boolean", "TRUE"), ("description: yes", "text", "yes"),
+    ("description: 12_000", "other", None), ("description: -1.5e3", "other", None), ("description: 0x1F", "other", None), ("description: 2024-01-31", "other", None), ("description: 1.2.3", "text", "1.2.3"), ("description: 12 rules", "text", "12 rules"),
+]
+
+
+def test_yaml_scalars(spark):
+    df = spark.createDataFrame([(i, h) for i, (h, *_) in enumerate(SCALARS)], "i int, header string")
+    got = rules.read_key(df, "description").orderBy("i").collect()
+    for r, (header, kind, value) in zip(got, SCALARS, strict=True):
+        assert r.kind_description == kind, header
+        assert kind not in ("text", "boolean") or r.value_description == value, header
+
+
+def test_rules_with_blocks(spark):
+    long = "description: |\n" + "  word\n" * 20_000
+    docs = [
+        ("a", "---\nname: [x, y]\ndescription: >-\n  Folded over\n  two lines\nglobs: '*.ts'\nalwaysApply: True\n---\nB"), ("b", "---\ndescription: one two three\ndescription: again and again\n---\nB"), ("c", "---\ndescription: *anchor\n---\n"),
+        ("d", "---\ndescription: long enough to pass\nno key here\n---\n"), ("e", f"---\n{long}---\nB"), ("f", "---\ndescription:no blank after it\n---\n"), ("g", "---\ndescription: long enough to pass\nalwaysApply:\n---\n"),
+    ]
+    parsed = rules.parse(spark.createDataFrame(docs, "path string, value string"))
+    good = {r.filename: r.frontmatter for r in rules.valid(parsed).collect()}
+    assert set(good) == {"a", "e"} and tuple(good["a"]) == ("Folded over two lines", "*.ts", True) and good["e"].description == "word\n" * 20_000
+    bad = {r.filename: r.error for r in rules.rejected(parsed).collect()}
+    assert bad == {"b": "malformed header", "c": "anchors, aliases and tags are not read", "d": "malformed header", "f": "malformed header", "g": "alwaysApply is no boolean"}
 
 
 def test_unicode_space(spark):
