@@ -1,16 +1,18 @@
 """MPEG audio columns: frames, tags, variable-bitrate tables, checksums, exact durations and seek offsets.
 
-parse() reads any MPEG 1, 2 or 2.5 audio stream: ID3v2 and ID3v1 tags, a Xing/Info or VBRI table in the first frame, and
-the frames of layers I to III. Where the bytes at hand are no frame header, or no frame or end follows where the header
-says, it goes on byte by byte to the next header that holds (resynchronisation). Protected frames of layer III have their
-CRC-16 verified over the header's last two bytes and the side information. Durations are whole samples over the rate.
+parse() reads any MPEG 1, 2 or 2.5 audio stream: ID3v2 (2.2 to 2.4, with unsynchronisation, extended headers, compressed
+frames) and ID3v1 tags, a Xing/Info or VBRI table in the first frame, and the frames of layers I to III. Where the bytes
+at hand are no frame header, or no frame of the same kind or end follows where the header says, it goes on byte by byte to
+the next header that holds (resynchronisation). Protected frames have their CRC-16 verified over the header's last two
+bytes and what their layer protects: the bit allocation (I), also the scale factors' selection (II), or the side
+information (III). Durations are whole samples over the rate; what an encoder's delay and padding leave is played_samples.
 
 carry() stores any bytes as such a stream: silent protected frames of layer III (all side information zero, so that no
 sample is coded) with the bytes as ancillary data, the largest frames for the bulk and the smallest that fits at the end,
 a Xing table with frame count, byte count and seek points, and tags at both ends. recover() reads them back.
 
 Defined results: null is empty; an empty stream has no frames. Free-format frames (no bitrate in the header) are taken
-for no header. Repeated rows each get their row; equal bytes give equal results.
+for no header. Encrypted tag frames, and compressed ones that don't unpack, are left out. Repeated rows each get their row; equal bytes give equal results.
 """
 
 from __future__ import annotations
@@ -39,6 +41,14 @@ BITRATES = {
 }
 #: Hz by the version's two bits: MPEG 2.5, reserved, 2, 1.
 RATES = {0: (11025, 12000, 8000), 2: (22050, 24000, 16000), 3: (44100, 48000, 32000)}
+#: Layer II: (subbands, bits of an allocation) for high, highest, low and lowest rates a channel, and the lower versions.
+ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
+#: (name, start, end) in the 128 bytes of ID3v1.
+FIELDS_V1 = (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127))
+
+
+#: Names that open the part with delay and padding after a table.
+ENCODERS = (b"LAME", b"Lavf", b"Lavc")
 
 
 def _crc_table() -> list[int]:
@@ -55,10 +65,15 @@ _CRC = _crc_table()
 
 
 @lru_cache(maxsize=4096)
-def crc16(data: bytes) -> int:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """Of all of the data, or of its first bits."""
+    whole, rest = divmod(8 * len(data) if bits is None else bits, 8)
     crc = 0xFFFF
-    for b in data:
+    for b in data[:whole]:
         crc = crc << 8 & 0xFFFF ^ _CRC[crc >> 8 ^ b]
+    for k in range(rest):
+        top = crc >> 15 ^ data[whole] >> 7 - k & 1
+        crc = crc << 1 & 0xFFFF ^ 0x8005 * top
     return crc
 
 
@@ -72,6 +87,8 @@ class Header:
     length: int
     samples: int
     side: int  # bytes of side information
+    channels: int
+    bound: int  # first subband whose allocation the channels share
 
 
 @lru_cache(maxsize=4096)
@@ -92,7 +109,51 @@ def header(data: bytes) -> Header | None:
         samples = 1152 if one or layer == 2 else 576
         length = samples // 8 * kbps * 1000 // hz + padding
     side = 0 if layer != 3 else (17 if mono else 32) if one else (9 if mono else 17)
-    return Header(version, layer, not data[1] & 1, kbps, hz, length, samples, side)
+    bound = 4 * (data[3] >> 4 & 3) + 4 if data[3] >> 6 == 1 else 32
+    return Header(version, layer, not data[1] & 1, kbps, hz, length, samples, side, 1 if mono else 2, bound)
+
+
+@lru_cache(maxsize=256)
+def allocation_bits(h: Header) -> tuple[int, ...]:
+    """Bits of each subband's allocation in layer II."""
+    each = h.kbps // h.channels
+    if h.version != 3:
+        name = "low"
+    elif each >= 56 and (h.rate == 48000 or each <= 80):
+        name = "a"
+    elif each >= 96:
+        name = "b"
+    else:
+        name = "d" if h.rate == 32000 else "c"
+    return tuple(bits for n, bits in ALLOCATIONS[name] for _ in range(n))
+
+
+def protected_bits(body: bytes, h: Header) -> int:
+    """How many bits of a frame, from the end of its checksum on, the checksum covers."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (32 + h.bound) if h.channels == 2 else 128
+    # 30 subbands of two channels have 240 bits at most, and as many pairs of bits for the selection
+    left = 8 * min(len(body), 48)
+    word, total, chosen = int.from_bytes(body[:48], "big"), 0, 0
+    for band, bits in enumerate(allocation_bits(h)):
+        shared = h.channels == 2 and band >= h.bound
+        for _ in range(1 if shared else h.channels):
+            if total + bits > left:
+                return total
+            used = word >> left - total - bits & (1 << bits) - 1
+            chosen += bool(used) * (2 if shared else 1)
+            total += bits
+    return total + 2 * chosen
+
+
+def checksum_holds(frame: bytes, h: Header) -> bool:
+    """Whether a protected frame's stored checksum is that of its bits; a frame too short for them has none that holds."""
+    bits = protected_bits(frame[6:], h)
+    if bits > 8 * len(frame) - 48:
+        return False
+    return crc16(frame[2:4] + frame[6 : 6 + -(-bits // 8)], 16 + bits) == int.from_bytes(frame[4:6], "big")
 
 
 @dataclass
@@ -109,6 +170,10 @@ class Stream:
     def samples(self) -> int:
         return sum(h.samples for h in self.headers)
 
+    @property
+    def played(self) -> int:
+        return max(0, self.samples - (self.table or {}).get("trim", 0))
+
     @property
     def rate(self) -> int:
         return self.headers[0].rate if self.headers else 0
@@ -118,24 +183,49 @@ def _synchsafe(x: bytes) -> int:
     return x[0] << 21 | x[1] << 14 | x[2] << 7 | x[3]
 
 
+def _text(name: str, body: bytes, tags: dict[str, str]) -> None:
+    code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8")
+    text = body[1:].decode(code, "replace").split("\0")
+    if name in ("TXXX", "TXX") and len(text) > 1:
+        tags[f"{name}:{text[0]}"] = text[1].removeprefix("\ufeff")
+    else:
+        tags[name] = text[0]
+
+
+def _plain_body(body: bytes, version: int, flags: int, unsynchronised: bool) -> bytes:
+    """A tag frame's bytes as they were before its flags' changes; empty if they can't be had back."""
+    packed, hidden, grouped, counted = (flags & 8, flags & 4, flags & 64, flags & 1) if version == 4 else (flags & 128, flags & 64, flags & 32, flags & 128)
+    body = body[(1 if grouped else 0) + (4 if counted else 0) :]
+    if version == 4 and (flags & 2 or unsynchronised):
+        body = body.replace(b"\xff\0", b"\xff")
+    try:
+        return b"" if hidden else zlib.decompress(body) if packed else body
+    except zlib.error:
+        return b""
+
+
 def _id3v2(data: bytes) -> tuple[int, dict[str, str]]:
     """Length of the tag at the start, and its text frames."""
     if len(data) < 10 or data[:3] != b"ID3" or max(data[6:10]) > 127:
         return 0, {}
+    version, flags = data[3], data[5]
     end = min(len(data), 10 + _synchsafe(data[6:10]))
-    at, tags = 10, {}
-    while at + 10 <= end and data[at : at + 4].isalnum():
-        size = _synchsafe(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : min(end, at + 10 + size)]
-        if data[at : at + 1] == b"T" and body:
-            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8")
-            text = body[1:].decode(code, "replace").split("\0")
-            name = data[at : at + 4].decode("ascii")
-            if name == "TXXX" and len(text) > 1:
-                tags[f"TXXX:{text[0]}"] = text[1]
-            else:
-                tags[name] = text[0]
-        at += 10 + size
+    body, tags = data[10:end], {}
+    end = min(len(data), end + 10 * (version == 4 and flags & 16 > 0))
+    if version not in (2, 3, 4) or version == 2 and flags & 64:  # frames of unknown form
+        return end, tags
+    if version != 4 and flags & 128:
+        body = body.replace(b"\xff\0", b"\xff")
+    at = 0
+    if version != 2 and flags & 64 and len(body) >= 4:
+        at = _synchsafe(body) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    wide, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at : at + wide].isalnum():
+        size = _synchsafe(body[at + 4 :]) if version == 4 else int.from_bytes(body[at + wide : at + 2 * wide], "big")
+        name, mine = body[at : at + wide].decode("ascii"), body[at + head : at + head + size]
+        if name[0] == "T" and (plain := _plain_body(mine, version, body[at + 9], flags & 128 > 0) if version != 2 else mine):
+            _text(name, plain, tags)
+        at += head + size
     return end, tags
 
 
@@ -149,6 +239,11 @@ def _vbr(frame: bytes, h: Header) -> dict | None:
                 at += 4
         if flags & 4:
             out["toc"] = frame[at : at + 100]
+            at += 100
+        at += 4 if flags & 8 else 0
+        if frame[at : at + 4] in ENCODERS and len(frame) >= at + 24:
+            trim = int.from_bytes(frame[at + 21 : at + 24], "big")
+            out["trim"] = (trim >> 12) + (trim & 0xFFF)  # samples of delay and of padding
         return out
     if frame[36:40] == b"VBRI":
         count, scale, width = (int.from_bytes(frame[a : a + 2], "big") for a in (54, 56, 58))
@@ -163,13 +258,17 @@ def parse(data: bytes) -> Stream:
     end = len(data)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        out.tags |= {f"ID3v1:{n}": data[end + a : end + a + 30].split(b"\0")[0].decode("latin-1").strip() for n, a in (("title", 3), ("artist", 33))}
+        last = {n: data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip() for n, a, b in FIELDS_V1}
+        if data[end + 125] == 0 < data[end + 126]:
+            last["track"] = str(data[end + 126])
+        out.tags |= {f"ID3v1:{n}": x for n, x in last.items() if x}
     first = lost = True
     while at + 4 <= end:
         h = header(data[at : at + 4])
         good = h is not None and at + h.length <= end
         if good and lost and at + h.length + 4 <= end:
-            good = header(data[at + h.length : at + h.length + 4]) is not None
+            after = header(data[at + h.length : at + h.length + 4])
+            good = after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
         if not good:
             lost = True
             nxt = data.find(b"\xff", at + 1, end)
@@ -179,10 +278,9 @@ def parse(data: bytes) -> Stream:
             continue
         if first:
             out.table = _vbr(data[at : at + h.length], h)
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
-            stored = data[at + 4] << 8 | data[at + 5]
-            out.bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != stored
+            out.bad += not checksum_holds(data[at : at + min(h.length, 64)], h)
         if not (first and out.table):
             out.offsets.append(at)
             out.headers.append(h)
@@ -237,12 +335,12 @@ def recover(data: bytes, s: Stream | None = None) -> bytes:
 
 def describe(s: Stream) -> dict:
     return {
-        "n_frames": len(s.offsets), "samples": s.samples, "sample_rate": s.rate, "vbr": bool(s.table) and s.table["kind"] != "Info", "table_agrees": s.table is None or s.table.get("frames") == len(s.offsets),
+        "n_frames": len(s.offsets), "samples": s.samples, "played_samples": s.played, "sample_rate": s.rate, "vbr": bool(s.table) and s.table["kind"] != "Info", "table_agrees": s.table is None or s.table.get("frames") == len(s.offsets),
         "crc_checked": s.checked, "crc_bad": s.bad, "skipped_bytes": s.skipped, "offsets": s.offsets, "tags": s.tags,
     }
 
 
-DESCRIBED = "n_frames bigint, samples bigint, sample_rate int, vbr boolean, table_agrees boolean, crc_checked bigint, crc_bad bigint, skipped_bytes bigint, offsets array<bigint>, tags map<string,string>"
+DESCRIBED = "n_frames bigint, samples bigint, played_samples bigint, sample_rate int, vbr boolean, table_agrees boolean, crc_checked bigint, crc_bad bigint, skipped_bytes bigint, offsets array<bigint>, tags map<string,string>"
 
 
 def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
@@ -251,7 +349,7 @@ def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
     src = df.select(*keep)
     at = keep.index(column)
     kind = T.StructType.fromDDL(DESCRIBED)
-    arrow = pa.struct([("n_frames", pa.int64()), ("samples", pa.int64()), ("sample_rate", pa.int32()), ("vbr", pa.bool_()), ("table_agrees", pa.bool_()), ("crc_checked", pa.int64()), ("crc_bad", pa.int64()), ("skipped_bytes", pa.int64()), ("offsets", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), pa.string()))])
+    arrow = pa.struct([("n_frames", pa.int64()), ("samples", pa.int64()), ("played_samples", pa.int64()), ("sample_rate", pa.int32()), ("vbr", pa.bool_()), ("table_agrees", pa.bool_()), ("crc_checked", pa.int64()), ("crc_bad", pa.int64()), ("skipped_bytes", pa.int64()), ("offsets", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -795,6 +795,88 @@ def test_mpeg_tables_and_tags_of_others():
     assert s.tags["TIT2"].startswith("Söng") and len(s.offsets) == 3 and s.skipped == 5 and s.bad == 0
 
 
+def bitwise_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15 & 1
+        crc = (crc << 1) & 0xFFFF
+        if top != int(b):
+            crc ^= 0x8005
+    return crc
+
+
+#: (second to fourth byte, bits of the channels' allocations by subband, channels, first shared subband), from the standard's tables.
+PROTECTED = [
+    ((0xFE, 0x94, 0xC0), [4] * 32, 1, 32), ((0xFE, 0x94, 0x00), [4] * 32, 2, 32), ((0xFE, 0x94, 0x50), [4] * 32, 2, 8), ((0xF6, 0x94, 0x40), [4] * 32, 2, 4),
+    ((0xFC, 0xA4, 0x00), [4] * 11 + [3] * 12 + [2] * 4, 2, 32), ((0xFC, 0xA0, 0x60), [4] * 11 + [3] * 12 + [2] * 7, 2, 12), ((0xFC, 0x10, 0xC0), [4] * 2 + [3] * 6, 1, 32), ((0xFC, 0x18, 0xC0), [4] * 2 + [3] * 10, 1, 32),
+    ((0xFC, 0x48, 0xC0), [4] * 11 + [3] * 12 + [2] * 4, 1, 32), ((0xF4, 0x80, 0x70), [4] * 4 + [3] * 7 + [2] * 19, 2, 16), ((0xF4, 0x80, 0xC0), [4] * 4 + [3] * 7 + [2] * 19, 1, 32),
+]
+
+
+@pytest.mark.parametrize("case", PROTECTED)
+def test_mpeg_checksums_of_layers_one_and_two(case):
+    (b1, b2, b3), widths, channels, bound = case
+    rng = random.Random(b1 * b2 + b3)
+    head = bytes([0xFF, b1, b2, b3])
+    h = mpeg.header(head)
+    assert h.protected and h.layer == (1 if b1 & 6 == 6 else 2)
+    frames = []
+    for _ in range(5):
+        bits, chosen = "", 0
+        for band, n in enumerate(widths):
+            for _ in range(1 if channels == 2 and band >= bound else channels):
+                used = rng.choice([0, rng.randrange(1, 1 << n)])
+                bits += format(used, f"0{n}b")
+                chosen += (used > 0) * (2 if channels == 2 and band >= bound else 1)
+        if h.layer == 2:
+            bits += "".join(rng.choice("01") for _ in range(2 * chosen))
+        crc = bitwise_crc("".join(format(x, "08b") for x in head[2:]) + bits)
+        padded = bits + "".join(rng.choice("01") for _ in range(8 * (h.length - 6) - len(bits)))
+        frames.append(head + crc.to_bytes(2, "big") + int(padded, 2).to_bytes(h.length - 6, "big"))
+        last = len(bits)
+    s = mpeg.parse(b"".join(frames))
+    assert (s.checked, s.bad, len(s.offsets), s.skipped) == (5, 0, 5, 0)
+    for bit in (0, last - 1):  # the first and the last protected bit of the last frame
+        torn = bytearray(frames[-1])
+        torn[6 + bit // 8] ^= 128 >> bit % 8
+        assert mpeg.parse(b"".join(frames[:-1]) + bytes(torn)).bad == 1
+    outside = bytearray(frames[-1])
+    outside[6 + last // 8] ^= 128 >> last % 8
+    assert mpeg.parse(b"".join(frames[:-1]) + bytes(outside)).bad == 0
+
+
+def test_mpeg_tags_of_every_version():
+    size = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    tag = lambda version, flags, body, end=b"": b"ID3" + bytes([version, 0, flags]) + size(len(body)) + body + end
+    frame = mpeg._prefix(9)[0] + bytes(mpeg._prefix(9)[1])
+    read = lambda t: (lambda s: (s.tags, s.skipped, len(s.offsets)))(mpeg.parse(t + frame * 2))
+    two = b"TT2" + (6).to_bytes(3, "big") + b"\0Title" + b"TXX" + (8).to_bytes(3, "big") + b"\0key\0val"
+    assert read(tag(2, 0, two + bytes(20))) == ({"TT2": "Title", "TXX:key": "val"}, 0, 2)
+    assert read(tag(2, 0x40, two)) == ({}, 0, 2)
+    title = b"\1" + "ÿé\u00ff".encode("utf-16-le").join([b"\xff\xfe", b""])
+    three = b"TIT2" + len(title).to_bytes(4, "big") + b"\0\0" + title
+    assert read(tag(3, 0x80, three.replace(b"\xff\0", b"\xff\0\0").replace(b"\xff\xfe", b"\xff\0\xfe"))) == ({"TIT2": "ÿé\u00ff"}, 0, 2)
+    extended = (6).to_bytes(4, "big") + bytes(6)
+    assert read(tag(3, 0x40, extended + three)) == ({"TIT2": "ÿé\u00ff"}, 0, 2)
+    packed = zlib.compress(b"\0a long title")
+    assert read(tag(3, 0, b"TIT2" + (len(packed) + 4).to_bytes(4, "big") + b"\0\x80" + (13).to_bytes(4, "big") + packed)) == ({"TIT2": "a long title"}, 0, 2)
+    assert read(tag(3, 0, b"TIT2" + (7).to_bytes(4, "big") + b"\0\x80" + (13).to_bytes(4, "big") + b"bad" + three)) == ({"TIT2": "ÿé\u00ff"}, 0, 2)
+    assert read(tag(3, 0, b"TIT2" + (4).to_bytes(4, "big") + b"\0\x40\1abc")) == ({}, 0, 2)
+    loose = title.replace(b"\xff\0", b"\xff\0\0").replace(b"\xff\xfe", b"\xff\0\xfe")
+    four = b"TIT2" + size(len(loose) + 5) + b"\0\x43" + b"g" + size(len(title)) + loose
+    assert read(tag(4, 0xD0, size(6) + b"\1\0" + four, b"3DI" + bytes(7))) == ({"TIT2": "ÿé\u00ff"}, 0, 2)
+    assert read(tag(9, 0, two))[1:] == (0, 2) and read(tag(3, 0x40, b"\xff\xff\xff"))[0] == {} and read(b"ID3\4\0\0\0\0\0\x03abc")[0] == {}
+    old = b"TAG" + b"Song".ljust(30, b"\0") + b"Ann".ljust(30) + b"Album".ljust(30, b"\0") + b"1999" + b"words".ljust(28, b"\0") + b"\0\x07\x01"
+    assert mpeg.parse(frame * 2 + old).tags == {"ID3v1:title": "Song", "ID3v1:artist": "Ann", "ID3v1:album": "Album", "ID3v1:year": "1999", "ID3v1:comment": "words", "ID3v1:track": "7"}
+
+
+def test_mpeg_delay_and_padding():
+    head, room = mpeg._prefix(9)
+    block = b"Info" + (15).to_bytes(4, "big") + (2).to_bytes(4, "big") + (999).to_bytes(4, "big") + bytes(100) + bytes(4) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    d = mpeg.describe(mpeg.parse(head + block.ljust(room, b"\0") + (head + bytes(room)) * 2))
+    assert d["n_frames"] == 2 and d["samples"] == 2304 and d["played_samples"] == 2304 - 1576 and d["table_agrees"] and not d["vbr"]
+
+
 # ---- decontamination
 
 
