@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,11 +70,31 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
     return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
-def salted_join(rows: DataFrame, table: DataFrame, on: str, salts: int = 16) -> DataFrame:
-    """rows joined with a table by one column: by broadcast if the table is small, else by a shuffle in which a key's rows
-    are dealt over `salts` partitions by their digest, and the table's are repeated there."""
+#: A key is hot if it holds more than one in so many rows; so there are fewer hot keys than this.
+HOT = 1000
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: str | Sequence[str], salts: int = 16) -> DataFrame:
+    """rows joined with a table by some columns: by broadcast if the table is small, else by a shuffle in which a key's
+    rows are dealt over `salts` partitions by their digest, and the table's are repeated there."""
+    on = [on] if isinstance(on, str) else [*on]
     if is_small(table):
         return rows.join(F.broadcast(table), on)
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     each = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(each, [on, "__salt"]).drop("__salt")
+    return dealt.join(each, [*on, "__salt"]).drop("__salt")
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with a table that has one row a key; both are cheap to read twice (results of cut()).
+
+    A small table is broadcast. Otherwise the table's rows of hot keys are, fewer than HOT, and all other rows are
+    shuffled: no task gets more than one in HOT of the rows with one key."""
+    if is_small(table):
+        return rows.join(F.broadcast(table), [*on], how)
+    if is_small(rows):
+        return rows.join(table, [*on], how)
+    counted = rows.groupBy(*on).agg(F.count("*").alias("__n"))
+    hot = F.broadcast(cut(counted.where(F.col("__n") > rows.count() / HOT).drop("__n")))
+    held = broadcast_if_small(cut(table.join(hot, [*on], "left_semi")))
+    return rows.join(hot, [*on], "left_semi").join(held, [*on], how).unionByName(rows.join(hot, [*on], "left_anti").join(table, [*on], how))

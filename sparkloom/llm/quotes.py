@@ -2,12 +2,14 @@
 
 A line's quote level is the number of `>` before its text. Neighbouring lines of one level are a passage, and each
 passage is normalised (lower case, runs of white space as one blank) and hashed, whole and by paragraph. Passages are
-joined to the messages of their thread whose own words hash the same, whole or by paragraph: originals are first brought
-down to one a hash, the earliest, so a sentence that thousands have written gives one row. A message's parent is the
+joined to the messages of their thread (or, where no threads are given, of the whole table) whose own words hash the same,
+whole or by paragraph: originals are first brought down to one a hash, the earliest, so a sentence that thousands have
+written gives one row, and a passage that very many quote is joined by broadcast (common.keyed_join). A message's parent is the
 original of its first linked passage of the least level; deeper levels count as links to ancestors.
 
-Depths come from pointer doubling over parents. Positions order a conversation by depth, then by the order of messages;
-they are made from counts of small ranges and offsets, so no thread is ever in one task.
+Depths come from pointer doubling over parents. Positions order a thread by roots, then by depth, then by the order of
+messages; they are made from counts of small ranges and offsets, so no thread is ever in one task. Without given threads,
+each root has a conversation of its own and positions start at 0 in it.
 
 Defined results: null text is empty. A quote whose original is missing or not earlier gives no link. Messages without a
 linked quote are roots. Lines like `On ..., X wrote:` right before a quote go with it, of any length; the words are a
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import cut, keyed_join, table
 
 MARK = re.compile(r"^[ \t]?(?:>[ \t]?)+")
 #: Words that end the line before a quote.
@@ -104,7 +106,7 @@ def depths(parents: DataFrame) -> DataFrame:
     at = cut(at)
     while True:
         ahead = at.select("thread", F.col("node").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"))
-        at = cut(at.join(ahead, ["thread", "root"]).select("thread", "node", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        at = cut(keyed_join(at, ahead, ["thread", "root"]).select("thread", "node", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
         if at.where("moved").isEmpty():
             return at.drop("moved")
         at = at.drop("moved")
@@ -130,25 +132,30 @@ def positions(rows: DataFrame) -> DataFrame:
     return inside.join(offsets, ["thread", "root", "depth", "part"]).select("thread", "node", "root", "depth", (F.col("offset") + F.col("d")).alias("first"))
 
 
-def link(messages: DataFrame, thread: str = "thread", order: str = "node", text: str = "text", wrote: tuple[str, ...] = WROTE) -> DataFrame:
-    """messages with parent, root, depth, position, n_quotes, n_linked and clean_text."""
+def link(messages: DataFrame, thread: str | None = "thread", order: str = "node", text: str = "text", wrote: tuple[str, ...] = WROTE) -> DataFrame:
+    """messages with parent, root, depth, position, n_quotes, n_linked and clean_text; with thread None, quotes are linked
+    over the whole table, whose order must then be one of all messages."""
     read = cut(parsed(messages, text, wrote))
-    one = read.where(F.col(thread).isNotNull() & F.col(order).isNotNull()).select(F.col(thread).alias("thread"), F.col(order).cast("long").alias("node"), "clean_text", "__own", "__quotes")
+    group = F.lit(0) if thread is None else F.col(thread)
+    one = read.where(group.isNotNull() & F.col(order).isNotNull()).select(group.alias("thread"), F.col(order).cast("long").alias("node"), "clean_text", "__own", "__quotes")
     nodes = one.groupBy("thread", "node").agg(F.min(F.struct("clean_text", "__own", "__quotes")).alias("m"), F.count("*").alias("copies")).select("thread", "node", "copies", "m.*")
     nodes = cut(nodes)
     originals = nodes.select("thread", "node", F.explode("__own").alias("hash")).groupBy("thread", "hash").agg(F.min("node").alias("original"))
     quotes = nodes.select("thread", "node", F.posexplode("__quotes").alias("place", "q")).select("thread", "node", "place", "q.level", F.posexplode("q.hashes").alias("nth", "hash"))
-    linked = quotes.join(originals, ["thread", "hash"]).where(F.col("original") < F.col("node"))
+    linked = keyed_join(cut(quotes), cut(originals), ["thread", "hash"]).where(F.col("original") < F.col("node"))
     # the whole passage counts before its paragraphs, and one link a passage is enough
     best = linked.groupBy("thread", "node", "place").agg(F.min(F.struct("nth", "level", "original")).alias("b"))
     parents = best.groupBy("thread", "node").agg(F.count("*").alias("n_linked"), F.min(F.struct("b.level", "place", "b.original")).alias("p"))
     tree = nodes.select("thread", "node", "copies").join(parents.select("thread", "node", "n_linked", F.col("p.original").alias("parent")), ["thread", "node"], "left")
     tree = cut(tree)
-    placed = positions(depths(tree).join(tree.select("thread", "node", "copies"), ["thread", "node"]))
-    facts = placed.join(tree.select("thread", "node", "parent", "n_linked"), ["thread", "node"])
+    deep = depths(tree).join(tree.select("thread", "node", "copies"), ["thread", "node"])
+    whole = ["thread", "node"] if thread is not None else ["node"]
+    placed = positions(deep if thread is not None else deep.withColumn("thread", F.col("root")))
+    facts = placed.join(tree.select(*whole, "parent", "n_linked"), whole)
     facts = facts.select(F.col("thread").alias("__t"), F.col("node").alias("__n"), "parent", "root", F.col("depth").cast("int").alias("depth"), F.col("first").cast("long").alias("position"), "n_linked")
     keep = [c for c in messages.columns if c not in OUTPUTS]
-    out = read.join(facts, (F.col(thread) == F.col("__t")) & (F.col(order).cast("long") == F.col("__n")), "left")
+    same = F.col(order).cast("long") == F.col("__n")
+    out = read.join(facts, same if thread is None else same & (F.col(thread) == F.col("__t")), "left")
     return out.select(*keep, "parent", "root", "depth", "position", F.size("__quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "clean_text")
 
 

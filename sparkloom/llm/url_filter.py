@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import broadcast_if_small, cut, table
+from sparkloom.llm.common import cut, keyed_join, salted_join, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -64,12 +64,12 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     path = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), PATH, 1)
     asked = captures.select(F.col(url).alias("__url"), F.col(fetched).alias("__at"), host.alias("host"), path.alias("path")).where(F.col("__at").isNotNull()).distinct()
     dealt = asked.select("__url", "__at", month(F.col("__at")).alias("month"), F.explode(keys(F.col("host"), F.col("path"), deepest)).alias("pattern"))
-    near = dealt.join(broadcast_if_small(cut(spread)), ["pattern", "month"])
+    near = salted_join(dealt, cut(spread), ["pattern", "month"])
     active = near.where((F.col("since") <= F.col("__at")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
     listed = active.groupBy("__url", "__at").agg(F.count("*").alias("__n"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("__c"), F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("__p"))
     keep = [c for c in captures.columns if c not in OUTPUTS]
-    found = broadcast_if_small(cut(listed))
-    out = captures.select(*keep, host.alias("host")).join(found, F.col(url).eqNullSafe(F.col("__url")) & (F.col(fetched) == F.col("__at")), "left")
+    asking = captures.select(*keep, host.alias("host"), F.col(url).alias("__url"), F.col(fetched).alias("__at"))
+    out = keyed_join(asking, cut(listed), ["__url", "__at"], "left")
     return out.select(*keep, "host", F.coalesce("__n", F.lit(0)).cast("long").alias("n_active"), F.coalesce("__c", F.lit("")).alias("categories"), F.coalesce("__p", F.lit("")).alias("patterns"), F.col("__n").isNull().alias("allowed"))
 
 

@@ -606,6 +606,26 @@ def test_quotes_odd(spark):
     assert got[0][1:] == (None, 0, body) and got[1:] == [(2, 1, 1, "Yes."), (3, 2, 2, "No."), (3, 2, 2, "No.")]
 
 
+def test_quotes_without_threads(spark):
+    rows = [(1, "Who has the key?"), (2, "Another matter."), (3, "> Who has the  key?\nI have it."), (4, "> Another matter.\n\nWhich?"), (5, ">> Who has the key?\n> I have it.\nThanks."), (6, "> nobody wrote this\nWell."), (7, "Who has the key?"), (None, "> I have it.\nx"), (4, "> Another matter.\n\nWhich?")]
+    got = local(quotes.link(spark.createDataFrame(rows, "node bigint, text string"), None))
+    got = sorted((r.node, r.parent, r.root, r.depth, r.position, r.n_linked) for r in got.astype(object).where(got.notna(), -1).itertuples())
+    assert got == [(-1, -1, -1, -1, -1, 0), (1, -1, 1, 0, 0, 0), (2, -1, 2, 0, 0, 0), (3, 1, 1, 1, 1, 1), (4, 2, 2, 1, 1, 1), (4, 2, 2, 1, 1, 1), (5, 3, 1, 2, 2, 2), (6, -1, 6, 0, 0, 0), (7, -1, 7, 0, 0, 0)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_keyed_join_of_hot_keys(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "HOT", 10)
+    small = common.is_small
+    monkeypatch.setattr(common, "is_small", lambda df, *a: len(df.columns) == 2 and df.count() < 3 and small(df, *a))
+    rows = common.cut(spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id % 500)) AS k", "if(id % 7 = 0, NULL, id % 2) AS j"))
+    table = common.cut(spark.range(0, 400).selectExpr("concat('k', id) AS k", "0L AS j", "id AS v").unionByName(spark.createDataFrame([("hot", 0, -1), ("hot", 1, -2), (None, 0, -3)], "k string, j bigint, v bigint")))
+    got = common.keyed_join(rows, table, ["k", "j"], how)
+    want = rows.join(table, ["k", "j"], how)
+    assert sorted(map(str, got.select("id", "k", "j", "v").collect())) == sorted(map(str, want.select("id", "k", "j", "v").collect()))
+    assert sorted(map(str, common.salted_join(rows, table, ["k", "j"]).select("id", "v").collect())) == sorted(map(str, rows.join(table, ["k", "j"]).select("id", "v").collect()))
+
+
 # ---- near copies
 
 
