@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.schema import iso_datetime_ok
+
 #: Fixed messages, in the order in which they are tested.
 NAME_CHECKS = (
     (r"^[\s\S]", "Worker name cannot be empty"),
@@ -54,10 +56,6 @@ def one_of(value: Column, members: Sequence[str]) -> Column:
     return F.coalesce(value.isin(*members), F.lit(False))
 
 
-def iso_datetime_ok(value: Column) -> Column:
-    return value.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?Z\z") & F.try_to_timestamp(value).isNotNull()
-
-
 def options_error(name: Column, features: Column) -> Column:
     """First message of worker options: the name, then at least one feature, all known."""
     some = first_error((F.size(features) >= 1, "At least one feature must be selected"), (F.forall(features, lambda x: x.isin(*FEATURES)), "Unknown feature"))

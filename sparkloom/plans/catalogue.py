@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,41 +11,12 @@ from pyspark.sql import types as T
 
 from sparkloom.functions import case, text, validate, web
 from sparkloom.operators import records, recursive
-from sparkloom.plans import rules, secrets
+from sparkloom.plans import checks, rules, secrets, structure, versions  # noqa: F401  (some only register their queries)
+from sparkloom.plans.registry import ORACLE_SQL, QUERIES, projection, query, table
 from sparkloom.sinks import files
 from sparkloom.sources import documents, shared
 from sparkloom.streaming import responses
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def projection(name: str, source: str, keys: list[str], columns: Callable[[], dict[str, Column]], sql: dict[str, str], where: str = "") -> None:
-    """A query that adds columns to the keys of a table. The columns are made with the query: they need a session."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, source)
-        df = df.where(where) if where else df
-        return df.select(*keys, *(c.alias(n) for n, c in columns().items()))
-
-    QUERIES[name] = run
-    ORACLE_SQL[name] = f"SELECT {', '.join(keys)}, {', '.join(f'{s} AS {n}' for n, s in sql.items())} FROM {source}" + (f" WHERE {where}" if where else "")
-
-
 # ---- word splitting and case conversion
 
 PART = lambda: F.concat(F.col("p_brand"), F.lit(" "), F.col("p_name"), F.lit("HTTPServer"), F.col("p_size"), F.lit("x-éÀb"))
@@ -254,18 +223,6 @@ def ranked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.ranked(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_retailprice"), F.col("p_partkey")]).select("p_partkey", "p_name", F.col("place").cast("long").alias("place"))
 
 
-_SPELT = "SELECT n_name AS x FROM nation UNION ALL SELECT lower(n_name) FROM nation UNION ALL SELECT 'Nation' || n_nationkey FROM nation"
-
-
-@query(f"SELECT x, row_number() OVER (ORDER BY replace(lower(x), '_', ' '), x DESC) AS locale_place, row_number() OVER (ORDER BY x) AS code_place FROM ({_SPELT})")
-def locale_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    spelt = n.select(F.col("n_name").alias("x")).union(n.select(F.lower("n_name"))).union(n.select(F.concat(F.lit("Nation"), "n_nationkey")))
-    rows = [r.x for r in records.by_name(spelt, "x").collect()]  # a few, to see the sort itself
-    placed = spark.createDataFrame([(x, i) for i, x in enumerate(rows, 1)], "x string, locale_place long")
-    return placed.join(records.ranked(spelt.withColumn("all", F.lit(1)), ["all"], [F.col("x")]).select("x", F.col("place").cast("long").alias("code_place")), "x")
-
-
 # ---- validation
 
 @query("""SELECT event_id, json_valid(props) AND json_extract_string(props, '$.' || k) IS NOT NULL AS success, json_extract_string(props, '$.' || k) AS first FROM events, (SELECT json_keys(props)[1] AS k FROM events ORDER BY event_id LIMIT 1)""")
@@ -288,18 +245,6 @@ def task_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive.task_edges(config, keep=["p_partkey"])
 
 
-CHAIN = [("app", "web", {"strict": "true", "jsx": "react"}), ("web", "base", {"lib": "dom", "jsx": "preserve"}), ("base", None, {"lib": "es", "target": "es2022"}), ("loose", "gone", {"strict": "false"})]
-
-
-@query("""WITH RECURSIVE c(config, parent) AS (VALUES ('app', 'web'), ('web', 'base'), ('base', NULL), ('loose', 'gone')),
-  o(config, key, value) AS (VALUES ('app', 'strict', 'true'), ('app', 'jsx', 'react'), ('web', 'lib', 'dom'), ('web', 'jsx', 'preserve'), ('base', 'lib', 'es'), ('base', 'target', 'es2022'), ('loose', 'strict', 'false')),
-  up(config, node, depth) AS (SELECT config, config, 0 FROM c UNION ALL SELECT up.config, c.parent, depth + 1 FROM up JOIN c ON up.node = c.config WHERE c.parent IS NOT NULL)
-  SELECT up.config, key, arg_min(value, depth) AS value FROM up JOIN o ON o.config = up.node GROUP BY up.config, key""")
-def extends_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = spark.createDataFrame(CHAIN, "config string, parent string, options map<string,string>")
-    return recursive.resolve_extends(chain).select("config", F.explode("options").alias("key", "value"))
-
-
 # ---- sinks and whole plans
 
 _CELL = lambda: F.concat(F.col("p_name"), F.when(F.col("p_size") % 3 == 0, '\t"x"').otherwise(""))
@@ -445,27 +390,6 @@ def nearest_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- sinks
 
-@query("SELECT * FROM (VALUES ('new file', 'written'), ('again', 'refused'), ('other name', 'refused'), ('same content', 'kept'), ('other order', 'written'), ('check', 'same'), ('drift', 'differs')) v(step, outcome)")
-def guarded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that are written only where none is, or only where they differ."""
-    def tried(run: Callable[[], object], good: str, bad: str, errors: type[Exception]) -> str:
-        try:
-            run()
-        except errors:
-            return bad
-        return good
-
-    config = dict(sorted((r.r_name, r.r_regionkey) for r in table(spark, sf_dir, "region").collect()))
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own files
-        new = lambda name: tried(lambda: files.write_new_config(folder, name, files.canonical(config)), "written", "refused", FileExistsError)
-        path = str(Path(folder) / "wrangler.jsonc")
-        wrote = lambda value: "written" if files.write_if_changed(path, value) else "kept"
-        check = lambda value: tried(lambda: files.check_unchanged(path, value), "same", "differs", ValueError)
-        back = dict(reversed(config.items()))
-        out = [("new file", new("wrangler.jsonc")), ("again", new("wrangler.jsonc")), ("other name", new("wrangler.toml")), ("same content", wrote(config)), ("other order", wrote(back)), ("check", check(back)), ("drift", check(config))]
-    return spark.createDataFrame(out, "step string, outcome string")
-
-
 @query("SELECT event_type || event_id AS name, CASE WHEN event_id % 4 = 0 THEN 'Success!' ELSE 'Failed with code: ' || (event_id % 4) END AS outcome FROM events")
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.result_table(table(spark, sf_dir, "events").select(F.concat("event_type", "event_id").alias("name"), (F.col("event_id") % 4).cast("int").alias("exit_code")))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}  # of local sessions that name no folder, by application
 
@@ -28,6 +28,13 @@ def new_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: its lineage is short and outlives executors."""
+    path = new_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_files(spark: SparkSession, directory: str, files: Mapping[str, str]) -> str:
     """Small text files by name (which may have folders), through Spark's own file systems; the directory."""
     for name, content in files.items():

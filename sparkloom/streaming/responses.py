@@ -7,12 +7,16 @@ that moment is a hit; else the response is stored if its status may be, for as l
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.operators.asof import as_of
+from sparkloom.sources.shared import stored
+
 OUTPUT = "key string, ts timestamp, status int, hit boolean"
 
 
@@ -63,20 +67,34 @@ def cached(requests: DataFrame, rules: Sequence[tuple[int, int]] | None = None,
     return keyed.groupBy("key").applyInPandasWithState(step, OUTPUT, "until bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cached_table(requests: DataFrame, rules: Sequence[tuple[int, int]] | None = None, default_ttl: int = 0, by: Sequence[str] = ("url", "method")) -> DataFrame:
-    """cached() of a table: each key's requests by ts (and status, where they tie), one after another in sorted partitions,
-    so no key is ever held whole."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, end = None, 0
-        for rows in frames:
-            hits: list[bool] = []
-            for _, part in rows.groupby((rows["key"] != rows["key"].shift()).cumsum(), sort=False):
-                if part["key"].iat[0] != key:
-                    key, end = part["key"].iat[0], 0
-                end, some = _answered(end, part["ms"].tolist(), part["ttl"].tolist())
-                hits += some
-            yield rows[["key", "ts", "status"]].assign(hit=hits)
-
-    keyed = _keyed(requests, rules, default_ttl, by)
-    return keyed.repartition("key").sortWithinPartitions("key", "ms", "status").mapInPandas(run, OUTPUT)
+def cached_table(requests: DataFrame, rules: Sequence[tuple[int, int]] | None = None, default_ttl: int = 0, by: Sequence[str] = ("url", "method"), partitions: int | None = None) -> DataFrame:
+    """cached() of a table: each key's requests by time in milliseconds, status and ts.
+
+    What is stored follows from what was stored before, but not request by request: after a stored response the next is the
+    first storable request from its end on (an as-of search), and which of these are reached from a key's first is found by
+    pointer doubling, in the logarithm of a key's stored responses. So one key's requests are worked on by many tasks, in
+    built-in expressions; rounds are written to the shared folder."""
+    keyed = _keyed(requests, rules, default_ttl, by).groupBy("key", "ts", "status", "ms", "ttl").agg(F.count("*").alias("n"))
+    keyed = stored(keyed.select("*", F.unix_micros("ts").alias("us")))
+    best = keyed.where("ttl > 0").groupBy("key", "ms").agg(F.min(F.struct("status", "us", "ttl")).alias("b"))
+    nodes = stored(best.select("key", "ms", F.struct("ms", "b.status", "b.us", (F.col("ms") + F.col("b.ttl")).alias("until")).alias("node")))
+    marks = nodes.select("key", F.col("ms").alias("at"), F.col("ms").alias("value"))
+    ahead = as_of(nodes.select("key", "ms", F.col("node.until").alias("at")), marks, forward=True, partitions=partitions)
+    jumps = stored(ahead.where("found IS NOT NULL").select("key", "ms", F.col("found").alias("far")))
+    known = [stored(nodes.groupBy("key").agg(F.min("ms").alias("ms")))]
+    while True:
+        more = stored(reduce(DataFrame.unionByName, known).join(jumps, ["key", "ms"]).select("key", F.col("far").alias("ms")))
+        if more.isEmpty():
+            break
+        known.append(more)
+        jumps = stored(jumps.join(jumps.select("key", F.col("ms").alias("far"), F.col("far").alias("farther")), ["key", "far"]).select("key", "ms", F.col("farther").alias("far")))
+    held = reduce(DataFrame.unionByName, known).join(nodes, ["key", "ms"]).select("key", F.col("ms").alias("at"), F.col("node").alias("value"))
+    seen = as_of(keyed.withColumn("at", F.col("ms")), held, partitions=partitions)
+    least = F.lit(-(2**31))
+    order = lambda status, us: F.struct(F.coalesce(status, least), us)
+    mine, its = order(F.col("status"), F.col("us")), order(F.col("found.status"), F.col("found.us"))
+    fresh = F.coalesce(F.col("ms") < F.col("found.until"), F.lit(False))
+    same = F.coalesce((F.col("ms") == F.col("found.ms")) & (mine == its), F.lit(False))
+    early = F.coalesce((F.col("ms") == F.col("found.ms")) & (mine < its), F.lit(False))
+    each = seen.select("key", "ts", "status", (fresh & ~early).alias("fresh"), same.alias("same"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    return each.select("key", "ts", "status", (F.col("fresh") & ~(F.col("same") & (F.col("i") == 1))).alias("hit"))
