@@ -29,12 +29,13 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "place", par
     numbered = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(own, F.monotonically_increasing_id()))
     counts = sorted((r.piece, r.n) for r in numbered.groupBy(piece.alias("piece")).agg(F.count("*").alias("n")).collect())
     before = [0, *accumulate(c for _, c in counts)]
-    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "piece int, before long")  # a row a partition
-    placed = numbered.join(F.broadcast(offsets), piece == F.col("piece"))
-    return placed.select(*(numbered[c] for c in df.columns if c != name), (F.col("before") + F.col(own).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
+    key, ahead = fresh_name("piece", df.columns), fresh_name("before", df.columns)
+    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], f"`{key}` int, `{ahead}` long")  # a row a partition
+    placed = numbered.join(F.broadcast(offsets), piece == F.col(key))
+    return placed.select(*(numbered[c] for c in df.columns if c != name), (F.col(ahead) + F.col(own).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
 
 
 def fresh_name(name: str, taken: Sequence[str]) -> str:
     """name, or with a number after it, whatever no column has."""
-    lowered = {c.lower() for c in taken} | {"piece", "before"}
+    lowered = {c.lower() for c in taken}
     return next(x for x in (f"{name}{i or ''}" for i in range(len(lowered) + 1)) if x not in lowered)
