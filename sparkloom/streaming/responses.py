@@ -12,7 +12,9 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from sparkloom.operators.asof import as_of
 from sparkloom.sources.shared import stored
@@ -98,3 +100,39 @@ def cached_table(requests: DataFrame, rules: Sequence[tuple[int, int]] | None =
     early = F.coalesce((F.col("ms") == F.col("found.ms")) & (mine < its), F.lit(False))
     each = seen.select("key", "ts", "status", (fresh & ~early).alias("fresh"), same.alias("same"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
     return each.select("key", "ts", "status", (F.col("fresh") & ~(F.col("same") & (F.col("i") == 1))).alias("hit"))
+
+
+class _Store(StatefulProcessor):
+    """One key's stored response: when it ends. A timer at its end drops it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "until bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat([*rows]).sort_values(["ms", "status", "ts"], kind="stable")
+        before = self.until.get()[0] if self.until.exists() else 0
+        end, hits = _answered(before, frame["ms"].tolist(), frame["ttl"].tolist())
+        if end != before:
+            if before:
+                self.handle.deleteTimer(before)
+            self.until.update((end,))
+            self.handle.registerTimer(end)
+        yield pd.DataFrame({"key": key[0], "ts": frame["ts"].values, "status": frame["status"].values, "hit": hits})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.until.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def cached_stream(requests: DataFrame, rules: Sequence[tuple[int, int]] | None = None, default_ttl: int = 0, by: Sequence[str] = ("url", "method"), lateness: str = "1 hour") -> DataFrame:
+    """cached() with its state in typed variables and timers: the state of a key is one number, and goes when the watermark
+    passes the end of the stored response, whether or not the key is asked for again.
+
+    Needs RocksDB as the state store. Rows of one micro-batch are taken in the order of ts; rows later than `lateness` are
+    dropped. On requests that arrive in order it answers as cached_table() does."""
+    keyed = _keyed(requests, rules, default_ttl, by).withWatermark("ts", lateness)
+    return keyed.groupBy("key").transformWithStateInPandas(_Store(), OUTPUT, "append", "eventTime")
