@@ -38,6 +38,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered, NOT_WORD, -1), lambda w: w != "")
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
+    """df with other names for the columns that begin with `__`, as the operators' own do, and these names by the old ones and
+    the other way round."""
+    taken = {c.lower() for c in df.columns}
+    new = {c: next(x for x in (f"kept{'_' * i}{c}" for i in range(len(taken) + 1)) if x.lower() not in taken) for c in df.columns if c.startswith("__")}
+    return df.withColumnsRenamed(new), new, {v: k for k, v in new.items()}
+
+
 def last_within(rows: list, most: dict) -> dict:
     """From (class, digest, bytes), the last digest of each class before which there are less than most[class] bytes."""
     last, before = {}, dict.fromkeys(most, 0)
