@@ -304,12 +304,13 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def text_scores(m: Model, texts: list[str]) -> np.ndarray:
     if m.weight is None:
         return np.zeros(len(texts))
-    return 1 / (1 + np.exp(-np.clip(m.slope * np.clip(text_values(m, texts), -1.5, 1.5) + m.shift, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(m.slope * text_values(m, texts) + m.shift, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", per_class: int = 700, train_bytes: int = 12_000_000) -> Model:
-    """Fit on a bounded sample of the labelled rows of docs."""
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(toxic).alias("y"))
+    """Fit on a bounded sample of the labelled rows of docs. Labels of other documents are not looked at, not even counted."""
+    given = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__given"))
+    known = labels.join(given, labels[doc_id] == given["__given"], "left_semi").where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.max(toxic).alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     if set(counts) != {0, 1}:
         return Model(None)
