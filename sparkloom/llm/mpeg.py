@@ -21,6 +21,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
 
 import pyarrow as pa
@@ -174,6 +175,14 @@ class Stream:
     def played(self) -> int:
         return max(0, self.samples - (self.table or {}).get("trim", 0))
 
+    @property
+    def duration(self) -> Fraction:
+        """Seconds, exactly: each frame counts at its own rate."""
+        by_rate: dict[int, int] = {}
+        for h in self.headers:
+            by_rate[h.rate] = by_rate.get(h.rate, 0) + h.samples
+        return sum((Fraction(n, rate) for rate, n in by_rate.items()), Fraction(0))
+
     @property
     def rate(self) -> int:
         return self.headers[0].rate if self.headers else 0
@@ -269,6 +278,8 @@ def parse(data: bytes) -> Stream:
         if good and lost and at + h.length + 4 <= end:
             after = header(data[at + h.length : at + h.length + 4])
             good = after is not None and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate)
+        elif good and lost and at + h.length != end:  # nothing behind it confirms it, so what came before has to
+            good = any((x.version, x.layer, x.rate) == (h.version, h.layer, h.rate) for x in out.headers[-1:])
         if not good:
             lost = True
             nxt = data.find(b"\xff", at + 1, end)
@@ -335,21 +346,22 @@ def recover(data: bytes, s: Stream | None = None) -> bytes:
 
 def describe(s: Stream) -> dict:
     return {
-        "n_frames": len(s.offsets), "samples": s.samples, "played_samples": s.played, "sample_rate": s.rate, "vbr": bool(s.table) and s.table["kind"] != "Info", "table_agrees": s.table is None or s.table.get("frames") == len(s.offsets),
+        "n_frames": len(s.offsets), "samples": s.samples, "played_samples": s.played, "sample_rate": s.rate, "duration": {"numerator": s.duration.numerator, "denominator": s.duration.denominator}, "vbr": bool(s.table) and s.table["kind"] != "Info", "table_agrees": s.table is None or s.table.get("frames") == len(s.offsets),
         "crc_checked": s.checked, "crc_bad": s.bad, "skipped_bytes": s.skipped, "offsets": s.offsets, "tags": s.tags,
     }
 
 
-DESCRIBED = "n_frames bigint, samples bigint, played_samples bigint, sample_rate int, vbr boolean, table_agrees boolean, crc_checked bigint, crc_bad bigint, skipped_bytes bigint, offsets array<bigint>, tags map<string,string>"
+DESCRIBED = "n_frames bigint, samples bigint, played_samples bigint, sample_rate int, duration struct<numerator:bigint,denominator:bigint>, vbr boolean, table_agrees boolean, crc_checked bigint, crc_bad bigint, skipped_bytes bigint, offsets array<bigint>, tags map<string,string>"
 
 
 def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
-    """df with a struct `mpeg` that describes the stream in a binary column; duration is samples / sample_rate."""
+    """df with a struct `mpeg` that describes the stream in a binary column; duration is an exact fraction of seconds, sample_rate
+    the first frame's."""
     keep = [c for c in df.columns if c != "mpeg"]
     src = df.select(*keep)
     at = keep.index(column)
     kind = T.StructType.fromDDL(DESCRIBED)
-    arrow = pa.struct([("n_frames", pa.int64()), ("samples", pa.int64()), ("played_samples", pa.int64()), ("sample_rate", pa.int32()), ("vbr", pa.bool_()), ("table_agrees", pa.bool_()), ("crc_checked", pa.int64()), ("crc_bad", pa.int64()), ("skipped_bytes", pa.int64()), ("offsets", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), pa.string()))])
+    arrow = pa.struct([("n_frames", pa.int64()), ("samples", pa.int64()), ("played_samples", pa.int64()), ("sample_rate", pa.int32()), ("duration", pa.struct([("numerator", pa.int64()), ("denominator", pa.int64())])), ("vbr", pa.bool_()), ("table_agrees", pa.bool_()), ("crc_checked", pa.int64()), ("crc_bad", pa.int64()), ("skipped_bytes", pa.int64()), ("offsets", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
