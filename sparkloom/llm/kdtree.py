@@ -16,8 +16,8 @@ Slots number the rows of a shard without gaps: rows are dealt into buckets by di
 offsets of the buckets are summed up; no shard is ever in one task. Rows that are equal in everything are told apart by
 the partition of the stored points that they come from.
 
-Defined results: null metadata sort first; null text has no bytes, and size is bytes + 1. Text dimensions are ordered by
-their first bytes. An empty table has no rows and no shards. Extra columns are not read. Repeated rows each get their row;
+Defined results: null metadata sort first; null text has no bytes, and size is bytes + 1. Text dimensions are the ranks of
+their whole values, fractions 2^60 equal steps of their range. An empty table has no rows and no shards. Extra columns are not read. Repeated rows each get their row;
 rows that are equal in all dimensions and in digest stay in one leaf. With target_bytes a leaf has at most the target and one row more, or only rows that no split divides.
 """
 
@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import cut, is_small, keyed_join, table
+from sparkloom.operators.ranking import global_rank
 
 BINS, ALL_BINS, LEAST_BINS = 1 << 18, 1 << 20, 256  # a node, all nodes of a level together, and a node in any case
 MOST_SENT = 200_000  # nodes whose bounds are broadcast
@@ -51,25 +52,48 @@ class Node:
     tie: int = 0
 
 
-def number(column: Column, kind: T.DataType) -> Column:
-    """An order-keeping whole number of a value; null is least."""
-    if isinstance(kind, T.StringType):
-        # six bytes of UTF-8, the missing ones zero
-        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
-    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        column = F.nanvl(column.cast("double"), F.lit(None).cast("double")) * 1e3
-        whole = F.floor(F.least(F.greatest(column, F.lit(-float(LIMIT))), F.lit(float(LIMIT))))
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """rows (read from storage) with a text column as ranks of its distinct values, by code points; null is 0.
+
+    A few values are ranked in one task, of a size that is counted first; more of them by ranges of values."""
+    some = F.col(column).isNotNull()
+    values = cut(rows.select(column).where(some).distinct())
+    if is_small(values):
+        ranks = values.withColumn("__rank", F.row_number().over(Window.orderBy(column)).cast("long"))
     else:
-        whole = column.cast("long")
-    # greatest and least skip nulls, so null is told first
-    return F.when(column.isNull(), -LIMIT - 1).otherwise(F.least(F.greatest(whole, F.lit(-LIMIT)), F.lit(LIMIT)))
+        ranks = global_rank(values, [F.col(column).asc()], "__rank")
+    known = keyed_join(rows.where(some), cut(ranks), [column]).withColumn(column, F.col("__rank")).select(*rows.columns)
+    return known.unionByName(rows.where(~some).withColumn(column, F.lit(0).cast("long")))
+
+
+def _scaled(rows: DataFrame, column: str) -> Column:
+    """Fractions and floats as 2^60 equal steps between the least and the greatest finite value; null and NaN are least,
+    infinities tie with the ends."""
+    x = F.col(column).cast("double") / 2  # so that differences are finite
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    ends = rows.agg(F.min(finite).alias("low"), F.max(finite).alias("high")).first()  # two numbers
+    low, wide = ends.low or 0.0, ((ends.high or 0.0) - (ends.low or 0.0)) or 1.0
+    share = F.least(F.greatest((x - low) / wide, F.lit(0.0)), F.lit(1.0))
+    return F.when(x.isNull() | F.isnan(x), -1).otherwise(F.floor(share * float(1 << 60))).cast("long")
 
 
 def points(docs: DataFrame, dims: tuple[str, ...], size: Column, keep: tuple[Column, ...]) -> DataFrame:
-    kinds = {f.name: f.dataType for f in docs.schema}
+    """keep, size, tie and d0, d1, ...: order-keeping whole numbers of the dimensions."""
+    kinds = [docs.schema[d].dataType for d in dims]
     tie = F.shiftrightunsigned(F.xxhash64(*keep), 64 - TIE_BITS)
-    return docs.select(*keep, size.alias("size"), tie.alias("tie"), *(number(F.col(d), kinds[d]).alias(f"d{k}") for k, d in enumerate(dims)))
+    rows = docs.select(*keep, size.alias("size"), tie.alias("tie"), *(F.col(d).alias(f"d{k}") for k, d in enumerate(dims)))
+    if any(isinstance(k, (T.StringType, T.FractionalType)) for k in kinds):
+        rows = cut(rows)  # read several times
+    for k, kind in enumerate(kinds):
+        c = f"d{k}"
+        if isinstance(kind, T.StringType):
+            rows = _ranked(rows, c)
+        elif isinstance(kind, T.FractionalType):
+            rows = rows.withColumn(c, _scaled(rows, c))
+        else:  # greatest and least skip nulls, so null is told first
+            whole = F.least(F.greatest(F.col(c).cast("long"), F.lit(-LIMIT)), F.lit(LIMIT))
+            rows = rows.withColumn(c, F.when(F.col(c).isNull(), -LIMIT - 1).otherwise(whole))
+    return rows
 
 
 def _known(df: DataFrame, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
