@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, NOT_WORD, UPPER, broadcast_if_small, cut, is_small, salted_join, table
+from sparkloom.llm.common import LOWER, NOT_WORD, UPPER, aside, broadcast_if_small, cut, is_small, salted_join, table
 
 WINDOW, SHINGLE = 10, 5
 OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -77,7 +77,7 @@ def places(docs: DataFrame, vocabulary: DataFrame, text: str, sizes: list[int])
 
 
 def verdicts(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, size: int) -> DataFrame:
-    """By digest of the text: n_hit, and the items found. Only texts with a hit have a row."""
+    """By digest of the text: n_hit, n_items and items_sha256. Only texts with a hit have a row."""
     found, listed = windows(items, item_id, item_text, size)
     parts = cut(shingles(found))
     vocabulary = cut(parts.select("k", "words", "sid").dropDuplicates(["sid"]))
@@ -98,13 +98,32 @@ def verdicts(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
     reach = matches.groupBy("key", "start").agg(F.max("end").alias("end")).withColumn("upto", F.max("end").over(before))
     new = F.col("end") - F.greatest("start", F.least("end", F.coalesce("upto", "start")))
     n_hit = reach.groupBy("key").agg(F.sum(new).cast("long").alias("n_hit"))
-    names = salted_join(matches.select("key", "wid").distinct(), listed, "wid").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return cut(n_hit.join(names, "key", "left").select("key", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+    return cut(n_hit.join(named(matches.select("key", "wid").distinct(), listed), "key", "left"))
+
+
+def named(held: DataFrame, listed: DataFrame) -> DataFrame:
+    """(key, n_items, items_sha256) of texts with windows (key, wid) that items have (wid, item).
+
+    Windows with the same items are one set, told by the number and the sums of two hashes of their items, and texts with the
+    same sets are one combination. Items are listed once for each combination, not for each text, so a window that very many
+    items and texts share costs their sum, not their product."""
+    hashes = [F.sum(F.xxhash64(F.lit(i), "item").cast("decimal(20,0)")).alias(f"s{i}") for i in range(2)]
+    sets = cut(listed.groupBy("wid").agg(F.count("*").alias("n"), *hashes).select("wid", F.md5(F.concat_ws(":", "n", "s0", "s1")).alias("set")))
+    one = sets.groupBy("set").agg(F.min("wid").alias("wid"))
+    members = cut(salted_join(listed, cut(one), "wid").select("set", "item"))
+    of_text = salted_join(held, sets, "wid").groupBy("key").agg(F.array_sort(F.collect_set("set")).alias("sets"))  # a text's own windows
+    of_text = cut(of_text.withColumn("combination", F.md5(F.array_join("sets", ":"))))
+    every = of_text.dropDuplicates(["combination"]).select("combination", F.explode("sets").alias("set"))
+    items = salted_join(every, members, "set").groupBy("combination").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    digested = items.select("combination", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return salted_join(of_text.select("key", "combination"), cut(digested), "combination").select("key", "n_items", "items_sha256")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    hits = broadcast_if_small(verdicts(docs, items, text, item_id, item_text, size)).withColumnsRenamed({"key": "__key", "n_hit": "__hit", "items": "__items"})
+    docs, new, back = aside(docs)
+    text = new.get(text, text)
+    hits = broadcast_if_small(verdicts(docs, items, text, item_id, item_text, size)).withColumnsRenamed({"key": "__key", "n_hit": "__hit", "n_items": "__n", "items_sha256": "__sha"})
     keep = [c for c in docs.columns if c not in OUTPUTS]
     own = docs.select(*keep, F.size(_words(F.col(text))).cast("long").alias("n_words"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__key"))
     out = own.join(hits, "__key", "left")
@@ -112,10 +131,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         *keep,
         "n_words",
         F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("__items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("__items", ","), F.lit("")), 256).alias("items_sha256"),
+        F.coalesce("__n", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("__sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         F.col("__hit").isNotNull().alias("contaminated"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
