@@ -7,12 +7,12 @@ texts, an entity e in n(e) of them, a term t in n(t), and t near e in n(e,t), th
     PMI(e;t) / IC(e) = log(n(e,t) N / (n(e) n(t))) / log(N / n(e))
 
 of the entity's information: 1 if the term occurs only beside e, 0 if it is independent. A term seen beside e in at
-least `support` different texts is removed where this reaches `remove`, and generalised to its kind of token from
-`generalise` on, wherever in the corpus it occurs. A term is judged by its highest value over all entities. Only the
-entities count beside which most of the term's texts have it: with rare entities, the ratio is high for any rare term
-seen beside them by chance (or in near copies), while for frequent ones it stays below 1 by each text without them.
-An entity that more than half of the texts hold has less than one bit to give away, and the ratio means nothing; its terms
-are left.
+least `support` different texts is generalised to its kind of token where this surely reaches `generalise`, wherever in
+the corpus it occurs, and removed where it reaches `remove`. Surely: with the lower end of the interval of n(e,t) / n(t),
+`confidence` standard errors below, in its place. So a few texts in which a rare term and a rare entity meet by chance (or
+near copies of one) don't count as much as many. A term is judged by its highest value over all entities for which it is
+sure. An entity that more than the part `common` of all texts hold (a half: less than one bit to give away) discloses
+nothing.
 
 Copies of a text count once everywhere: N, n(e), n(t) and n(e,t) are numbers of different texts.
 
@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, UPPER, broadcast_if_small, cut, salted_join, table
+from sparkloom.llm.common import LOWER, UPPER, aside, broadcast_if_small, cut, salted_join, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -50,6 +50,7 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 TERM = BREAK.replace("[", "[^", 1)
 NEAR, SUPPORT, GENERALISE, REMOVE = 64, 3, 0.8, 0.95
+CONFIDENCE, COMMON = 0.84, 0.5  # standard errors (a one-sided level of 80 %); part of all texts
 CHUNK = 2048
 SPANS = "array<struct<start:int,kind:int,end:int,value:string,upto:int>>"
 OUTPUTS = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
@@ -153,30 +154,37 @@ def entity_spans(docs: DataFrame, text: str, near: int = NEAR) -> tuple[DataFram
     return spans, cut(beside.join(own, ["key", "term"], "left_anti").select("key", "entity", "term"))
 
 
-def disclosures(docs: DataFrame, spans: DataFrame, pairs: DataFrame, text: str, support: int, generalise: float) -> tuple[DataFrame, DataFrame]:
+def least_part(some: Column, of: Column, confidence: float) -> Column:
+    """Lower end of Wilson's interval of a part, so many standard errors below."""
+    p, z2 = some / of, confidence**2
+    return (p + z2 / (2 * of) - confidence * F.sqrt(p * (1 - p) / of + z2 / (4 * of * of))) / (1 + z2 / of)
+
+
+def disclosures(docs: DataFrame, spans: DataFrame, pairs: DataFrame, text: str, support: int, generalise: float, confidence: float = CONFIDENCE, common: float = COMMON) -> tuple[DataFrame, DataFrame]:
     """(term, share) of the terms that disclose an entity, and (key, term) of the texts that hold them."""
     n_texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key")).distinct().count()
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     n_e = spans.select("key", F.lower("value").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     n_floor = pairs.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_floor"))
-    most = F.col("n_et") * 2 >= F.col("n_t")
-    share = F.log(F.col("n_et") * n_texts / (F.col("n_e") * F.col("n_t"))) / F.log(n_texts / F.col("n_e"))
-    seen = together.where(F.col("n_et") >= support).join(n_e, "entity").where(F.col("n_e") * 2 <= n_texts)
-    likely = cut(seen.join(n_floor.withColumnRenamed("n_floor", "n_t"), "term").where(most & (share >= generalise)).drop("n_t"))
-    wanted = broadcast_if_small(cut(likely.select("term").distinct()))
+    share = lambda part: 1 + F.log(part) / F.log(n_texts / F.col("n_e"))  # noqa: E731  of the entity's information, if the term's texts have it so often
+    part = F.col("n_et") / F.col("n_t")
+    sure = share(least_part(F.col("n_et"), F.col("n_t"), confidence)) >= generalise
+    seen = together.where(F.col("n_et") >= support).join(n_e, "entity").where(F.col("n_e") <= common * n_texts)
+    likely = cut(seen.join(n_floor.withColumnRenamed("n_floor", "n_t"), "term").where(sure).drop("n_t"))
+    wanted = cut(likely.select("term").distinct())
     body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    spread = body.select(F.md5("t").alias("key"), F.explode(F.split(F.translate("t", UPPER, LOWER), BREAK + "+", -1)).alias("term"))
-    held = cut(spread.join(wanted, "term", "left_semi").distinct())
+    spread = body.select(F.unhex(F.md5("t")).alias("key"), F.explode(F.split(F.translate("t", UPPER, LOWER), BREAK + "+", -1)).alias("term"))
+    held = cut(salted_join(spread, wanted, "term").distinct())
     n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = cut(likely.join(n_t, "term").where(most).withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise))
-    return terms, held
+    terms = cut(likely.join(n_t, "term").where(sure).groupBy("term").agg(F.max(share(part)).alias("share")))
+    return terms, held.select(F.lower(F.hex("key")).alias("key"), "term")
 
 
-def all_spans(docs: DataFrame, text: str, support: int, generalise: float, remove: float, near: int) -> DataFrame:
+def all_spans(docs: DataFrame, text: str, support: int, generalise: float, remove: float, near: int, confidence: float = CONFIDENCE, common: float = COMMON) -> DataFrame:
     """(key, spans) of the distinct texts with base or term spans, by start and kind. A term's value is what replaces it;
     upto is the end of all spans before."""
     base, pairs = entity_spans(docs, text, near)
-    terms, held = disclosures(docs, base, pairs, text, support, generalise)
+    terms, held = disclosures(docs, base, pairs, text, support, generalise, confidence, common)
     known = broadcast_if_small(terms)
     keys = broadcast_if_small(cut(held.join(known, "term", "left_semi").select("key").distinct()))
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("key", F.md5("t")).join(keys, "key", "left_semi").dropDuplicates(["key"])
@@ -204,9 +212,11 @@ def _masked_text(chunks: Column, spans: Column) -> Column:
     return F.concat(F.array_join(parts, ""), _between(chunks, F.array_max(F.transform(spans, lambda x: x["end"])), F.size(chunks) * CHUNK))
 
 
-def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, near: int = NEAR) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, near: int = NEAR, confidence: float = CONFIDENCE, common: float = COMMON) -> DataFrame:
     """docs with their text sanitised, the counts of base spans, and all spans of the original text."""
-    marked = broadcast_if_small(all_spans(docs, text, support, generalise, remove, near), 100_000).withColumnsRenamed({"key": "__key", "spans": "__spans"})
+    docs, new, back = aside(docs)
+    text = new.get(text, text)
+    marked = broadcast_if_small(all_spans(docs, text, support, generalise, remove, near, confidence, common), 100_000).withColumnsRenamed({"key": "__key", "spans": "__spans"})
     keep = [c for c in docs.columns if c not in OUTPUTS]
     own = docs.select(*keep, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__key"))
     spans = F.coalesce("__spans", F.array().cast(SPANS))
@@ -227,7 +237,7 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
         *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
         F.sha2(listed(F.filter(spans, lambda s: s["kind"] < 4)), 256).alias("base_sha256"),
         listed(spans).alias("spans"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
