@@ -5,18 +5,24 @@ Everything here is linear in the characters and keeps no table that grows with t
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+def in_word(c: str) -> bool:
+    """Letters, digits, and the marks that combine with what is before them: vowel signs, viramas, accents apart."""
+    return c.isalnum() or unicodedata.category(c)[0] == "M"
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code point of each letter and digit of the basic plane (0 for others), and whether it is a letter."""
+    """Lower-cased code point of each letter, digit and mark of the basic plane (0 for others), and whether it is a letter."""
     cls = np.zeros(0x10000, np.uint32)
     letter = np.zeros(0x10000, bool)
     for cp in range(0x10000):
-        if not 0xD800 <= cp < 0xE000 and chr(cp).isalnum():
+        if not 0xD800 <= cp < 0xE000 and in_word(chr(cp)):
             letter[cp] = chr(cp).isalpha()
             cls[cp] = ord(chr(cp).lower()[0])
     return cls, letter
@@ -30,12 +36,12 @@ def codes(text: str) -> np.ndarray:
 
 
 def classes(cps: np.ndarray) -> np.ndarray:
-    """Lower-cased code points of letters and digits; 0 is no word character."""
+    """Lower-cased code points of letters, digits and marks; 0 is no word character."""
     if len(cps) and cps.max() >= 0x10000:
         astral = cps >= 0x10000
         out = _CLS[np.where(astral, 0, cps)]
         for cp in np.unique(cps[astral]):
-            if chr(cp).isalnum():
+            if in_word(chr(cp)):
                 out[cps == cp] = ord(chr(cp).lower()[0])
         return out
     return _CLS[cps]
@@ -71,7 +77,7 @@ def lay(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split(texts: list[str]) -> Words:
-    """Words: runs of letters and digits."""
+    """Words: runs of letters, digits and marks."""
     cps, bounds = lay(texts)
     cls = classes(cps)
     inside = np.concatenate(([False], cls > 0, [False]))
