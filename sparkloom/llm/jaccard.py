@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textvec as tv
-from sparkloom.llm.common import broadcast_if_small, cut, table
+from sparkloom.llm.common import aside, broadcast_if_small, cut, table
 from sparkloom.llm.components import components
 
 N_WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -310,6 +310,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group: the one with the least id, and of equal ids the least text digest."""
+    docs, new, back = aside(docs)
+    doc_id, text = new.get(doc_id, doc_id), new.get(text, text)
     prints, classes = join_classes(docs, doc_id, text)
     rows = prints.where("rep IS NOT NULL").groupBy("rep", "doc_id", "tkey").agg(F.count("*").alias("copies"))
     rows = cut(rows.join(classes.select("rep", "label"), "rep").select("label", "doc_id", "tkey", "copies"))
@@ -327,7 +329,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     if not repeated.isEmpty():  # rows that are there more than once
         some = broadcast_if_small(repeated)
         kept = kept.union(keyed.join(some, match(some), "left_semi").dropDuplicates([doc_id, "__own"]))
-    return kept.drop("__own")
+    return kept.drop("__own").withColumnsRenamed(back)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

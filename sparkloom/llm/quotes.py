@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import cut, keyed_join, table
+from sparkloom.llm.common import aside, cut, keyed_join, table
 
 MARK = re.compile(r"^[ \t]?(?:>[ \t]?)+")
 #: Words that end the line before a quote.
@@ -135,6 +135,8 @@ def positions(rows: DataFrame) -> DataFrame:
 def link(messages: DataFrame, thread: str | None = "thread", order: str = "node", text: str = "text", wrote: tuple[str, ...] = WROTE) -> DataFrame:
     """messages with parent, root, depth, position, n_quotes, n_linked and clean_text; with thread None, quotes are linked
     over the whole table, whose order must then be one of all messages."""
+    messages, new, back = aside(messages)
+    thread, order, text = (new.get(c, c) if c else c for c in (thread, order, text))
     read = cut(parsed(messages, text, wrote))
     group = F.lit(0) if thread is None else F.col(thread)
     one = read.where(group.isNotNull() & F.col(order).isNotNull()).select(group.alias("thread"), F.col(order).cast("long").alias("node"), "clean_text", "__own", "__quotes")
@@ -156,7 +158,7 @@ def link(messages: DataFrame, thread: str | None = "thread", order: str = "node"
     keep = [c for c in messages.columns if c not in OUTPUTS]
     same = F.col(order).cast("long") == F.col("__n")
     out = read.join(facts, same if thread is None else same & (F.col(thread) == F.col("__t")), "left")
-    return out.select(*keep, "parent", "root", "depth", "position", F.size("__quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "clean_text")
+    return out.select(*keep, "parent", "root", "depth", "position", F.size("__quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "clean_text").withColumnsRenamed(back)
 
 
 def quoted_turns(turns: DataFrame) -> DataFrame:

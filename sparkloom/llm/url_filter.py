@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, keyed_join, salted_join, table
+from sparkloom.llm.common import aside, cut, keyed_join, salted_join, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -53,6 +53,8 @@ def month(x: Column) -> Column:
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures with host, n_active, categories, patterns and allowed."""
+    captures, new, back = aside(captures)
+    url, fetched = new.get(url, url), new.get(fetched, fetched)
     spans = cut(intervals(entries))
     # no pattern has more path parts, so longer prefixes can't match
     deepest = spans.agg(F.max(F.size(F.split("pattern", "/")))).first()[0] or 1
@@ -70,7 +72,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     keep = [c for c in captures.columns if c not in OUTPUTS]
     asking = captures.select(*keep, host.alias("host"), F.col(url).alias("__url"), F.col(fetched).alias("__at"))
     out = keyed_join(asking, cut(listed), ["__url", "__at"], "left")
-    return out.select(*keep, "host", F.coalesce("__n", F.lit(0)).cast("long").alias("n_active"), F.coalesce("__c", F.lit("")).alias("categories"), F.coalesce("__p", F.lit("")).alias("patterns"), F.col("__n").isNull().alias("allowed"))
+    return out.select(*keep, "host", F.coalesce("__n", F.lit(0)).cast("long").alias("n_active"), F.coalesce("__c", F.lit("")).alias("categories"), F.coalesce("__p", F.lit("")).alias("patterns"), F.col("__n").isNull().alias("allowed")).withColumnsRenamed(back)
 
 
 def _number(x: str, at: int) -> str:
