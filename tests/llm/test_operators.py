@@ -546,7 +546,7 @@ def test_pii_odd(spark, odd, none):
 @pytest.mark.parametrize("name", registry.ORACLE_SQL)
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "labels", "clicks"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     a, b = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLE_SQL[name]).df()
     canon = lambda df: sorted(tuple("-" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x) for x in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))

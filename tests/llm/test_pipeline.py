@@ -84,10 +84,12 @@ def sanitised(docs):
             held[x].add(t)
     shares = {}
     for (e, x), both in pairs.items():
-        if len(both) >= pii.SUPPORT and 2 * len(n_e[e]) <= len(texts) and 2 * len(both) >= len(held[x]):
-            r = math.log(len(both) * len(texts) / (len(n_e[e]) * len(held[x]))) / math.log(len(texts) / len(n_e[e]))
-            if r >= pii.GENERALISE:
-                shares[x] = max(r, shares.get(x, 0))
+        if len(both) >= pii.SUPPORT and len(n_e[e]) <= pii.COMMON * len(texts):
+            n, p, z = len(held[x]), len(both) / len(held[x]), pii.CONFIDENCE
+            least = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            share = lambda part: 1 + math.log(part) / math.log(len(texts) / len(n_e[e]))  # noqa: B023, E731
+            if share(least) >= pii.GENERALISE:
+                shares[x] = max(share(p), shares.get(x, 0))
     out = {}
     for i, t in docs.items():
         marks = [(int(a), list(BASE).index(k), int(b), f"[{k.upper()}]") for k, a, b in (s.split(":") for s in base_spans(t))]

@@ -279,18 +279,3 @@ def test_scan_of_long_texts(monkeypatch):
         assert b"".join(filter_audit._pieces(body, 16)) == text.encode()
         got, want = filter_audit.scan_long(body), filter_audit.scan(pa.array([text]))
         assert got == {n: int(v[0]) for n, v in want.items()}
-
-
-def test_queries_against_sql_on_small_tables(spark):
-    import duckdb
-
-    from sparkloom.llm import registry
-
-    sf = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for t in ("documents", "labels", "clicks"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("op11_exact_dedup", "op12_sessions", "op13_filter_audit"):
-        a, b = registry.QUERIES[name](spark, sf).toPandas(), con.sql(registry.ORACLE_SQL[name]).df()
-        columns = sorted(a.columns)
-        assert columns == sorted(b.columns) and sorted(map(str, a[columns].astype(object).values.tolist())) == sorted(map(str, b[columns].astype(object).values.tolist()))
