@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sparkloom.functions import case, text, validate, web
 from sparkloom.operators import records, recursive
-from sparkloom.plans import checks, rules, secrets, structure, versions  # noqa: F401  (some only register their queries)
+from sparkloom.plans import checks, commands, rules, secrets, structure, versions  # noqa: F401  (some only register their queries)
 from sparkloom.plans.registry import ORACLE_SQL, QUERIES, projection, query, table
 from sparkloom.sinks import files
 from sparkloom.sources import documents, shared
