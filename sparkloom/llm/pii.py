@@ -17,8 +17,8 @@ nothing.
 Copies of a text count once everywhere: N, n(e), n(t) and n(e,t) are numbers of different texts.
 
 Only a stretch of `near` characters on either side of an entity counts as near, so the pairs grow with the entities, not
-with document length times entities. Terms that can't reach the threshold (by their count in texts with entities
-alone) are dropped before the pass over the corpus that counts the rest.
+with document length times entities. Terms that can't reach the threshold (by their counts beside entities, then in the
+texts with entities) are dropped before the pass over the corpus that counts the rest.
 
 Patterns use possessive groups and start only where a run starts: the matches are those of the plain patterns, without
 recursion and in linear time on very long texts. Places are sums over the pieces between matches, taken over rows; what
@@ -137,9 +137,9 @@ def _near(chunks: Column, start: Column, end: Column, near: int) -> Column:
     return _terms(F.concat(left, F.lit(" "), right))
 
 
-def entity_spans(docs: DataFrame, text: str, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
-    """(key, kind, start, end, value) of the base spans of the distinct texts, and (key, entity, term) of what is beside
-    them and not part of a span of the text."""
+def entity_spans(docs: DataFrame, text: str, near: int = NEAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, kind, start, end, value) of the base spans of the distinct texts, (key, entity, term) of what is beside them and
+    not part of a span of the text, and (key, t) of these texts."""
     found = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(
         F.greatest(*(F.col("t").rlike(p) for p in PATTERNS.values()))
     )
@@ -151,7 +151,7 @@ def entity_spans(docs: DataFrame, text: str, near: int = NEAR) -> tuple[DataFram
     beside = F.transform("x", lambda s: F.struct(F.lower(s["value"]).alias("entity"), _near(F.col("chunks"), s["start"], s["end"], near).alias("terms")))
     beside = around.select("key", F.explode(beside).alias("b")).select("key", "b.entity", F.explode("b.terms").alias("term")).distinct()
     own = spans.select("key", F.explode(_terms(F.col("value"))).alias("term")).distinct()
-    return spans, cut(beside.join(own, ["key", "term"], "left_anti").select("key", "entity", "term"))
+    return spans, cut(beside.join(own, ["key", "term"], "left_anti").select("key", "entity", "term")), found
 
 
 def least_part(some: Column, of: Column, confidence: float) -> Column:
@@ -160,7 +160,7 @@ def least_part(some: Column, of: Column, confidence: float) -> Column:
     return (p + z2 / (2 * of) - confidence * F.sqrt(p * (1 - p) / of + z2 / (4 * of * of))) / (1 + z2 / of)
 
 
-def disclosures(docs: DataFrame, spans: DataFrame, pairs: DataFrame, text: str, support: int, generalise: float, confidence: float = CONFIDENCE, common: float = COMMON) -> tuple[DataFrame, DataFrame]:
+def disclosures(docs: DataFrame, spans: DataFrame, pairs: DataFrame, found: DataFrame, text: str, support: int, generalise: float, confidence: float = CONFIDENCE, common: float = COMMON) -> tuple[DataFrame, DataFrame]:
     """(term, share) of the terms that disclose an entity, and (key, term) of the texts that hold them."""
     n_texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key")).distinct().count()
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
@@ -171,20 +171,28 @@ def disclosures(docs: DataFrame, spans: DataFrame, pairs: DataFrame, text: str,
     sure = share(least_part(F.col("n_et"), F.col("n_t"), confidence)) >= generalise
     seen = together.where(F.col("n_et") >= support).join(n_e, "entity").where(F.col("n_e") <= common * n_texts)
     likely = cut(seen.join(n_floor.withColumnRenamed("n_floor", "n_t"), "term").where(sure).drop("n_t"))
-    wanted = cut(likely.select("term").distinct())
-    body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    spread = body.select(F.unhex(F.md5("t")).alias("key"), F.explode(F.split(F.translate("t", UPPER, LOWER), BREAK + "+", -1)).alias("term"))
-    held = cut(salted_join(spread, wanted, "term").distinct())
-    n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = cut(likely.join(n_t, "term").where(sure).groupBy("term").agg(F.max(share(part)).alias("share")))
+
+    def holding(body: DataFrame) -> DataFrame:
+        """(key, term) of the texts (t) that hold the likely terms."""
+        words = F.array_distinct(F.split(F.translate("t", UPPER, LOWER), BREAK + "+", -1))
+        spread = body.select(F.unhex(F.md5("t")).alias("key"), F.explode(words).alias("term"))
+        return salted_join(spread, cut(likely.select("term").distinct()), "term").distinct()
+
+    def counted(held: DataFrame) -> DataFrame:
+        return likely.join(held.groupBy("term").agg(F.count("*").alias("n_t")), "term").where(sure)
+
+    # the texts with entities tell most terms apart that are common elsewhere too, before all texts are looked at
+    likely = cut(counted(holding(found)).drop("n_t"))
+    held = cut(holding(docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))))
+    terms = cut(counted(held).groupBy("term").agg(F.max(share(part)).alias("share")))
     return terms, held.select(F.lower(F.hex("key")).alias("key"), "term")
 
 
 def all_spans(docs: DataFrame, text: str, support: int, generalise: float, remove: float, near: int, confidence: float = CONFIDENCE, common: float = COMMON) -> DataFrame:
     """(key, spans) of the distinct texts with base or term spans, by start and kind. A term's value is what replaces it;
     upto is the end of all spans before."""
-    base, pairs = entity_spans(docs, text, near)
-    terms, held = disclosures(docs, base, pairs, text, support, generalise, confidence, common)
+    base, pairs, found = entity_spans(docs, text, near)
+    terms, held = disclosures(docs, base, pairs, found, text, support, generalise, confidence, common)
     known = broadcast_if_small(terms)
     keys = broadcast_if_small(cut(held.join(known, "term", "left_semi").select("key").distinct()))
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("key", F.md5("t")).join(keys, "key", "left_semi").dropDuplicates(["key"])
