@@ -73,6 +73,21 @@ def yaml_chunk(header: Column, key: str) -> Column:
     return F.when(F.size(after) > 1, F.get(F.split(F.get(after, 1), r"\n(?=[^ \t\n])", 2), 0))
 
 
+def yaml_short(chunk: Column) -> Column:
+    """struct(kind, value) of the commonest values, without a look at all that others may be: nothing, a word or more on one
+    line, a double-quoted text without escapes. Null for any other chunk."""
+    bare = F.regexp_replace(chunk, r"[ \t]*\n?\z", "")
+    word = bare.isin("true", "True", "TRUE", "false", "False", "FALSE")
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    nothing = pair("null", F.lit(None).cast("string"))
+    plain = F.when(word, pair("boolean", bare)).when(bare.isin("null", "Null", "NULL"), nothing).otherwise(pair("text", bare))
+    return (
+        F.when(bare == "", nothing)
+        .when(bare.rlike(r"\A[A-Za-z][A-Za-z0-9_ ,./*-]*+\z"), plain)
+        .when(bare.rlike(r'\A"[^"\\\n]*+"\z'), pair("text", F.substring(bare, F.lit(2), F.length(bare) - 2)))
+    )
+
+
 def yaml_block(chunk: Column) -> Column:
     """struct(found, sound, value) of a literal (`|`) or folded (`>`) block, with its indentation and chomping marks."""
     found = chunk.rlike(r"\A[|>](?:[+-]?[1-9]?|[1-9][+-])[ \t]*(?:[ \t]#[^\n]*)?(?:\n|\z)")

@@ -37,11 +37,13 @@ def _header_error() -> Column:
 
 def read_key(df: DataFrame, key: str) -> DataFrame:
     """df with kind_ and value_ of a key of its column header: see text.yaml_kind. Each step is used more than once."""
-    chunk, block, flow = F.col("__chunk"), F.col("__block"), F.col("__flow")
-    cut = settled(df, __chunk=text.yaml_chunk(F.col("header"), key))
-    read = settled(cut, __block=text.yaml_block(chunk), __flow=text.yaml_flow(chunk))
-    value = F.when(block["found"], block["value"]).otherwise(text.yaml_string(flow))
-    return settled(read, **{f"kind_{key}": text.yaml_kind(chunk, block, flow), f"value_{key}": value}).drop("__chunk", "__block", "__flow")
+    chunk, short, block, flow = F.col("__chunk"), F.col("__short"), F.col("__block"), F.col("__flow")
+    cut = settled(settled(df, __chunk=text.yaml_chunk(F.col("header"), key)), __short=text.yaml_short(chunk))
+    rest = chunk.isNotNull() & short.isNull()
+    read = settled(cut, __block=F.when(rest, text.yaml_block(chunk)), __flow=F.when(rest, text.yaml_flow(chunk)))
+    value = F.when(short.isNotNull(), short["value"]).when(rest, F.when(block["found"], block["value"]).otherwise(text.yaml_string(flow)))
+    kind = F.when(short.isNotNull(), short["kind"]).when(rest, text.yaml_kind(chunk, block, flow)).otherwise("absent")
+    return settled(read, **{f"kind_{key}": kind, f"value_{key}": value}).drop("__chunk", "__short", "__block", "__flow")
 
 
 def parse(files: DataFrame) -> DataFrame:
