@@ -225,12 +225,10 @@ def ranked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- validation
 
-@query("""SELECT event_id, json_valid(props) AND json_extract_string(props, '$.' || k) IS NOT NULL AS success, json_extract_string(props, '$.' || k) AS first FROM events, (SELECT json_keys(props)[1] AS k FROM events ORDER BY event_id LIMIT 1)""")
+@query("""SELECT event_id, json_valid(props) AND json_extract_string(props, '$.k') IS NOT NULL AS success, json_extract_string(props, '$.k') AS first FROM events""")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    first = e.agg(F.min_by(F.element_at(F.json_object_keys("props"), 1), "event_id").alias("k")).first()  # no sort
-    got = validate.json_soft(F.col("props"), T.StructType([T.StructField(first.k, T.StringType())]), required=[first.k])
-    return e.select("event_id", got.alias("g")).select("event_id", F.col("g.success").alias("success"), F.col("g.data")[first.k].alias("first"))
+    got = validate.json_soft(F.col("props"), "k string", required=["k"])
+    return table(spark, sf_dir, "events").select("event_id", got.alias("g")).select("event_id", F.col("g.success").alias("success"), F.col("g.data.k").alias("first"))
 
 
 _ITEM = lambda: F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.lit(True).alias("favorite"), F.lit(1).alias("version"), F.struct(F.lit("v").alias("id"), F.lit("n").alias("name")).alias("vault"), F.when(F.col("c_custkey") % 2 == 0, "SECURE_NOTE").otherwise("LOGIN").alias("category"), F.lit("x").alias("last_edited_by"), F.lit("2024-01-02T03:04:05Z").alias("created_at"), F.when(F.col("c_custkey") % 3 == 0, "yesterday").otherwise("2024-01-02T03:04:05Z").alias("updated_at"), F.when(F.col("c_custkey") % 5 != 0, "").alias("additional_information"), F.array(F.struct(F.lit("s").alias("id"))).alias("sections"), F.array().cast("array<struct<id:string>>").alias("fields")))
@@ -425,12 +423,13 @@ projection("pretty_records", "part", ["p_partkey"], lambda: {"json": web.pretty_
            {"json": r"""E'{\n  "key": ' || p_partkey || E',\n  "sub": {\n    "name": "' || p_name || E'\\" : ",\n    "on": true\n  }\n}'"""})
 
 
-@query("SELECT 'today' AS name, strftime(current_date, '%Y-%m-%d') AS value UNION ALL SELECT 'parsed', 'a' UNION ALL SELECT 'zone', strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') FROM events")
+@query("SELECT event_type, max(event_type) AS parsed, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS latest, CAST(count(*) FILTER (WHERE strftime(ts, '%Y-%m-%d') < strftime(current_date, '%Y-%m-%d')) AS BIGINT) AS before_today FROM events GROUP BY event_type")
 def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The date, a value that passes its check, and the latest event's moment."""
-    one = spark.range(1)
-    zone = table(spark, sf_dir, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ms"))
-    return one.select(F.lit("today").alias("name"), web.today().alias("value")).union(one.select(F.lit("parsed"), validate.parsed(F.lit("a"), F.lit(None).cast("string")))).union(zone.select(F.lit("zone"), web.iso_millis(F.col("ms"))))
+    """Of each type of event: the type, raising if it were none; the latest moment; how many lie before today."""
+    at = F.col("ts").cast("timestamp")
+    kind = validate.parsed(F.col("event_type"), F.when(F.col("event_type") == "", F.lit("event_type is required")))
+    e = table(spark, sf_dir, "events").select("event_type", kind.alias("parsed"), F.unix_millis(at).alias("ms"), (F.date_format(at, "yyyy-MM-dd") < web.today()).alias("past"))
+    return e.groupBy("event_type").agg(F.max("parsed").alias("parsed"), web.iso_millis(F.max("ms")).alias("latest"), F.count_if("past").alias("before_today"))
 
 
 # ---- the response cache, as a table

@@ -96,3 +96,29 @@ def task_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, '"globalPassThroughEnv":{},').otherwise('"globalPassThroughEnv":null,'), F.when(k % 7 == 0, "").otherwise(tasks), F.lit('"ui":"'), F.when(k % 2 == 0, "tui").otherwise("gui"), F.lit('"'), F.when(k % 11 == 0, "").otherwise("}"),
     )
     return _listed(table(spark, sf_dir, "part"), "p_partkey", schema.TASK_CONFIG.issues_of_json(json))
+
+
+# ---- what clicks carry along: broken texts, keys that are missing or of another type, lists that are null or empty
+
+CLICK_PROPS = schema.Record({
+    "k": schema.Int(),
+    "device": schema.Optional(schema.Record({"os": schema.OneOf(("web", "ios", "android")), "ver": schema.Text(patterns=[(r"^[0-3]\.", "Version is not supported")])})),
+    "tags": schema.Optional(schema.Items(schema.Text(), least=(1, "No tags"))),
+    "items": schema.Optional(schema.Items(schema.Record({"sku": schema.Int(), "qty": schema.Int()}), least=(1, "No items"))),
+})
+_NULL_TAG = _when("json_type(x) = 'NULL'", "'tags.' || (n - 1)", "invalid_type", "'Invalid input: expected string, received null'")
+_CLICK_SQL = ", ".join([
+    _when("j IS NULL", "''", "invalid_json", "'Invalid JSON'"),
+    _when("j IS NOT NULL AND json_type(j, '$.k') IS NULL", "'k'", "invalid_type", "'Invalid input: expected number, received undefined'"),
+    _when("json_type(j, '$.k') = 'VARCHAR'", "'k'", "invalid_type", "'Invalid input: expected number, received string'"),
+    _when("json_extract_string(j, '$.device.os') NOT IN ('web', 'ios', 'android')", "'device.os'", "invalid_value", """'Invalid option: expected one of "web"|"ios"|"android"'"""),
+    _when("left(json_extract_string(j, '$.device.ver'), 2) NOT IN ('0.', '1.', '2.', '3.')", "'device.ver'", "invalid_format", "'Version is not supported'"),
+    _when("json_type(j, '$.tags') = 'NULL'", "'tags'", "invalid_type", "'Invalid input: expected array, received null'"),
+    _when("json_array_length(j, '$.tags') = 0 AND json_type(j, '$.tags') = 'ARRAY'", "'tags'", "too_small", "'No tags'") + f"] || coalesce(list_transform(json_extract(j, '$.tags[*]'), lambda x, n: {_NULL_TAG}), []) || [NULL",
+    _when("json_array_length(j, '$.items') = 0 AND json_type(j, '$.items') = 'ARRAY'", "'items'", "too_small", "'No items'"),
+])
+
+
+@query(_listed_sql("click_id", "(SELECT click_id, CASE WHEN json_valid(props) THEN props END AS j FROM clicks)", _CLICK_SQL))
+def click_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(table(spark, sf_dir, "clicks"), "click_id", CLICK_PROPS.issues_of_json(F.col("props")))
