@@ -39,16 +39,19 @@ def _all(issues: Sequence[Column]) -> Column:
 
 def kind(value: Column) -> Column:
     """Type of a Variant value: undefined where there is none, null, string, boolean, number, array or object."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), "undefined")
-        .when(F.is_variant_null(value), "null")
-        .when(shape == "STRING", "string")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(F.startswith(shape, F.lit("ARRAY")), "array")
-        .when(F.startswith(shape, F.lit("OBJECT")), "object")
-        .otherwise("number")
-    )
+
+    def named(shape: Column) -> Column:
+        return (
+            F.when(value.isNull(), "undefined")
+            .when(F.is_variant_null(value), "null")
+            .when(shape == "STRING", "string")
+            .when(shape == "BOOLEAN", "boolean")
+            .when(F.startswith(shape, F.lit("ARRAY")), "array")
+            .when(F.startswith(shape, F.lit("OBJECT")), "object")
+            .otherwise("number")
+        )
+
+    return _let(F.schema_of_variant(value), named)
 
 
 def iso_datetime_ok(text: Column) -> Column:
@@ -69,9 +72,11 @@ class Schema:
         """Issues of a value of the right type."""
         return _none()
 
+    def wrong(self, value: Column, path: Column) -> Column:
+        return _issue(path, "invalid_type", F.concat(F.lit(f"Invalid input: expected {self.type}, received "), kind(value)))
+
     def found(self, value: Column, path: Column) -> Column:
-        wrong = _issue(path, "invalid_type", F.concat(F.lit(f"Invalid input: expected {self.type}, received "), kind(value)))
-        return F.when(kind(value) != self.type, wrong).otherwise(self.checks(value, path))
+        return F.when(kind(value) != self.type, self.wrong(value, path)).otherwise(self.checks(value, path))
 
     def issues(self, value: Column) -> Column:
         """array<struct<path, code, message>> of a Variant value, null for one that is not there."""
@@ -87,6 +92,19 @@ class Schema:
         return F.get(self.issues_of_json(text), F.lit(0))["message"]
 
 
+class Parts(Schema):
+    """A value of parts. That it can be taken apart tells its type, so the types of all that is in it are not derived."""
+
+    parts = ""
+
+    def each(self, parts: Column, path: Column) -> Column:
+        """Issues of the parts."""
+        return _none()
+
+    def found(self, value: Column, path: Column) -> Column:
+        return _let(F.try_variant_get(value, "$", self.parts), lambda xs: F.when(xs.isNull(), self.wrong(value, path)).otherwise(self.each(xs, path)))
+
+
 class Anything(Schema):
     def found(self, value: Column, path: Column) -> Column:
         return _none()
@@ -141,31 +159,27 @@ class OneOf(Schema):
 
 
 @dataclass(frozen=True)
-class Items(Schema):
+class Items(Parts):
     of: Schema
     least: tuple[int, str] | None = None
     type = "array"
+    parts = "array<variant>"
 
-    def checks(self, value: Column, path: Column) -> Column:
-        def each(xs: Column) -> Column:
-            inner = F.flatten(F.transform(xs, lambda x, i: self.of.found(x, F.concat(path, F.array(i.cast("string"))))))
-            if not self.least:
-                return inner
-            return F.concat(inner, F.when(F.size(xs) >= self.least[0], _none()).otherwise(_issue(path, "too_small", self.least[1])))
-
-        return _let(F.try_variant_get(value, "$", "array<variant>"), each)
+    def each(self, parts: Column, path: Column) -> Column:
+        inner = F.flatten(F.transform(parts, lambda x, i: self.of.found(x, F.concat(path, F.array(i.cast("string"))))))
+        if not self.least:
+            return inner
+        return F.concat(inner, F.when(F.size(parts) >= self.least[0], _none()).otherwise(_issue(path, "too_small", self.least[1])))
 
 
 @dataclass(frozen=True)
-class Record(Schema):
+class Record(Parts):
     fields: Mapping[str, Schema]
     type = "object"
+    parts = "map<string,variant>"
 
-    def checks(self, value: Column, path: Column) -> Column:
-        def each(m: Column) -> Column:
-            return _all([_let(F.try_element_at(m, F.lit(k)), self._field(k, s, path)) for k, s in self.fields.items()])
-
-        return _let(F.try_variant_get(value, "$", "map<string,variant>"), each)
+    def each(self, parts: Column, path: Column) -> Column:
+        return _all([_let(F.try_element_at(parts, F.lit(k)), self._field(k, s, path)) for k, s in self.fields.items()])
 
     @staticmethod
     def _field(name: str, schema: Schema, path: Column) -> Callable[[Column], Column]:
@@ -173,19 +187,15 @@ class Record(Schema):
 
 
 @dataclass(frozen=True)
-class Entries(Schema):
+class Entries(Parts):
     """An object with any keys, all of whose values are of one schema."""
 
     of: Schema
     type = "record"
+    parts = "map<string,variant>"
 
-    def found(self, value: Column, path: Column) -> Column:
-        wrong = _issue(path, "invalid_type", F.concat(F.lit("Invalid input: expected record, received "), kind(value)))
-        return F.when(kind(value) != "object", wrong).otherwise(self.checks(value, path))
-
-    def checks(self, value: Column, path: Column) -> Column:
-        entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-        return F.flatten(F.transform(entries, lambda e: self.of.found(e["value"], F.concat(path, F.array(e["key"])))))
+    def each(self, parts: Column, path: Column) -> Column:
+        return F.flatten(F.transform(F.map_entries(parts), lambda e: self.of.found(e["value"], F.concat(path, F.array(e["key"])))))
 
 
 @dataclass(frozen=True)

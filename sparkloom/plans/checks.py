@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import schema
 from sparkloom.plans.registry import query, table
+from sparkloom.sources.shared import dealt
 
 
 def _listed(df: DataFrame, key: str, issues: Column) -> DataFrame:
     """A row an issue, with its place."""
-    each = df.select(key, F.posexplode(issues).alias("place", "i"))
+    each = dealt(df).select(key, F.posexplode(issues).alias("place", "i"))
     return each.select(key, F.col("place").cast("long").alias("place"), F.array_join("i.path", ".").alias("path"), F.col("i.code").alias("code"), F.col("i.message").alias("message"))
 
 

@@ -35,6 +35,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df over a task for each so many rows, and over all cores at least: costly steps on a table of few bytes would otherwise
+    run in the one or two tasks that read it. df is counted first, so it must be cheap to read twice."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+
+
+def told_apart(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """Distinct rows of df, with about so many in a task, whatever their size on disk; df must be cheap to read twice."""
+    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(pieces, *df.columns).distinct()
+
+
 def write_files(spark: SparkSession, directory: str, files: Mapping[str, str]) -> str:
     """Small text files by name (which may have folders), through Spark's own file systems; the directory."""
     for name, content in files.items():
