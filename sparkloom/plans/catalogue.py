@@ -232,9 +232,9 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ITEM = lambda: F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("title"), F.lit(True).alias("favorite"), F.lit(1).alias("version"), F.struct(F.lit("v").alias("id"), F.lit("n").alias("name")).alias("vault"), F.when(F.col("c_custkey") % 2 == 0, "SECURE_NOTE").otherwise("LOGIN").alias("category"), F.lit("x").alias("last_edited_by"), F.lit("2024-01-02T03:04:05Z").alias("created_at"), F.when(F.col("c_custkey") % 3 == 0, "yesterday").otherwise("2024-01-02T03:04:05Z").alias("updated_at"), F.when(F.col("c_custkey") % 5 != 0, "").alias("additional_information"), F.array(F.struct(F.lit("s").alias("id"))).alias("sections"), F.array().cast("array<struct<id:string>>").alias("fields")))
-projection("secret_item", "customer", ["c_custkey"], lambda: {"error": validate.secret_item_error(validate.json_strict(_ITEM(), validate.SECRET_ITEM))}, {"error": "CASE WHEN c_custkey % 5 = 0 THEN 'additional_information is required' WHEN c_custkey % 2 <> 0 THEN 'category is invalid' WHEN c_custkey % 3 = 0 THEN 'time is invalid' END"})
+projection("secret_item", "customer", ["c_custkey"], lambda: {"error": validate.secret_item_error(F.col("item"))}, {"error": "CASE WHEN c_custkey % 5 = 0 THEN 'additional_information is required' WHEN c_custkey % 2 <> 0 THEN 'category is invalid' WHEN c_custkey % 3 = 0 THEN 'time is invalid' END"}, once=lambda: {"item": validate.json_strict(_ITEM(), validate.SECRET_ITEM)})
 _TASKS = lambda: F.concat(F.lit('{"unknown":1,'), F.when(F.col("p_size") % 7 == 0, '"$schema":"own",').otherwise(""), F.lit('"ui":"'), F.when(F.col("p_size") % 2 == 0, "tui").otherwise("gui"), F.lit('","tasks":{"build":{"cache":true,"dependsOn":["^build","//#gen","lint"],"outputLogs":"'), F.when(F.col("p_size") % 3 == 0, "all").otherwise("full"), F.lit('"}}}'))
-projection("task_config", "part", ["p_partkey"], lambda: {"error": validate.task_config_error((_T := validate.json_strict(_TASKS(), validate.TASK_CONFIG))), "schema": validate.with_default_schema(_T["$schema"], "https://json.example/schema")}, {"error": "CASE WHEN p_size % 2 <> 0 THEN 'ui is invalid' WHEN p_size % 3 = 0 THEN 'outputLogs is invalid' END", "schema": "CASE WHEN p_size % 7 = 0 THEN 'own' ELSE 'https://json.example/schema' END"})
+projection("task_config", "part", ["p_partkey"], lambda: {"error": validate.task_config_error(F.col("config")), "schema": validate.with_default_schema(F.col("config")["$schema"], "https://json.example/schema")}, {"error": "CASE WHEN p_size % 2 <> 0 THEN 'ui is invalid' WHEN p_size % 3 = 0 THEN 'outputLogs is invalid' END", "schema": "CASE WHEN p_size % 7 = 0 THEN 'own' ELSE 'https://json.example/schema' END"}, once=lambda: {"config": validate.json_strict(_TASKS(), validate.TASK_CONFIG)})
 
 
 @query("SELECT p_partkey, 'build' AS task, d AS depends_on, s AS scope FROM part, (VALUES ('build', 'upstream'), ('gen', 'root'), ('lint', 'package')) v(d, s)")

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from sparkloom.operators.records import settled
+from sparkloom.sources.shared import dealt
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,12 +27,14 @@ def query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
-def projection(name: str, source: str, keys: list[str], columns: Callable[[], dict[str, Column]], sql: dict[str, str], where: str = "") -> None:
-    """A query that adds columns to the keys of a table. The columns are made with the query: they need a session."""
+def projection(name: str, source: str, keys: list[str], columns: Callable[[], dict[str, Column]], sql: dict[str, str], where: str = "", once: Callable[[], dict[str, Column]] | None = None) -> None:
+    """A query that adds columns to the keys of a table. The columns are made with the query: they need a session. Those of `once`
+    are costly and used more than once: rows are dealt to all cores for them, and they are computed once a row."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, source)
         df = df.where(where) if where else df
+        df = settled(dealt(df), **once()) if once else df
         return df.select(*keys, *(c.alias(n) for n, c in columns().items()))
 
     QUERIES[name] = run

@@ -9,7 +9,7 @@ from sparkloom.sources import shared
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["task_issues", "item_issues", "option_issues", "click_issues"])
+@pytest.mark.parametrize("name", ["task_issues", "item_issues", "option_issues", "click_issues", "secret_item", "task_config"])
 def test_rows_are_dealt(spark, name):
     """The table is read in one task; its rows go to all cores before the costly step."""
     got = catalogue.QUERIES[name](spark, SF)
@@ -17,6 +17,12 @@ def test_rows_are_dealt(spark, name):
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("name", ["secret_item", "task_config"])
+def test_json_is_parsed_once(spark, name):
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "generate" in plan.lower()
+
+
 def test_tasks_grow_with_rows(spark):
     assert shared.dealt(spark.range(100), rows=10).rdd.getNumPartitions() == 10
     assert shared.told_apart(spark.range(100).union(spark.range(100)), rows=20).count() == 100
