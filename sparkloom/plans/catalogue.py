@@ -255,7 +255,7 @@ projection("tsv_rows", "part", ["p_partkey"], lambda: {"line": files.tsv_row(F.c
 def rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     globs = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("*."), F.col("p_size"), F.lit(",*.x"))).otherwise("")
     body = F.concat(F.lit("---\ndescription: "), F.col("p_name"), F.lit("\nglobs: "), globs, F.lit("\nalwaysApply: "), (F.col("p_size") % 5 == 0).cast("string"), F.lit("\n---\n\nBody of "), F.col("p_type"), F.lit("\n"))
-    docs = table(spark, sf_dir, "part").select(F.concat(F.lit("/rules/"), F.col("p_partkey"), F.lit(".mdc")).alias("path"), body.alias("value"))
+    docs = shared.dealt(table(spark, sf_dir, "part")).select(F.concat(F.lit("/rules/"), F.col("p_partkey"), F.lit(".mdc")).alias("path"), body.alias("value"))
     f = F.col("frontmatter")
     return rules.valid(rules.parse(docs)).select("filename", "name", f["description"].alias("description"), f["globs"].alias("globs"), f["alwaysApply"].alias("always"), "content")
 
@@ -270,7 +270,7 @@ def rule_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = F.concat(F.lit('"'), name, F.lit(' \\"of\\"\\n\\\n  '), brand, F.lit('"  # note\n'))
     value = F.when(F.col("p_size") % 3 == 0, folded).when(F.col("p_size") % 3 == 1, literal).otherwise(quoted)
     body = F.concat(F.lit("---\ntags: [a, b]\ndescription: "), value, F.lit("globs: 'it''s\n  *."), F.col("p_size"), F.lit("\n  too'\n---\nBody\n"))
-    docs = table(spark, sf_dir, "part").select(F.concat(F.lit("/rules/"), F.col("p_partkey"), F.lit(".mdc")).alias("path"), body.alias("value"))
+    docs = shared.dealt(table(spark, sf_dir, "part")).select(F.concat(F.lit("/rules/"), F.col("p_partkey"), F.lit(".mdc")).alias("path"), body.alias("value"))
     f = F.col("frontmatter")
     return rules.valid(rules.parse(docs)).select("filename", f["description"].alias("description"), f["globs"].alias("globs"))
 

@@ -9,7 +9,7 @@ from sparkloom.sources import shared
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["task_issues", "item_issues", "option_issues", "click_issues", "secret_item", "task_config"])
+@pytest.mark.parametrize("name", ["task_issues", "item_issues", "option_issues", "click_issues", "rule_blocks", "rule_documents", "secret_item", "task_config"])
 def test_rows_are_dealt(spark, name):
     """The table is read in one task; its rows go to all cores before the costly step."""
     got = catalogue.QUERIES[name](spark, SF)
