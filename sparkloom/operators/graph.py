@@ -12,17 +12,32 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.sources.shared import stored
+from sparkloom.sources.shared import stored, told_apart
+
+#: A key is hot if it holds more than one in so many rows; so there are fewer hot keys than this.
+HOT = 1000
+#: So many nodes one row of closure() lists, and come together for one row, at most.
+LISTED = 100_000
+#: Steps along the edges in one job of cycles().
+HOPS = 4
 
 
 def _edges(edges: DataFrame) -> DataFrame:
-    return stored(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL").distinct())
+    return stored(told_apart(stored(edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL"))))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def _with_key(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows whose columns `on` are in keys; both are cheap to read twice. Hot keys are broadcast, so no task gets all rows of one."""
+    often = rows.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > rows.count() / HOT).drop("n")
+    hot = F.broadcast(stored(often))
+    known = F.broadcast(stored(keys.join(hot, on, "left_semi").distinct()))
+    return rows.join(known, on, "left_semi").unionByName(rows.join(hot, on, "left_anti").join(keys, on, "left_semi"))
+
+
 def expand_dependencies(dependencies: DataFrame, upstream: DataFrame, declared: DataFrame | None = None, root: str = "//") -> DataFrame:
     """(package, task, on_package, on_task) of dependencies (package, task, depends_on, scope), as task_edges() makes them.
 
@@ -31,8 +46,11 @@ def expand_dependencies(dependencies: DataFrame, upstream: DataFrame, declared:
     d = dependencies.select("package", "task", F.col("depends_on").alias("on_task"), "scope")
     own = d.where("scope <> 'upstream'").select("package", "task", F.when(F.col("scope") == "root", root).otherwise(F.col("package")).alias("on_package"), "on_task")
     above = d.where("scope = 'upstream'").join(upstream.select("package", F.col("upstream").alias("on_package")), "package").select("package", "task", "on_package", "on_task")
-    out = own.unionByName(above).distinct()
-    return out if declared is None else out.join(declared.select(F.col("package").alias("on_package"), F.col("task").alias("on_task")), ["on_package", "on_task"], "left_semi").select("package", "task", "on_package", "on_task")
+    out = told_apart(stored(own.unionByName(above)))
+    if declared is None:
+        return out
+    ends = declared.select(F.col("package").alias("on_package"), F.col("task").alias("on_task"))
+    return _with_key(stored(out), stored(ends), ["on_package", "on_task"]).select("package", "task", "on_package", "on_task")
 
 
 def closure(edges: DataFrame) -> DataFrame:

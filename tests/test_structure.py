@@ -172,3 +172,21 @@ def test_as_of(spark, forward, partitions):
         return (min(near) if forward else max(near))[1] if near else None
 
     assert sorted((x.found_, x.found) for x in got.collect()) == sorted((i, want(k, t)) for k, t, i in rows)
+
+
+# ---- rounds and sizes of the operators above
+
+
+def written(monkeypatch, module):
+    """Row counts of what the module stores."""
+    counts, old = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df: (got := old(df), counts.append(got.count()))[0])
+    return counts
+
+
+def test_hot_ends_are_declared_or_not(spark):
+    """A task that most others depend on is one key, whose rows stay where they are."""
+    d = spark.range(3000).select(F.col("id").cast("string").alias("package"), F.lit("t").alias("task"), F.explode(F.array(F.lit("gen"), F.lit("gone"))).alias("depends_on"), F.lit("root").alias("scope"))
+    got = graph.expand_dependencies(d, spark.createDataFrame([], "package string, upstream string"), spark.createDataFrame([("//", "gen"), ("//", "gen")], "package string, task string"))
+    assert got.count() == got.distinct().count() == 3000 and got.where("on_task <> 'gen'").count() == 0
+    assert "LeftSemi, BuildRight" in got._jdf.queryExecution().executedPlan().toString()
