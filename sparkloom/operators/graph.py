@@ -102,32 +102,37 @@ def cycles(edges: DataFrame) -> DataFrame:
     """(node, cycle) of every node on a cycle; `cycle` is the least node of those that depend on each other.
 
     Each round spreads the least node along the edges until nothing changes, which colours what it reaches. Of each colour,
-    what reaches that node too is one set; it is taken out, and the rest goes on. No pairs of a set's nodes are made."""
-    edges = _core(_edges(edges))
-    loops = edges.where("u = v").select(F.col("u").alias("node"), F.lit(True).alias("loop"))
+    what reaches that node too is one set; it is taken out, and the rest goes on without the edges from one colour to another,
+    which are on no cycle. No pairs of a set's nodes are made."""
+    every = _edges(edges)
+    loops = every.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("cycle"))
+    edges = _core(every.where("u <> v"))
     found: list[DataFrame] = []
     while not edges.isEmpty():
-        colours = stored(edges.select(F.col("u").alias("node"), F.col("u").alias("colour")).distinct())
+        stay = edges.select("u").distinct()  # in _core() these are all nodes
+        moves = stored(edges.unionByName(stay.select("u", F.col("u").alias("v"))).distinct())
+        colours = stay.select(F.col("u").alias("node"), F.col("u").alias("colour"))
         while True:
-            sent = edges.join(colours.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("colour").alias("got"))
-            spread = stored(colours.join(sent, "node", "left").select("node", F.least("colour", "got").alias("colour"), (F.col("got") < F.col("colour")).alias("changed")))
+            ahead = colours
+            for _ in range(HOPS):
+                ahead = moves.join(ahead.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.min("colour").alias("colour"))
+            spread = stored(ahead.join(colours.withColumnRenamed("colour", "had"), "node"))
             colours = spread.select("node", "colour")
-            if spread.where("changed").isEmpty():
+            if spread.where("colour < had").isEmpty():
                 break
-        ends = edges.join(colours.withColumnRenamed("node", "u"), "u").join(colours.withColumnsRenamed({"node": "v", "colour": "of"}), "v").where("colour = of")
+        ends = moves.join(colours.withColumnRenamed("node", "u"), "u").join(colours.withColumnsRenamed({"node": "v", "colour": "of"}), "v").where("colour = of")
         inside = stored(ends.select("u", "v"))
-        back = stored(colours.where("node = colour"))
-        whole = [back]
-        while not back.isEmpty():
-            reached = inside.join(back.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "colour").distinct()
-            back = stored(reached.join(_union(whole), "node", "left_anti"))
-            whole.append(back)
-        sets = stored(_union(whole))
+        sets, n, before = colours.where("node = colour"), 1, 0
+        while n > before:
+            for _ in range(HOPS):
+                sets = inside.join(sets.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "colour").distinct()
+            sets = stored(sets)
+            n, before = sets.count(), n
         found.append(sets)
-        gone = sets.select("node")
-        edges = _core(stored(edges.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v")))
+        gone = sets.select(F.col("node").alias("u"))
+        edges = _core(stored(inside.where("u <> v").join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v")))
     if not found:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("cycle"))
-    every = _union(found)
-    sizes = every.groupBy("colour").agg(F.count("*").alias("n"))
-    return every.join(sizes, "colour").join(loops, "node", "left").where("n > 1 OR loop").select("node", F.col("colour").alias("cycle"))
+        return loops
+    sets = _union(found)
+    long = stored(sets.join(sets.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1"), "colour").select("node", F.col("colour").alias("cycle")))
+    return long.unionByName(loops.join(long.select("node"), "node", "left_anti"))

@@ -184,6 +184,14 @@ def written(monkeypatch, module):
     return counts
 
 
+def test_rounds_of_cycles(spark, monkeypatch):
+    """A ring is walked several steps a job."""
+    counts = written(monkeypatch, graph)
+    n = 24
+    assert {tuple(x) for x in graph.cycles(spark.createDataFrame([(i, (i + 1) % n) for i in range(n)], "u int, v int")).collect()} == {(i, 0) for i in range(n)}
+    assert len(counts) < n
+
+
 def test_hot_ends_are_declared_or_not(spark):
     """A task that most others depend on is one key, whose rows stay where they are."""
     d = spark.range(3000).select(F.col("id").cast("string").alias("package"), F.lit("t").alias("task"), F.explode(F.array(F.lit("gen"), F.lit("gone"))).alias("depends_on"), F.lit("root").alias("scope"))
