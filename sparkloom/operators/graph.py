@@ -56,15 +56,36 @@ def expand_dependencies(dependencies: DataFrame, upstream: DataFrame, declared:
 def closure(edges: DataFrame) -> DataFrame:
     """(u, v) of every v that u depends on, directly or not; (u, u) on a cycle.
 
-    Semi-naive: each round extends only the pairs that the last one found, by one edge, and keeps those not known before.
-    There are as many rounds as the longest of the shortest ways."""
+    Cycles count as one node, and nodes are taken by level: what one reaches is put together, once, from what the nodes right
+    below it reach, so no round looks at all pairs again. A row lists up to LISTED nodes; a node for which more come together
+    (repeats included) has them told apart as pairs and gets several rows. There are as many rounds as the longest way."""
     edges = _edges(edges)
-    step = edges.select(F.col("u").alias("m"), "v")
-    parts = [edges]
-    while not parts[-1].isEmpty():
-        ahead = parts[-1].withColumnRenamed("v", "m").join(step, "m").select("u", "v").distinct()
-        parts.append(stored(ahead.join(_union(parts), ["u", "v"], "left_anti")))
-    return _union(parts)
+    members = stored(cycles(edges).select(F.col("node").alias("member"), F.col("cycle").alias("node")))
+    head = lambda end: members.select(F.col("member").alias(end), F.col("node").alias(f"{end}_head"))
+    heads = edges.join(head("u"), "u", "left").join(head("v"), "v", "left").select(F.coalesce("u_head", "u").alias("u"), F.coalesce("v_head", "v").alias("v"))
+    between = stored(heads.where("u <> v").distinct())
+    at = levels(between, members.select("node"))
+    own = stored(at.join(members, "node", "left").select(F.col("node").alias("u"), "level", F.array(F.coalesce("member", "node")).alias("part"), F.lit(1).alias("n")))
+    steps = stored(between.join(at.withColumnRenamed("node", "u"), "u"))
+    top = own.agg(F.max("level")).first()[0]
+    if top is None:
+        return edges
+    done: list[DataFrame] = []
+    for k in range(top + 1):
+        parts = own.where(F.col("level") == k).drop("level")
+        if done:
+            parts = parts.unionByName(steps.where(F.col("level") == k).join(_union(done).withColumnRenamed("u", "v"), "v").select("u", "part", "n"))
+        long = stored(parts.groupBy("u").agg(F.sum("n").alias("all")).where(F.col("all") > LISTED))
+        some = not long.isEmpty()
+        lists = (parts.join(long, "u", "left_anti") if some else parts).groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("part"))
+        if some:
+            pairs = parts.join(long, "u").select("u", "all", F.explode("part").alias("v")).distinct()
+            piece = F.pmod(F.xxhash64("v"), F.ceil(2 * F.col("all") / LISTED))
+            lists = lists.unionByName(pairs.groupBy("u", piece.alias("piece")).agg(F.collect_list("v").alias("part")).drop("piece"))
+        done.append(stored(lists.withColumn("n", F.size("part"))))
+    every = _union(done).drop("n")
+    single = every.join(members.select(F.col("node").alias("u")).distinct(), "u", "left_anti").select("u", F.explode("part").alias("v")).where("u <> v")
+    return single.unionByName(every.withColumnRenamed("u", "node").join(members, "node").select(F.col("member").alias("u"), F.explode("part").alias("v")))
 
 
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -184,6 +184,15 @@ def written(monkeypatch, module):
     return counts
 
 
+def test_closure_of_long_lists(spark, monkeypatch):
+    """Nodes that reach more than a row lists get several rows, and no pair twice."""
+    monkeypatch.setattr(graph, "LISTED", 6)
+    r = random.Random(7)
+    edges = [(r.randrange(40), r.randrange(40)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(12)]
+    got = [tuple(x) for x in graph.closure(spark.createDataFrame(edges, "u int, v int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_closure(edges)
+
+
 def test_rounds_of_cycles(spark, monkeypatch):
     """A ring is walked several steps a job."""
     counts = written(monkeypatch, graph)
