@@ -32,14 +32,15 @@ def inherited(chain: DataFrame, config: str = "config", parent: str = "parent",
     whole; cyclic says that its chain never ends. There a configuration counts where it comes first.
 
     Pointer doubling: after k rounds a row holds the merged options of its 2^k nearest and points to the next, so a chain of
-    any depth takes the logarithm of it in joins, and only rows whose chain goes on are joined again. Rounds are written to
+    any depth takes the logarithm of it in joins, and only rows whose chain goes on are joined again. If a round ends none of
+    them, all that are left never end, and only they are on their chains, so that many steps reach everything. Rounds are written to
     the shared folder. A parent that is not in the table ends the chain; null options are none; a configuration is listed
     once. A parent of very many configurations is one join key, which adaptive execution splits."""
     empty = F.create_map().cast("map<string,string>")
     first = stored(chain.select(F.col(config).alias("config"), F.col(parent).alias("up"), F.coalesce(F.col(options), empty).alias("options")))
-    n = first.count()
-    done, going, reach = [first.where("up IS NULL")], first.where("up IS NOT NULL"), 1
-    while reach <= n and not going.isEmpty():
+    done, going, reach, before = [first.where("up IS NULL")], first.where("up IS NOT NULL"), 1, 0
+    while (n := going.count()) and (n != before or reach <= n):
+        before = n
         every = reduce(DataFrame.unionByName, [*done, going])
         ahead = every.select(F.col("config").alias("up"), F.col("up").alias("far"), F.col("options").alias("below"))
         moved = stored(going.join(ahead, "up", "left").select("config", F.col("far").alias("up"), records.merged(F.col("below"), F.col("options")).alias("options")))

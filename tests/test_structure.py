@@ -207,3 +207,12 @@ def test_hot_ends_are_declared_or_not(spark):
     got = graph.expand_dependencies(d, spark.createDataFrame([], "package string, upstream string"), spark.createDataFrame([("//", "gen"), ("//", "gen")], "package string, task string"))
     assert got.count() == got.distinct().count() == 3000 and got.where("on_task <> 'gen'").count() == 0
     assert "LeftSemi, BuildRight" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_of_a_small_cycle_beside_many(spark, monkeypatch):
+    """Rounds end with the longest chain and the cycle, not with the table."""
+    counts = written(monkeypatch, recursive)
+    rows = [(f"c{i}", None, {"a": "x"}) for i in range(3000)] + [("x", "y", {"x": "1"}), ("y", "z", {"y": "2"}), ("z", "x", {"x": "3"})]
+    got = resolved(spark, rows)
+    assert got["z"] == ({"x": "3", "y": "2"}, True) and got["y"] == ({"y": "2", "x": "3"}, True) and sum(c for _, c in got.values()) == 3
+    assert len(counts) <= 4
