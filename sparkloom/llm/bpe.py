@@ -14,6 +14,9 @@ for, and their ends take the arc's label and state. As one path is accepted for
 one arc, and nothing is tried twice. The labels read back from a word's end are its tokens. Decoding emits the labels'
 bytes.
 
+The automaton is compiled once, by the driver, and goes to the workers as a few arrays: no worker reads the vocabulary. Of a
+batch, a worker keeps the numbers of its words and not the words, and works through blocks of words of one size at most.
+
 Defined results: null text is empty; empty text has no tokens; lone surrogates can't occur in Spark strings. Repeated rows
 each get their row; kept columns with an output's name are replaced by it, further columns are not read. A word of any
 length is walked in time linear in it (times the longest token).
@@ -41,10 +44,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for texts that have no character of ODD, where re's classes agree with \p{L}, \p{N} and White_Space.
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ſ–—‘-„…€]")
+SPLIT, SPLIT_ODD = re.compile(PLAIN).findall, regex.compile(PATTERN).findall
 #: Words that a worker remembers; it forgets all when there are more, and at the end of a task.
 CACHE = 150_000
 #: Words up to so many bytes are walked side by side, longer ones alone.
 SIDE_BY_SIDE = 64
+#: Words that are walked side by side at a time, and words whose tokens are written out at a time (of one text at least).
+BLOCK, WRITTEN = 8_192, 32_768
 TOKEN_BITS = 17
 NONE, UNKNOWN = -1, -2  # no arc; no entry
 ROOT, END = 0, 256  # of the tree of tokens: its root, and the symbol that ends a word
@@ -142,7 +148,7 @@ class Automaton:
             raise ValueError(f"{size} tokens; at most {1 << TOKEN_BITS} fit the tables' keys")
         labels = [b""] * size
         left, right, made, target = [-1] * size, [-1] * size, [-1] * size, [0] * size
-        self.parent, self.removed, self.born = [0], [-1], [-1]
+        parent, removed, born = [0], [-1], [-1]
         alive = set()
         for word, t in vocab.items():
             if word not in self.specials:
@@ -157,28 +163,33 @@ class Automaton:
             ab = vocab["".join(pair.split(" ") if isinstance(pair, str) else pair)]
             if a not in alive or b not in alive or ab in alive or not _has_arc(a, b, left, right, made, gadgets):
                 continue
-            self.parent.append(target[a])
-            self.removed.append(b)
-            self.born.append(k)
+            parent.append(target[a])
+            removed.append(b)
+            born.append(k)
             # ab leads where b led from the old target of a; with a == b that is that target itself
             target[ab] = target[b]
-            target[a] = len(self.parent) - 1
+            target[a] = len(parent) - 1
             left[ab], right[ab], made[ab] = a, b, k
             gadgets[a << TOKEN_BITS | b] = k
             alive.add(ab)
-        self.labels = labels
         self.left, self.right, self.made, self.target = (np.array(x, np.int32) for x in (left, right, made, target))
+        self.parent, self.removed, self.born = (np.array(x, np.int32) for x in (parent, removed, born))
         self.gadgets = filled(gadgets)
-        self.owner = np.zeros(len(self.parent), np.int32)  # a token that leads to the state
+        self.owner = np.zeros(len(parent), np.int32)  # a token that leads to the state
         self.owner[self.target[sorted(alive)]] = sorted(alive)
         self._tree({labels[t]: t for t in alive})
         self.arcs = Table(20)
         self.sizes = np.array([len(x) for x in labels], np.int64)
         self.bytes_of, self.digits_of = Labels(labels), Labels([b"%d," % t for t in range(size)])
-        self.split = re.compile(PLAIN).findall
-        self.split_odd = regex.compile(PATTERN).findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
+    def __getstate__(self) -> dict:
+        """All but the entries compiled so far: a worker makes its own."""
+        return {k: v for k, v in vars(self).items() if k != "arcs"}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state, arcs=Table(20))
+
     def _tree(self, tokens: dict[bytes, int]) -> None:
         """Transitions over bytes: node and byte to node, and the token that a node ends (or NONE)."""
         step: dict[int, int] = {}
@@ -190,7 +201,7 @@ class Automaton:
                 if node == len(ends):
                     ends.append(NONE)
             ends[node] = t
-        self.steps, self.step, self.ends = filled(step), step, np.array(ends, np.int32)
+        self.steps, self.ends = filled(step), np.array(ends, np.int32)
         self.first = self.steps.get(np.arange(END + 1))  # the root's
 
     def arc(self, state: int, token: int) -> bool:
@@ -241,10 +252,10 @@ class Automaton:
         size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-size, kind="stable")
         long = int(np.searchsorted(-size[order], -SIDE_BY_SIDE, "left"))
-        alone = [self.path(words[i]) for i in order[:long]]
-        together, counts = self._side_by_side([words[i] for i in order[long:]])
-        counts = np.concatenate((np.array([len(x) for x in alone], np.int64), counts))
-        tokens = np.concatenate((*alone, together)).astype(np.int32)
+        alone = [np.array(self.path(words[i]), np.int32) for i in order[:long]]
+        blocks = [self._side_by_side([words[i] for i in order[at : at + BLOCK]]) for at in range(long, len(words), BLOCK)]
+        counts = np.concatenate((np.array([len(x) for x in alone], np.int64), *(n for _, n in blocks)))
+        tokens = np.concatenate((np.zeros(0, np.int32), *alone, *(x for x, _ in blocks)))
         start = np.cumsum(counts) - counts
         given, back = np.empty_like(counts), np.empty_like(start)
         given[order], back[order] = counts, start
@@ -295,18 +306,30 @@ class Automaton:
             out[last[who] - 1 - back] = token
         return out, counts
 
+    def _tokens_from(self, symbols: np.ndarray, first: int, last: int) -> list[list[tuple[int, int]]]:
+        """The tokens that begin at each offset from first to before last, as (end, token), shorter ones first."""
+        found: list[list[tuple[int, int]]] = [[] for _ in range(first, last)]
+        at = np.arange(first, last)
+        end, node = at + 1, self.first[symbols[first:last]]
+        while len(at):
+            token = self.ends[node]
+            some = np.flatnonzero((node >= 0) & (token >= 0))
+            for i, to, t in zip((at[some] - first).tolist(), end[some].tolist(), token[some].tolist(), strict=True):
+                found[i].append((to, t))
+            keep = np.flatnonzero((node >= 0) & (end < len(symbols)))
+            at, end = at[keep], end[keep]
+            node, end = self.steps.get(node[keep].astype(np.int64) << 9 | symbols[end]), end + 1
+        return found
+
     def path(self, word: bytes) -> list[int]:
         """The tokens of one word of any length, by the same tables."""
         label, state = [NONE] * (len(word) + 1), [0] * (len(word) + 1)
         known: dict[tuple[int, int], int] = {}
+        symbols = np.frombuffer(word, np.uint8).astype(np.int64)
         for offset in range(len(word)):
-            node, here, found = ROOT, state[offset], []
-            for end in range(offset, len(word)):
-                node = self.step.get(node << 9 | word[end], NONE)
-                if node < 0:
-                    break
-                if (token := int(self.ends[node])) >= 0:
-                    found.append((end + 1, token))
+            if offset % BLOCK == 0:
+                begun = self._tokens_from(symbols, offset, min(offset + BLOCK, len(word)))
+            here, found = state[offset], begun[offset % BLOCK]
             if new := [t for _, t in found if (here, t) not in known]:
                 states = np.full(len(new), here, np.int64)
                 tokens = np.array(new, np.int64)
@@ -319,19 +342,19 @@ class Automaton:
         out, at = [], len(word)
         while at:
             out.append(label[at])
-            at -= len(self.labels[label[at]])
+            at -= int(self.sizes[label[at]])
         return out[::-1]
 
     def pieces(self, text: str) -> list[str | tuple[str]]:
         """The pre-split words of text; an added token is a tuple of its own."""
-        split = self.split_odd if ODD.search(text) else self.split
         if self.special and any(s in text for s in self.specials):
             parts = enumerate(self.special.split(text))
-            return [y for k, x in parts for y in ([(x,)] if k % 2 else (self.split_odd if ODD.search(x) else self.split)(x))]
-        return split(text)
+            return [y for k, x in parts for y in ([(x,)] if k % 2 else (SPLIT_ODD if ODD.search(x) else SPLIT)(x))]
+        return (SPLIT_ODD if ODD.search(text) else SPLIT)(text)
 
     def encode(self, text: str) -> list[int]:
-        return Known(self).encode([self.pieces(text)])[0].tolist()
+        known = Known(self)
+        return known.encode([known.numbers(self.pieces(text))])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.bytes_of.emit(np.array(ids, np.int64))[0].decode("utf-8", "replace")
@@ -346,39 +369,52 @@ class Known:
 
     def forget(self) -> None:
         self.place: dict[str | tuple[str], int] = {}
+        self.new: list[str | tuple[str]] = []  # have a number, but no tokens yet
         self.tokens = np.zeros(0, np.int32)  # of all words, end to end
         self.ends = np.zeros(1, np.int64)  # of each word's tokens, after a zero
 
-    def learn(self, texts: list[list[str | tuple[str]]]) -> None:
-        """Encode the words of texts that are new."""
-        a = self.automaton
-        new = set().union(*texts).difference(self.place)
-        added = [x for x in new if type(x) is tuple]
-        plain = [x for x in new if type(x) is str] if added else [*new]
-        tokens, counts = a.paths([x.encode() for x in plain])
-        tokens = np.concatenate((self.tokens, tokens, np.array([a.specials[x] for (x,) in added], np.int32)))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.concatenate((counts, np.ones(len(added), np.int64))))))
-        self.tokens = tokens
-        self.place.update(zip(plain + added, range(len(self.place), len(self.place) + len(new)), strict=True))
-
-    def encode(self, texts: list[list[str | tuple[str]]]) -> tuple[np.ndarray, list[int]]:
-        """The tokens of texts, end to end, and where each text's end."""
-        self.learn(texts)
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(texts)), np.int64)
+    def numbers(self, pieces: list[str | tuple[str]]) -> np.ndarray:
+        """The numbers of a text's words; new words get the next ones."""
+        new = set(pieces).difference(self.place)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.new += new
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int32, len(pieces))
+
+    def learn(self) -> None:
+        """Encode the words that are new."""
+        a, new, self.new = self.automaton, self.new, []
+        added = np.fromiter((type(x) is tuple for x in new), bool, len(new))
+        tokens, counts = a.paths([x.encode() for x in new if type(x) is str])
+        upto = np.ones(len(new), np.int64)
+        upto[~added] = counts
+        upto = np.cumsum(upto)
+        out = np.empty(int(upto[-1]) if len(new) else 0, np.int32)
+        out[tv.positions(upto[~added] - counts, upto[~added])] = tokens
+        out[upto[added] - 1] = [a.specials[x[0]] for x in new if type(x) is tuple]
+        self.ends = np.concatenate((self.ends, self.ends[-1] + upto))
+        self.tokens = np.concatenate((self.tokens, out))
+
+    def encode(self, texts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        """The tokens of texts, given by the numbers of their words, end to end, and where each text's end."""
+        if self.new:
+            self.learn()
+        at = np.concatenate(texts)
         first, last = self.ends[at], self.ends[at + 1]
         upto = np.concatenate(([0], np.cumsum(last - first)))
         return self.tokens[tv.positions(first, last)], upto[np.cumsum([len(x) for x in texts])].tolist()
 
 
-_BUILT: dict[str, Known] = {}
-
-
-def _built(text: str) -> Known:
-    """One automaton for each worker process and vocabulary."""
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _BUILT:
-        _BUILT[key] = Known(Automaton(json.loads(text)))
-    return _BUILT[key]
+def blocks(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in a row that have WRITTEN words at most, or one text."""
+    some, words = [], 0
+    for x in texts:
+        if some and words + len(x) > WRITTEN:
+            yield some
+            some, words = [], 0
+        some.append(x)
+        words += len(x)
+    if some:
+        yield some
 
 
 def encode_decode(df: DataFrame, tokenizer_json: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
@@ -386,7 +422,7 @@ def encode_decode(df: DataFrame, tokenizer_json: str, text: str = "text", keep:
 
     tokenizer_json is the file's content, read by the caller: executors need no local file."""
     spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(tokenizer_json)
+    sent = spark.sparkContext.broadcast(Automaton(json.loads(tokenizer_json)))
     made = OUTPUTS if ids else OUTPUTS[:3]
     keep = tuple(c for c in keep if c not in made)
     src = df.select(*keep, df[text].alias("__text"))
@@ -395,30 +431,29 @@ def encode_decode(df: DataFrame, tokenizer_json: str, text: str = "text", keep:
     schema = T.StructType([*src.schema.fields[:n_keep], *(T.StructField(c, kinds.get(c, T.StringType())) for c in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _built(sent.value)
-        a, sha = known.automaton, hashlib.sha256
+        a, sha = sent.value, hashlib.sha256
+        known = Known(a)
         for batch in batches:
             for part in tv.sliced(batch, n_keep, 2_000_000):
-                pieces = [a.pieces(x.as_py() or "") for x in part.column(n_keep)]
                 if len(known.place) > CACHE:
                     known.forget()
-                tokens, ends = known.encode(pieces)
-                lines, line_at = a.digits_of.emit(tokens)
-                labels, label_at = a.bytes_of.emit(tokens)
+                texts = [known.numbers(a.pieces(x.as_py() or "")) for x in part.column(n_keep)]
                 out: list[list] = [[], [], [], [], []]
-                for i, j in zip([0, *ends], ends, strict=False):
-                    decoded = labels[label_at[i] : label_at[j]].decode("utf-8", "replace")
-                    out[0].append(j - i)
-                    out[1].append(sha(lines[line_at[i] : max(line_at[i], line_at[j] - 1)]).hexdigest())
-                    out[2].append(sha(decoded.encode()).hexdigest())
-                    if ids:
-                        out[3].append(tokens[i:j])
-                        out[4].append(decoded)
+                for some in blocks(texts):
+                    tokens, ends = known.encode(some)
+                    lines, line_at = a.digits_of.emit(tokens)
+                    labels, label_at = a.bytes_of.emit(tokens)
+                    for i, j in zip([0, *ends], ends, strict=False):
+                        decoded = labels[label_at[i] : label_at[j]].decode("utf-8", "replace")
+                        out[0].append(j - i)
+                        out[1].append(sha(lines[line_at[i] : max(line_at[i], line_at[j] - 1)]).hexdigest())
+                        out[2].append(sha(decoded.encode()).hexdigest())
+                        if ids:
+                            out[3].append(tokens[i:j])
+                            out[4].append(decoded)
                 types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 columns = [pa.array(x, kind) for x, kind in zip(out, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *columns[: len(made)]], names=[*keep, *made])
-        known.forget()  # workers live on for other operators' tasks
-
     return src.mapInArrow(run, schema)
 
 

@@ -1,13 +1,17 @@
 """Cases that once failed: labels that are held out, columns with the operators' own names, whole values, exact durations."""
 
 import hashlib
+import json
+import pickle
+import random
+import tracemalloc
 import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import common, decontaminate, jaccard, kdtree, mpeg, pii, quotes, textvec, toxicity
+from sparkloom.llm import bpe, common, decontaminate, jaccard, kdtree, mpeg, pii, quotes, textvec, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -164,3 +168,44 @@ def test_marks_belong_to_words():
     apart = unicodedata.normalize("NFD", text)
     assert [unicodedata.normalize("NFC", x) for x in words(apart)] == words(text)
     assert words("") == []
+
+
+# ---- bytes to tokens: what a worker holds
+
+
+@pytest.fixture(scope="module")
+def automaton():
+    return bpe.Automaton(json.loads(bpe.vocabulary()))
+
+
+def test_bpe_words_are_walked_in_blocks(automaton):
+    """New words take memory by the block, not all at once."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randrange(30, 60))).encode() for _ in range(40_000)]
+    automaton.paths(words[:100])
+    tracemalloc.start()
+    automaton.paths(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+
+
+def test_bpe_workers_get_arrays(automaton):
+    """The automaton goes to workers without the entries compiled so far, and encodes there as here."""
+    text = "Some words, and <|endoftext|> more; été " + "x-" * 300
+    want = automaton.encode(text)
+    sent = pickle.dumps(automaton, 5)
+    assert len(sent) < 16e6 and pickle.loads(sent).encode(text) == want
+
+
+def test_bpe_sizes_of_blocks_change_nothing(automaton, monkeypatch):
+    texts = ["".join(random.Random(k).choices("ab \né-1", k=k)) for k in range(0, 400, 7)] + ["ab" * 500, "", "-" * 300]
+    want = [automaton.encode(t) for t in texts]
+    for name, size in (("BLOCK", 7), ("WRITTEN", 20), ("SIDE_BY_SIDE", 5)):
+        monkeypatch.setattr(bpe, name, size)
+    known = bpe.Known(automaton)
+    got = []
+    for some in bpe.blocks([known.numbers(automaton.pieces(t)) for t in texts]):
+        tokens, ends = known.encode(some)
+        got += [tokens[i:j].tolist() for i, j in zip([0, *ends], ends, strict=False)]
+    assert got == want
