@@ -27,6 +27,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 LEAD = 64
 #: Rows of one group that are handed on at once.
 PIECE = 10_000
+#: About so many bytes of texts go to one partition, if the session's number of partitions gives more.
+SHARE = 64 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -34,27 +36,29 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
+FOUND = ["id", "keep_id", "n", "first", "sha", "pid", "number", "body"]
+
+
 @dataclass
 class _Group:
     """Rows of one text in one partition, the first with the least identifier."""
 
-    text: pa.Scalar
+    body: bytes
     key: int
     number: int
     ids: list[pa.Array] = field(default_factory=list)
 
     def batches(self, pid: int, cut_off: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         """Its rows, with the whole text in the first if the partition's ends may have cut it off."""
-        body = self.text.as_buffer()
         ids = pa.chunked_array(self.ids)
-        sha, n, keep = hashlib.sha256(body).hexdigest(), len(ids), ids[0].as_py()
+        sha, n, keep = hashlib.sha256(self.body).hexdigest(), len(ids), ids[0]
         number = self.number if cut_off else None
         for at in range(0, n, PIECE):
             part = ids.slice(at, PIECE).combine_chunks()
             m = len(part)
             first = [True] * (at == 0) + [False] * (m - (at == 0))
-            bodies = [body.to_pybytes() if cut_off and x else None for x in first]
-            columns = [part, [keep] * m, [n] * m, first, [sha] * m, [pid] * m, [number] * m, bodies]
+            bodies = [self.body if cut_off and x else None for x in first]
+            columns = [part, pa.repeat(keep, m), [n] * m, first, [sha] * m, [pid] * m, [number] * m, bodies]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
@@ -72,10 +76,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of equal neighbours among sorted rows (hash, identifier, text).
 
-    Held at a time: the identifiers of the groups that have the hash of the last row seen."""
+    Held at a time: the identifiers of the groups that have the hash of the last row seen, and a text for each of these.
+    They are copies: a slice of a batch would keep all of its texts."""
     pid = TaskContext.get().partitionId()
     lowest: int | None = None
     held: list[_Group] = []
@@ -84,19 +89,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
         if not batch.num_rows:
             continue
         keys, ids, texts = batch.columns
+        ids = ids.take(pa.array(range(len(ids)), pa.int32()))
+        schema = pa.schema([*zip(FOUND, [ids.type, ids.type, pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.binary()], strict=True)])
         fresh = [True, *pc.invert(pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1))).to_pylist()]
-        fresh[0] = not held or not held[-1].text.equals(texts[0])
+        fresh[0] = not held or held[-1].body != texts[0].as_buffer().to_pybytes()
         starts = [i for i, x in enumerate(fresh) if x]
         if not fresh[0]:
             held[-1].ids.append(ids.slice(0, starts[0] if starts else None))
-        for a, b in zip(starts, [*starts[1:], len(texts)], strict=True):
+        for a, b in zip(starts, [*starts, len(texts)][1:], strict=True):
             key = keys[a].as_py()
             lowest = key if lowest is None else lowest
             if held and held[0].key != key:
                 for g in held:
                     yield from g.batches(pid, g.key == lowest, schema)
                 held = []
-            held.append(_Group(texts[a], key, number, [ids.slice(a, b - a)]))
+            held.append(_Group(texts[a].as_buffer().to_pybytes(), key, number, [ids.slice(a, b - a)]))
             number += 1
     for g in held:
         yield from g.batches(pid, True, schema)
@@ -110,16 +117,14 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", column: str = "text
     (one space). A null identifier is larger than any other; keep_id is null only if all of a group's are. Other columns
     are not looked at. An empty table gives no rows."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = 0 if partitions else docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
     text = normalised(F.col(column))
     rows = docs.select(F.col(id_column).alias("id"), text.alias("text")).select("id", "text", F.left("text", F.lit(LEAD)).alias("lead"), F.xxhash64("text").alias("key"))
     by_id = F.col("id").asc_nulls_last()
     dealt = rows.repartitionByRange(n, "lead", "key", by_id).sortWithinPartitions("lead", "key", "text", by_id)
     kind = docs.schema[id_column].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    names = ["id", "keep_id", "n", "first", "sha", "pid", "number", "body"]
-    schema = pa.schema([*zip(names, [arrow_id, arrow_id, pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.binary()], strict=True)])
-    found = cut(dealt.select("key", "id", "text").mapInArrow(lambda b: _gathered(_neighbours(b, schema)), f"id {kind}, keep_id {kind}, n bigint, first boolean, sha string, pid int, number bigint, body binary"))
+    found = cut(dealt.select("key", "id", "text").mapInArrow(lambda b: _gathered(_neighbours(b)), f"id {kind}, keep_id {kind}, n bigint, first boolean, sha string, pid int, number bigint, body binary"))
     whole = found.where("number IS NULL").select("id", "keep_id", "n", "first", "sha")
     ends = found.where("body IS NOT NULL").groupBy("body").agg(F.min("keep_id").alias("least"), F.sum("n").alias("all"), F.collect_list(F.struct("pid", "number")).alias("at"))
     ends = cut(ends.select("least", "all", F.inline("at")))  # a few for each partition

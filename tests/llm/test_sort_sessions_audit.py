@@ -86,6 +86,56 @@ def test_identifiers_of_another_kind(spark):
     assert sorted((r.name, r.keep_id, r.kept) for r in got.collect()) == [("a", "a", True), ("b", "a", False)]
 
 
+def test_a_group_larger_than_batches(spark):
+    """Whole batches from Spark lie within one group."""
+    rows = [doc(i, "hot" if i % 3 else None if i % 2 else f"t{i}") for i in range(300)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted_groups(spark.createDataFrame(rows, DOCS), partitions=4) == exact(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,2)", "double", "date", "timestamp", "timestamp_ntz", "binary"])
+def test_identifiers_of_any_kind(spark, kind):
+    ids = F.col("i").cast("timestamp").cast(kind) if kind[:4] in ("date", "time") else F.col("i").cast("string").cast(kind)
+    df = spark.createDataFrame([(86_400 * i if kind[:4] in ("date", "time") else i, "t" if i < 3 else None) for i in range(6)], "i int, text string").select("i", "text", ids.alias("doc_id"))
+    got = content_sort.exact_groups(df)
+    assert got.schema["doc_id"].dataType == got.schema["keep_id"].dataType == df.schema["doc_id"].dataType
+    least = df.groupBy("text").agg(F.min("doc_id").alias("least"))
+    want = df.join(least, df.text.eqNullSafe(least.text)).select("doc_id", "least", F.lit(3).cast("long"), F.col("doc_id") == F.col("least"))
+    assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_partitions_grow_with_texts(spark, monkeypatch):
+    monkeypatch.setattr(content_sort, "SHARE", 1000)
+    seen = []
+    monkeypatch.setattr(content_sort, "cut", lambda df, old=content_sort.cut: (seen.append(df), old(df))[1])
+    content_sort.exact_groups(spark.createDataFrame([doc(i, "x" * 500) for i in range(100)], DOCS))
+    assert seen[0].rdd.getNumPartitions() == 50
+
+
+def test_a_group_holds_its_identifiers_and_not_its_texts(monkeypatch):
+    """Batches come as they do from Spark: all columns of one share a buffer."""
+    monkeypatch.setattr(content_sort, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda _: 0})())}))
+    names, size, held = ["key", "id", "text"], 1000, []
+    base = pa.total_allocated_bytes()
+
+    def batches():
+        for k in range(40):
+            held.append(pa.total_allocated_bytes() - base)
+            sink = pa.BufferOutputStream()
+            batch = pa.record_batch([pa.array([7] * size), pa.array(range(k * size, (k + 1) * size)), pa.array(["x" * 1000] * size)], names=names)
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.ipc.open_stream(sink.getvalue()).read_next_batch()
+
+    got = pa.Table.from_batches(content_sort._neighbours(batches()))
+    assert got["id"].to_pylist() == [*range(40 * size)] and set(got["n"].to_pylist()) == {40 * size}
+    assert max(held) < 8 * size * 1000  # of 40 MB of texts
+
+
 # ---- sessions
 
 CLICKS = "click_id bigint, ts timestamp_ntz, arrived_at timestamp_ntz, client_id bigint, kind string, value double, piece int, head string"
