@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +35,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(tables: Sequence[DataFrame]) -> DataFrame:
+    """Tables of one schema that stored() gave, as one table: one scan of all their files, however many tables they are."""
+    paths = dict.fromkeys(f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles())
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths)
+
+
 def dealt(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """df over a task for each so many rows, and over all cores at least: costly steps on a table of few bytes would otherwise
     run in the one or two tasks that read it. df is counted first, so it must be cheap to read twice."""

@@ -216,3 +216,23 @@ def test_rounds_of_a_small_cycle_beside_many(spark, monkeypatch):
     got = resolved(spark, rows)
     assert got["z"] == ({"x": "3", "y": "2"}, True) and got["y"] == ({"y": "2", "x": "3"}, True) and sum(c for _, c in got.values()) == 3
     assert len(counts) <= 4
+
+
+def test_pairs_of_edges_there_and_back_are_put_together(spark, monkeypatch):
+    """A long chain of them takes few rounds: no colours are spread."""
+    counts = written(monkeypatch, graph)
+    n = 120
+    edges = [(i, i + 1) for i in range(n)] + [(i + 1, i) for i in range(n)] + [(n + 5, 3), (3, n + 9), (n + 9, n + 9)]
+    got = {tuple(x) for x in graph.cycles(spark.createDataFrame(edges, "u int, v int")).collect()}
+    assert got == {(i, 0) for i in range(n + 1)} | {(n + 9, n + 9)}
+    assert len(counts) < 20
+
+
+def test_closure_stores_only_what_others_need(spark, monkeypatch):
+    """Nodes that nothing depends on are not stored as lists, and an early round's table is small: nodes are taken as late as can be."""
+    kept, old = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: (got := old(df), kept.append(got.count()) if got.columns == ["u", "ring", "part", "n"] else None)[0])
+    tree = [(i, i // 2) for i in range(2, 256)] + [(1000 + i, i) for i in range(2, 40)]
+    got = [tuple(x) for x in graph.closure(spark.createDataFrame(tree, "u int, v int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_closure(tree)
+    assert kept == [1, 2, 4, 8, 16, 32, 64]
